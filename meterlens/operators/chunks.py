@@ -22,11 +22,22 @@ POSITION = "_pos"
 TOTAL = "_total"
 
 
-def split_into_chunks(df: DataFrame, unit: str, time: str = TIME) -> DataFrame:
-    """Add the chunk a row belongs to, unless it is there already."""
+def split_into_chunks(df: DataFrame, unit: str, key: str = KEY, time: str = TIME) -> DataFrame:
+    """Add the chunk a row belongs to, unless it is there already.
+
+    A row without customer or time has no place in a series and is left out. The filter is
+    spelled out so that both uses of the rows below (themselves and their index) carry the
+    same one and share a single shuffle; an inner join would add it to one side only.
+    """
     if CHUNK in df.columns:
         return df
-    return df.withColumn(CHUNK, F.date_trunc(unit, F.col(time)))
+    chunked = df.withColumn(CHUNK, F.date_trunc(unit, F.col(time)))
+    return chunked.where(F.col(key).isNotNull() & F.col(CHUNK).isNotNull())
+
+
+def with_rows(chunked: DataFrame, key: str = KEY, time: str = TIME) -> DataFrame:
+    """Add ``_row``, the place of a row in its chunk."""
+    return chunked.withColumn("_row", F.row_number().over(within_chunk(key, time)))
 
 
 def within_chunk(key: str = KEY, time: str = TIME, latest_first: bool = False):
@@ -40,25 +51,20 @@ def known(column: str, row: str) -> Column:
                   F.struct(F.col(column).alias("value"), F.col(row).cast("long").alias("row")))
 
 
-def chunk_index(chunked: DataFrame, carry: Sequence[str] = (), key: str = KEY,
-                time: str = TIME) -> DataFrame:
-    """One row per (key, chunk).
+def chunk_index(rows: DataFrame, carry: Sequence[str] = (), key: str = KEY) -> DataFrame:
+    """One row per (key, chunk), from rows numbered by ``with_rows``.
 
     ``_offset`` counts the rows of earlier chunks, ``_total`` all rows of the key. For each
     carried column ``_prev_<c>`` is the last present value of the earlier chunks and
     ``_next_<c>`` the first of the later ones, each with its position in the series.
     """
     facts = [F.count(F.lit(1)).alias("_rows")]
-    rows = chunked.select(key, CHUNK)
-    if carry:
-        rows = chunked.select(
-            key, CHUNK, F.row_number().over(within_chunk(key, time)).alias("_row"), *carry)
-        for c in carry:
-            seen = F.when(F.col(c).isNotNull(), F.col("_row"))
-            facts += [
-                F.min(seen).alias(f"_first_row_{c}"), F.min_by(F.col(c), seen).alias(f"_first_{c}"),
-                F.max(seen).alias(f"_last_row_{c}"), F.max_by(F.col(c), seen).alias(f"_last_{c}"),
-            ]
+    for c in carry:
+        seen = F.when(F.col(c).isNotNull(), F.col("_row"))
+        facts += [
+            F.min(seen).alias(f"_first_row_{c}"), F.min_by(F.col(c), seen).alias(f"_first_{c}"),
+            F.max(seen).alias(f"_last_row_{c}"), F.max_by(F.col(c), seen).alias(f"_last_{c}"),
+        ]
     index = rows.groupBy(key, CHUNK).agg(*facts)
 
     series = Window.partitionBy(key).orderBy(CHUNK)
@@ -84,21 +90,27 @@ def chunk_index(chunked: DataFrame, carry: Sequence[str] = (), key: str = KEY,
 
 def with_positions(df: DataFrame, unit: str, key: str = KEY, time: str = TIME) -> DataFrame:
     """Add ``_pos`` (1-based, by time) and ``_total`` rows of the key."""
-    chunked = split_into_chunks(df, unit, time)
-    ranked = chunked.withColumn("_row", F.row_number().over(within_chunk(key, time)))
-    placed = ranked.join(chunk_index(chunked, (), key, time), [key, CHUNK])
+    rows = with_rows(split_into_chunks(df, unit, key, time), key, time)
+    placed = rows.join(chunk_index(rows, (), key), [key, CHUNK])
     placed = placed.withColumn(POSITION, F.col("_offset") + F.col("_row"))
     extra = [] if CHUNK not in df.columns else [CHUNK]
     return placed.select(*[c for c in df.columns if c != CHUNK], *extra, POSITION, TOTAL)
 
 
-def attach_to_chunks(chunked: DataFrame, values: DataFrame, key: str = KEY) -> DataFrame:
+def count_spans(chunked: DataFrame, key: str = KEY) -> DataFrame:
+    """Rows per (key, chunk): a small table, reduced before its shuffle."""
+    return chunked.groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def attach_to_chunks(chunked: DataFrame, values: DataFrame, key: str = KEY,
+                     spans: DataFrame | None = None) -> DataFrame:
     """Left-join per-key values, reusing the (key, chunk) partitioning of the rows.
 
-    The values are first spread over the distinct chunks of each key (a small table), so the
-    rows themselves are not shuffled again and a hot key stays split by chunk.
+    The values are first spread over the chunks of each key (a small table), so the rows
+    themselves are not shuffled again and a hot key stays split by chunk.
     """
-    spread = chunked.select(key, CHUNK).distinct().join(values, key, "left")
+    spans = chunked if spans is None else spans
+    spread = spans.select(key, CHUNK).distinct().join(values, key, "left")
     return chunked.join(spread, [key, CHUNK], "left")
 
 

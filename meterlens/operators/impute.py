@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlens.operators.chunks import (
-    CHUNK, attach_to_chunks, chunk_index, known, split_into_chunks, within_chunk,
+    CHUNK, attach_to_chunks, chunk_index, known, split_into_chunks, with_rows, within_chunk,
 )
 from meterlens.params import KEY, TIME
 
@@ -34,8 +34,8 @@ def fill_gaps(df: DataFrame, columns: Sequence[str], method: str = LINEAR, unit:
     if method not in (LINEAR, FORWARD, BACKWARD):
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns})
 
-    chunked = split_into_chunks(df, unit, time)
-    rows = chunked.withColumn("_row", F.row_number().over(within_chunk(key, time)))
+    numbered = with_rows(split_into_chunks(df, unit, key, time), key, time)
+    rows = numbered
     to_here = (Window.unboundedPreceding, Window.currentRow)
     forward = within_chunk(key, time).rowsBetween(*to_here)
     # The next present value is found by walking backwards in time: a frame that reaches
@@ -47,7 +47,7 @@ def fill_gaps(df: DataFrame, columns: Sequence[str], method: str = LINEAR, unit:
     if method in (LINEAR, BACKWARD):
         rows = rows.withColumns({
             f"_after_{c}": F.last(known(c, "_row"), ignorenulls=True).over(backward) for c in columns})
-    rows = rows.join(chunk_index(chunked, columns, key, time), [key, CHUNK])
+    rows = rows.join(chunk_index(numbered, columns, key), [key, CHUNK])
     filled = rows.withColumns({c: _filled(c, method) for c in columns})
     return filled.select(*df.columns)
 
@@ -71,7 +71,7 @@ def _filled(c: str, method: str):
 
 def _fill_with_mean(df: DataFrame, columns: list[str], unit: str, key: str, time: str) -> DataFrame:
     """Means are aggregated map-side and joined back, so no task holds a whole customer."""
-    chunked = split_into_chunks(df, unit, time)
+    chunked = split_into_chunks(df, unit, key, time)
     means = chunked.groupBy(key).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
     joined = attach_to_chunks(chunked, means, key)
     filled = joined.withColumns({

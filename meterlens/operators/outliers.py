@@ -19,16 +19,20 @@ ROBUST = "robust_zscore"
 MAD_TO_SIGMA = 0.6745
 
 
+def _sizes(spans: DataFrame | None, key: str) -> DataFrame | None:
+    return None if spans is None else spans.groupBy(key).agg(F.sum("_rows").alias("_rows"))
+
+
 def outlier_limits(df: DataFrame, columns: Sequence[str], params: EtlParams, key: str = KEY,
                    time: str = TIME, direct_rows: int = DIRECT_ROWS,
-                   sizes: DataFrame | None = None) -> DataFrame | None:
+                   spans: DataFrame | None = None) -> DataFrame | None:
     """Per customer ``_lo_<c>`` and ``_hi_<c>``; NULL where the spread is 0, None if unknown method."""
     if params.outlier_method == IQR:
         wanted = {}
         for c in columns:
             wanted[f"_q1_{c}"] = (c, 0.25)
             wanted[f"_q3_{c}"] = (c, 0.75)
-        found = exact_quantiles(df, [key], wanted, direct_rows, sizes=sizes)
+        found = exact_quantiles(df, [key], wanted, direct_rows, sizes=_sizes(spans, key))
         limits = []
         for c in columns:
             q1, q3 = F.col(f"_q1_{c}"), F.col(f"_q3_{c}")
@@ -37,14 +41,14 @@ def outlier_limits(df: DataFrame, columns: Sequence[str], params: EtlParams, key
                        (q3 + F.lit(params.iqr_factor) * spread).alias(f"_hi_{c}")]
         return found.select(key, *limits)
     if params.outlier_method == ROBUST:
-        chunked = split_into_chunks(df, params.chunk, time)
+        chunked = split_into_chunks(df, params.chunk, key, time)
         medians = exact_quantiles(df, [key], {f"_med_{c}": (c, 0.5) for c in columns}, direct_rows,
-                                  sizes=sizes)
-        apart = attach_to_chunks(chunked, medians, key).select(
+                                  sizes=_sizes(spans, key))
+        apart = attach_to_chunks(chunked, medians, key, spans).select(
             key, *[F.abs(F.col(c) - F.col(f"_med_{c}")).alias(f"_dev_{c}") for c in columns])
         spreads = exact_quantiles(
             apart, [key], {f"_mad_{c}": (f"_dev_{c}", 0.5) for c in columns}, direct_rows,
-                                  sizes=sizes)
+                                  sizes=_sizes(spans, key))
         limits = []
         for c in columns:
             middle = F.col(f"_med_{c}")
@@ -57,13 +61,16 @@ def outlier_limits(df: DataFrame, columns: Sequence[str], params: EtlParams, key
 
 def cap_outliers(df: DataFrame, columns: Sequence[str], params: EtlParams, key: str = KEY,
                  time: str = TIME, direct_rows: int = DIRECT_ROWS,
-                 sizes: DataFrame | None = None) -> DataFrame:
-    """Clip each column to its customer's limits; an unknown method changes nothing."""
+                 spans: DataFrame | None = None) -> DataFrame:
+    """Clip each column to its customer's limits; an unknown method changes nothing.
+
+    ``spans`` may give (customer, ``_chunk``, ``_rows``) if the caller has counted them already.
+    """
     columns = [c for c in columns if c in df.columns]
-    limits = outlier_limits(df, columns, params, key, time, direct_rows, sizes) if columns else None
+    limits = outlier_limits(df, columns, params, key, time, direct_rows, spans) if columns else None
     if limits is None:
         return df
-    joined = attach_to_chunks(split_into_chunks(df, params.chunk, time), limits, key)
+    joined = attach_to_chunks(split_into_chunks(df, params.chunk, key, time), limits, key, spans)
     clipped = joined.withColumns({
         c: capped(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c in columns})
     return clipped.select(*df.columns)
@@ -71,14 +78,14 @@ def cap_outliers(df: DataFrame, columns: Sequence[str], params: EtlParams, key:
 
 def count_outliers(df: DataFrame, columns: Sequence[str], params: EtlParams, key: str = KEY,
                    time: str = TIME, direct_rows: int = DIRECT_ROWS,
-                 sizes: DataFrame | None = None) -> DataFrame:
+                 spans: DataFrame | None = None) -> DataFrame:
     """Values outside the limits per customer and column, as (customer, variable, atipicos)."""
     columns = [c for c in columns if c in df.columns]
-    limits = outlier_limits(df, columns, params, key, time, direct_rows, sizes)
+    limits = outlier_limits(df, columns, params, key, time, direct_rows, spans)
     if limits is None:
         counts = df.groupBy(key).agg(*[F.lit(0).cast("bigint").alias(c) for c in columns])
     else:
-        joined = attach_to_chunks(split_into_chunks(df, params.chunk, time), limits, key)
+        joined = attach_to_chunks(split_into_chunks(df, params.chunk, key, time), limits, key, spans)
         counts = joined.groupBy(key).agg(*[
             F.count_if((F.col(c) < F.col(f"_lo_{c}")) | (F.col(c) > F.col(f"_hi_{c}"))).alias(c)
             for c in columns])

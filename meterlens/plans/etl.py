@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from meterlens.operators.calendar import with_calendar
-from meterlens.operators.chunks import CHUNK, split_into_chunks
+from meterlens.operators.chunks import CHUNK, count_spans, split_into_chunks
 from meterlens.operators.clean import infinities_to_null, keep_first, parse_dates, with_gas_quantity
 from meterlens.operators.impute import fill_gaps
 from meterlens.operators.outliers import cap_outliers
 from meterlens.operators.quality import completeness, describe, missing_by_column
 from meterlens.operators.quantiles import DIRECT_ROWS
 from meterlens.params import KEY, TIME, EtlParams
+from meterlens.session import settle
 
 Observer = Callable[[str, DataFrame], None]
 
@@ -32,10 +32,9 @@ def clean_readings(raw: DataFrame, params: EtlParams, order: str | Sequence[str]
     """
     tell = observe or (lambda stage, df: None)
     tell("carga", raw)
-    # Duplicates are still counted here, which is fine for an upper bound.
-    sizes = raw.groupBy(KEY).agg(F.count(F.lit(1)).alias("_rows"))
-
     dated = infinities_to_null(parse_dates(raw, date, TIME), params.base_columns)
+    # Which chunks each customer has and an upper bound of their rows (duplicates included).
+    spans = settle(count_spans(split_into_chunks(dated.select(KEY, TIME), params.chunk)))
     needed = [KEY, TIME, *[c for c in params.base_columns if c in dated.columns]]
     order_columns = [order] if isinstance(order, str) else list(order)
     unique = keep_first(dated.select(*needed, *order_columns), order).select(*needed)
@@ -49,7 +48,7 @@ def clean_readings(raw: DataFrame, params: EtlParams, order: str | Sequence[str]
     filled = fill_gaps(chunked, columns, params.fill_method, params.chunk)
     tell("faltantes", filled.drop(CHUNK))
 
-    limited = cap_outliers(filled, columns, params, direct_rows=direct_rows, sizes=sizes)
+    limited = cap_outliers(filled, columns, params, direct_rows=direct_rows, spans=spans)
     tell("atipicos", limited.drop(CHUNK))
 
     featured = with_calendar(limited.drop(CHUNK), params)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlens.operators.clean import keep_first, parse_dates
-from meterlens.params import CLUSTER, KEY, TIME
+from meterlens.operators.clean import keep_first, parse_dates, with_gas_quantity
+from meterlens.operators.severity import severity
+from meterlens.params import CLUSTER, KEY, MODEL_LABEL, TIME, Bands, GasLaw
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,22 +43,37 @@ def readings_keyed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, folder: str) -> DataFrame:
-    """Fixed cluster ids; some customers are left out to exercise the default."""
-    users = table(spark, folder, "events").select("user_id").where("user_id % 20 <> 19").distinct()
-    return users.select(
+    """Fixed cluster ids for customers with 50 events or more; the others have none."""
+    users = table(spark, folder, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return users.where("n >= 50").select(
         F.concat(F.lit("CLIENTE"), F.col("user_id").cast("string")).alias(KEY),
         (F.col("user_id") % 3).cast("int").alias(CLUSTER))
 
 
 def ground_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels with repeated keys and keys that match no reading."""
-    keyed = readings_keyed(spark, folder).select(KEY, TIME, "seq")
-    seq = F.col("seq")
-    severity = F.when(seq % 2 == 0, "Alta").otherwise("Media").alias("criticidad_real")
-    real = (seq % 7 == 0).alias("anomalia_real")
+    """Labels of the readings with a temperature.
+
+    Readings without pressure are labelled twice, and the anomalous ones once more a year
+    later, where no reading is.
+    """
+    keyed = readings_keyed(spark, folder).select(KEY, TIME, "seq", "Presion", "Temperatura", "Volumen")
+    labelled = keyed.where("Temperatura IS NOT NULL").withColumns({
+        "anomalia_real": F.coalesce(F.col("Volumen") >= 80, F.lit(False)),
+        "criticidad_real": F.when(F.col("Volumen") >= 120, "Alta").otherwise("Media")})
+    columns = [KEY, TIME, "anomalia_real", "criticidad_real"]
+    later = (F.col(TIME) + F.expr("INTERVAL '1' YEAR")).alias(TIME)
     return (
-        keyed.where(seq % 3 == 0).select(KEY, TIME, real, severity)
-        .unionByName(keyed.where(seq % 33 == 0).select(KEY, TIME, real, severity))
-        .unionByName(keyed.where(seq % 35 == 0).select(
-            KEY, (F.col(TIME) + F.expr("INTERVAL '1' YEAR")).alias(TIME),
-            F.lit(True).alias("anomalia_real"), F.lit("Alta").alias("criticidad_real"))))
+        labelled.select(*columns)
+        .unionByName(labelled.where("Presion IS NULL").select(*columns))
+        .unionByName(labelled.where("anomalia_real").select(KEY, later, "anomalia_real", "criticidad_real")))
+
+
+def anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings of 60 and more as anomalies, graded by volume, in the layout of the report."""
+    keyed = with_gas_quantity(readings_keyed(spark, folder).drop("seq"), GasLaw())
+    score = F.col("Volumen") / F.lit(10.0)
+    rows = keyed.where("Volumen >= 60").select(
+        F.lit("2024-02-01 00:00:00").cast("timestamp").alias("timestamp_deteccion"),
+        *keyed.columns, F.lit(MODEL_LABEL).alias("modelo_deteccion"), score.alias("score_anomalia_final"),
+        severity(score, F.lit(5.0), F.lit(1.5), Bands()).alias("criticidad_predicha"))
+    return rows

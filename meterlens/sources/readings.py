@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,16 +30,63 @@ def _customer() -> F.Column:
     return F.trim(F.regexp_replace(name, r"(\.[^.]*)$", ""))
 
 
-def source_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header line) of every CSV source below ``path``.
+def source_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Paths of the files below ``path``; their content is not read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+            .option("pathGlobFilter", pattern).load(path).select("path"))
 
-    The header is the first line of the file's first split. Lines of later splits are left out
-    before the aggregate, which keeps one line per file and input split.
+
+def source_columns(files: DataFrame, kind: str, separator: str = ",") -> DataFrame:
+    """(path, columns) per file, from the header line or the Parquet footer only.
+
+    Tasks open the files they are given and read a few bytes each; an unreadable file gets an
+    empty list, so that one bad source does not stop the load.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-    first = lines.where(F.col("_metadata.file_block_start") == 0).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("_at"))
-    return first.groupBy("file").agg(F.min_by("value", "_at").alias("header"))
+
+    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import urllib.parse
+
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        def names(path: str) -> list[str]:
+            try:
+                if path.startswith("file:"):
+                    system, inner = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+                else:
+                    system, inner = fs.FileSystem.from_uri(urllib.parse.quote(path, safe=":/@"))
+                if kind == "parquet":
+                    with system.open_input_file(inner) as file:
+                        return pq.read_schema(file).names
+                head = b""
+                with system.open_input_stream(inner) as stream:
+                    while b"\n" not in head and (piece := stream.read(65536)):
+                        head += piece
+                line = head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+                return [n.strip().strip('"') for n in line.split(separator)]
+            except Exception:
+                return []
+
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "columns": [names(p) for p in batch["path"]]})
+
+    return files.mapInPandas(columns, "path string, columns array<string>")
+
+
+def _layouts(spark: SparkSession, path: str, kind: str, needed: Sequence[str],
+             separator: str = ",") -> list[tuple[list[str], list[str]]]:
+    """(columns, files) for each distinct layout that holds the needed columns.
+
+    Only file names and headers come to the driver, which lists the files in any case.
+    """
+    try:
+        files = source_files(spark, path, f"*.{kind}")
+    except AnalysisException:
+        return []
+    found = source_columns(files, kind, separator).where(
+        F.forall(F.array(*map(F.lit, needed)), lambda c: F.array_contains("columns", c)))
+    rows = found.groupBy("columns").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
+    return sorted((list(r["columns"]), list(r["files"])) for r in rows)
 
 
 def read_csv_sources(spark: SparkSession, path: str, date_column: str = TIME,
@@ -49,39 +97,26 @@ def read_csv_sources(spark: SparkSession, path: str, date_column: str = TIME,
     is read with its own schema. Values that are not numbers become NULL. The load order of a
     row is (source, split offset, line), see ``LOAD_ORDER``.
     """
-    try:
-        headers = source_headers(spark, path)
-        layouts = headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    except AnalysisException:
-        return spark.createDataFrame([], raw_schema(columns))
-    out = None
-    for layout in sorted(layouts, key=lambda row: row["header"] or ""):
-        names = [n.strip().strip('"').lstrip("﻿") for n in (layout["header"] or "").split(separator)]
-        if any(c not in names for c in (date_column, *columns)) or len(set(names)) < len(names):
-            continue
+    out = spark.createDataFrame([], raw_schema(columns))
+    for names, files in _layouts(spark, path, "csv", [date_column, *columns], separator):
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         rows = (spark.read.schema(schema).option("header", True).option("sep", separator)
-                .option("mode", "PERMISSIVE").csv(sorted(layout["files"])))
-        part = rows.select(
+                .option("mode", "PERMISSIVE").csv(files))
+        out = out.unionByName(rows.select(
             _customer().alias(KEY), F.col(date_column).alias(RAW_DATE),
-            *[F.col(c).try_cast("double").alias(c) for c in columns], *_load_order())
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], raw_schema(columns))
+            *[F.col(c).try_cast("double").alias(c) for c in columns], *_load_order()))
+    return out
 
 
 def read_parquet_sources(spark: SparkSession, path: str, date_column: str = TIME,
                          columns: Sequence[str] = BASE_COLUMNS) -> DataFrame:
-    """Parquet sources, one file or folder part per customer; only needed columns are scanned."""
-    try:
-        rows = (spark.read.option("recursiveFileLookup", True).option("mergeSchema", True)
-                .option("pathGlobFilter", "*.parquet").parquet(path))
-    except AnalysisException:
-        return spark.createDataFrame([], raw_schema(columns))
-    if any(c not in rows.columns for c in (date_column, *columns)):
-        return spark.createDataFrame([], raw_schema(columns))
-    return rows.select(
-        _customer().alias(KEY), F.col(date_column).cast("string").alias(RAW_DATE),
-        *[F.col(c).cast("double").alias(c) for c in columns], *_load_order())
+    """Parquet sources, one file per customer; only the needed columns are scanned."""
+    out = spark.createDataFrame([], raw_schema(columns))
+    for _, files in _layouts(spark, path, "parquet", [date_column, *columns]):
+        out = out.unionByName(spark.read.parquet(*files).select(
+            _customer().alias(KEY), F.col(date_column).cast("string").alias(RAW_DATE),
+            *[F.col(c).cast("double").alias(c) for c in columns], *_load_order()))
+    return out
 
 
 def _load_order() -> list[F.Column]:
