@@ -4,7 +4,9 @@ A window over ``cliente_id`` alone puts a whole customer into one task, however
 series. Here a series is cut into calendar chunks: rows are sorted and ranked per (customer,
 chunk), and a small index with one row per (customer, chunk) carries counts and edge values
 from chunk to chunk. Only the index is ever windowed per customer, and its length is bounded
-by the calendar (a century of months is 1,200 rows), not by the number of readings.
+by the calendar, not by the number of readings. The unit ``auto`` takes the longest calendar
+unit in which no customer has more than ``CHUNK_ROWS`` rows, so one very dense meter gets
+shorter chunks instead of longer sorts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from meterlens.session import settle
 CHUNK = "_chunk"
 POSITION = "_pos"
 TOTAL = "_total"
+CHUNK_ROWS = 2_000_000
+# Units of date_trunc from long to short.
+UNITS = ("year", "month", "week", "day", "hour", "minute", "second")
 
 
 def split_into_chunks(df: DataFrame, unit: str, key: str = KEY, time: str = TIME) -> DataFrame:
@@ -31,10 +36,31 @@ def split_into_chunks(df: DataFrame, unit: str, key: str = KEY, time: str = TIME
     """
     if CHUNK in df.columns:
         return df
+    if unit == "auto":
+        unit, _ = measured_spans(df.select(key, time), unit, key, time)
     chunked = df.withColumn(CHUNK, F.date_trunc(unit, F.col(time)))
     return chunked.where(F.col(key).isNotNull() & F.col(CHUNK).isNotNull())
 
 
+def count_rows(chunked: DataFrame, key: str = KEY) -> DataFrame:
+    """Rows per (key, chunk): a small table, reduced before its shuffle."""
+    return chunked.groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def measured_spans(df: DataFrame, unit: str, key: str = KEY, time: str = TIME,
+                   chunk_rows: int = CHUNK_ROWS) -> tuple[str, DataFrame]:
+    """(unit, rows per (key, chunk)), the unit chosen from the counts when it is ``auto``.
+
+    Each try is one map-side count of two columns; for hourly meters the first try fits.
+    """
+    for candidate in UNITS if unit == "auto" else (unit,):
+        spans = settle(count_rows(split_into_chunks(df, candidate, key, time), key))
+        densest = spans.agg(F.max("_rows")).first()[0] or 0
+        if densest <= chunk_rows:
+            break
+    return candidate, spans
+
+
 def with_rows(chunked: DataFrame, key: str = KEY, time: str = TIME) -> DataFrame:
     """Add ``_row``, the place of a row in its chunk."""
     return chunked.withColumn("_row", F.row_number().over(within_chunk(key, time)))
@@ -88,7 +114,7 @@ def chunk_index(rows: DataFrame, carry: Sequence[str] = (), key: str = KEY) -> D
     return index.select(key, CHUNK, "_offset", TOTAL, *carried)
 
 
-def with_positions(df: DataFrame, unit: str, key: str = KEY, time: str = TIME) -> DataFrame:
+def with_positions(df: DataFrame, unit: str = "auto", key: str = KEY, time: str = TIME) -> DataFrame:
     """Add ``_pos`` (1-based, by time) and ``_total`` rows of the key."""
     rows = with_rows(split_into_chunks(df, unit, key, time), key, time)
     placed = rows.join(chunk_index(rows, (), key), [key, CHUNK])
@@ -97,11 +123,6 @@ def with_positions(df: DataFrame, unit: str, key: str = KEY, time: str = TIME) -
     return placed.select(*[c for c in df.columns if c != CHUNK], *extra, POSITION, TOTAL)
 
 
-def count_spans(chunked: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows per (key, chunk): a small table, reduced before its shuffle."""
-    return chunked.groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
-
-
 def attach_to_chunks(chunked: DataFrame, values: DataFrame, key: str = KEY,
                      spans: DataFrame | None = None) -> DataFrame:
     """Left-join per-key values, reusing the (key, chunk) partitioning of the rows.

@@ -51,27 +51,36 @@ def unmatched_labels(scored: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def confusion(joined: DataFrame) -> DataFrame:
-    """Totals and confusion counts in one aggregate; an empty input gives zeros."""
+    """Totals and confusion counts in one aggregate; an empty input gives zeros.
+
+    A column ``_copies`` says how many equal rows a row stands for.
+    """
+    copies = F.coalesce(F.col("_copies"), F.lit(1)) if "_copies" in joined.columns else F.lit(1)
     real, predicted = F.col("anomalia_real"), F.col("anomalia_predicha").cast("boolean")
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, copies)), F.lit(0)).cast("bigint")
+
     return joined.agg(
-        F.count(F.lit(1)).alias("total_muestras"),
-        F.count_if(real).alias("positivos_reales"),
-        F.count_if(~real).alias("negativos_reales"),
-        F.count_if(predicted).alias("positivos_predichos"),
-        F.count_if(real & predicted).alias("verdaderos_positivos_tp"),
-        F.count_if(~real & predicted).alias("falsos_positivos_fp"),
-        F.count_if(~real & ~predicted).alias("verdaderos_negativos_tn"),
-        F.count_if(real & ~predicted).alias("falsos_negativos_fn"),
-        severity_agreement(joined).alias("precision_clasificacion_criticidad"))
-
-
-def severity_agreement(joined: DataFrame) -> Column:
+        total(F.lit(True)).alias("total_muestras"),
+        total(real).alias("positivos_reales"),
+        total(~real).alias("negativos_reales"),
+        total(predicted).alias("positivos_predichos"),
+        total(real & predicted).alias("verdaderos_positivos_tp"),
+        total(~real & predicted).alias("falsos_positivos_fp"),
+        total(~real & ~predicted).alias("verdaderos_negativos_tn"),
+        total(real & ~predicted).alias("falsos_negativos_fn"),
+        severity_agreement(joined, copies).alias("precision_clasificacion_criticidad"))
+
+
+def severity_agreement(joined: DataFrame, copies: Column) -> Column:
     """Share of true positives graded as labelled; NULL without true positives or columns."""
     if not {"criticidad_predicha", "criticidad_real"} <= set(joined.columns):
         return F.max(F.lit(None).cast("double"))
     hit = F.col("anomalia_real") & F.col("anomalia_predicha").cast("boolean")
     same = F.coalesce(F.col("criticidad_predicha") == F.col("criticidad_real"), F.lit(False))
-    return F.avg(F.when(hit, same.cast("double")))
+    agreed = F.coalesce(F.sum(F.when(hit & same, copies)), F.lit(0))
+    return F.try_divide(agreed.cast("double"), F.sum(F.when(hit, copies)).cast("double"))
 
 
 def derived_metrics(counts: DataFrame) -> DataFrame:
@@ -95,8 +104,17 @@ def derived_metrics(counts: DataFrame) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, labels: DataFrame, dedupe: bool = False) -> DataFrame:
-    """One row with all metrics."""
-    return derived_metrics(confusion(join_labels(scored, labels, dedupe)))
+    """One row with all metrics.
+
+    Equal labels are counted before the join and weigh in afterwards, which gives the totals
+    of the plain join: a key that is labelled very often never meets its reading copy by copy.
+    """
+    names = [c for c in (KEY, TIME, "anomalia_real", "criticidad_real") if c in labels.columns]
+    labels = labels.select(*names)
+    if not dedupe:
+        labels = labels.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    needed = [c for c in (KEY, TIME, "anomalia_predicha", "criticidad_predicha") if c in scored.columns]
+    return derived_metrics(confusion(join_labels(scored.select(*needed), labels, dedupe)))
 
 
 def _met(actual: Column, limit: Column, upper: bool) -> Column:

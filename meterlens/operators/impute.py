@@ -19,7 +19,7 @@ BACKWARD = "bfill"
 CUSTOMER_MEAN = "media_cliente"
 
 
-def fill_gaps(df: DataFrame, columns: Sequence[str], method: str = LINEAR, unit: str = "month",
+def fill_gaps(df: DataFrame, columns: Sequence[str], method: str = LINEAR, unit: str = "auto",
               key: str = KEY, time: str = TIME) -> DataFrame:
     """Fill NULLs of ``columns`` per customer; whatever stays missing becomes 0.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from meterlens.session import settle
 
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 200_000
 BINS = 4096
 
 

@@ -53,19 +53,18 @@ def component_model(windows: DataFrame, rank: int) -> DataFrame:
     without any gets no row.
     """
     train = windows.where(F.col(WINDOW_SPLIT) == "train")
-    counts = {r[0]: r[1] for r in train.groupBy(CLUSTER).count().collect()}
-    means = {r[CLUSTER]: r["media"] for r in mean_model(windows).collect()}
+    vector = array_to_vector(F.col(WINDOW))
+    means = train.groupBy(CLUSTER).agg(
+        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(vector)).alias("media"))
     rows = []
-    for cluster in sorted(counts):
-        size = len(means[cluster])
-        k = min(rank, size) if counts[cluster] > 1 else 0
+    for cluster, count, mean in sorted(means.collect()):
+        k = min(rank, len(mean)) if count > 1 else 0
         components: list[list[float]] = []
         if k > 0:
-            own = train.where(F.col(CLUSTER) == cluster).select(
-                array_to_vector(F.col(WINDOW)).alias("_v"))
+            own = train.where(F.col(CLUSTER) == cluster).select(vector.alias("_v"))
             fitted = PCA(k=k, inputCol="_v", outputCol="_p").fit(own)
             components = fitted.pc.toArray().T.tolist()
-        rows.append((int(cluster), len(components), list(means[cluster]), components))
+        rows.append((int(cluster), len(components), list(mean), components))
     return windows.sparkSession.createDataFrame(rows, MODEL_SCHEMA)
 
 

@@ -63,7 +63,8 @@ def usable_candidates(candidates: Sequence[int], method: str, customers: int) ->
 
 
 def resolve_k(scaled: DataFrame, columns: Sequence[str], candidates: Sequence[int], method: str,
-              fixed_k: int | None = None, seed: int = 42, knee: str = "middle") -> int:
+              fixed_k: int | None = None, seed: int = 42, knee: str = "middle",
+              metric: str = "euclidean") -> int:
     """A fixed k wins; else the best candidate; without one, two clusters or fewer."""
     customers = scaled.count()
     if fixed_k is not None:
@@ -71,12 +72,12 @@ def resolve_k(scaled: DataFrame, columns: Sequence[str], candidates: Sequence[in
     usable = usable_candidates(candidates, method, customers)
     if not usable:
         return clamp_k(min(2, customers) or 1, customers)
-    scores = score_candidates(scaled, columns, usable, method, seed)
+    scores = score_candidates(scaled, columns, usable, method, seed, metric)
     return clamp_k(choose_k(scores, method, knee), customers)
 
 
 def score_candidates(scaled: DataFrame, columns: Sequence[str], candidates: Sequence[int],
-                     method: str, seed: int = 42) -> list[tuple[int, float]]:
+                     method: str, seed: int = 42, metric: str = "euclidean") -> list[tuple[int, float]]:
     """(k, score): mean silhouette (-1 when only one label came out) or sum of squares."""
     scores = []
     vectors = scaled.select(KEY, F.array(*[F.col(c) for c in columns]).alias("_v"))
@@ -85,7 +86,8 @@ def score_candidates(scaled: DataFrame, columns: Sequence[str], candidates: Sequ
         if method != "silhouette":
             score = within_squares(labelled, "_v", CLUSTER).first()[0]
         elif labelled.select(CLUSTER).distinct().count() > 1:
-            score = silhouette(labelled, "_v", CLUSTER).first()[0]
+            score = (squared_silhouette(labelled, "_v", CLUSTER) if metric == "squared"
+                     else silhouette(labelled, "_v", CLUSTER).first()[0])
         else:
             score = -1.0
         scores.append((k, score))

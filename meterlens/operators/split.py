@@ -32,7 +32,7 @@ def split_label(position: Column, total: Column, test_size: float, val_size: flo
 
 
 def split_chronologically(df: DataFrame, test_size: float = 0.2, val_size: float = 0.15,
-                          unit: str = "month", key: str = KEY, time: str = TIME) -> DataFrame:
+                          unit: str = "auto", key: str = KEY, time: str = TIME) -> DataFrame:
     """Add the split label, the position and the number of rows of the customer."""
     placed = with_positions(df, unit, key, time)
     return placed.withColumn(

@@ -69,7 +69,7 @@ def score_windows(df: DataFrame, features: Sequence[str], seq_len: int, boundary
     if boundary == "cluster":
         placed = cluster_positions(df, by_split=False)
         return add_windows(placed, features, seq_len, [CLUSTER], "_cluster_pos", block).drop("_cluster_pos")
-    return add_windows(df, features, seq_len, [KEY], POSITION, block)
+    return add_windows(df, features, seq_len, [CLUSTER, KEY], POSITION, block)
 
 
 def training_windows(df: DataFrame, features: Sequence[str], seq_len: int, boundary: str = "entity",
@@ -80,6 +80,7 @@ def training_windows(df: DataFrame, features: Sequence[str], seq_len: int, bound
         placed = cluster_positions(rows, by_split=True)
         made = add_windows(placed, features, seq_len, [CLUSTER, SPLIT], "_cluster_pos", block)
     else:
-        made = add_windows(rows, features, seq_len, [KEY], POSITION, block)
+        # The cluster is among the keys so that a filter on it passes below the window.
+        made = add_windows(rows, features, seq_len, [CLUSTER, KEY], POSITION, block)
     return (made.where(F.col(WINDOW).isNotNull() & F.col(WINDOW_SPLIT).isNotNull())
             .select(CLUSTER, WINDOW_SPLIT, WINDOW))

@@ -62,9 +62,9 @@ class EtlParams:
     daily_cycle: bool = True
     weekly_cycle: bool = True
     monthly_cycle: bool = True
-    # Unit of date_trunc that splits one customer's series into the pieces a task sorts.
-    # A month holds 720 hourly rows; pick a shorter unit for denser meters.
-    chunk: str = "month"
+    # Unit of date_trunc that splits one customer's series into the pieces a task sorts;
+    # auto picks the longest one that keeps every piece small.
+    chunk: str = "auto"
 
     def numeric_columns(self, present: list[str]) -> list[str]:
         """C0: base columns plus the gas quantity when it is active, those present only."""
@@ -84,6 +84,9 @@ class SegmentParams:
     fixed_k: int | None = None
     seed: int = 42
     knee: str = "middle"
+    # "squared" trades the exact Euclidean silhouette, quadratic in customers, for the
+    # squared-distance one, which is linear.
+    silhouette: str = "euclidean"
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ from meterlens.sources.sinks import FittedModel
 INTERNAL = ("_pos", "_total", "_chunk", SPLIT)
 
 
-def place(readings: DataFrame, params: ModelParams, unit: str = "month") -> DataFrame:
+def place(readings: DataFrame, params: ModelParams, unit: str = "auto") -> DataFrame:
     """Rows that have a cluster, with position and split label of their customer's series."""
     kept = readings.where(F.col(CLUSTER) != -1)
     return split_chronologically(kept, params.test_size, params.validation_size, unit)

@@ -7,14 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 
 from meterlens.operators.calendar import with_calendar
-from meterlens.operators.chunks import CHUNK, count_spans, split_into_chunks
+from meterlens.operators.chunks import CHUNK, measured_spans, split_into_chunks
 from meterlens.operators.clean import infinities_to_null, keep_first, parse_dates, with_gas_quantity
 from meterlens.operators.impute import fill_gaps
 from meterlens.operators.outliers import cap_outliers
 from meterlens.operators.quality import completeness, describe, missing_by_column
 from meterlens.operators.quantiles import DIRECT_ROWS
 from meterlens.params import KEY, TIME, EtlParams
-from meterlens.session import settle
 
 Observer = Callable[[str, DataFrame], None]
 
@@ -34,7 +33,7 @@ def clean_readings(raw: DataFrame, params: EtlParams, order: str | Sequence[str]
     tell("carga", raw)
     dated = infinities_to_null(parse_dates(raw, date, TIME), params.base_columns)
     # Which chunks each customer has and an upper bound of their rows (duplicates included).
-    spans = settle(count_spans(split_into_chunks(dated.select(KEY, TIME), params.chunk)))
+    unit, spans = measured_spans(dated.select(KEY, TIME), params.chunk)
     needed = [KEY, TIME, *[c for c in params.base_columns if c in dated.columns]]
     order_columns = [order] if isinstance(order, str) else list(order)
     unique = keep_first(dated.select(*needed, *order_columns), order).select(*needed)
@@ -44,8 +43,8 @@ def clean_readings(raw: DataFrame, params: EtlParams, order: str | Sequence[str]
     tell("cantidad_gas", with_gas)
 
     columns = params.numeric_columns(with_gas.columns)
-    chunked = split_into_chunks(with_gas, params.chunk)
-    filled = fill_gaps(chunked, columns, params.fill_method, params.chunk)
+    chunked = split_into_chunks(with_gas, unit)
+    filled = fill_gaps(chunked, columns, params.fill_method, unit)
     tell("faltantes", filled.drop(CHUNK))
 
     limited = cap_outliers(filled, columns, params, direct_rows=direct_rows, spans=spans)

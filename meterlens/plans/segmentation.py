@@ -40,5 +40,5 @@ def segment_customers(readings: DataFrame, params: SegmentParams) -> Segments:
     profile = settle(fill_profile(profile, columns))
     scaled = settle(standardise_profile(profile, columns))
     k = resolve_k(scaled, columns, params.k_candidates, params.method, params.fixed_k,
-                  params.seed, params.knee)
+                  params.seed, params.knee, params.silhouette)
     return Segments(settle(fit_clusters(scaled, columns, k, params.seed)), k, profile, scaled)

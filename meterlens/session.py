@@ -19,6 +19,8 @@ def build_session(app: str = "meterlens", master: str | None = None, **conf) ->
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # An exact quantile holds a group's values: let a task keep few groups at a time.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "16")
     )
     if master:
         builder = builder.master(master)

@@ -306,3 +306,27 @@ def test_no_true_positive_and_no_rows(spark):
     assert row["precision_clasificacion_criticidad"] is None and row["recall_anomalia_sensibilidad"] == 0.0
     row = evaluate.evaluate(scored.limit(0), labels).first()
     assert row["total_muestras"] == 0 and row["recall_anomalia_sensibilidad"] is None
+
+
+def test_a_filter_on_the_cluster_reaches_the_scan(spark, tmp_path):
+    """Each covariance job reads the rows of one cluster only."""
+    from meterlens.operators.split import split_chronologically
+    from meterlens.operators.windows import training_windows
+    data = spark.range(200).select(
+        (F.col("id") % 2).cast("int").alias("cluster_id"), (F.col("id") % 4).cast("string").alias("cliente_id"),
+        (F.lit(START) + F.make_dt_interval(hours=F.col("id"))).alias("Fecha"), F.rand(1).alias("x"))
+    split_chronologically(data, unit="day").write.partitionBy("cluster_id").parquet(str(tmp_path / "t"))
+    windows = training_windows(spark.read.parquet(str(tmp_path / "t")), ["x"], 24)
+    text = windows.where("cluster_id = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cluster_id" in text
+
+
+def test_counted_labels_give_the_totals_of_the_plain_join(spark):
+    scored = spark.createDataFrame(
+        hours(*[("a", h, h % 3 == 0, "Alta" if h % 2 else "Media") for h in range(30)]),
+        "cliente_id string, Fecha timestamp, anomalia_predicha boolean, criticidad_predicha string")
+    labels = spark.createDataFrame(
+        hours(*[("a", h % 13, h % 2 == 0, "Alta" if h % 5 else "Media") for h in range(200)]),
+        "cliente_id string, Fecha timestamp, anomalia_real boolean, criticidad_real string")
+    plain = evaluate.derived_metrics(evaluate.confusion(evaluate.join_labels(scored, labels)))
+    assert rows(evaluate.evaluate(scored, labels)) == rows(plain)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meterlens.operators.chunks import running_total, with_positions
+from meterlens.operators.chunks import measured_spans, running_total, split_into_chunks, with_positions
 from meterlens.operators.clean import infinities_to_null, keep_first, parse_dates, with_gas_quantity
 from meterlens.operators.impute import fill_gaps
 from meterlens.operators.outliers import cap_outliers, count_outliers
@@ -71,6 +71,20 @@ def test_positions_run_through_chunks(spark):
     assert found == sorted([("A", i + 1, 23) for i in range(23)] + [("B", 1, 2), ("B", 2, 2)], key=repr)
 
 
+def test_a_dense_meter_gets_shorter_chunks(spark):
+    sparse = series(spark, [1.0] * 40, "A", 12)
+    dense = spark.range(600).select(
+        F.lit("B").alias("cliente_id"), (F.lit(START) + F.make_dt_interval(mins=F.col("id"))).alias("Fecha"),
+        F.lit(1.0).alias("Volumen"))
+    both = sparse.unionByName(dense)
+    assert measured_spans(sparse, "auto")[0] == "year"
+    unit, spans = measured_spans(both, "auto", chunk_rows=100)
+    assert unit == "hour" and tuple(spans.agg(F.max("_rows"), F.sum("_rows")).first()) == (60, 640)
+    placed = with_positions(both, unit).where("cliente_id = 'B'").orderBy("Fecha")
+    assert [r["_pos"] for r in placed.collect()] == list(range(1, 601))
+    assert split_into_chunks(both, "auto").count() == 640
+
+
 def test_running_total_over_many_partitions(spark):
     data = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("n"))
     got = running_total(data, ["g"], ["o"], F.col("n"), "before").toPandas().sort_values(["g", "o"])
