@@ -18,6 +18,7 @@ from meterlens.session import settle
 
 DIRECT_ROWS = 200_000
 BINS = 4096
+WHOLE_TABLE = 10
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]],
@@ -32,7 +33,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     largest = sizes.agg(F.max("_rows")).first()[0] or 0
-    if largest <= direct_rows:
+    # Without keys there is a single buffer per column, which may be larger.
+    if largest <= (direct_rows if keys else WHOLE_TABLE * direct_rows):
         return _direct(df, keys, wanted)
     if not keys:
         return _narrowed(df, keys, wanted, direct_rows, bins)
@@ -73,35 +75,31 @@ def _narrowed(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
     probabilities = F.coalesce(*[
         F.when(F.col("_column") == c, F.array(*[F.lit(float(p)) for p in ps]))
         for c, ps in columns.items()])
-    bounds = settle(
-        long.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
-        .withColumn("_p", F.explode(probabilities))
-        .select(*request, "_n", "_lo", "_hi", F.col("_n").alias("_inside")))
+    span = settle(long.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi"),
+    ).withColumn("_below", F.lit(0).cast("long")))
+    # The first round bins every value once, whatever the number of probabilities.
+    bounds = settle(_tighten(_inside(long, span, group), group, request, probabilities, bins))
 
     def open_bounds() -> bool:
-        too_wide = (F.col("_inside") > direct_rows) & (F.col("_lo") < F.col("_hi"))
+        too_wide = (F.col("_held") > direct_rows) & (F.col("_lo") < F.col("_hi"))
         return not bounds.where(too_wide).isEmpty()
 
     while open_bounds():
-        bounds = settle(_narrow_once(long, bounds, group, request, bins))
+        bounds = settle(_tighten(_inside(long, bounds, group), request, request, None, bins))
 
-    # Values below the bounds collapse into one counted row (NULL), values above are not needed.
-    counted = (
-        long.join(bounds, group).where(F.col("_value") <= F.col("_hi"))
-        .withColumn("_value", F.when(F.col("_value") >= F.col("_lo"), F.col("_value")))
-        .groupBy(*request, "_n", "_value").agg(F.count(F.lit(1)).alias("_count"))
-    )
-    upto = (Window.partitionBy(*request).orderBy(F.asc_nulls_first("_value"))
+    counted = (_inside(long, bounds, group).groupBy(*request, "_n", "_below", "_value")
+               .agg(F.count(F.lit(1)).alias("_count")))
+    upto = (Window.partitionBy(*request).orderBy("_value")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("_upto", F.sum("_count").over(upto))
+    ranked = counted.withColumn("_upto", F.col("_below") + F.sum("_count").over(upto))
     rank = F.col("_p") * (F.col("_n") - 1)
     placed = (
         ranked.groupBy(*request, "_n")
-        .agg(F.min(F.when(F.col("_upto") > F.floor(rank), F.col("_value"))).alias("_below"),
-             F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("_value"))).alias("_above"))
-        .withColumn("_result", F.col("_below")
-                    + (F.col("_above") - F.col("_below")) * (rank - F.floor(rank)))
+        .agg(F.min(F.when(F.col("_upto") > F.floor(rank), F.col("_value"))).alias("_left"),
+             F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("_value"))).alias("_right"))
+        .withColumn("_result", F.col("_left")
+                    + (F.col("_right") - F.col("_left")) * (rank - F.floor(rank)))
     )
     results = [
         F.max(F.when((F.col("_column") == c) & (F.col("_p") == float(p)), F.col("_result"))).alias(a)
@@ -116,24 +114,27 @@ def _bin(bins: int) -> Column:
     return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1).cast("long"))
 
 
-def _narrow_once(long: DataFrame, bounds: DataFrame, group: list[str], request: list[str],
-                 bins: int) -> DataFrame:
-    """Tighten every bound to the bins that hold its two ranks."""
+def _inside(long: DataFrame, bounds: DataFrame, group: list[str]) -> DataFrame:
+    """Values within their bounds; the bounds are few and Catalyst knows their size."""
+    return long.join(bounds, group).where(F.col("_value").between(F.col("_lo"), F.col("_hi")))
+
+
+def _tighten(values: DataFrame, by: list[str], request: list[str], probabilities: Column | None,
+             bins: int) -> DataFrame:
+    """Bounds of the bins that hold the two ranks of every request, and the count below them."""
     binned = (
-        long.join(bounds, group).where(F.col("_value") <= F.col("_hi"))
-        .withColumn("_bin", F.when(F.col("_value") < F.col("_lo"), F.lit(-1).cast("long"))
-                    .otherwise(_bin(bins)))
-        .groupBy(*request, "_n", "_bin")
+        values.groupBy(*by, "_n", "_below", _bin(bins).alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_count"), F.min("_value").alias("_min"),
              F.max("_value").alias("_max"))
     )
+    if probabilities is not None:
+        binned = binned.withColumn("_p", F.explode(probabilities))
     upto = (Window.partitionBy(*request).orderBy("_bin")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = binned.withColumn("_upto", F.sum("_count").over(upto))
+    ranked = binned.withColumn("_upto", F.col("_below") + F.sum("_count").over(upto))
+    before = F.col("_upto") - F.col("_count")
     rank = F.col("_p") * (F.col("_n") - 1)
-    holds = ((F.col("_bin") >= 0) & (F.col("_upto") > F.floor(rank))
-             & (F.col("_upto") - F.col("_count") <= F.ceil(rank)))
+    holds = (F.col("_upto") > F.floor(rank)) & (before <= F.ceil(rank))
     return (ranked.where(holds).groupBy(*request, "_n")
-            .agg(F.min("_min").alias("_lo"), F.max("_max").alias("_hi"),
-                 F.sum("_count").alias("_inside"))
-            .select(*request, "_n", "_lo", "_hi", "_inside"))
+            .agg(F.min(before).alias("_below"), F.min("_min").alias("_lo"),
+                 F.max("_max").alias("_hi"), F.sum("_count").alias("_held")))
