@@ -81,12 +81,12 @@ def stages(spark, folder: str) -> tuple[dict[str, float], int]:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    # At this size a partition is far below AQE's minimum, and merging partitions would only
-    # take cores away; the data-size defaults stay in force everywhere else.
+    # At this size every partition is below AQE's usual minimum and would be merged into one
+    # task; a smaller minimum keeps the cores busy and still merges the tiny tables.
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__driver__memory="12g", spark__ui__showConsoleProgress="false",
-        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="128k",
         spark__sql__codegen__cache__maxEntries="2000")
     spark.sparkContext.setLogLevel("ERROR")
     small = Path(folder).parent / "sf0.001"

@@ -64,25 +64,31 @@ def usable_candidates(candidates: Sequence[int], method: str, customers: int) ->
 
 def resolve_k(scaled: DataFrame, columns: Sequence[str], candidates: Sequence[int], method: str,
               fixed_k: int | None = None, seed: int = 42, knee: str = "middle",
-              metric: str = "euclidean") -> int:
-    """A fixed k wins; else the best candidate; without one, two clusters or fewer."""
+              metric: str = "euclidean", fits: dict[int, DataFrame] | None = None) -> int:
+    """A fixed k wins; else the best candidate; without one, two clusters or fewer.
+
+    ``fits`` collects the assignments of the candidates that were tried, for reuse.
+    """
     customers = scaled.count()
     if fixed_k is not None:
         return clamp_k(int(fixed_k), customers)
     usable = usable_candidates(candidates, method, customers)
     if not usable:
         return clamp_k(min(2, customers) or 1, customers)
-    scores = score_candidates(scaled, columns, usable, method, seed, metric)
+    scores = score_candidates(scaled, columns, usable, method, seed, metric, fits)
     return clamp_k(choose_k(scores, method, knee), customers)
 
 
 def score_candidates(scaled: DataFrame, columns: Sequence[str], candidates: Sequence[int],
-                     method: str, seed: int = 42, metric: str = "euclidean") -> list[tuple[int, float]]:
+                     method: str, seed: int = 42, metric: str = "euclidean",
+                     fits: dict[int, DataFrame] | None = None) -> list[tuple[int, float]]:
     """(k, score): mean silhouette (-1 when only one label came out) or sum of squares."""
     scores = []
     vectors = scaled.select(KEY, F.array(*[F.col(c) for c in columns]).alias("_v"))
     for k in candidates:
         labelled = settle(vectors.join(fit_clusters(scaled, columns, k, seed), KEY))
+        if fits is not None:
+            fits[k] = labelled.select(KEY, CLUSTER)
         if method != "silhouette":
             score = within_squares(labelled, "_v", CLUSTER).first()[0]
         elif labelled.select(CLUSTER).distinct().count() > 1:

@@ -39,6 +39,10 @@ def segment_customers(readings: DataFrame, params: SegmentParams) -> Segments:
     profile = settle(build_profile(readings, columns))
     profile = settle(fill_profile(profile, columns))
     scaled = settle(standardise_profile(profile, columns))
+    fits: dict[int, DataFrame] = {}
     k = resolve_k(scaled, columns, params.k_candidates, params.method, params.fixed_k,
-                  params.seed, params.knee, params.silhouette)
-    return Segments(settle(fit_clusters(scaled, columns, k, params.seed)), k, profile, scaled)
+                  params.seed, params.knee, params.silhouette, fits)
+    assigned = fits.get(k)
+    if assigned is None:
+        assigned = settle(fit_clusters(scaled, columns, k, params.seed))
+    return Segments(assigned, k, profile, scaled)
