@@ -32,7 +32,7 @@ def outlier_limits(df: DataFrame, columns: Sequence[str], params: EtlParams, key
         for c in columns:
             wanted[f"_q1_{c}"] = (c, 0.25)
             wanted[f"_q3_{c}"] = (c, 0.75)
-        found = exact_quantiles(df, [key], wanted, direct_rows, sizes=_sizes(spans, key))
+        found = exact_quantiles(df, [key], wanted, direct_rows, sizes=_sizes(spans, key), derived=True)
         limits = []
         for c in columns:
             q1, q3 = F.col(f"_q1_{c}"), F.col(f"_q3_{c}")
@@ -43,12 +43,12 @@ def outlier_limits(df: DataFrame, columns: Sequence[str], params: EtlParams, key
     if params.outlier_method == ROBUST:
         chunked = split_into_chunks(df, params.chunk, key, time)
         medians = exact_quantiles(df, [key], {f"_med_{c}": (c, 0.5) for c in columns}, direct_rows,
-                                  sizes=_sizes(spans, key))
+                                  sizes=_sizes(spans, key), derived=True)
         apart = attach_to_chunks(chunked, medians, key, spans).select(
             key, *[F.abs(F.col(c) - F.col(f"_med_{c}")).alias(f"_dev_{c}") for c in columns])
         spreads = exact_quantiles(
             apart, [key], {f"_mad_{c}": (f"_dev_{c}", 0.5) for c in columns}, direct_rows,
-                                  sizes=_sizes(spans, key))
+                                  sizes=_sizes(spans, key), derived=True)
         limits = []
         for c in columns:
             middle = F.col(f"_med_{c}")

@@ -23,11 +23,12 @@ WHOLE_TABLE = 10
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]],
                     direct_rows: int = DIRECT_ROWS, bins: int = BINS,
-                    sizes: DataFrame | None = None) -> DataFrame:
+                    sizes: DataFrame | None = None, derived: bool = False) -> DataFrame:
     """One row per key with a column per entry ``alias -> (column, probability)``.
 
     Runs one small job to find the largest group. ``sizes`` may give (keys, ``_rows``) from a
-    cheaper source; upper bounds do.
+    cheaper source; upper bounds do. With ``derived`` the values of large groups are written
+    once before they are narrowed, as every round would repeat the work that made them.
     """
     keys = list(keys)
     if sizes is None:
@@ -40,7 +41,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
         return _narrowed(df, keys, wanted, direct_rows, bins)
     hot = settle(sizes.where(F.col("_rows") > direct_rows).select(*keys))
     cold = _direct(df.join(hot, keys, "left_anti"), keys, wanted)
-    found = _narrowed(df.join(hot, keys, "left_semi"), keys, wanted, direct_rows, bins)
+    values = df.select(*keys, *_by_column(wanted)).join(hot, keys, "left_semi")
+    found = _narrowed(settle(values) if derived else values, keys, wanted, direct_rows, bins)
     return cold.unionByName(hot.join(found, keys, "left"))
 
 
