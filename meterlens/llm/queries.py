@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterlens.llm.common import table
 from meterlens.llm.language import language_id
+from meterlens.llm.pieces import encode_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, restored of every whole text."""
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_merge_dropout": op1_merge_dropout,
     "op2_language_id": op2_language_id,
 }
 
