@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meterlens.llm.common import table
 from meterlens.llm.language import language_id
 from meterlens.llm.pieces import encode_texts
+from meterlens.llm.templates import find_leaks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +23,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document and benchmark item that it holds."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_merge_dropout": op1_merge_dropout,
     "op2_language_id": op2_language_id,
+    "op10_template_leaks": op10_template_leaks,
 }
 
 
