@@ -212,7 +212,7 @@ def label_texts(net: ByteNetwork, data: np.ndarray, starts: np.ndarray, window:
 
 def identify(docs: DataFrame, net: ByteNetwork | None, params: LanguageParams) -> DataFrame:
     """Label every whole text. The network is a few tens of KB, whatever the corpus."""
-    rows = docs.select("doc_id", "text", (crc_remainder("doc_id", params.fold) == 0).alias("held_out"),
+    rows = docs.select(F.col("doc_id").cast("long"), "text", (crc_remainder("doc_id", params.fold) == 0).alias("held_out"),
                        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:

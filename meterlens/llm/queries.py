@@ -10,6 +10,7 @@ from meterlens.llm.common import table
 from meterlens.llm.language import language_id
 from meterlens.llm.pieces import encode_texts
 from meterlens.llm.templates import find_leaks
+from meterlens.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document and benchmark item that it holds."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -31,6 +36,7 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_merge_dropout": op1_merge_dropout,
     "op2_language_id": op2_language_id,
+    "op8_toxicity": op8_toxicity,
     "op10_template_leaks": op10_template_leaks,
 }
 
