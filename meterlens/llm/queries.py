@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meterlens.llm.common import table
 from meterlens.llm.language import language_id
 from meterlens.llm.pieces import encode_texts
+from meterlens.llm.quality import quality
 from meterlens.llm.templates import find_leaks
 from meterlens.llm.toxicity import toxicity
 
@@ -28,6 +29,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document and benchmark item that it holds."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -37,6 +42,7 @@ QUERIES: dict[str, Query] = {
     "op1_merge_dropout": op1_merge_dropout,
     "op2_language_id": op2_language_id,
     "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_template_leaks": op10_template_leaks,
 }
 
