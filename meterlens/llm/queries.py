@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterlens.llm.common import table
 from meterlens.llm.language import language_id
+from meterlens.llm import licenses
 from meterlens.llm.pieces import encode_texts
 from meterlens.llm.quality import quality
 from meterlens.llm.templates import find_leaks
@@ -25,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +46,7 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_merge_dropout": op1_merge_dropout,
     "op2_language_id": op2_language_id,
+    "op6_license_scan": op6_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_template_leaks": op10_template_leaks,
@@ -48,4 +54,6 @@ QUERIES: dict[str, Query] = {
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op6_license_scan": licenses.oracle(),
+    }
