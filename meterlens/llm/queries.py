@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterlens.llm.common import table
 from meterlens.llm.language import language_id
-from meterlens.llm import licenses
+from meterlens.llm import chat, licenses
 from meterlens.llm.pieces import encode_texts
 from meterlens.llm.quality import quality
 from meterlens.llm.templates import find_leaks
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_merge_dropout": op1_merge_dropout,
     "op2_language_id": op2_language_id,
+    "op3_chat_snapshots": op3_chat_snapshots,
     "op6_license_scan": op6_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
@@ -55,5 +60,6 @@ QUERIES: dict[str, Query] = {
 
 def oracles() -> dict[str, str]:
     return {
+        "op3_chat_snapshots": chat.ORACLE,
         "op6_license_scan": licenses.oracle(),
     }
