@@ -11,6 +11,7 @@ from meterlens.llm.language import language_id
 from meterlens.llm import chat, licenses
 from meterlens.llm.pieces import encode_texts
 from meterlens.llm.quality import quality
+from meterlens.llm.simhash import near_duplicates
 from meterlens.llm.templates import find_leaks
 from meterlens.llm.toxicity import toxicity
 
@@ -30,6 +31,10 @@ def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op1_merge_dropout": op1_merge_dropout,
     "op2_language_id": op2_language_id,
     "op3_chat_snapshots": op3_chat_snapshots,
+    "op4_simhash": op4_simhash,
     "op6_license_scan": op6_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
