@@ -12,6 +12,7 @@ from meterlens.llm import chat, licenses
 from meterlens.llm.pieces import encode_texts
 from meterlens.llm.quality import quality
 from meterlens.llm.simhash import near_duplicates
+from meterlens.llm.suffixes import cut_repeats, digest
 from meterlens.llm.templates import find_leaks
 from meterlens.llm.toxicity import toxicity
 
@@ -35,6 +36,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_chat_snapshots": op3_chat_snapshots,
     "op4_simhash": op4_simhash,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_license_scan": op6_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
