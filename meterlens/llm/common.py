@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlens.session import settle
+
 ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 4 << 20
 
 
@@ -59,3 +61,20 @@ def map_batches(df: DataFrame, function, schema: str | T.StructType) -> DataFram
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents without those of ``ids`` (doc_id; null is an id). The list is broadcast only if Spark measures it as small."""
+    ids = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def one_row_an_id(docs: DataFrame) -> DataFrame:
+    """Of rows that share an id the one whose text has the least hash; where ids are unique nothing moves."""
+    repeated = settle(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_many")))
+    if repeated.isEmpty():
+        return docs
+    marked = docs.join(repeated, docs["doc_id"].eqNullSafe(F.col("_gone")), "left")
+    first = marked.where("_many").groupBy("doc_id").agg(
+        F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("row"))
+    return marked.where("_many IS NULL").select(*docs.columns).unionByName(first.select("row.*"))

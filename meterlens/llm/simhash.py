@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import map_batches, small_batches
+from meterlens.llm.common import drop_ids, map_batches, one_row_an_id, small_batches
 from meterlens.llm.graph import components
 from meterlens.session import settle
 
@@ -178,3 +178,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     return prints.join(settle(labelled), "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+    """The documents, all columns, of which each group keeps that of the smallest id (one row of it)."""
+    found = near_duplicates(docs, words, distance)
+    return one_row_an_id(drop_ids(docs, settle(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlens.llm.common import small_batches, text_buffers
+from meterlens.llm.common import map_batches, small_batches, text_buffers
 from meterlens.session import settle
 
 GRAM, CROWD, SLICE, SORTED_BYTES, LONGEST_RUN = 20, 20_000, 1 << 18, 1 << 20, 4096
@@ -406,3 +406,22 @@ def digest(cut: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of documents that were cut."""
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def with_cut_texts(docs: DataFrame, size: int = 100) -> DataFrame:
+    """The documents, all columns, with what is left as ``text`` and its length as ``n_chars`` where there is one.
+
+    A character that lost some of its bytes goes as a whole. A null text stays null.
+    """
+    schema = docs.schema
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [None if t is None else k.decode("utf-8", "ignore")
+                 for t, k in zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema.fields], names=schema.names)
+
+    out = map_batches(cut_repeats(docs, size), run, schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+    return out

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import small_batches
+from meterlens.llm.common import drop_ids, small_batches
 from meterlens.session import settle
 
 TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?]")
@@ -174,3 +174,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: TemplateParams = T
     ).where(F.col("n_tokens") >= F.least(F.lit(params.tokens), F.col("item_tokens"))).select(
         "doc_id", "item_id", "n_tokens", F.col("item_tokens").cast("long").alias("item_tokens"), "verbatim_tokens",
         (F.col("n_tokens") / F.col("item_tokens")).alias("share"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
+    """The documents, all columns, that hold no item of the benchmark."""
+    return drop_ids(docs, settle(find_leaks(docs, benchmark, params).select("doc_id").distinct()))

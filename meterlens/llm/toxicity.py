@@ -281,3 +281,18 @@ def score_texts(docs: DataFrame, model: ToxicityModel | None, params: ToxicityPa
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     return score_texts(docs, fit(docs, labels, params), params)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """The documents, all columns, that are not predicted toxic; texts are judged where they lie."""
+    model = fit(docs, labels, params)
+    if model is None:
+        return docs
+    shared, kept = docs.sparkSession.sparkContext.broadcast(model), {}
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = kept.setdefault(0, Vocabulary(shared.value.terms))
+        return batch.filter(pa.array([shared.value.score(words.counts(t))[0] < params.threshold
+                                      for t in batch.column("text").to_pylist()]))
+
+    return map_batches(docs, judge, docs.schema)
