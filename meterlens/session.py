@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_folders: dict[str, str] = {}
 
 
@@ -59,5 +60,12 @@ def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    # What the write shuffled is of no use once the table stands, so its files need not wait for
+    # the driver's garbage collection.
+    before = spark.conf.get(CLEANUP_KEY, "false")
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
