@@ -78,3 +78,40 @@ def one_row_an_id(docs: DataFrame) -> DataFrame:
     first = marked.where("_many").groupBy("doc_id").agg(
         F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("row"))
     return marked.where("_many IS NULL").select(*docs.columns).unionByName(first.select("row.*"))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of sorted rows cut so that no group is torn, each with the places where groups start (and the end).
+
+    At most one group waits for its end; groups have to be bounded by the caller.
+    """
+    waiting: list[pa.RecordBatch] = []
+
+    def borders(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = np.asarray(batch.column(k))
+            new[1:] |= column[1:] != column[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = borders(batch)
+        if waiting:
+            last = waiting[-1]
+            goes_on = all(last.column(k)[last.num_rows - 1].as_py() == batch.column(k)[0].as_py() for k in keys)
+            if goes_on and len(starts) == 1:
+                waiting.append(batch)
+                continue
+            if goes_on:
+                waiting.append(batch.slice(0, starts[1]))
+                batch, starts = batch.slice(starts[1]), starts[1:] - starts[1]
+            yield pa.concat_batches(waiting), np.array([0, sum(b.num_rows for b in waiting)])
+            waiting = []
+        if len(starts) > 1:
+            yield batch.slice(0, starts[-1]), starts
+        waiting = [batch.slice(starts[-1])]
+    if waiting:
+        yield pa.concat_batches(waiting), np.array([0, sum(b.num_rows for b in waiting)])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meterlens.llm.common import table
 from meterlens.llm.language import language_id
 from meterlens.llm import chat, licenses
+from meterlens.llm.neighbours import nearest
 from meterlens.llm.pieces import encode_texts
 from meterlens.llm.quality import quality
 from meterlens.llm.simhash import near_duplicates
@@ -44,6 +45,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_license_scan": op6_license_scan,
+    "op7_nn_descent": op7_nn_descent,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_template_leaks": op10_template_leaks,
