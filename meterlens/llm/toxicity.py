@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, from a block-max inverted index.
 
-Features are words and word beginnings. Those whose presence goes with the label (by the
-log-likelihood ratio over a bounded sample of labelled documents) make up the vocabulary; inverse
-document frequencies come from all documents. The examples' vectors lie in an inverted index cut
+Features are words and word beginnings. Those that are several times as frequent in toxic
+examples (``lift``) and go with the label (by the log-likelihood ratio over a bounded sample of
+labelled documents) make up the vocabulary; inverse document frequencies come from all documents. The examples' vectors lie in an inverted index cut
 in blocks of examples; each block knows the largest weight of every term, so that a block whose
 bound is below the worst neighbour so far is passed over. The neighbours found are the exact ones.
 Votes weigh by similarity; a logistic curve, fitted on examples that are judged without
@@ -39,6 +39,8 @@ class ToxicityParams:
     terms: int = 600
     support: int = 6
     least_ratio: float = 12.0
+    #: Times as frequent among toxic examples as among clean ones, at least.
+    lift: float = 5.0
     neighbours: int = 15
     block: int = 64
     doubt: float = 0.25
@@ -206,7 +208,7 @@ def choose_terms(rows: DataFrame, params: ToxicityParams) -> list[str]:
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
     ratio = 2 * (part(a, n1 * rate) + part(b, n0 * rate) + part(n1 - a, n1 * (1 - rate)) + part(n0 - b, n0 * (1 - rate)))
-    chosen = counted.where((F.col("term") != "") & (a >= params.support) & (a / n1 > b / n0)).withColumn("ratio", ratio)
+    chosen = counted.where((F.col("term") != "") & (a >= params.support) & (a / n1 >= params.lift * b / n0)).withColumn("ratio", ratio)
     return [r["term"] for r in chosen.where(F.col("ratio") >= params.least_ratio)
             .orderBy(F.desc("ratio"), "term").limit(params.terms).collect()]
 
