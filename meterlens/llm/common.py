@@ -63,21 +63,31 @@ def map_batches(df: DataFrame, function, schema: str | T.StructType) -> DataFram
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents without those of ``ids`` (doc_id; null is an id). The list is broadcast only if Spark measures it as small."""
-    ids = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = free_name(docs, "_gone")
+    ids = ids.select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
 
 
 def one_row_an_id(docs: DataFrame) -> DataFrame:
     """Of rows that share an id the one whose text has the least hash; where ids are unique nothing moves."""
-    repeated = settle(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_many")))
+    same, many = free_name(docs, "_same"), free_name(docs, "_many")
+    repeated = settle(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > 1).withColumnRenamed("doc_id", same))
     if repeated.isEmpty():
         return docs
-    marked = docs.join(repeated, docs["doc_id"].eqNullSafe(F.col("_gone")), "left")
-    first = marked.where("_many").groupBy("doc_id").agg(
+    marked = docs.join(repeated, docs["doc_id"].eqNullSafe(F.col(same)), "left")
+    first = marked.where(F.col(many).isNotNull()).groupBy("doc_id").agg(
         F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("row"))
-    return marked.where("_many IS NULL").select(*docs.columns).unionByName(first.select("row.*"))
+    return marked.where(F.col(many).isNull()).select(*docs.columns).unionByName(first.select("row.*"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlens.llm.common import small_batches
+from meterlens.llm.common import free_name, small_batches
 
 BLANK = "▁"
 UNITS = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}")
@@ -283,7 +283,7 @@ def encode_texts(docs: DataFrame, params: PieceParams = PieceParams()) -> DataFr
     spark = docs.sparkSession
     # The file is the same size whatever the corpus.
     shared = spark.sparkContext.broadcast(Path(params.model).read_bytes())
-    others = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens", "restored")]
+    others, key = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens", "restored")], free_name(docs, "document")
     schema = T.StructType(others + [T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
                                     T.StructField("n_tokens", T.LongType()),
                                     T.StructField("restored", T.BooleanType())])
@@ -293,7 +293,7 @@ def encode_texts(docs: DataFrame, params: PieceParams = PieceParams()) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts, keys = batch.column("text").to_pylist(), batch.column("_document").to_pylist()
+            texts, keys = batch.column("text").to_pylist(), batch.column(key).to_pylist()
             ids = model.encode_many(texts, [k & MASK for k in keys])
             restored = [model.decode(found) == (text or "") for found, text in zip(ids, texts)]
             offsets = np.cumsum([0] + [len(x) for x in ids], dtype=np.int32)
@@ -305,7 +305,7 @@ def encode_texts(docs: DataFrame, params: PieceParams = PieceParams()) -> DataFr
                 names=schema.names)
 
     small_batches(spark)
-    return docs.select(*[f.name for f in others], F.xxhash64("doc_id").alias("_document")).mapInArrow(run, schema)
+    return docs.select(*[f.name for f in others], F.xxhash64("doc_id").alias(key)).mapInArrow(run, schema)
 
 
 def decode_ids(rows: DataFrame, params: PieceParams = PieceParams()) -> DataFrame:

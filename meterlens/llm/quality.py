@@ -245,7 +245,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, vectors, weights, params:
     found = sorted(map_batches(rows.select("doc_id", "quality", "text"), pool, "doc_id long, quality long, x array<double>").collect())
     y = np.array([r["quality"] for r in found], float)
     stands_for = np.array([max(1.0, counts[r["quality"]] / params.examples) for r in found])
-    return np.array([r["x"] for r in found]).reshape(len(found), -1), y, stands_for
+    return np.array([r["x"] for r in found]).reshape(len(found), 2 * params.size + 3), y, stands_for
 
 
 def quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:

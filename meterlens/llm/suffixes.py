@@ -317,6 +317,8 @@ def sort_suffixes(fetched: DataFrame, size: int) -> DataFrame:
         held, held_bytes, last = [], 0, None
         for batch in batches:
             for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", *PLACE, "n", "bytes"))):
+                if held and key == last and row[:3] == held[-1][:3]:
+                    continue  # the document's row came twice
                 if held_bytes >= SORTED_BYTES and key != last:
                     yield copies(held)
                     held, held_bytes = [], 0
@@ -331,13 +333,13 @@ def sort_suffixes(fetched: DataFrame, size: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """With ``document``, which sorts like the id, and ``variant``, which tells texts of one id apart."""
-    rows = docs.withColumn("document", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    repeated = settle(rows.groupBy("document").count().where("count > 1").select("document", F.lit(True).alias("_repeated")))
+    """(document, variant, text, row): a number that sorts like the id, one that tells texts of an id apart, and all columns."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("document"), "text", F.struct(*docs.columns).alias("row"))
+    repeated = settle(rows.groupBy("document").count().where("count > 1").select("document", F.lit(True).alias("repeated")))
     if repeated.isEmpty():
         return rows.withColumn("variant", F.lit(0).cast("long"))
     return rows.join(repeated, "document", "left").withColumn("variant", F.when(
-        F.col("_repeated"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0)).drop("_repeated")
+        F.col("repeated"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0)).drop("repeated")
 
 
 def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
@@ -364,42 +366,45 @@ def removed_spans(starts: pa.Array, n: pa.Array, size: int) -> list[tuple[int, i
     return [tuple(s) for s in spans]
 
 
-def cut_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
-    """All columns of the documents, and ``kept`` (bytes), ``n_bytes``, ``n_removed``, ``spans`` (from, to)."""
+def with_copies(docs: DataFrame, size: int) -> DataFrame:
+    """(row, copies): all columns of each document, and the runs of starts whose strings are copies."""
     if size <= GRAM or size > 4096:
         raise ValueError(f"size has to be over {GRAM} and at most 4096")
     rows = numbered(docs)
-    copies = settle(repeated_starts(rows, size)).groupBy("document", "variant").agg(F.collect_list(F.struct("start", "n")).alias("_copies"))
+    copies = settle(repeated_starts(rows, size)).groupBy("document", "variant").agg(F.collect_list(F.struct("start", "n")).alias("copies"))
+    return rows.drop("text").join(copies.hint("shuffle_hash"), ["document", "variant"], "left").select("row", "copies")
+
+
+def cut(text: str | None, copies: pa.Scalar, size: int) -> tuple[bytes, int, list[tuple[int, int]]]:
+    """What is left of a text, its length in bytes, and what was removed."""
+    data, spans = (text or "").encode(), []
+    if copies.is_valid:
+        spans = removed_spans(*copies.values.flatten(), size)
+    at, parts = 0, []
+    for a, b in spans:
+        parts.append(data[at:a])
+        at = b
+    return b"".join([*parts, data[at:]]), len(data), spans
+
+
+def cut_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
+    """All columns of the documents, and ``kept`` (bytes), ``n_bytes``, ``n_removed``, ``spans`` (from, to)."""
     others = [f for f in docs.schema.fields if f.name not in ("kept", "n_bytes", "n_removed", "spans")]
-    joined = rows.join(copies.hint("shuffle_hash"), ["document", "variant"], "left").select(*[f.name for f in others], "_copies")
     span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
     schema = T.StructType(others + [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
                                     T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span))])
 
-    def run(batches):
-        for batch in batches:
-            kept, sizes, gone, all_spans = [], [], [], []
-            for text, copies in zip(batch.column("text").to_pylist(), batch.column("_copies")):
-                data, spans = (text or "").encode(), []
-                if copies.is_valid:
-                    fields = copies.values.flatten()
-                    spans = removed_spans(*fields, size)
-                at, parts = 0, []
-                for a, b in spans:
-                    parts.append(data[at:a])
-                    at = b
-                kept.append(b"".join([*parts, data[at:]]))
-                sizes.append(len(data))
-                gone.append(sum(b - a for a, b in spans))
-                all_spans.append([{"from": a, "to": b} for a, b in spans])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in others]
-                + [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
-                   pa.array(all_spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))],
-                names=[*[f.name for f in others], "kept", "n_bytes", "n_removed", "spans"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row = batch.column("row")
+        found = [cut(t, c, size) for t, c in zip(row.field("text").to_pylist(), batch.column("copies"))]
+        return pa.RecordBatch.from_arrays(
+            [row.field(f.name) for f in others]
+            + [pa.array([k for k, _, _ in found], pa.binary()), pa.array([n for _, n, _ in found], pa.int64()),
+               pa.array([sum(b - a for a, b in s) for *_, s in found], pa.int64()),
+               pa.array([[{"from": a, "to": b} for a, b in s] for *_, s in found], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))],
+            names=schema.names)
 
-    small_batches(docs.sparkSession)
-    return joined.mapInArrow(run, schema)
+    return map_batches(with_copies(docs, size), run, schema)
 
 
 def digest(cut: DataFrame) -> DataFrame:
@@ -416,12 +421,13 @@ def with_cut_texts(docs: DataFrame, size: int = 100) -> DataFrame:
     schema = docs.schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if t is None else k.decode("utf-8", "ignore")
-                 for t, k in zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist())]
+        row = batch.column("row")
+        texts = [None if t is None else cut(t, c, size)[0].decode("utf-8", "ignore")
+                 for t, c in zip(row.field("text").to_pylist(), batch.column("copies"))]
         return pa.RecordBatch.from_arrays(
-            [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema.fields], names=schema.names)
+            [pa.array(texts, pa.string()) if f.name == "text" else row.field(f.name) for f in schema.fields], names=schema.names)
 
-    out = map_batches(cut_repeats(docs, size), run, schema)
+    out = map_batches(with_copies(docs, size), run, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return out
