@@ -3,17 +3,20 @@
 ``percentile`` keeps every distinct value of a group in one buffer. That is right for groups
 up to ``direct_rows``; larger groups (or a whole table) are narrowed instead: each round
 counts values per equal-width bin between the current bounds, which is a map-side aggregate
-of fixed size, and keeps only the bins that hold the wanted ranks. Once few enough values are
-left they are ranked exactly. No value is sampled or dropped, so both ways agree.
+of fixed size, and keeps only the bins that hold the wanted ranks. Each rank is narrowed on its
+own, and a bin never holds both ends of its bounds, so every round shrinks them until one value
+or few enough are left, which are ranked exactly. No value is sampled or dropped. NULL, NaN and
+infinite values are missing in both ways, which give the same numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from meterlens.functions.columns import finite
 from meterlens.session import settle
 
 DIRECT_ROWS = 200_000
@@ -31,6 +34,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     once before they are narrowed, as every round would repeat the work that made them.
     """
     keys = list(keys)
+    used = {column for column, _ in wanted.values()}
+    df = df.withColumns({c: finite(F.col(c).cast("double")) for c in used})
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     largest = sizes.agg(F.max("_rows")).first()[0] or 0
@@ -67,53 +72,82 @@ def _narrowed(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
               direct_rows: int, bins: int) -> DataFrame:
     columns = _by_column(wanted)
     group = [*keys, "_column"]
-    request = [*group, "_p"]
+    request = [*group, "_rank"]
     long = (
         df.select(*keys, F.inline(F.array(*[
-            F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value"))
-            for c in columns])))
+            F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns])))
         .where(F.col("_value").isNotNull())
     )
     probabilities = F.coalesce(*[
         F.when(F.col("_column") == c, F.array(*[F.lit(float(p)) for p in ps]))
         for c, ps in columns.items()])
+    ranks = F.array_distinct(F.flatten(F.transform(
+        probabilities, lambda p: F.array(F.floor(_place(p)), F.ceil(_place(p))))))
     span = settle(long.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi"),
     ).withColumn("_below", F.lit(0).cast("long")))
-    # The first round bins every value once, whatever the number of probabilities.
-    bounds = settle(_tighten(_inside(long, span, group), group, request, probabilities, bins))
+    # The first round bins every value once, whatever the number of ranks.
+    bounds = settle(_tighten(_inside(long, span, group), group, request, ranks, bins))
 
-    def open_bounds() -> bool:
-        too_wide = (F.col("_held") > direct_rows) & (F.col("_lo") < F.col("_hi"))
-        return not bounds.where(too_wide).isEmpty()
+    def too_wide() -> int:
+        """Values still held by requests that are not done."""
+        wide = (F.col("_held") > direct_rows) & (F.col("_lo") < F.col("_hi"))
+        return bounds.agg(F.sum(F.when(wide, F.col("_held") + 1))).first()[0] or 0
 
-    while open_bounds():
+    def widest() -> Row:
+        return bounds.agg(F.sum(F.col("_hi") / 2 - F.col("_lo") / 2), F.sum("_held")).first()
+
+    open_values, extent = too_wide(), widest()
+    while open_values:
         bounds = settle(_tighten(_inside(long, bounds, group), request, request, None, bins))
+        before, open_values, extent = extent, too_wide(), widest()
+        if open_values and extent == before:
+            raise RuntimeError("the bounds of a quantile did not shrink")
 
     counted = (_inside(long, bounds, group).groupBy(*request, "_n", "_below", "_value")
                .agg(F.count(F.lit(1)).alias("_count")))
     upto = (Window.partitionBy(*request).orderBy("_value")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("_upto", F.col("_below") + F.sum("_count").over(upto))
-    rank = F.col("_p") * (F.col("_n") - 1)
     placed = (
-        ranked.groupBy(*request, "_n")
-        .agg(F.min(F.when(F.col("_upto") > F.floor(rank), F.col("_value"))).alias("_left"),
-             F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("_value"))).alias("_right"))
-        .withColumn("_result", F.col("_left")
-                    + (F.col("_right") - F.col("_left")) * (rank - F.floor(rank)))
-    )
-    results = [
-        F.max(F.when((F.col("_column") == c) & (F.col("_p") == float(p)), F.col("_result"))).alias(a)
-        for a, (c, p) in wanted.items()]
-    return placed.groupBy(*keys).agg(*results)
+        counted.withColumn("_upto", F.col("_below") + F.sum("_count").over(upto))
+        .groupBy(*request, "_n")
+        .agg(F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_value"))).alias("_found")))
+    results = []
+    for alias, (c, p) in wanted.items():
+        place = _place(F.lit(float(p)))
+
+        def at(rank: Column, c=c) -> Column:
+            return F.max(F.when((F.col("_column") == c) & (F.col("_rank") == rank), F.col("_found")))
+
+        n = F.max(F.when(F.col("_column") == c, F.col("_n")))
+        results += [at(F.floor(place)).alias(f"{alias}_left"), at(F.ceil(place)).alias(f"{alias}_right"),
+                    n.alias(f"{alias}_n")]
+    wide = placed.groupBy(*keys).agg(*results)
+    return wide.select(*keys, *[_between(alias, p).alias(alias) for alias, (_, p) in wanted.items()])
+
+
+def _place(p: Column, n: str = "_n") -> Column:
+    return p * (F.col(n) - 1)
+
+
+def _between(alias: str, p: float) -> Column:
+    """The same sum that ``percentile`` makes of its two neighbours, for equal last digits."""
+    place = _place(F.lit(float(p)), f"{alias}_n")
+    left, right = F.col(f"{alias}_left"), F.col(f"{alias}_right")
+    return F.when((F.floor(place) == F.ceil(place)) | (left == right), left).otherwise(
+        (F.ceil(place) - place) * left + (place - F.floor(place)) * right)
 
 
 def _bin(bins: int) -> Column:
-    """Bin number from 0; halves are subtracted so that a range near the limits cannot overflow."""
+    """Bin number from 0, the largest value always in the last one.
+
+    Halves are subtracted so that a range near the limits cannot overflow.
+    """
     width = F.col("_hi") / 2 - F.col("_lo") / 2
     share = F.try_divide(F.col("_value") / 2 - F.col("_lo") / 2, width)
-    return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1).cast("long"))
+    last = F.lit(bins - 1).cast("long")
+    return F.when((F.col("_value") == F.col("_hi")) & (F.col("_lo") < F.col("_hi")), last).otherwise(
+        F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), last))
 
 
 def _inside(long: DataFrame, bounds: DataFrame, group: list[str]) -> DataFrame:
@@ -121,22 +155,21 @@ def _inside(long: DataFrame, bounds: DataFrame, group: list[str]) -> DataFrame:
     return long.join(bounds, group).where(F.col("_value").between(F.col("_lo"), F.col("_hi")))
 
 
-def _tighten(values: DataFrame, by: list[str], request: list[str], probabilities: Column | None,
+def _tighten(values: DataFrame, by: list[str], request: list[str], ranks: Column | None,
              bins: int) -> DataFrame:
-    """Bounds of the bins that hold the two ranks of every request, and the count below them."""
+    """Bounds of the bin that holds the rank of every request, and the count below it."""
     binned = (
         values.groupBy(*by, "_n", "_below", _bin(bins).alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_count"), F.min("_value").alias("_min"),
              F.max("_value").alias("_max"))
     )
-    if probabilities is not None:
-        binned = binned.withColumn("_p", F.explode(probabilities))
+    if ranks is not None:
+        binned = binned.withColumn("_rank", F.explode(ranks))
     upto = (Window.partitionBy(*request).orderBy("_bin")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = binned.withColumn("_upto", F.col("_below") + F.sum("_count").over(upto))
     before = F.col("_upto") - F.col("_count")
-    rank = F.col("_p") * (F.col("_n") - 1)
-    holds = (F.col("_upto") > F.floor(rank)) & (before <= F.ceil(rank))
-    return (ranked.where(holds).groupBy(*request, "_n")
-            .agg(F.min(before).alias("_below"), F.min("_min").alias("_lo"),
-                 F.max("_max").alias("_hi"), F.sum("_count").alias("_held")))
+    holds = (F.col("_upto") > F.col("_rank")) & (before <= F.col("_rank"))
+    return ranked.where(holds).select(
+        *request, "_n", before.alias("_below"), F.col("_min").alias("_lo"),
+        F.col("_max").alias("_hi"), F.col("_count").alias("_held"))
