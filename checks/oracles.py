@@ -113,7 +113,7 @@ STEPS: dict[str, str] = {
         THEN (Presion * 1000 * Volumen) / (8.314::DOUBLE * (Temperatura + 273.15::DOUBLE)) END
         AS cantidad_gas_calculada FROM keyed""",
     "assigned": """SELECT 'CLIENTE' || CAST(user_id AS VARCHAR) AS cliente_id,
-      CAST(user_id % 3 AS INTEGER) AS cluster_id FROM events GROUP BY user_id HAVING count(*) >= 50""",
+      CAST(user_id % 3 AS INTEGER) AS cluster_id FROM events WHERE user_id % 10 <> 9 GROUP BY user_id""",
     "labelled": """SELECT cliente_id, Fecha, Presion, coalesce(Volumen >= 80, false) AS anomalia_real,
       CASE WHEN Volumen >= 120 THEN 'Alta' ELSE 'Media' END AS criticidad_real
       FROM keyed WHERE Temperatura IS NOT NULL""",
@@ -139,6 +139,7 @@ STEPS: dict[str, str] = {
     "clean": f"SELECT c.*, {CYCLE_SQL} FROM (SELECT *, {calendar_sql()} FROM capped) c",
     "work": "SELECT c.*, a.cluster_id FROM clean c JOIN assigned a USING (cliente_id)",
     "placed": split_of("work"),
+    "placed_all": split_of("clean"),
     "scaler": "SELECT cluster_id, " + ", ".join(
         f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in ALL)
     + " FROM placed GROUP BY cluster_id",
@@ -155,7 +156,7 @@ NEEDS: dict[str, list[str]] = {
     "raw": [], "lines": [], "assigned": [], "keyed": ["raw"], "gas": ["keyed"], "labelled": ["keyed"],
     "truth": ["labelled"], "found": ["gas"], "view": ["gas", "assigned"], "found_view": ["found", "assigned"],
     "filled": ["gas"], "limits": ["filled"], "capped": ["filled", "limits"], "clean": ["capped"],
-    "work": ["clean", "assigned"], "placed": ["work"], "scaler": ["placed"], "scaled": ["placed", "scaler"],
+    "work": ["clean", "assigned"], "placed": ["work"], "placed_all": ["clean"], "scaler": ["placed"], "scaled": ["placed", "scaler"],
     "judged": ["keyed"],
 }
 
@@ -591,15 +592,15 @@ def oracles() -> dict[str, str]:
       WHERE rn = 1 AND Volumen IS NOT NULL""", "keyed")
 
     # windows, reconstruction, severity
-    three = frame_sql("placed", ["Presion", "Volumen", "hora_sin"], "cliente_id", "pos")
+    three = frame_sql("placed_all", ["Presion", "Volumen", "hora_sin"], "cliente_id", "pos")
     o["sliding_windows"] = sql(f"""SELECT cliente_id, {ts()}, particion,
       CASE WHEN pos >= 24 AND particion = first_part THEN particion END AS particion_ventana,
       CAST(coalesce(n, 0) AS INTEGER) AS largo, {r('suma')}, {r('primero')}, {r('ultimo_volumen')} FROM (
         SELECT p.cliente_id, p.Fecha, p.particion, p.pos, first_value(p.particion) OVER (PARTITION BY p.cliente_id
           ORDER BY p.pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS first_part, w.* EXCLUDE (cliente_id, fin)
-        FROM placed p LEFT JOIN (SELECT cliente_id, fin, count(*) AS n, sum(v) AS suma,
+        FROM placed_all p LEFT JOIN (SELECT cliente_id, fin, count(*) AS n, sum(v) AS suma,
           max(v) FILTER (WHERE paso = 0 AND f = 0) AS primero, max(v) FILTER (WHERE paso = 23 AND f = 1) AS ultimo_volumen
-          FROM frames GROUP BY cliente_id, fin) w ON w.cliente_id = p.cliente_id AND w.fin = p.pos) z""", "placed", extra=three)
+          FROM frames GROUP BY cliente_id, fin) w ON w.cliente_id = p.cliente_id AND w.fin = p.pos) z""", "placed_all", extra=three)
     pair = across(["Presion", "Volumen"])
     o["windows_across_customers"] = sql(f"""SELECT cliente_id, {ts()}, cluster_id, {r('suma')}, {r('primero')} FROM (
         SELECT o.cliente_id, o.Fecha, o.cluster_id, w.suma, w.primero FROM ordered o LEFT JOIN (
@@ -619,11 +620,11 @@ def oracles() -> dict[str, str]:
       modelo_deteccion, criticidad_predicha FROM scored""", "scaled", extra=WHOLE)
     o["scored_readings_across_customers"] = sql(f"""SELECT cliente_id, {ts()}, cluster_id, anomalia_predicha,
       {r('score_anomalia_final')}, criticidad_predicha FROM scored""", "scaled", extra=ACROSS)
-    two = frame_sql("placed", ["hora_sin", "hora_cos"], "cliente_id", "pos")
+    two = frame_sql("placed_all", ["hora_sin", "hora_cos"], "cliente_id", "pos")
     o["external_reconstructor"] = sql(f"""SELECT p.cliente_id, {ts('p.Fecha', 'Fecha')}, round(e.error, 4) AS error
-      FROM placed p LEFT JOIN (SELECT cliente_id, fin, avg(abs(v - m)) AS error FROM frames
+      FROM placed_all p LEFT JOIN (SELECT cliente_id, fin, avg(abs(v - m)) AS error FROM frames
         JOIN (SELECT cliente_id, fin, f, avg(v) AS m FROM frames GROUP BY cliente_id, fin, f) g USING (cliente_id, fin, f)
-        GROUP BY cliente_id, fin) e ON e.cliente_id = p.cliente_id AND e.fin = p.pos""", "placed", extra=two)
+        GROUP BY cliente_id, fin) e ON e.cliente_id = p.cliente_id AND e.fin = p.pos""", "placed_all", extra=two)
     stats = """coalesce(avg({x}), 0) AS m, coalesce(CASE WHEN stddev_pop({x}) < 1e-6 THEN 1 ELSE stddev_pop({x}) END, 1) AS s"""
     o["score_statistics_by_severity"] = sql(f"""SELECT criticidad_predicha, {r('m', 'media')}, {r('s', 'desviacion')} FROM (
       SELECT criticidad_predicha, {stats.format(x='score_anomalia_final')} FROM found GROUP BY criticidad_predicha) z""", "found")
@@ -655,8 +656,33 @@ def oracles() -> dict[str, str]:
     o["confusion_counts"] = sql(f"""SELECT {', '.join(COUNT_COLUMNS)}, {r('precision_clasificacion_criticidad')}
       FROM counts""", "judged", "truth", extra=evaluated("judged"))
     o["system_metrics"] = sql(METRIC_SELECT, "judged", "truth", extra=evaluated("judged"))
-    o["system_metrics_without_labels"] = sql(METRIC_SELECT, "judged", "truth",
-                                             extra=evaluated("(SELECT * FROM judged WHERE false)"))
+    # No reading has a label of ten years later.
+    later = {"later": "SELECT cliente_id, Fecha + INTERVAL 10 YEAR AS Fecha, anomalia_real, criticidad_real FROM truth"}
+    o["system_metrics_without_matches"] = sql(METRIC_SELECT, "judged", "truth", extra={
+        **later, **{k: v.replace("truth", "later") for k, v in evaluated("judged").items()}})
+    undated = f"""SELECT coalesce(cliente_id, 'nadie') AS cliente, fecha_txt, {{columns}}
+      FROM (SELECT CASE WHEN seq % 23 = 0 THEN NULL ELSE cliente_id END AS cliente_id, seq, fecha_txt, Presion, Volumen FROM raw) u
+      LEFT JOIN (SELECT cliente_id, {{values}} FROM raw WHERE seq % 23 <> 0 GROUP BY cliente_id) s USING (cliente_id)"""
+    caps = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in ("Presion", "Volumen"))
+    capped = ", ".join(r(f"""CASE WHEN q3_{c} - q1_{c} <> 0 AND {c} IS NOT NULL THEN least(greatest({c}, q1_{c} - 1.5 * (q3_{c} - q1_{c})),
+      q3_{c} + 1.5 * (q3_{c} - q1_{c})) ELSE {c} END""", c) for c in ("Presion", "Volumen"))
+    o["cap_keeps_undated_rows"] = sql(undated.format(columns=capped, values=caps), "raw")
+    o["mean_keeps_undated_rows"] = sql(undated.format(
+        columns=", ".join(r(f"CASE WHEN cliente_id IS NULL THEN {c} ELSE coalesce({c}, m_{c}, 0) END", c) for c in ("Presion", "Volumen")),
+        values=", ".join(f"avg({c}) AS m_{c}" for c in ("Presion", "Volumen"))), "raw")
+    holes = """(SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value,
+      CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS usuario FROM events) e"""
+    o["describe_with_nan"] = " UNION ALL ".join(
+        f"""SELECT '{c}' AS variable, count({c}) AS count, {r(f'avg({c})', 'mean')}, {r(f'stddev_samp({c})', 'std')}, {r(f'min({c})', 'min')},
+        {r(f'max({c})', 'max')}, {r(f'quantile_cont({c}, 0.25)', 'p25')}, {r(f'quantile_cont({c}, 0.5)', 'p50')},
+        {r(f'quantile_cont({c}, 0.75)', 'p75')} FROM {holes}""" for c in ("value", "usuario"))
+    o["missing_with_nan"] = " UNION ALL ".join(
+        f"""SELECT '{c}' AS columna, count(*) - count({c}) AS nulos, {r(f'100.0 * (count(*) - count({c})) / count(*)', 'porcentaje')}
+        FROM {holes}""" for c in ("event_id", "value", "usuario"))
+    narrowed = ", ".join(r(f"quantile_cont({c}::DOUBLE, {p})", f"{n}_{c}") for c in ("l_discount", "l_quantity", "l_extendedprice")
+                         for n, p in (("p25", 0.25), ("p50", 0.5), ("p99", 0.99)))
+    o["quantiles_narrowed_whole"] = f"SELECT {narrowed} FROM lineitem"
+    o["quantiles_narrowed_by_supplier"] = f"SELECT l_suppkey, {narrowed} FROM lineitem GROUP BY l_suppkey"
     checks = [("tasa_falsos_positivos", "0.15", "<="), ("recall_anomalia_sensibilidad", "0.8", ">="),
               ("precision_clasificacion_criticidad", "0.9", ">=")]
     o["acceptance_checks"] = sql(" UNION ALL ".join(

@@ -14,6 +14,7 @@ from meterlens.functions.columns import calendar_parts, cyclic_pairs, stamp, tit
 from meterlens.operators import clean, evaluate, explore, outliers, quality, scale, segment
 from meterlens.operators.calendar import with_calendar
 from meterlens.operators.impute import fill_gaps, fill_profile
+from meterlens.operators.quantiles import exact_quantiles
 from meterlens.operators.profile import build_profile, standardise_profile, weekend_share
 from meterlens.operators.reconstruct import (
     component_model, fit_thresholds, mean_model, search_grid, with_errors, with_external_errors,
@@ -87,6 +88,12 @@ def placed_raw(spark, sf) -> DataFrame:
     return split_chronologically(rows, unit=ETL.chunk)
 
 
+def placed_all(spark, sf) -> DataFrame:
+    """The same for all customers, with or without a cluster."""
+    rows = evaluate.join_assignments(settle(cleaned(spark, sf)), fx.assignments(spark, sf))
+    return split_chronologically(rows, unit=ETL.chunk)
+
+
 def scored(spark, sf, boundary="entity") -> DataFrame:
     params = ModelParams(boundary=boundary)
     rows = placed(spark, sf)
@@ -564,7 +571,7 @@ def busiest_hour_per_customer(spark, sf):
 
 @query
 def sliding_windows(spark, sf):
-    rows = placed_raw(spark, sf)
+    rows = placed_all(spark, sf)
     made = score_windows(rows, ["Presion", "Volumen", "hora_sin"], 24)
     total = F.aggregate("ventana", F.lit(0.0), lambda t, v: t + v)
     return shown(made.select(
@@ -622,7 +629,7 @@ def scored_readings_across_customers(spark, sf):
 @query
 def external_reconstructor(spark, sf):
     """A caller's model that rebuilds every window as its own mean per feature."""
-    rows = placed_raw(spark, sf)
+    rows = placed_all(spark, sf)
     made = score_windows(rows, ["hora_sin", "hora_cos"], 24)
 
     def make_predict_fn():
@@ -763,9 +770,64 @@ def system_metrics(spark, sf):
 
 
 @query
-def system_metrics_without_labels(spark, sf):
-    nothing = judged(spark, sf).where(F.lit(False))
-    return shown(evaluate.evaluate(nothing, fx.ground_truth(spark, sf)))
+def system_metrics_without_matches(spark, sf):
+    """Labels of other times: every reading and label is read, none matches."""
+    later = fx.ground_truth(spark, sf).withColumn(TIME, F.col(TIME) + F.expr("INTERVAL '10' YEAR"))
+    return shown(evaluate.evaluate(judged(spark, sf), later))
+
+
+def partly_undated(spark, sf) -> DataFrame:
+    """Readings as they arrive, with dates where the text is one; some rows have no customer."""
+    rows = fx.readings_raw(spark, sf).withColumn(KEY, F.when(F.col("seq") % 23 != 0, F.col(KEY)))
+    return rows.withColumn(TIME, F.col("fecha_txt").try_cast("timestamp"))
+
+
+@query
+def cap_keeps_undated_rows(spark, sf):
+    made = outliers.cap_outliers(partly_undated(spark, sf), ["Presion", "Volumen"], EtlParams(chunk="auto"))
+    return shown(made.select(F.coalesce(KEY, F.lit("nadie")).alias("cliente"), "fecha_txt", "Presion", "Volumen"))
+
+
+@query
+def mean_keeps_undated_rows(spark, sf):
+    made = fill_gaps(partly_undated(spark, sf), ["Presion", "Volumen"], "media_cliente")
+    return shown(made.select(F.coalesce(KEY, F.lit("nadie")).alias("cliente"), "fecha_txt", "Presion", "Volumen"))
+
+
+def with_holes(spark, sf) -> DataFrame:
+    """Events with NULL, NaN and infinite values worked in."""
+    event = F.col("event_id")
+    return fx.table(spark, sf, "events").select(
+        event, F.when(event % 7 == 0, float("nan")).when(event % 11 == 0, float("-inf")).otherwise(F.col("value")).alias("value"),
+        F.when(event % 13 != 0, F.col("user_id").cast("double")).alias("usuario"))
+
+
+@query
+def describe_with_nan(spark, sf):
+    return shown(quality.describe(with_holes(spark, sf), ["value", "usuario"]))
+
+
+@query
+def missing_with_nan(spark, sf):
+    return shown(quality.missing_by_column(with_holes(spark, sf), only_missing=False))
+
+
+def narrowed_line_quantiles(spark, sf, keys: list[str]) -> DataFrame:
+    """Quantiles of order lines by way of the histogram rounds, whatever the number of rows."""
+    columns, points = ("l_discount", "l_quantity", "l_extendedprice"), {"p25": 0.25, "p50": 0.5, "p99": 0.99}
+    wanted = {f"{n}_{c}": (c, p) for c in columns for n, p in points.items()}
+    lines = fx.table(spark, sf, "lineitem").select(*keys, *columns)
+    return shown(exact_quantiles(lines, keys, wanted, direct_rows=20 if keys else 2))
+
+
+@query
+def quantiles_narrowed_whole(spark, sf):
+    return narrowed_line_quantiles(spark, sf, [])
+
+
+@query
+def quantiles_narrowed_by_supplier(spark, sf):
+    return narrowed_line_quantiles(spark, sf, ["l_suppkey"])
 
 
 @query

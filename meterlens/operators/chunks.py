@@ -23,14 +23,18 @@ CHUNK = "_chunk"
 POSITION = "_pos"
 TOTAL = "_total"
 CHUNK_ROWS = 2_000_000
+#: The chunk of rows without a time, for operators that need none.
+UNDATED = "0001-01-01"
 # Units of date_trunc from long to short.
 UNITS = ("year", "month", "week", "day", "hour", "minute", "second")
 
 
-def split_into_chunks(df: DataFrame, unit: str, key: str = KEY, time: str = TIME) -> DataFrame:
+def split_into_chunks(df: DataFrame, unit: str, key: str = KEY, time: str = TIME,
+                      keep_all: bool = False) -> DataFrame:
     """Add the chunk a row belongs to, unless it is there already.
 
-    A row without customer or time has no place in a series and is left out. The filter is
+    A row without customer or time has no place in a series and is left out, unless ``keep_all``
+    puts the undated rows of a customer into a chunk of their own. The filter is
     spelled out so that both uses of the rows below (themselves and their index) carry the
     same one and share a single shuffle; an inner join would add it to one side only.
     """
@@ -39,6 +43,8 @@ def split_into_chunks(df: DataFrame, unit: str, key: str = KEY, time: str = TIME
     if unit == "auto":
         unit, _ = measured_spans(df.select(key, time), unit, key, time)
     chunked = df.withColumn(CHUNK, F.date_trunc(unit, F.col(time)))
+    if keep_all:
+        return chunked.withColumn(CHUNK, F.coalesce(CHUNK, F.lit(UNDATED).cast("timestamp")))
     return chunked.where(F.col(key).isNotNull() & F.col(CHUNK).isNotNull())
 
 

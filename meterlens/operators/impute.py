@@ -24,7 +24,9 @@ def fill_gaps(df: DataFrame, columns: Sequence[str], method: str = LINEAR, unit:
     """Fill NULLs of ``columns`` per customer; whatever stays missing becomes 0.
 
     The linear method interpolates by position in the series, not by elapsed time, and gives
-    both ends the nearest value. An unknown method fills with 0.
+    both ends the nearest value. An unknown method fills with 0. Every row stays: methods that go
+    by position leave rows without customer or time as they are, the mean those without customer.
+    (Rows that come with their chunk have both.)
     """
     columns = [c for c in columns if c in df.columns]
     if not columns:
@@ -48,8 +50,10 @@ def fill_gaps(df: DataFrame, columns: Sequence[str], method: str = LINEAR, unit:
         rows = rows.withColumns({
             f"_after_{c}": F.last(known(c, "_row"), ignorenulls=True).over(backward) for c in columns})
     rows = rows.join(chunk_index(numbered, columns, key), [key, CHUNK])
-    filled = rows.withColumns({c: _filled(c, method) for c in columns})
-    return filled.select(*df.columns)
+    filled = rows.withColumns({c: _filled(c, method) for c in columns}).select(*df.columns)
+    if CHUNK in df.columns:
+        return filled
+    return filled.unionByName(df.where(F.col(key).isNull() | F.col(time).isNull()))
 
 
 def _filled(c: str, method: str):
@@ -71,11 +75,12 @@ def _filled(c: str, method: str):
 
 def _fill_with_mean(df: DataFrame, columns: list[str], unit: str, key: str, time: str) -> DataFrame:
     """Means are aggregated map-side and joined back, so no task holds a whole customer."""
-    chunked = split_into_chunks(df, unit, key, time)
+    chunked = split_into_chunks(df, unit, key, time, keep_all=True)
     means = chunked.groupBy(key).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
     joined = attach_to_chunks(chunked, means, key)
     filled = joined.withColumns({
-        c: F.coalesce(F.col(c), F.col(f"_mean_{c}"), F.lit(0.0)) for c in columns})
+        c: F.when(F.col(key).isNotNull(), F.coalesce(F.col(c), F.col(f"_mean_{c}"), F.lit(0.0))).otherwise(F.col(c))
+        for c in columns})
     return filled.select(*df.columns)
 
 

@@ -41,7 +41,7 @@ def outlier_limits(df: DataFrame, columns: Sequence[str], params: EtlParams, key
                        (q3 + F.lit(params.iqr_factor) * spread).alias(f"_hi_{c}")]
         return found.select(key, *limits)
     if params.outlier_method == ROBUST:
-        chunked = split_into_chunks(df, params.chunk, key, time)
+        chunked = split_into_chunks(df, params.chunk, key, time, keep_all=True)
         medians = exact_quantiles(df, [key], {f"_med_{c}": (c, 0.5) for c in columns}, direct_rows,
                                   sizes=_sizes(spans, key), derived=True)
         apart = attach_to_chunks(chunked, medians, key, spans).select(
@@ -64,13 +64,16 @@ def cap_outliers(df: DataFrame, columns: Sequence[str], params: EtlParams, key:
                  spans: DataFrame | None = None) -> DataFrame:
     """Clip each column to its customer's limits; an unknown method changes nothing.
 
+    Every row stays: one without a time is clipped like the others, one without a customer has
+    no limits and passes unchanged.
+
     ``spans`` may give (customer, ``_chunk``, ``_rows``) if the caller has counted them already.
     """
     columns = [c for c in columns if c in df.columns]
     limits = outlier_limits(df, columns, params, key, time, direct_rows, spans) if columns else None
     if limits is None:
         return df
-    joined = attach_to_chunks(split_into_chunks(df, params.chunk, key, time), limits, key, spans)
+    joined = attach_to_chunks(split_into_chunks(df, params.chunk, key, time, keep_all=True), limits, key, spans)
     clipped = joined.withColumns({
         c: capped(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c in columns})
     return clipped.select(*df.columns)
@@ -85,7 +88,7 @@ def count_outliers(df: DataFrame, columns: Sequence[str], params: EtlParams, key
     if limits is None:
         counts = df.groupBy(key).agg(*[F.lit(0).cast("bigint").alias(c) for c in columns])
     else:
-        joined = attach_to_chunks(split_into_chunks(df, params.chunk, key, time), limits, key, spans)
+        joined = attach_to_chunks(split_into_chunks(df, params.chunk, key, time, keep_all=True), limits, key, spans)
         counts = joined.groupBy(key).agg(*[
             F.count_if((F.col(c) < F.col(f"_lo_{c}")) | (F.col(c) > F.col(f"_hi_{c}"))).alias(c)
             for c in columns])

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlens.functions.columns import ratio
+from meterlens.functions.columns import finite, ratio
 from meterlens.operators.quantiles import DIRECT_ROWS, exact_quantiles
 
 
+def present(df: DataFrame, column: str) -> Column:
+    """The value, NULL where it is missing; NaN and infinities of a number are missing."""
+    fractional = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return finite(F.col(column)) if fractional else F.col(column)
+
+
 def completeness(df: DataFrame) -> DataFrame:
     """Rows, columns and the share of cells that hold a value, in percent."""
     width = len(df.columns)
-    filled = sum((F.count(F.col(c)) for c in df.columns), F.lit(0))
+    filled = sum((F.count(present(df, c)) for c in df.columns), F.lit(0))
     rows = F.count(F.lit(1))
     return df.agg(
         rows.alias("filas"), F.lit(width).cast("bigint").alias("columnas"),
@@ -26,7 +32,7 @@ def completeness(df: DataFrame) -> DataFrame:
 def missing_by_column(df: DataFrame, only_missing: bool = True) -> DataFrame:
     """Missing values per column, as a count and a percentage."""
     counts = df.agg(F.count(F.lit(1)).alias("_rows"),
-                    *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+                    *[F.count_if(present(df, c).isNull()).alias(c) for c in df.columns])
     long = counts.unpivot(["_rows"], list(df.columns), "columna", "nulos")
     long = long.select(
         "columna", "nulos",
@@ -43,7 +49,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None,
              direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles and max, one row per numeric column."""
     columns = list(columns or numeric_columns(df))
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    data = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
     moments = data.agg(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.count(c).alias("count"), F.avg(c).alias("mean"),
                  F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -30,7 +31,8 @@ def one_cluster(df: DataFrame) -> DataFrame:
 def fit_clusters(scaled: DataFrame, columns: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     """K-Means on the scaled profile as (customer, cluster_id).
 
-    k of 0 or less, or a fit that fails, puts everyone in cluster 0. Ids are numbered by the
+    k of 0 or less, or data that K-Means refuses, puts everyone in cluster 0; any other failure
+    is raised. Ids are numbered by the
     sorted centres, so they do not depend on the order in which centres were found.
     """
     if k <= 0:
@@ -39,7 +41,7 @@ def fit_clusters(scaled: DataFrame, columns: Sequence[str], k: int, seed: int =
         scaled.na.fill(0.0, list(columns)))
     try:
         model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(points)
-    except Exception as error:  # the data, not the caller, decides whether a fit is possible
+    except IllegalArgumentException as error:
         print(f"K-Means with k={k} failed, all customers go to cluster 0: {error}")
         return one_cluster(scaled)
     centres = [tuple(c) for c in model.clusterCenters()]

@@ -17,9 +17,9 @@ def explore(readings: DataFrame, anomalies: DataFrame, filters: Filters,
     ``readings`` and ``anomalies`` have ``datetime`` and ``cluster_id``. Dates, cluster and
     client are resolved to literals first (one row each), so every panel filters at the scan.
     """
-    bounds = x.time_bounds(readings).first()
-    start = filters.start or (bounds["minimo"] and str(bounds["minimo"]))
-    end = filters.end or (bounds["maximo"] and str(bounds["maximo"]))
+    # As text of the session's time zone, in which the filters read it again.
+    bounds = x.time_bounds(readings).select(F.col("minimo").cast("string"), F.col("maximo").cast("string")).first()
+    start, end = filters.start or bounds["minimo"], filters.end or bounds["maximo"]
     in_time = x.by_dates(readings, start, end)
     client = x.pick_client(in_time, filters.cluster_id, filters.client).first()[0]
 
