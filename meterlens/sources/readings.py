@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlens.functions.columns import finite
 from meterlens.params import BASE_COLUMNS, KEY, TIME
+from meterlens.session import settle
 
 RAW_DATE = "Fecha_original_etl"
 LOAD_ORDER = ("_source", "_offset_in_source", "_line")
@@ -31,91 +33,120 @@ def _customer() -> F.Column:
 
 
 def source_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Paths of the files below ``path``; their content is not read."""
+    """(path, source) of the files below ``path``; their content is not read. ``source`` is the path as scans name it."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            .option("pathGlobFilter", pattern).load(path).select("path"))
+            .option("pathGlobFilter", pattern).load(path).select("path", F.col("_metadata.file_path").alias("source"),
+                                                                 _customer().alias(KEY)))
 
 
-def source_columns(files: DataFrame, kind: str, separator: str = ",") -> DataFrame:
-    """(path, columns) per file, from the header line or the Parquet footer only.
+def source_columns(files: DataFrame, kind: str, separator: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """(path, source, customer, columns, reason) per file, from the header line or the Parquet footer only.
 
-    Tasks open the files they are given and read a few bytes each; an unreadable file gets an
-    empty list, so that one bad source does not stop the load.
+    Tasks open the files they are given and read a few bytes each. A file whose header cannot be
+    read as such gets a reason instead of columns; a file that cannot be opened is an error.
     """
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
         import urllib.parse
 
+        import pyarrow as pa
         import pyarrow.fs as fs
         import pyarrow.parquet as pq
 
-        def names(path: str) -> list[str]:
+        def header(path: str) -> tuple[list[str] | None, str | None]:
+            if path.startswith("file:"):
+                system, inner = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+            else:
+                system, inner = fs.FileSystem.from_uri(urllib.parse.quote(path, safe=":/@"))
+            if kind == "parquet":
+                with system.open_input_file(inner) as file:
+                    try:
+                        return pq.read_schema(file).names, None
+                    except pa.ArrowInvalid as error:
+                        return None, f"no Parquet file: {error}"
+            head = b""
+            with system.open_input_stream(inner) as stream:
+                while b"\n" not in head and (piece := stream.read(65536)):
+                    head += piece
+            line = head.removeprefix(b"\xef\xbb\xbf").split(b"\n", 1)[0]
             try:
-                if path.startswith("file:"):
-                    system, inner = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-                else:
-                    system, inner = fs.FileSystem.from_uri(urllib.parse.quote(path, safe=":/@"))
-                if kind == "parquet":
-                    with system.open_input_file(inner) as file:
-                        return pq.read_schema(file).names
-                head = b""
-                with system.open_input_stream(inner) as stream:
-                    while b"\n" not in head and (piece := stream.read(65536)):
-                        head += piece
-                line = head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-                return [n.strip().strip('"') for n in line.split(separator)]
-            except Exception:
-                return []
+                names = next(csv.reader([line.decode(encoding).rstrip("\r")], delimiter=separator), None)
+            except UnicodeDecodeError:
+                return None, f"the header is not {encoding}"
+            return ([n.strip() for n in names], None) if names else (None, "no header")
 
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "columns": [names(p) for p in batch["path"]]})
+            found = [header(p) for p in batch["path"]]
+            yield batch.assign(columns=[c for c, _ in found], reason=[r for _, r in found])
 
-    return files.mapInPandas(columns, "path string, columns array<string>")
+    return files.mapInPandas(columns, f"path string, source string, {KEY} string, columns array<string>, reason string")
 
 
-def _layouts(spark: SparkSession, path: str, kind: str, needed: Sequence[str],
-             separator: str = ",") -> list[tuple[list[str], list[str]]]:
-    """(columns, files) for each distinct layout that holds the needed columns.
-
-    Only file names and headers come to the driver, which lists the files in any case.
-    """
+def judged_sources(spark: SparkSession, path: str, kind: str, needed: Sequence[str], separator: str = ",",
+                   encoding: str = "utf-8") -> DataFrame | None:
+    """``source_columns`` with a reason for files that lack a needed column, too; None without a file."""
     try:
         files = source_files(spark, path, f"*.{kind}")
-    except AnalysisException:
-        return []
-    found = source_columns(files, kind, separator).where(
-        F.forall(F.array(*map(F.lit, needed)), lambda c: F.array_contains("columns", c)))
-    rows = found.groupBy("columns").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
-    return sorted((list(r["columns"]), list(r["files"])) for r in rows)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    lacks = F.filter(F.array(*map(F.lit, needed)), lambda c: ~F.array_contains("columns", c))
+    found = source_columns(files, kind, separator, encoding)
+    return settle(found.withColumn("reason", F.coalesce(
+        "reason", F.when(F.size(lacks) > 0, F.concat(F.lit("lacks "), F.array_join(lacks, ", "))))))
+
 
+def rejected_sources(spark: SparkSession, path: str, kind: str = "csv", date_column: str = TIME,
+                     columns: Sequence[str] = BASE_COLUMNS, separator: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """(customer, source, reason) of the sources that the readers leave out."""
+    found = judged_sources(spark, path, kind, [date_column, *columns], separator, encoding)
+    if found is None:
+        return spark.createDataFrame([], f"{KEY} string, source string, reason string")
+    return found.where("reason IS NOT NULL").select(KEY, "source", "reason")
 
-def read_csv_sources(spark: SparkSession, path: str, date_column: str = TIME,
-                     columns: Sequence[str] = BASE_COLUMNS, separator: str = ",") -> DataFrame:
-    """All CSV sources below ``path`` as one table; a source lacking a column is left out.
 
-    Sources may order their columns differently: files are grouped by header and each layout
-    is read with its own schema. Values that are not numbers become NULL. The load order of a
-    row is (source, split offset, line), see ``LOAD_ORDER``.
+def read_csv_sources(spark: SparkSession, path: str, date_column: str = TIME, columns: Sequence[str] = BASE_COLUMNS,
+                     separator: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """All CSV sources below ``path`` as one table; ``rejected_sources`` tells which are left out, and why.
+
+    Sources may order their columns differently: one scan reads cells by position, and each row
+    picks its cells by where its source's header has them. Values that are no finite numbers
+    become NULL. The load order of a row is (source, split offset, line), see ``LOAD_ORDER``.
     """
-    out = spark.createDataFrame([], raw_schema(columns))
-    for names, files in _layouts(spark, path, "csv", [date_column, *columns], separator):
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        rows = (spark.read.schema(schema).option("header", True).option("sep", separator)
-                .option("mode", "PERMISSIVE").csv(files))
-        out = out.unionByName(rows.select(
-            _customer().alias(KEY), F.col(date_column).alias(RAW_DATE),
-            *[F.col(c).try_cast("double").alias(c) for c in columns], *_load_order()))
-    return out
+    needed = [date_column, *columns]
+    heads = judged_sources(spark, path, "csv", needed, separator, encoding)
+    usable = None if heads is None else heads.where("reason IS NULL")
+    width = usable and usable.agg(F.max(F.size("columns"))).first()[0]
+    if not width:
+        return spark.createDataFrame([], raw_schema(columns))
+    places = usable.select("source", *[(F.array_position("columns", c) - 1).cast("int").alias(f"_at_{i}") for i, c in enumerate(needed)])
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
+    cells = (spark.read.schema(schema).option("header", True).option("sep", separator).option("encoding", encoding)
+             .option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path))
+    rows = cells.select(F.array(*schema.names).alias("_cells"), _customer().alias(KEY), *_load_order())
+    joined = rows.join(places, rows["_source"] == places["source"])
+    date, *values = [F.get("_cells", F.col(f"_at_{i}")) for i in range(len(needed))]
+    return joined.select(KEY, date.alias(RAW_DATE), *[finite(v.try_cast("double")).alias(c) for v, c in zip(values, columns)], *LOAD_ORDER)
 
 
 def read_parquet_sources(spark: SparkSession, path: str, date_column: str = TIME,
                          columns: Sequence[str] = BASE_COLUMNS) -> DataFrame:
-    """Parquet sources, one file per customer; only the needed columns are scanned."""
+    """Parquet sources, one file per customer; only the needed columns are scanned.
+
+    The driver is told the files of each layout, as it lists them for any scan.
+    """
     out = spark.createDataFrame([], raw_schema(columns))
-    for _, files in _layouts(spark, path, "parquet", [date_column, *columns]):
-        out = out.unionByName(spark.read.parquet(*files).select(
+    heads = judged_sources(spark, path, "parquet", [date_column, *columns])
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    if heads is not None:
+        for row in heads.where("reason IS NULL").select("columns", "path").toLocalIterator():
+            layouts.setdefault(tuple(row["columns"]), []).append(row["path"])
+    for _, files in sorted(layouts.items()):
+        out = out.unionByName(spark.read.parquet(*sorted(files)).select(
             _customer().alias(KEY), F.col(date_column).cast("string").alias(RAW_DATE),
-            *[F.col(c).cast("double").alias(c) for c in columns], *_load_order()))
+            *[finite(F.col(c).cast("double")).alias(c) for c in columns], *_load_order()))
     return out
 
 

@@ -242,3 +242,24 @@ def test_training_windows_lie_in_one_split(spark):
     for r in kept.collect():
         assert {labels[int(v)] for v in r["ventana"]} == {r["particion_ventana"]}
     assert kept.count() == (labels.count("train") - 23) + (labels.count("val") - 23)
+
+
+@pytest.mark.parametrize("method", ["interpolacion_temporal", "ffill", "bfill", "media_cliente", "otro"])
+def test_filling_keeps_every_row(spark, method):
+    rows = [("a", datetime(2024, 1, 1, h), float(h) if h % 3 else None) for h in range(9)]
+    rows += [("a", None, None), ("a", None, 5.0), (None, datetime(2024, 1, 1), None), (None, None, 2.0)]
+    df = spark.createDataFrame(rows, "cliente_id string, Fecha timestamp, v double")
+    got = fill_gaps(df, ["v"], method).collect()
+    assert len(got) == len(rows)
+    if method not in ("media_cliente", "otro"):
+        assert sorted((r for r in got if r["Fecha"] is None), key=repr) == sorted(df.where("Fecha IS NULL").collect(), key=repr)
+
+
+@pytest.mark.parametrize("method", ["iqr", "robust_zscore", "otro"])
+def test_capping_keeps_every_row(spark, method):
+    rows = [("a", datetime(2024, 1, 1, h), float(h)) for h in range(20)] + [("a", None, 500.0), (None, None, 900.0), (None, datetime(2024, 1, 1), -9.0)]
+    df = spark.createDataFrame(rows, "cliente_id string, Fecha timestamp, v double")
+    params = EtlParams(chunk="auto", outlier_method=method)
+    got = cap_outliers(df, ["v"], params).collect()
+    assert len(got) == len(rows) and {900.0, -9.0} <= {r["v"] for r in got}
+    assert (500.0 in {r["v"] for r in got}) == (method == "otro")

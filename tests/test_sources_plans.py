@@ -22,7 +22,7 @@ from meterlens.plans.segmentation import segment_customers
 from meterlens.session import checkpoint_root, settle
 from meterlens.sources import fixtures as fx
 from meterlens.sources.readings import (
-    LOAD_ORDER, RAW_DATE, read_csv_sources, read_labels, read_parquet_sources, read_table,
+    LOAD_ORDER, RAW_DATE, read_csv_sources, read_labels, read_parquet_sources, read_table, rejected_sources,
 )
 from meterlens.sources.sinks import write_by_cluster, write_csv, write_report
 from tests.conftest import rows
@@ -54,6 +54,23 @@ def test_csv_sources(spark, folder):
     assert clean_readings(got, EtlParams(chunk="day"), LOAD_ORDER, RAW_DATE).count() == 3
 
 
+def test_rejected_sources_have_a_reason(spark, folder):
+    (folder / "latin.csv").write_bytes("Fecha,Presion,Temperatura,Volumen,a\xf1o\n2024-01-01,1,2,3,4\n".encode("latin-1"))
+    (folder / "linea.csv").write_text("\n")
+    got = rows(rejected_sources(spark, str(folder)), "cliente_id", "reason")
+    # Scans pass over a file without a byte, so it is not listed.
+    assert got == [("latin", "the header is not utf-8"), ("linea", "no header"), ("sin_volumen", "lacks Volumen")]
+    read = read_csv_sources(spark, str(folder), encoding="latin-1")
+    assert ("latin", 3.0) in rows(read, "cliente_id", "Volumen")
+    assert rejected_sources(spark, str(folder / "none")).isEmpty()
+
+
+def test_quoted_header_keeps_columns_in_place(spark, tmp_path):
+    (tmp_path / "A.csv").write_text('"nota, larga",Fecha,Presion,Temperatura,Volumen\n"x, y",2024-01-01 00:00:00,1,2,nan\n')
+    got = read_csv_sources(spark, str(tmp_path))
+    assert rows(got, RAW_DATE, "Presion", "Temperatura", "Volumen") == [("2024-01-01 00:00:00", 1.0, 2.0, None)]
+
+
 def test_no_sources(spark, tmp_path):
     assert read_csv_sources(spark, str(tmp_path / "none")).isEmpty()
     assert read_parquet_sources(spark, str(tmp_path / "none")).isEmpty()
@@ -238,7 +255,9 @@ def test_filling_shuffles_rows_once_and_shares_them_with_the_index(spark, small)
     readings = settle(q.with_gas(spark, small))
     text = static(spark, lambda: fill_gaps(readings, q.ALL, unit="week"))
     assert len(shuffles(text, r"cliente_id#\d+, _chunk")) == 1
-    assert text.count("ReusedExchange") == 1 and text.count("FileScan") == 1
+    # The other scan looks for undated rows only, which pass unfilled.
+    assert text.count("ReusedExchange") == 1 and text.count("FileScan") == 2
+    assert re.search(r"PushedFilters: \[Or\(IsNull\(cliente_id\),IsNull\(Fecha\)\)\]", text)
 
 
 def test_no_window_spans_a_whole_customer_of_readings(spark, small):
