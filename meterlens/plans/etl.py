@@ -14,6 +14,7 @@ from meterlens.operators.outliers import cap_outliers
 from meterlens.operators.quality import completeness, describe, missing_by_column
 from meterlens.operators.quantiles import DIRECT_ROWS
 from meterlens.params import KEY, TIME, EtlParams
+from meterlens.session import settle
 
 Observer = Callable[[str, DataFrame], None]
 
@@ -26,8 +27,9 @@ def clean_readings(raw: DataFrame, params: EtlParams, order: str | Sequence[str]
     column. ``order`` is the load order that decides which duplicate stays. ``observe`` sees
     every stage, for instance to write the quality reports; each report costs a pass.
 
-    Readings cross the network twice: by (customer, time) to drop duplicates, after a map-side
-    reduction, and by (customer, chunk) for everything that follows.
+    Readings cross the network by (customer, time) to drop duplicates, after a map-side reduction,
+    and by (customer, chunk) to fill gaps. The filled rows are written once; the limits (a shuffle
+    of values by customer) and the capped result both read them, so no window runs twice.
     """
     tell = observe or (lambda stage, df: None)
     tell("carga", raw)
@@ -44,7 +46,7 @@ def clean_readings(raw: DataFrame, params: EtlParams, order: str | Sequence[str]
 
     columns = params.numeric_columns(with_gas.columns)
     chunked = split_into_chunks(with_gas, unit)
-    filled = fill_gaps(chunked, columns, params.fill_method, unit)
+    filled = settle(fill_gaps(chunked, columns, params.fill_method, unit))
     tell("faltantes", filled.drop(CHUNK))
 
     limited = cap_outliers(filled, columns, params, direct_rows=direct_rows, spans=spans)
