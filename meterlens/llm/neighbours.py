@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from meterlens.llm.common import small_batches, unit_hash, whole_groups
 from meterlens.session import settle
 
+#: Queries that a node answers in one task.
+CALLERS = 4096
 EDGE = "node long, other long, score double, fresh boolean"
 
 
@@ -242,15 +244,17 @@ def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, params: Graph
     its neighbours with all queries that came. ``fresh`` marks what is not visited yet.
     """
     found = settle(edges.join(queries, "node", "left_semi").withColumn("fresh", F.lit(True)))
-    adjacent = settle(with_vectors(neighbourhoods(edges, params.degree, -1), edges, nodes, params.degree).select(
-        "at", "node", "code", "scale", F.lit(float("-inf")).alias("worst"), F.lit(False).alias("asks")))
+    near = neighbourhoods(edges, params.degree, -1)
     for _ in range(params.steps):
-        asking = with_vectors(found.where("fresh").select(F.col("other").alias("at"), "node"), found, nodes, params.degree).select(
-            "at", "node", "code", "scale", "worst", F.lit(True).alias("asks"))
-        # Who asks comes in pieces, so that a node that many queries visit is no single group.
-        dealt = asking.withColumn("piece", F.pmod(F.xxhash64("node"), F.lit(8))).unionByName(
-            adjacent.join(asking.select("at").distinct(), "at", "left_semi").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))))
-        dealt = dealt.repartition("at", "piece").sortWithinPartitions("at", "piece", "asks", "node")
+        asks = found.where("fresh").select(F.col("other").alias("at"), "node")
+        # A node that very many queries visit answers them in pieces.
+        pieces = settle(asks.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / CALLERS).alias("pieces")))
+        asking = with_vectors(asks, found, nodes, params.degree).join(pieces, "at").select(
+            "at", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece"), "node", "code", "scale", "worst", F.lit(True).alias("asks"))
+        asked = with_vectors(near.join(pieces.select("at"), "at", "left_semi"), edges, nodes, params.degree).join(pieces, "at").select(
+            "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "node", "code", "scale",
+            F.lit(0.0).alias("worst"), F.lit(False).alias("asks"))
+        dealt = asking.unionByName(asked).repartition("at", "piece").sortWithinPartitions("at", "piece", "asks", "node")
 
         def compare(batches):
             for batch, starts in whole_groups(batches, ["at", "piece"]):
