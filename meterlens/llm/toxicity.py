@@ -1,33 +1,39 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, from a block-max inverted index.
 
-Features are words and word beginnings. Those that are several times as frequent in toxic
-examples (``lift``) and go with the label (by the log-likelihood ratio over a bounded sample of
-labelled documents) make up the vocabulary; inverse document frequencies come from all documents. The examples' vectors lie in an inverted index cut
-in blocks of examples; each block knows the largest weight of every term, so that a block whose
-bound is below the worst neighbour so far is passed over. The neighbours found are the exact ones.
-Votes weigh by similarity; a logistic curve, fitted on examples that are judged without
-themselves, turns the vote into a probability. The neighbours are the evidence.
-
-Defined cases: a text without any vocabulary term (null and empty ones too) gets the rate among
-such examples; without a labelled row every score is 0. Rows are kept as often as they occur;
-repeated labels of a document count once, toxic if one says so; a null label or id teaches
-nothing; extra columns are ignored. Neighbours that tie come by smaller id.
+Features are words and word beginnings: all that occur in a bounded sample of labelled documents,
+whichever label they go with. Inverse document frequencies come from all documents; a term that
+goes with a label, either one, counts more by the logarithm of its likelihood ratio. The examples'
+vectors lie in an inverted index cut in blocks of examples: terms that many examples carry stand
+in one table, the others in postings. Scores of low precision give each block's largest; only
+examples that reach the ``neighbours``-th of those are scored in full, so the neighbours found are
+the exact ones. Votes weigh by similarity; a logistic curve, fitted on examples that are judged
+without themselves, turns the vote into a probability. The neighbours are the evidence.
+
+Defined cases: a text without any term of the examples (null and empty ones too) gets the rate among
+such examples, drawn to the score of a text without a toxic neighbour; without a row of each label
+every score is 0. Rows are kept as often as they occur; repeated labels of a document count once,
+toxic if one says so; a null label or id teaches nothing; extra columns are ignored. Neighbours
+that tie come by smaller id.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.llm.common import crc_remainder, map_batches, unit_hash
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: Terms in the table, texts searched at a time, and more than low precision can be wrong by.
+TABLED, TOGETHER, MARGIN = 768, 128, 1e-4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
 
 
@@ -36,11 +42,6 @@ class ToxicityParams:
     #: Bounds of the sample of labelled documents, by label (expected numbers).
     toxic_examples: int = 2000
     clean_examples: int = 4000
-    terms: int = 600
-    support: int = 6
-    least_ratio: float = 12.0
-    #: Times as frequent among toxic examples as among clean ones, at least.
-    lift: float = 5.0
     neighbours: int = 15
     block: int = 64
     doubt: float = 0.25
@@ -54,7 +55,7 @@ def features(word: str) -> list[str]:
 
 
 class Vocabulary(dict):
-    """Numbers of the vocabulary terms that a word carries."""
+    """Numbers of the terms that a word carries."""
 
     def __init__(self, terms: list[str]):
         super().__init__()
@@ -68,69 +69,114 @@ class Vocabulary(dict):
             self[word] = found
         return found
 
-    def counts(self, text: str | None) -> Counter:
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text in order, and how often each occurs."""
         found = map(self.__getitem__, WORDS.findall(text.lower())) if text else ()
-        return Counter([i for some in found if some for i in some])
+        return np.unique(np.fromiter(chain.from_iterable(found), np.int64), return_counts=True)
 
 
-def vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms = np.array(sorted(counts), np.int64)
-    weights = (1 + np.log([counts[t] for t in terms.tolist()])) * idf[terms] if len(terms) else np.zeros(0)
+class Shared:
+    """Terms for all tasks; a Python worker makes their vocabulary once."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
+
+    @cached_property
+    def words(self) -> Vocabulary:
+        return Vocabulary(self.terms)
+
+
+def vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weights = (1 + np.log(counts)) * idf[terms]
     length = np.sqrt((weights * weights).sum())
     return terms, weights / length if length else weights
 
 
 class BlockMaxIndex:
-    """Postings by block of examples and term, and each term's largest weight in each block."""
+    """The examples' vectors by example, by term, and the most frequent terms as a table."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], n_terms: int, block: int):
-        # Examples with the same strongest term stand together, which sharpens the bounds.
-        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))
-        self.ids, self.order, self.block = np.array([ids[i] for i in order], np.int64), np.array(order, np.int64), block
-        self.blocks = -(-len(order) // block)
-        self.bounds = np.zeros((n_terms, self.blocks))
-        gathered: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
-                gathered.setdefault((place // block, t), []).append((place % block, w))
-                self.bounds[t, place // block] = max(self.bounds[t, place // block], w)
-        self.postings = {k: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for k, v in gathered.items()}
+        self.ids, self.n_terms, self.block = np.array(ids, np.int64), n_terms, block
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)]).astype(np.int64)
+        self.terms = np.concatenate([np.zeros(0, np.int32), *[t.astype(np.int32) for t, _ in vectors]])
+        self.weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    @cached_property
+    def tables(self):
+        """Place of each term in the table (-1: none), the table, and where each other term's postings start."""
+        frequency = np.bincount(self.terms, minlength=self.n_terms)
+        often = np.argsort(-frequency, kind="stable")[:TABLED]
+        place = np.full(self.n_terms, -1, np.int64)
+        place[often] = np.arange(len(often))
+        owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
+        table = np.zeros((len(often), -(-len(self.ids) // self.block) * self.block), np.float32)
+        tabled = place[self.terms] >= 0
+        table[place[self.terms[tabled]], owner[tabled]] = self.weights[tabled]
+        rest = np.flatnonzero(~tabled)
+        rest = rest[np.argsort(self.terms[rest], kind="stable")]
+        offsets = np.concatenate([[0], np.cumsum(np.where(place >= 0, 0, frequency))])
+        return place, table, offsets, owner[rest], self.weights[rest], np.zeros(self.n_terms)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int, int]]:
         """The k examples of the largest cosine: (cosine, id, number of the example); all positive."""
-        bounds = weights @ self.bounds[terms]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                found = self.postings.get((b, t))
-                if found is not None:
-                    scores[found[0]] += w * found[1]
-            scores = np.round(scores, 12)
-            hit = np.flatnonzero(scores > 0)
-            if len(best) == k:
-                hit = hit[scores[hit] >= best[-1][0]]
-            place = hit + b * self.block
-            best += [(s, i, n) for s, i, n in zip(scores[hit].tolist(), self.ids[place].tolist(), self.order[place].tolist()) if n != without]
-            best.sort(key=lambda x: (-x[0], x[1], x[2]))
-            del best[k:]
-        return best
-
-
-class ToxicityModel:
+        return self.nearest_many([(terms, weights)], k, [without])[0]
+
+    def nearest_many(self, vectors, k: int, without: list[int | None] | None = None) -> list[list[tuple[float, int, int]]]:
+        if not len(self.ids):
+            return [[] for _ in vectors]
+        place, table, offsets, owner, posted, query = self.tables
+        found, more = [], k + (without is not None)
+        for at in range(0, len(vectors), TOGETHER):
+            some = vectors[at:at + TOGETHER]
+            dense = np.zeros((len(some), len(table)), np.float32)
+            for row, (terms, weights) in zip(dense, some):
+                tabled = place[terms] >= 0
+                row[place[terms[tabled]]] = weights[tabled]
+            low = dense @ table
+            for i, (terms, weights) in enumerate(some):
+                counts = offsets[terms + 1] - offsets[terms]
+                ends = np.cumsum(counts)
+                if len(ends) and ends[-1]:
+                    spread = np.repeat(offsets[terms] - ends + counts, counts) + np.arange(ends[-1])
+                    low[i] += np.bincount(owner[spread], posted[spread] * np.repeat(weights, counts), low.shape[1])
+                largest = low[i].reshape(-1, self.block).max(axis=1)
+                least = np.partition(largest, len(largest) - more)[len(largest) - more] if len(largest) >= more else 0
+                hit = np.flatnonzero(low[i] > max(0.0, least - 2 * MARGIN))
+                if len(hit) > more:
+                    least = np.partition(low[i][hit], len(hit) - more)[len(hit) - more]
+                    hit = hit[low[i][hit] >= least - 2 * MARGIN]
+                if without is not None:
+                    hit = hit[hit != (-1 if without[at + i] is None else without[at + i])]
+                query[terms] = weights
+                counts = self.starts[hit + 1] - self.starts[hit]
+                ends = np.cumsum(counts)
+                spread = np.repeat(self.starts[hit] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+                exact = np.round(np.add.reduceat(self.weights[spread] * query[self.terms[spread]], ends - counts), 12) if len(hit) else np.zeros(0)
+                query[terms] = 0.0
+                order = np.lexsort((hit, self.ids[hit], -exact))[:k]
+                found.append([(s, d, n) for s, d, n in zip(exact[order].tolist(), self.ids[hit[order]].tolist(), hit[order].tolist()) if s > 0])
+        return found
+
+
+class ToxicityModel(Shared):
     def __init__(self, terms, idf, vectors, ids, labels, weights, params: ToxicityParams):
-        self.params, self.terms, self.idf = params, terms, idf
+        super().__init__(terms)
+        self.params, self.idf = params, idf
         self.labels, self.weights = np.array(labels, float), np.array(weights, float)
         used = [i for i, v in enumerate(vectors) if len(v[0])]
         self.number = np.array(used, np.int64)
         self.prior = float((self.labels * self.weights).sum() / self.weights.sum())
-        rest = [i for i, v in enumerate(vectors) if not len(v[0])]
-        self.without_terms = float(((self.labels * self.weights)[rest].sum() + 0.5 * self.prior) / (self.weights[rest].sum() + 0.5))
         self.index = BlockMaxIndex([vectors[i] for i in used], [ids[i] for i in used], len(terms), params.block)
-        votes = np.array([self.vote(self.index.nearest(*vectors[i], params.neighbours, n)) for n, i in enumerate(used)])
+        votes = np.array([self.vote(f) for f in self.index.nearest_many([vectors[i] for i in used], params.neighbours, list(range(len(used))))])
         self.slope, self.shift = fit_curve(votes, self.labels[used], self.weights[used])
+        rest = [i for i, v in enumerate(vectors) if not len(v[0])]
+        self.without_terms = float(((self.labels * self.weights)[rest].sum() + 0.5 * self.curve(0.0)) / (self.weights[rest].sum() + 0.5))
 
     def vote(self, found: list[tuple[float, int, int]]) -> float:
         near = self.number[[n for *_, n in found]] if found else np.zeros(0, np.int64)
@@ -138,11 +184,13 @@ class ToxicityModel:
         doubt = self.params.doubt
         return float((mass @ self.labels[near] + doubt * self.prior) / (mass.sum() + doubt))
 
-    def score(self, counts: Counter) -> tuple[float, list[tuple[float, int, int]]]:
-        if not counts:
-            return self.without_terms, []
-        found = self.index.nearest(*vector(counts, self.idf), self.params.neighbours)
-        return float(1 / (1 + np.exp(-(self.slope * (self.vote(found) - 0.5) + self.shift)))), found
+    def curve(self, vote: float) -> float:
+        return float(1 / (1 + np.exp(-(self.slope * (vote - 0.5) + self.shift))))
+
+    def score_many(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int, int]]]]:
+        vectors = [vector(*self.words.counts(t), self.idf) for t in texts]
+        found = self.index.nearest_many(vectors, self.params.neighbours)
+        return [(self.curve(self.vote(f)) if len(v[0]) else self.without_terms, f) for v, f in zip(vectors, found)]
 
 
 def fit_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -178,56 +226,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams)
     return rows, {k: max(1.0, counts[k] / wanted[k]) for k in counts}
 
 
-def choose_terms(rows: DataFrame, params: ToxicityParams) -> list[str]:
-    """Features that go with the label, the strongest first."""
+def terms_of(rows: DataFrame) -> list[str]:
+    """All features of the sample."""
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        toxic, clean, docs = Counter(), Counter(), Counter()
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            found = {f for w in set(WORDS.findall(text.lower())) if len(w) <= 64 for f in features(w)} if text else set()
-            (toxic if label else clean).update(found)
-            docs[label] += 1
-        toxic[""], clean[""] = docs[1], docs[0]
-        names = sorted(set(toxic) | set(clean))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names), pa.array([toxic[n] for n in names], pa.int64()), pa.array([clean[n] for n in names], pa.int64())],
-            names=["term", "toxic", "clean"])
-
-    counted = map_batches(rows.select("text", "toxic"), count, "term string, toxic long, clean long").groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    total = counted.where("term = ''").withColumnsRenamed({"a": "n1", "b": "n0"}).drop("term")
-    # One row of totals.
-    row = total.first()
-    if row is None or not row["n1"] or not row["n0"]:
-        return []
-    n1, n0 = float(row["n1"]), float(row["n0"])
-    a, b = F.col("a"), F.col("b")
-    rate = (a + b) / (n1 + n0)
+    def list_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = {w for t in batch.column("text").to_pylist() if t for w in WORDS.findall(t.lower())}
+        return pa.RecordBatch.from_arrays([pa.array(sorted({f for w in words if len(w) <= 64 for f in features(w)}), pa.string())], names=["term"])
 
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    ratio = 2 * (part(a, n1 * rate) + part(b, n0 * rate) + part(n1 - a, n1 * (1 - rate)) + part(n0 - b, n0 * (1 - rate)))
-    chosen = counted.where((F.col("term") != "") & (a >= params.support) & (a / n1 >= params.lift * b / n0)).withColumn("ratio", ratio)
-    return [r["term"] for r in chosen.where(F.col("ratio") >= params.least_ratio)
-            .orderBy(F.desc("ratio"), "term").limit(params.terms).collect()]
+    # As many as the bounded sample has.
+    return sorted(map_batches(rows.select("text"), list_terms, "term string").distinct().toArrow().column("term").to_pylist())
 
 
-def inverse_frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
+def inverse_frequencies(docs: DataFrame, terms: Broadcast, n_terms: int) -> np.ndarray:
     """Over all documents."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, seen = Vocabulary(terms), Counter()
-        for text in batch.column("text").to_pylist():
-            seen.update(set(words.counts(text)))
-        seen[-1] = batch.num_rows
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+        words = terms.value.words
+        found = [words.counts(t)[0] for t in batch.column("text").to_pylist()]
+        names, seen = np.unique(np.concatenate([*found, np.full(batch.num_rows, -1)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(seen, pa.int64())], names=["term", "n"])
 
     # At most one row a term.
-    rows = map_batches(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
-    n = found.get(-1, 0)
-    return np.array([np.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in range(len(terms))])
+    rows = map_batches(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(n_terms + 1)
+    seen[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    return np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
+
+
+def emphasis(terms: list[np.ndarray], labels: list[int], n_terms: int) -> np.ndarray:
+    """1 for a term that is as frequent in either label's examples, else more; no term gets less."""
+    toxic = np.array(labels) == 1
+    n1, n0 = float(toxic.sum()), float((~toxic).sum())
+    a, b = (np.bincount(np.concatenate([np.zeros(0, np.int64), *[t for t, x in zip(terms, toxic) if x == label]]), minlength=n_terms)
+            for label in (True, False))
+    rate = (a + b) / (n1 + n0)
+
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-9)), 0.0)
+
+    ratio = 2 * (part(a, n1 * rate) + part(b, n0 * rate) + part(n1 - a, n1 * (1 - rate)) + part(n0 - b, n0 * (1 - rate)))
+    return 1 + np.log1p(np.maximum(ratio, 0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel | None:
@@ -236,22 +274,25 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     if sample is None:
         return None
     rows, weight = sample
-    terms = choose_terms(rows, params)
-    if not terms:
+    terms = terms_of(rows)
+    labels_seen = {r["toxic"] for r in rows.select("toxic").distinct().collect()}
+    if not terms or labels_seen != {0, 1}:
         return None
-    idf = inverse_frequencies(docs, terms)
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(terms))  # bounded by the sample
+    idf = inverse_frequencies(docs, shared, len(terms))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Vocabulary(terms)
-        found = [words.counts(t) for t in batch.column("text").to_pylist()]
+        found = [shared.value.words.counts(t) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.int64())),
-             pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "n"])
-
-    # The sample's rows, each with at most as many numbers as there are terms.
-    examples = map_batches(rows.select("doc_id", "toxic", "text"), count, "doc_id long, toxic long, terms array<long>, n array<long>").collect()
-    examples.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    vectors = [vector(Counter(dict(zip(r["terms"], r["n"]))), idf) for r in examples]
+            [batch.column("doc_id"), batch.column("toxic"), pa.array([t.astype(np.int32).tobytes() for t, _ in found], pa.binary()),
+             pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], names=["doc_id", "toxic", "terms", "n"])
+
+    # The sample's rows, eight bytes for each of their terms.
+    examples = map_batches(rows.select("doc_id", "toxic", "text"), count, "doc_id long, toxic long, terms binary, n binary").toArrow().to_pylist()
+    examples.sort(key=lambda r: (r["doc_id"], r["terms"], r["n"]))
+    found = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in examples]
+    idf *= emphasis(found, [r["toxic"] for r in examples], len(terms))
+    vectors = [vector(t, np.frombuffer(r["n"], np.int32), idf) for t, r in zip(found, examples)]
     return ToxicityModel(terms, idf, vectors, [r["doc_id"] for r in examples], [r["toxic"] for r in examples],
                          [weight[r["toxic"]] for r in examples], params)
 
@@ -259,18 +300,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 def score_texts(docs: DataFrame, model: ToxicityModel | None, params: ToxicityParams) -> DataFrame:
     """Score every whole text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the parameters
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
     held = (crc_remainder("doc_id", params.fold) == params.held_out).alias("held_out")
-    kept: dict[int, Vocabulary] = {}
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.value
-        words = kept.setdefault(0, Vocabulary(model.terms if model else []))
-        scores, near = [], []
-        for text in batch.column("text").to_pylist():
-            value, found = model.score(words.counts(text)) if model else (0.0, [])
-            scores.append(value)
-            near.append(found)
+        texts = batch.column("text").to_pylist()
+        found = shared.value.score_many(texts) if shared.value else [(0.0, [])] * len(texts)
+        scores, near = [s for s, _ in found], [f for _, f in found]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()),
              pa.array([int(s >= params.threshold) for s in scores], pa.int32()),
@@ -290,11 +326,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
     model = fit(docs, labels, params)
     if model is None:
         return docs
-    shared, kept = docs.sparkSession.sparkContext.broadcast(model), {}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = kept.setdefault(0, Vocabulary(shared.value.terms))
-        return batch.filter(pa.array([shared.value.score(words.counts(t))[0] < params.threshold
-                                      for t in batch.column("text").to_pylist()]))
+        return batch.filter(pa.array([s < params.threshold for s, _ in shared.value.score_many(batch.column("text").to_pylist())]))
 
     return map_batches(docs, judge, docs.schema)

@@ -147,3 +147,15 @@ def test_context_sums_against_a_plain_count(spark):
                 if i != j and abs(i - j) <= params.reach:
                     want[a, places[b]] += signs[b]
     assert np.array_equal(sums, want) and np.array_equal(counts, seen)
+
+
+def test_toxicity_searches_by_all_terms(spark):
+    # Words of clean examples only: their texts are searched too, and the nearest shares the rarest words.
+    good = [(i, f"some plain words number {'abcdefghij'[i % 10] * 8} here") for i in range(200)]
+    bad = [(1000 + i, "grubword grubword and nothing else") for i in range(100)]
+    docs = documents(spark, good + bad + [(5000, "plain words bbbbbbbb")], extra=False)
+    marks = spark.createDataFrame([(i, 1, int(i >= 1000)) for i, _ in good + bad], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.toxicity(docs, marks).collect()}
+    assert all(found[i]["neighbours"] for i in found)
+    near = found[5000]["neighbours"][:5]
+    assert near and all(i % 10 == 1 and i < 200 for i in near) and found[5000]["predicted"] == 0
