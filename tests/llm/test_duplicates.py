@@ -234,3 +234,20 @@ def test_leak_defined_cases(spark):
     assert templates.find_leaks(empty_documents(spark), items).count() == 0
     kept = templates.drop_leaks(docs, items)
     assert kept.columns == docs.columns and kept.count() == 12
+
+
+FILL = "and so it went on for a good while before anybody noticed anything at all"
+
+
+def held_items(spark, items, texts):
+    found = templates.find_leaks(documents(spark, list(enumerate(texts)), extra=False), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]) for r in found.collect()}
+
+
+def test_leaks_of_number_heavy_and_tiny_items(spark):
+    items = [(1, "What is 345 plus 128 minus 27?"), (2, "Solve 3 x + 4 y = 10 and 2 x - 5 y = 7"),
+             (3, "Compute 12 + 7 * 3 - 44 / 11 + 96 - 5 * 8 + 13"), (4, "Factor 391")]
+    assert held_items(spark, items, [f"{FILL}. {t} {FILL}." for _, t in items]) == {(k, k + 1) for k in range(4)}
+    # With other numbers: where enough words are left it is a re-parameterised question.
+    others = ["What is 17 plus 99 minus 4?", "Solve 8 x + 9 y = 11 and 6 x - 3 y = 1", "Compute 1 + 2 * 4 - 5 / 6 + 7 - 9 * 10 + 14", "Factor 392"]
+    assert held_items(spark, items, [f"{FILL}. {t} {FILL}." for t in others]) == {(0, 1), (1, 2)}
