@@ -1,15 +1,15 @@
 """Benchmark decontamination by template windows.
 
-Numbers, names (capitalised words inside a sentence) and units (after a number) become typed
+Numbers, names (capitalised words; several in a row are one) and units (after a number) become typed
 placeholders, other words are lower-cased. A window is the shortest stretch from a token on, or up
 to a token, of at least ``window`` such tokens with at least ``literals`` words: number-heavy text has
 longer windows. Windows are hash-joined between benchmark and documents. Where a window matches, its
 slots tell what the document put in the place of each value. A match counts if its slots are the
 item's own, or if over the whole alignment (document, item, reading, shift) each value of the item
-became one value and no two became the same: a re-parameterised question. A document holds an item if the windows that count
+became one value: a re-parameterised question. A document holds an item if the windows that count
 cover ``tokens`` of its tokens (all, if it has fewer).
 
-An item
+A capitalised word that begins a sentence may be a name or not, so texts are read both ways. An item
 shorter than a window, or with ``few`` words or more but fewer than ``literals`` in all, is one window
 of its length (from ``shortest`` tokens on). Windows of ``window`` tokens with fewer words, and whole
 items shorter than that with fewer words, are looked for token by token: as verbatim copies, not as
@@ -45,8 +45,8 @@ months year years percent degree degrees dollar dollars euro euros cent cents vo
 joules newton newtons byte bytes kb mb gb meter meters metre metres
 """.split())
 LITERAL, TITLE, NUMBER, MARK, UNIT = range(5)
-#: Windows of templates, of every token as it is, and whole items as templates.
-WORDS, VERBATIM, WORDS_WHOLE = 0, 2, 3
+#: Sentence starts as words, as names, or every token as it is; the first two for whole items too.
+WORDS, NAMES, VERBATIM, WORDS_WHOLE, NAMES_WHOLE = range(5)
 STEP = 0xD1342543DE82EF95
 SCHEMA = "id long, reading int, pos int, size int, hash long, slots array<long>, place int, span int, n_tokens int"
 
@@ -96,7 +96,10 @@ class Stream:
 
     def __init__(self, reading: int, n_texts: int, owner, value, slot, initial):
         self.reading = reading
+        # A name goes on where a capitalised word follows in the same sentence.
         joined = np.zeros(len(owner), bool)
+        if reading != VERBATIM:
+            joined[1:] = (slot[1:] == 3) & (slot[:-1] == 3) & (owner[1:] == owner[:-1]) & ~initial[1:]
         head = np.flatnonzero(~joined)
         counts = np.bincount(owner, minlength=n_texts)
         raw = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
@@ -155,8 +158,8 @@ def streams_of(texts: list[str | None], codes: Codes) -> list[Stream]:
     slot = np.where(kind == NUMBER, 1, np.where((kind == UNIT) & (before == NUMBER), 2, 0))
     keep = kind != MARK
     owner, value, initial, title, slot = (x[keep] for x in (owner, value, initial, title, slot))
-    words = np.where(title & ~initial, 3, slot)
-    return [Stream(r, len(texts), owner, value, s, initial) for r, s in ((WORDS, words), (VERBATIM, words))]
+    words, names = np.where(title & ~initial, 3, slot), np.where(title, 3, slot)
+    return [Stream(r, len(texts), owner, value, s, initial) for r, s in ((WORDS, words), (NAMES, names), (VERBATIM, words))]
 
 
 def item_windows(stream: Stream, params: TemplateParams):
@@ -203,7 +206,7 @@ def window_rows(df: DataFrame, id_column: str, params: TemplateParams,
         allowed = np.unpackbits(shared.value).view(bool) if shared is not None else None
         for batch in batches:
             streams = streams_of(batch.column("text").to_pylist(), codes)
-            tokens = streams[-1].tokens
+            tokens = streams[VERBATIM].tokens
             for stream in streams:
                 for reading, at, size in item_windows(stream, params) if sizes is None else document_windows(stream, params, sizes):
                     hashes = stream.hashes(at, size, reading)
@@ -254,8 +257,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: TemplateParams = T
     aligned = paired.groupBy("doc_id", "item_id", "reading", "shift", "item_tokens").agg(
         F.collect_set(F.struct("pos", "size", "same")).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    one_each = ((F.size(F.array_distinct("slots.item")) == F.size("slots"))
-                & (F.size(F.array_distinct("slots.doc")) == F.size("slots")))
+    one_each = F.size(F.array_distinct("slots.item")) == F.size("slots")
 
     def covered(column):
         return F.flatten(F.transform(column, lambda w: F.sequence(w["pos"], w["pos"] + w["size"] - 1)))

@@ -251,3 +251,12 @@ def test_leaks_of_number_heavy_and_tiny_items(spark):
     # With other numbers: where enough words are left it is a re-parameterised question.
     others = ["What is 17 plus 99 minus 4?", "Solve 8 x + 9 y = 11 and 6 x - 3 y = 1", "Compute 1 + 2 * 4 - 5 / 6 + 7 - 9 * 10 + 14", "Factor 392"]
     assert held_items(spark, items, [f"{FILL}. {t} {FILL}." for t in others]) == {(0, 1), (1, 2)}
+
+
+def test_leaks_with_names_changed_at_sentence_starts(spark):
+    items = [(1, "Anna has 3 apples. Ben has 5 apples. Carl has 12 apples. How many apples in total?")]
+    texts = ["Dora has 3 apples. Emil has 5 apples. Fritz has 12 apples. How many apples in total?",
+             "Mary Ann has 3 apples. Ben has 5 apples. Carl Otto has 12 apples. How many apples in total?",
+             "Anna has 7 apples. Ben has 5 apples. Carl has 7 apples. How many apples in total?",
+             "Anna has 3 pears. Ben sold 5 boats. Carl ate 12 plums. How many days are there?"]
+    assert held_items(spark, items, [f"{FILL}. {t} {FILL}." for t in texts]) == {(0, 1), (1, 1), (2, 1)}
