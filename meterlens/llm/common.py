@@ -78,15 +78,24 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
 
 
-def one_row_an_id(docs: DataFrame) -> DataFrame:
-    """Of rows that share an id the one whose text has the least hash; where ids are unique nothing moves."""
-    same, many = free_name(docs, "_same"), free_name(docs, "_many")
-    repeated = settle(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > 1).withColumnRenamed("doc_id", same))
+def drop_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents without those whose id and ``xxhash64`` of the text are in ``rows`` (doc_id, key; null is an id)."""
+    gone, hashed = free_name(docs, "_gone"), free_name(docs, "_hashed")
+    rows = rows.select(F.col("doc_id").alias(gone), F.col("key").alias(hashed)).distinct()
+    return docs.join(rows, docs["doc_id"].eqNullSafe(F.col(gone)) & (F.xxhash64(docs["text"]) == F.col(hashed)), "left_anti")
+
+
+def one_row_a_text(docs: DataFrame) -> DataFrame:
+    """Of rows that share id and text the one of the least hash; where ids are unique nothing moves."""
+    same, hashed, many = (free_name(docs, n) for n in ("_same", "_hashed", "_many"))
+    keyed = docs.withColumn(hashed, F.xxhash64("text"))
+    repeated = settle(keyed.groupBy("doc_id", hashed).agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > 1).select(
+        F.col("doc_id").alias(same), F.col(hashed).alias(f"{hashed}_same"), many))
     if repeated.isEmpty():
         return docs
-    marked = docs.join(repeated, docs["doc_id"].eqNullSafe(F.col(same)), "left")
-    first = marked.where(F.col(many).isNotNull()).groupBy("doc_id").agg(
-        F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("row"))
+    marked = keyed.join(repeated, keyed["doc_id"].eqNullSafe(F.col(same)) & (F.col(hashed) == F.col(f"{hashed}_same")), "left")
+    first = marked.where(F.col(many).isNotNull()).groupBy("doc_id", hashed).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
     return marked.where(F.col(many).isNull()).select(*docs.columns).unionByName(first.select("row.*"))
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import drop_ids, map_batches, one_row_an_id, small_batches
+from meterlens.llm.common import drop_texts, map_batches, one_row_a_text, small_batches
 from meterlens.llm.graph import components
 from meterlens.session import settle
 
@@ -53,13 +53,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, print) of every whole text, the print as a signed number."""
+    """(doc_id, key, print) of every whole text: a hash of the text, and the print as a signed number."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints.view(np.int64))],
+                                          names=["doc_id", "key", "print"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, print long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")), run, "doc_id long, key long, print long")
 
 
 def references() -> list[int]:
@@ -156,8 +157,8 @@ def links(classes: DataFrame, distance: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
+def grouped(docs: DataFrame, words: int, distance: int) -> DataFrame:
+    """(doc_id, node, key, print, least, least_key) of every row: its id, that or NO_ID, a hash of its text, and its group's smallest node and key."""
     if distance > 3:
         raise ValueError("five blocks of which two agree need a distance of 3 or less")
     prints = settle(fingerprints(docs, words).withColumn("node", F.coalesce("doc_id", F.lit(NO_ID))))
@@ -169,18 +170,29 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
             out = out.bitwiseOR(F.shiftleft(d, 8 * i))
         return out
 
-    classes = settle(prints.groupBy("print").agg(F.min("node").alias("node")).select(
-        "node", "print", packed(tables[:8]).alias("t0"), packed(tables[8:]).alias("t1")))
-    found = components(links(classes, distance))
-    # Classes link by their smallest documents, so the smallest node is the smallest document.
-    labelled = classes.select("node", "print").join(found, "node", "left").select(
-        "print", F.coalesce("component", "node").alias("component"))
-    return prints.join(settle(labelled), "print").select(
+    # Classes are told apart by their print: an id can have texts in several.
+    classes = settle(prints.groupBy("print").agg(F.min(F.struct("node", "key")).alias("first")).select(
+        F.col("print").alias("node"), "print", "first", packed(tables[:8]).alias("t0"), packed(tables[8:]).alias("t1")))
+    found = components(links(classes.drop("first"), distance))
+    labelled = settle(classes.select("node", "print", "first").join(found, "node", "left").select(
+        "print", "first", F.coalesce("component", "node").alias("group")))
+    firsts = labelled.groupBy("group").agg(F.min("first").alias("least"))
+    named = labelled.select("print", "group").join(firsts, "group").select(
+        "print", F.col("least.node").alias("least"), F.col("least.key").alias("least_key"))
+    return prints.join(settle(named), "print")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; a component has the smallest id of its rows."""
+    return grouped(docs, words, distance).select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
-        F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"))
+        F.nullif(F.col("least"), F.lit(NO_ID)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """The documents, all columns, of which each group keeps that of the smallest id (one row of it)."""
-    found = near_duplicates(docs, words, distance)
-    return one_row_an_id(drop_ids(docs, settle(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))))
+    """The documents, all columns, of which each group keeps its smallest by id and hash of the text (one row of it).
+
+    Rows are told apart by id and text: other texts of an id, or without one, are documents of their own.
+    """
+    gone = grouped(docs, words, distance).where((F.col("node") != F.col("least")) | (F.col("key") != F.col("least_key")))
+    return one_row_a_text(drop_texts(docs, settle(gone.select("doc_id", "key"))))

@@ -260,3 +260,16 @@ def test_leaks_with_names_changed_at_sentence_starts(spark):
              "Anna has 7 apples. Ben has 5 apples. Carl has 7 apples. How many apples in total?",
              "Anna has 3 pears. Ben sold 5 boats. Carl ate 12 plums. How many days are there?"]
     assert held_items(spark, items, [f"{FILL}. {t} {FILL}." for t in texts]) == {(0, 1), (1, 1), (2, 1)}
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    # Id 5 has a text in two groups, and rows without id hold two texts; each group keeps one row.
+    docs = documents(spark, [(1, b), (5, a), (5, a), (5, b), (7, a), (None, c), (None, d), (9, d)])
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", b), ("5", a), ("None", c), ("None", d)])
+    found = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    prints = {t: f"{plain_fingerprint(t):016x}" for t in (a, b, c, d)}
+    assert found == {(1, prints[b], 1), (5, prints[b], 1), (5, prints[a], 5), (7, prints[a], 5),
+                     (None, prints[c], None), (None, prints[d], None), (9, prints[d], None)}
