@@ -1,13 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Pieces are merged as the model file says: an agenda holds candidate merges by score (ties: the
-left one first). A candidate that comes up is skipped if a hash of (seed, variant, unit, place)
-falls below ``dropout``; it comes up again only as part of another candidate. ``dropout=0`` gives
-the model's own segmentation. No piece of a merge-type model holds a blank after another
-character nor a line break, so a text is cut into units there without changing any merge. Each
-occurrence of a unit draws one of ``variants`` numbers from (seed, document, place), which is all
-that its merges depend on besides its text: segmentations vary from place to place, are the same
-in every run, and can be kept for later occurrences.
+left one first). A candidate that comes up is skipped if a hash of (seed, document, place of the
+unit, place in the unit) falls below ``dropout``; it comes up again only as part of another
+candidate. ``dropout=0`` gives the model's own segmentation. No piece of a merge-type model holds a
+blank after another character nor a line break, so a text is cut into units there without changing
+any merge. Every occurrence of a unit decides for itself. Only the model's own segmentation of a
+unit is kept, with its merges: an occurrence that skips none of them takes it, the others are
+merged one by one.
 
 Decoding gives the text back byte by byte. U+2581, which the model uses for a blank, is written
 as byte pieces where a text holds it, as are characters without a piece.
@@ -46,8 +46,7 @@ class PieceParams:
     model: str = "/opt/tokenizers/piece_bpe_32k.model"
     dropout: float = 0.1
     seed: int = 17
-    variants: int = 4
-    #: Segmentations kept in a Python worker; beyond that they are forgotten and made again.
+    #: Units whose own segmentation is kept in a Python worker; beyond that they are forgotten and made again.
     kept: int = 500_000
 
 
@@ -88,7 +87,9 @@ class PieceModel:
         if not all(self.bytes_of):
             raise ValueError("the model has no byte pieces, so decoding would lose characters")
         self.limit = int(params.dropout * 2.0**64)
-        self.tables: list[dict[str, bytes]] = [{} for _ in range(params.variants)]
+        #: Ids of units without dropout (a draw of 0), and the places of the merges that make them.
+        self.tables: list[dict[str, bytes]] = [{}]
+        self.places: dict[str, np.ndarray] = {}
         self._index_pairs(model)
 
     def _index_pairs(self, model) -> None:
@@ -132,40 +133,44 @@ class PieceModel:
             other = self.far[self._slot(want[miss], self.turn, 20)]
             found[miss] = np.where(self.pair_key[other] == want[miss], other, -1)
         order = np.where(found >= 0, self.pair_order[found], NEVER)
-        if self.limit:
+        if key is not None:
             place = (left.astype(np.uint64) << np.uint64(32)) | ((middle.astype(np.uint64) << np.uint64(16)) ^ stop.astype(np.uint64))
             order[mixed_array(key ^ place) < np.uint64(min(self.limit, MASK))] = NEVER
         return order, self.pair_made[found]
 
-    def segment_many(self, units: list[str], variant: int) -> None:
-        """The same as ``segment`` for many short units at once, one merge of each unit a step."""
-        table, by_length = self.tables[variant], {}
-        for u in units:
+    def segment_many(self, units: list[str], draws: np.ndarray | None) -> tuple[list[bytes], list[np.ndarray]]:
+        """The same as ``segment`` for many short units at once, one merge of each unit a step; without draws also the places of merges."""
+        out, merged, by_length = [b""] * len(units), [np.zeros(0, np.uint64)] * len(units), {}
+        for i, u in enumerate(units):
             if len(u) > SHORT or u == BLANK:
-                table[u] = self.segment(u, variant)
+                places: list[int] = []
+                out[i] = self.segment(u, int(draws[i]) if draws is not None else 0, places)
+                merged[i] = np.array(places, np.uint64)
             else:
-                by_length.setdefault(len(u), []).append(u)
+                by_length.setdefault(len(u), []).append(i)
         for n, same in by_length.items():
             for at in range(0, len(same), 8192):
-                self._merge(same[at:at + 8192], n, variant)
+                self._merge(units, np.array(same[at:at + 8192]), n, draws, out, merged)
+        return out, merged
 
-    def _merge(self, units: list[str], n: int, variant: int) -> None:
-        table = self.tables[variant]
-        text = "".join(units).replace(" ", BLANK)
+    def _merge(self, units: list[str], which: np.ndarray, n: int, draws: np.ndarray | None, out: list[bytes], merged: list[np.ndarray]) -> None:
+        text = "".join([units[i] for i in which]).replace(" ", BLANK)
         symbols = self.code_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)].reshape(-1, n)
         known = (symbols >= 0).all(axis=1)
         if not known.all():
-            for i in np.flatnonzero(~known):
-                table[units[i]] = self.segment(units[i], variant)
-            units, symbols = [units[i] for i in np.flatnonzero(known)], symbols[known]
-        seed, limit = self.params.seed, self.limit
-        key = mixed_array(np.array([xxhash.xxh64_intdigest(u, seed) for u in units] if limit else [0] * len(units), np.uint64)
-                          ^ np.uint64(variant))[:, None]
-        names, bounds = np.array(units, object), np.tile(np.arange(n + 1, dtype=np.int64), (len(units), 1))
+            for i in which[~known].tolist():
+                places: list[int] = []
+                out[i] = self.segment(units[i], int(draws[i]) if draws is not None else 0, places)
+                merged[i] = np.array(places, np.uint64)
+            which, symbols = which[known], symbols[known]
+        key = draws[which][:, None] if draws is not None else None
+        bounds, steps = np.tile(np.arange(n + 1, dtype=np.int64), (len(which), 1)), np.zeros((len(which), n), np.uint64)
 
         def done(rows):
-            for name, row in zip(names[rows], symbols[rows]):
-                table[name] = row.tobytes()
+            for i, row, made in zip(which[rows].tolist(), symbols[rows], steps[rows]):
+                out[i] = row.tobytes()
+                if draws is None:
+                    merged[i] = made[:n - len(row)].copy()
 
         order, made = self._candidates(symbols[:, :-1], symbols[:, 1:], key, bounds[:, :-2], bounds[:, 1:-1], bounds[:, 2:])
         for width in range(n, 0, -1):
@@ -176,10 +181,14 @@ class PieceModel:
             live = order[np.arange(len(order)), best] < NEVER
             if not live.all():
                 done(~live)
-                symbols, bounds, order, made, key, names, best = (x[live] for x in (symbols, bounds, order, made, key, names, best))
+                symbols, bounds, order, made, which, steps, best = (x[live] for x in (symbols, bounds, order, made, which, steps, best))
+                key = key[live] if key is not None else None
                 if not len(symbols):
                     return
-            line, best = np.arange(len(symbols)), best[:, None]
+            line = np.arange(len(symbols))
+            left, middle, stop = (bounds[line, best + k].astype(np.uint64) for k in range(3))
+            steps[:, n - width] = (left << np.uint64(32)) | ((middle << np.uint64(16)) ^ stop)
+            best = best[:, None]
             new = made[line, best[:, 0]]
             columns = np.arange(width)
             symbols = np.take_along_axis(symbols, columns[:-1] + (columns[:-1] > best), axis=1)
@@ -194,18 +203,18 @@ class PieceModel:
                 rows = np.flatnonzero((at >= 0) & (at < width - 2))
                 at = at[rows]
                 order[rows, at], made[rows, at] = self._candidates(
-                    symbols[rows, at], symbols[rows, at + 1], key[rows, 0], bounds[rows, at], bounds[rows, at + 1], bounds[rows, at + 2])
+                    symbols[rows, at], symbols[rows, at + 1], key[rows, 0] if key is not None else None,
+                    bounds[rows, at], bounds[rows, at + 1], bounds[rows, at + 2])
 
     def by_bytes(self, text: str) -> bytes:
         return b"".join([self.bytes_of[b] for b in text.encode()])
 
-    def segment(self, unit: str, variant: int) -> bytes:
-        """Ids of one unit, four bytes each."""
+    def segment(self, unit: str, draw: int, places: list[int] | None = None) -> bytes:
+        """Ids of one unit, four bytes each; merges are skipped by ``draw``, 0 skips none. Their places go to ``places``."""
         if unit == BLANK:
             return self.by_bytes(unit)
         text, merges, limit = unit.replace(" ", BLANK), self.merges, self.limit
         n = len(text)
-        key = mixed(xxhash.xxh64_intdigest(unit, self.params.seed) ^ variant) if limit else 0
         # Symbol i runs from i to end[i]; 0 where it went into another. before[i]: the symbol to its left.
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
@@ -218,8 +227,11 @@ class PieceModel:
             _, left, middle, stop = heapq.heappop(agenda)
             if end[left] != middle or end[middle] != stop:
                 continue
-            if limit and mixed(key ^ (left << 32 | middle << 16 ^ stop)) < limit:
+            place = left << 32 | middle << 16 ^ stop
+            if draw and limit and mixed(draw ^ place) < limit:
                 continue
+            if places is not None:
+                places.append(place & MASK)
             end[left], end[middle] = stop, 0
             if stop < n:
                 before[stop] = left
@@ -241,22 +253,44 @@ class PieceModel:
 
     def encode_many(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
         """Ids of whole texts."""
-        params, tables = self.params, self.tables
-        for v, table in enumerate(tables):
-            if len(table) > params.kept // params.variants:
-                table.clear()
-        cut, missing = [], [set() for _ in tables]
-        for text, document in zip(texts, documents):
-            units = UNITS.findall(" " + text) if text else []
-            place = np.arange(len(units), dtype=np.uint64) ^ np.uint64(mixed(document ^ params.seed))
-            drawn = (mixed_array(place) % np.uint64(params.variants)).astype(np.uint8).tobytes()
-            cut.append((drawn, units))
-            for v, u in zip(drawn, units):
-                if u not in tables[v]:
-                    missing[v].add(u)
-        for v, units in enumerate(missing):
-            self.segment_many(sorted(units), v)
-        return [np.frombuffer(b"".join([tables[v][u] for v, u in zip(*one)]), "<i4") for one in cut]
+        params, kept = self.params, self.tables[0]
+        if len(kept) > params.kept:
+            kept.clear()
+            self.places.clear()
+        cut = [UNITS.findall(" " + text) if text else [] for text in texts]
+        units = [u for one in cut for u in one]
+        names = sorted(set(units))
+        missing = [u for u in names if u not in kept]
+        for u, ids, places in zip(missing, *self.segment_many(missing, None)):
+            kept[u], self.places[u] = ids, places
+        found = [kept[u] for u in units]
+        if self.limit and units:
+            # One hash a merge of the unit's own segmentation; where none is skipped that is the result.
+            number = {u: i for i, u in enumerate(names)}
+            which = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
+            merges = [self.places[u] for u in names]
+            counts = np.array([len(m) for m in merges], np.int64)
+            flat, starts = np.concatenate(merges), np.cumsum(counts) - counts
+            draws = np.concatenate([mixed_array(np.arange(len(one), dtype=np.uint64) ^ np.uint64(mixed(d ^ params.seed)))
+                                    for one, d in zip(cut, documents)])
+            draws[draws == 0] = 1
+            again = []
+            for at in range(0, len(units), 1 << 18):
+                some = which[at:at + (1 << 18)]
+                many = counts[some]
+                ends = np.cumsum(many)
+                owner = np.repeat(np.arange(len(some)), many)
+                places = flat[np.repeat(starts[some] - ends + many, many) + np.arange(ends[-1])]
+                skipped = mixed_array(draws[at:at + (1 << 18)][owner] ^ places) < np.uint64(min(self.limit, MASK))
+                again.append(np.unique(owner[skipped]) + at)
+            rest = np.concatenate(again)
+            for i, ids in zip(rest.tolist(), self.segment_many([units[i] for i in rest.tolist()], draws[rest])[0]):
+                found[i] = ids
+        out, at = [], 0
+        for one in cut:
+            out.append(np.frombuffer(b"".join(found[at:at + len(one)]), "<i4"))
+            at += len(one)
+        return out
 
     def encode(self, text: str, document: int) -> np.ndarray:
         return self.encode_many([text], [document])[0]

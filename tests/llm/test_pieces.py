@@ -91,3 +91,17 @@ def test_a_model_without_byte_pieces_is_refused():
         patch.setattr(sentencepiece, "SentencePieceProcessor", Bare)
         with pytest.raises(ValueError):
             pieces.PieceModel(b"", pieces.PieceParams())
+
+
+def test_every_occurrence_decides_for_itself():
+    # A frequent unit of several merges has far more than a few segmentations, each that of its own draw.
+    model = pieces.PieceModel(SERIALIZED, pieces.PieceParams())
+    found = [model.encode("information", d).tobytes() for d in range(4000)]
+    draws = [pieces.mixed(pieces.mixed(d ^ model.params.seed)) for d in range(4000)]
+    assert len(set(found)) > 8
+    assert found == [model.segment(" information", d) for d in draws]
+    merges = model.places[" information"]
+    skipped = np.array([[pieces.mixed(d ^ int(m)) < model.limit for m in merges] for d in draws])
+    assert abs(skipped.mean() - 0.1) < 0.01 and abs(skipped.any(axis=1).mean() - (1 - 0.9 ** len(merges))) < 0.03
+    units = [" information"] * 200 + [" é中information"] * 200
+    assert model.segment_many(units, np.array(draws[:400], np.uint64))[0] == [model.segment(u, d) for u, d in zip(units, draws)]
