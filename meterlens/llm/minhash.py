@@ -10,11 +10,13 @@ component is what links reach.
 3. Stars: in every band each class is paired with the band's smallest class, then with the band's
    largest if it is not yet in the same component. That is linear in a band's size and joins
    nearly all there is to join.
-4. The rest: in bands that still hold several components, every two classes of different
-   components are compared by signature, in pieces of ``MEET`` classes, two pieces a task. Pairs of
-   one component say nothing new and are left out, so no link between components is lost there.
-5. A pair survives if sizes allow the similarity and ``AGREE`` minima agree; survivors are then
+4. A pair survives if sizes allow the similarity and ``AGREE`` minima agree; survivors are then
    confirmed on the full sets, made from the whole texts of both.
+5. The rest: classes in bands that still hold several components. One of whose shingles too few
+   stand in any other such set cannot link; that is counted exactly and takes most of them out. In the
+   bands that are left every two classes of different components are compared by size, signature
+   and full set, in the first band that they share, in pieces of ``MEET`` classes, two pieces a
+   task. Pairs of one component say nothing new. A task gives links that span, not all pairs.
 
 Two sets of similarity 0.8 share a band but once in 2e7 pairs, and fail ``AGREE`` but once in 1e8;
 more similar ones less often. Components are found by large-star and small-star.
@@ -38,6 +40,7 @@ from meterlens.llm.graph import components
 from meterlens.session import settle
 
 HASHES, BANDS, ROWS, AGREE, MEET, NO_ID = 128, 32, 4, 75, 2048, -(1 << 63)
+BIT_BYTES = 64 << 20
 SLICE = 2048
 FACTORS, SHIFTS = np.random.default_rng(128).integers(0, (1 << 64) - 1, (2, HASHES, 1), np.uint64)
 FACTORS |= np.uint64(1)
@@ -134,45 +137,120 @@ def labelled(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def star_pairs(banded: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Each class of a band (band, node, n, label) with the band's pivot, if that is of another component."""
+    """Each class of a band (band, place, node, n, label) with the band's pivot, if that is of another component."""
     other = pivots.select("band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
     return banded.join(other, "band").where(F.col("label") != F.col("other_label")).where(sizes_allow(percent)).select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def other_pairs(banded: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes that share a band, are of different components, and agree in ``AGREE`` minima."""
-    mixed = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where(
+def covered(sets: DataFrame, percent: int) -> DataFrame:
+    """Nodes of which enough shingles also stand in another set; others can link with nothing."""
+    listed = sets.select("node", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    common = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("gram")
+    return listed.join(common, "gram").groupBy("node", "n").agg(F.count(F.lit(1)).alias("common")).where(
+        F.lit(100) * F.col("common") >= F.lit(percent) * F.col("n")).select("node")
+
+
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """(node, grams): the hashes of the set of each text, sorted."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t, words)], np.uint64)).view(np.int64)
+                for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    return map_batches(texts.select("node", "text"), run, "node long, grams array<long>")
+
+
+def spanning(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members and the smallest of their group that join what the links (left, right) join."""
+    group = np.arange(n)
+    while len(left):
+        low = np.minimum(group[left], group[right])
+        np.minimum.at(group, group[left], low)
+        np.minimum.at(group, group[right], low)
+        while (group[group] != group).any():
+            group = group[group]
+        new = group[left] != group[right]
+        left, right = left[new], right[new]
+    other = np.flatnonzero(group != np.arange(n))
+    return group[other], other
+
+
+class Sets:
+    """Exact intersections of the sets of one meeting place, by bit sets of their common shingles where those fit."""
+
+    def __init__(self, grams: list[np.ndarray]):
+        self.grams, self.bits = grams, None
+        codes, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *grams]), return_counts=True)
+        codes = codes[counts > 1]
+        words = -(-len(codes) // 64)
+        if len(grams) * words * 8 <= BIT_BYTES:
+            self.bits = np.zeros((len(grams), words), np.uint64)
+            for row, own in zip(self.bits, grams):
+                place = np.searchsorted(codes, own)
+                place = place[(place < len(codes)) & (codes[np.minimum(place, len(codes) - 1)] == own)] if len(codes) else place[:0]
+                np.bitwise_or.at(row, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.array([len(np.intersect1d(self.grams[a], self.grams[b], assume_unique=True)) for a, b in zip(x.tolist(), y.tolist())], np.int64)
+        step = max(1, (1 << 20) // max(1, self.bits.shape[1]))
+        parts = [np.bitwise_count(self.bits[x[at:at + step]] & self.bits[y[at:at + step]]).sum(axis=1, dtype=np.int64)
+                 for at in range(0, len(x), step)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+def other_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join whatever the links between classes of different components join.
+
+    members: (band, place, node, n, label), place being the band's number. A pair is compared in the first
+    band that both share: by sizes, by signature, then by the sets themselves.
+    """
+    mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where(
         "low != high").select("band", F.ceil(F.col("members") / MEET).cast("int").alias("pieces"))
-    placed = banded.join(mixed, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    placed = members.join(mixed, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     units = placed.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
-        "band", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"), "own", "node", "n", "label")
-    signatures = classes.select("node", "signature")
-    dealt = units.join(signatures, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+        "band", "place", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"), "own", "node", "n", "label")
+    carried = classes.select("node", "signature").join(sets, "node")
+    dealt = units.join(carried, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
 
     def run(batches):
         for batch, starts in whole_groups(batches, ["band", "i", "j"]):
-            node, n, label, own, i, j = (np.asarray(batch.column(c)) for c in ("node", "n", "label", "own", "i", "j"))
-            minima = signed(batch.column("signature"))
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                for at in range(s, e, 64):
-                    stop = min(e, at + 64)
-                    left, right = np.arange(at, stop)[:, None], np.arange(at, e)[None, :]
-                    keep = (right > left) & (label[left] != label[right]) & (
-                        100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
-                    if i[s] != j[s]:
-                        keep &= own[left] != own[right]
-                    left, right = np.nonzero(keep)
-                    left, right = left + at, right + at
-                    for cut in range(0, len(left), 1 << 14):
-                        x, y = left[cut:cut + (1 << 14)], right[cut:cut + (1 << 14)]
-                        near = agreeing(minima[x], minima[y]) >= AGREE
-                        if near.any():
-                            a, b = node[x[near]], node[y[near]]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    small_batches(banded.sparkSession)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+                found = links_of(batch.slice(s, e - s))
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+
+    def links_of(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        node, n, label, own = (np.asarray(group.column(c)) for c in ("node", "n", "label", "own"))
+        before = group.column("place")[0].as_py() * ROWS
+        across = group.column("i")[0] != group.column("j")[0]
+        minima, sets = signed(group.column("signature")), None
+        pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(node), 64):
+            left, right = np.arange(at, min(len(node), at + 64))[:, None], np.arange(at, len(node))[None, :]
+            keep = (right > left) & (label[left] != label[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
+            if across:
+                keep &= own[left] != own[right]
+            left, right = np.nonzero(keep)
+            for cut in range(0, len(left), 1 << 14):
+                x, y = at + left[cut:cut + (1 << 14)], at + right[cut:cut + (1 << 14)]
+                same = minima[x] == minima[y]
+                near = same.sum(axis=1) >= AGREE
+                if before:
+                    near &= ~same[:, :before].reshape(len(x), -1, ROWS).all(axis=2).any(axis=1)
+                x, y = x[near], y[near]
+                if len(x):
+                    sets = sets or Sets([np.asarray(g.values, np.int64) for g in group.column("grams")])
+                    common = sets.common(x, y)
+                    linked = 100 * common >= percent * (n[x] + n[y] - common)
+                    pairs[0].append(x[linked])
+                    pairs[1].append(y[linked])
+        low, high = spanning(len(node), np.concatenate(pairs[0]), np.concatenate(pairs[1]))
+        return node[low], node[high]
+
+    small_batches(members.sparkSession)
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -182,29 +260,31 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
         F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key")).alias("first"), F.first("n").alias("n"),
         F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
-    banded = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node != high.node")
-    shared = settle(shared)
+    banded = classes.select("node", "n", F.posexplode("bands").alias("place", "band"))
+    shared = settle(banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where(
+        "low.node != high.node"))
     members = settle(banded.join(shared.select("band"), "band"))
     wanted = classes.join(members.select("node").distinct(), "node").select("node", F.col("first.id").alias("id"), "first.key")
     texts = settle(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), "text").join(
         wanted, ["id", "key"]).groupBy("node").agg(F.first("text").alias("text")))
 
     labels, edges, tested = classes.select("node", F.col("node").alias("label")), None, None
-    for end in ("low", "high", None):
-        now = members.join(labels, "node")
-        if end:
-            pivots = shared.select("band", f"{end}.*").join(labels, "node")
-            pairs = star_pairs(now, pivots, percent)
-        else:
-            pairs = other_pairs(now, classes, percent)
+    for end in ("low", "high"):
+        pivots = shared.select("band", f"{end}.*").join(labels, "node")
+        pairs = star_pairs(members.join(labels, "node"), pivots, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs if end is None else verified(pairs, classes))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = settle(confirmed(pairs, texts, words, percent))
+        tested = settle(verified(pairs, classes))
+        new = settle(confirmed(tested, texts, words, percent))
         edges = new if edges is None else edges.unionByName(new)
         labels = labelled(classes, edges)
+    now = members.join(labels, "node")
+    mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
+    left = settle(now.join(mixed, "band"))
+    sets = settle(sets_of(texts.join(left.select("node").distinct(), "node"), words))
+    open_nodes = settle(covered(sets, percent))
+    last = settle(other_links(left.join(open_nodes, "node"), classes, sets.join(open_nodes, "node"), percent))
+    labels = labelled(classes, edges.unionByName(last))
     firsts = classes.join(labels, "node").groupBy("label").agg(F.min("first.id").alias("least"))
     named = settle(classes.join(labels, "node").join(firsts, "label").select("hi", "lo", "least"))
     return marks.select("doc_id", "key", "n", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("least")).alias("least"))
