@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterlens.llm.common import table
 from meterlens.llm.language import language_id
-from meterlens.llm import chat, licenses, minhash
+from meterlens.llm import chat, licenses, minhash, phrases
 from meterlens.llm.neighbours import nearest
 from meterlens.llm.pieces import encode_texts
 from meterlens.llm.quality import quality
@@ -66,6 +66,10 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_merge_dropout": op1_merge_dropout,
     "op2_language_id": op2_language_id,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_template_leaks": op10_template_leaks,
     "op12_minhash": op12_minhash,
+    "op13_phrases": op13_phrases,
 }
 
 
@@ -86,4 +91,5 @@ def oracles() -> dict[str, str]:
         "op3_chat_snapshots": chat.ORACLE,
         "op6_license_scan": licenses.oracle(),
         "op12_minhash": minhash.ORACLE,
+        "op13_phrases": phrases.ORACLE,
     }
