@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterlens.llm.common import table
 from meterlens.llm.language import language_id
-from meterlens.llm import chat, licenses, minhash, phrases
+from meterlens.llm import chat, licenses, minhash, negatives, phrases
 from meterlens.llm.neighbours import nearest
 from meterlens.llm.pieces import encode_texts
 from meterlens.llm.quality import quality
@@ -62,6 +62,10 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_template_leaks": op10_template_leaks,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_minhash": op12_minhash,
     "op13_phrases": op13_phrases,
 }
@@ -90,6 +95,7 @@ def oracles() -> dict[str, str]:
     return {
         "op3_chat_snapshots": chat.ORACLE,
         "op6_license_scan": licenses.oracle(),
+        "op11_hard_negatives": negatives.ORACLE,
         "op12_minhash": minhash.ORACLE,
         "op13_phrases": phrases.ORACLE,
     }
