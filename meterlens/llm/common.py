@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0]:starts[-1]] if len(starts) else whole[:0], starts - starts[0]
 
 
+def discard(table: DataFrame, part: str = "") -> None:
+    """Delete the files of a settled table (or one of its partition folders) that no later table reads."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = re.match(r".*/meterlens-[0-9a-f]{32}(?=/)", file)
+        if folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f"{folder[0]}/{part}".rstrip("/")))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_batches(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """``function`` turns one record batch into one record batch; empty ones are passed over."""
 

@@ -2,16 +2,16 @@
 
 1. Texts are cut into pieces and words where they are read; a task fills shards of about ``SHARD``
    bytes, one language each, as word ids with a 0 between pieces. No text is shuffled.
-2. Words are summed over the shards; only those that occur ``least`` times can be part of a
-   candidate. Every shard learns which of its words those are.
+2. Words are summed over the shards, in parts dealt out by hash; only those that occur ``least`` times
+   can be part of a candidate. Every shard learns which of its words those are.
 3. A shard's text over those words, and its reverse, are sorted by the first ``DEPTH`` symbols of every
    suffix; the symbols before them are the two Burrows-Wheeler transforms. An n-gram is an interval of
    either order. Extending it to the left splits its interval by the symbols of the one transform
    (their counts are those of the longer n-grams), the rank of a symbol gives the new interval, and
    the symbols below it the new interval in the other order; extending to the right is the same with
    the orders changed round. All intervals of a length are extended at once.
-4. Pairs are summed over the shards, in parts dealt out by hash, and each shard learns which of its
-   pairs are frequent. It extends those right, left and right again, where the pair at the new end is
+4. Pairs are summed over the shards like the words, and each shard learns which of its pairs
+   are frequent. It extends those right, left and right again, where the pair at the new end is
    frequent too (its interval has to lie in that of such a pair), and the counts are summed.
 5. Cuts, scores and contained phrases come from joins of the frequent phrases with each other.
 
@@ -30,27 +30,47 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import small_batches
+from meterlens.llm.common import discard, small_batches
 from meterlens.session import settle
 
-SHARD, DEPTH, LONGEST, END = 8 << 20, 8, 5, b"\xff"
+SHARD, DEPTH, LONGEST, END = 6 << 20, 8, 5, b"\xff"
 #: A-Z become a-z, and all that ends a piece becomes a byte that no text has.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + END * 10)
-TEXTS = "lang string, shard long, tokens long, size long, words array<string>, counts array<long>, text binary"
-PACKET = "shard long, part long, size long, a binary, b binary, c binary, d binary, e binary"
-FIELDS, WORDS = ("a", "b", "c", "d", "e"), ["w1", "w2", "w3", "w4", "w5"]
+TEXTS = "lang string, shard long, tokens long, words array<string>, counts array<long>, text binary"
+#: Packets hold arrays; what they are is said where they are made.
+PACKET = "shard long, part long, lang string, a binary, b binary, c binary"
+PACKETS = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("lang", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+WORDS = ["w1", "w2", "w3", "w4", "w5"]
 
 
-def pack(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+def packed(data: bytes | np.ndarray) -> bytes:
+    data = data if isinstance(data, bytes) else data.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def unpack(data: bytes, size: int, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+def unpacked(data: bytes, kind=None) -> bytes | np.ndarray:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return data if kind is None else np.frombuffer(data, kind)
+
+
+def packet(shard, part, lang, *arrays) -> dict:
+    return dict(zip(PACKETS.names, (shard, part, lang, *(packed(x) for x in arrays), *[None] * (3 - len(arrays)))))
+
+
+def one_batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=PACKETS)
+
+
+def parts_of(values: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """Places of the values of each part, in order."""
+    order = np.argsort(values, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(values[order]) > 0)) if len(order) else np.zeros(0, int)
+    return [(int(values[order[s]]), order[s:e]) for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)])]
 
 
 # --- shards
@@ -71,14 +91,14 @@ def shard_row(lang: str, number: int, texts: list[bytes]) -> dict:
     names[END]
     ids = np.fromiter(map(names.__getitem__, tokens), np.int32, len(tokens))
     counts = np.bincount(ids, minlength=len(names))[1:]
-    return {"lang": lang, "shard": number, "tokens": int(counts.sum()), "size": len(ids),
-            "words": [w.decode() for w in names if w != END], "counts": counts.tolist(), "text": pack(ids)}
+    return {"lang": lang, "shard": number, "tokens": int(counts.sum()), "words": [w.decode() for w in names if w != END],
+            "counts": counts.tolist(), "text": packed(ids)}
 
 
 def shards(docs: DataFrame) -> DataFrame:
     """Word ids of the texts (0 ends a piece, else the place in ``words`` from 1), many texts a row."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("tokens", pa.int64()), ("size", pa.int64()),
+    schema = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("tokens", pa.int64()),
                         ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("text", pa.binary())])
 
     def run(batches):
@@ -104,6 +124,65 @@ def shards(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, TEXTS)
 
 
+def word_packets(texts: DataFrame, parts: int) -> DataFrame:
+    """By part: a shard's words, how often each occurs, and its place."""
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                words = [w.encode() for w in r["words"]]
+                counts = np.array(r["counts"], np.int64)
+                part = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64) % np.uint64(parts)
+                for k, some in parts_of(part.astype(np.int64), parts):
+                    yield one_batch([packet(r["shard"], k, r["lang"], b" ".join(words[i] for i in some), counts[some], some)])
+
+    small_batches(texts.sparkSession)
+    return texts.select("shard", "lang", "words", "counts").mapInArrow(run, PACKET)
+
+
+def frequent_words(packets: DataFrame, least: int) -> DataFrame:
+    """By shard: places and numbers of the words that occur ``least`` times in their language; without a shard: the words, counts and numbers."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        rows.sort(key=lambda r: (r["lang"], r["shard"]))
+        out = []
+        for lang in dict.fromkeys(r["lang"] for r in rows):
+            own = [r for r in rows if r["lang"] == lang]
+            words = [unpacked(r["a"]).split(b" ") for r in own]
+            names, code = np.unique(np.array([w for ws in words for w in ws], object), return_inverse=True)
+            sums = np.bincount(code, np.concatenate([unpacked(r["b"], np.int64) for r in own])).astype(np.int64)
+            often = np.flatnonzero(sums >= least)
+            number = np.zeros(len(names), np.int64)
+            # Parts number their words apart from each other, and languages one after the other.
+            number[often] = (own[0]["part"] << 32) + sum(len(unpacked(r["c"], np.int64)) for r in out if r["shard"] is None) + np.arange(1, len(often) + 1)
+            if len(often):
+                out.append(packet(None, own[0]["part"], lang, b" ".join(names[often].tolist()), sums[often], number[often]))
+            at = 0
+            for r, ws in zip(own, words):
+                mine = number[code[at:at + len(ws)]]
+                at += len(ws)
+                if mine.any():
+                    out.append(packet(r["shard"], r["part"], lang, unpacked(r["c"], np.int64)[mine > 0], mine[mine > 0]))
+        return pa.Table.from_pylist(out, schema=PACKETS)
+
+    return packets.groupBy("part").applyInArrow(run, PACKET)
+
+
+def words_of(found: DataFrame) -> DataFrame:
+    """(lang, word, f, id) of the frequent words."""
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                words = [w.decode() for w in unpacked(r["a"]).split(b" ")]
+                yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(words)), pa.array(words), pa.array(unpacked(r["b"], np.int64)),
+                                                  pa.array(unpacked(r["c"], np.int64))], names=["lang", "word", "f", "id"])
+
+    return found.where("shard IS NULL").select("lang", "a", "b", "c").mapInArrow(run, "lang string, word string, f long, id long")
+
+
+def by_shard(packets: DataFrame, name: str) -> DataFrame:
+    return packets.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias(name))
+
+
 # --- the index
 
 def order_of(text: np.ndarray) -> np.ndarray:
@@ -162,61 +241,49 @@ def within(place: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return (at >= 0) & (place < start[at] + size[at])
 
 
-def packet(shard, part, size, arrays) -> dict:
-    return dict(zip(("shard", "part", "size", *FIELDS), (shard, part, size, *(pack(x) for x in arrays), *[None] * (5 - len(arrays)))))
-
-
-PACKETS = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), *((f, pa.binary()) for f in FIELDS)])
+def pairs_of(forward: np.ndarray, words: int):
+    """All pairs of words: second and first word, start, count and other start, in the order of second and first."""
+    size = np.bincount(forward, minlength=words + 1)
+    start = (np.cumsum(size) - size)[1:]
+    second, first, start, count, other = extended(forward, last_to_first(forward), start, size[1:], start)
+    return second + 1, first.astype(np.int64), start, count, other
 
 
-def index_and_pairs(texts: DataFrame, known: DataFrame, parts: int) -> DataFrame:
-    """A shard's index (part -1: both transforms and the words' ids), and its pairs of words in packets by part.
-
-    A packet has the ids of both words, how often they occur, and where the intervals start.
-    """
-
+def index_and_pairs(texts: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """A shard's index (part -1: both transforms and the words' numbers), and by part its pairs: both words, and how often they occur."""
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                shard, size = batch.column("shard")[k].as_py(), batch.column("size")[k].as_py()
-                text = unpack(batch.column("text")[k].as_py(), size, np.int32)
-                found = batch.column("known")[k].values
-                place, ids = np.asarray(found.field("pos")), np.asarray(found.field("id"))
-                order = np.argsort(place)
+            for r in batch.to_pylist():
+                text = unpacked(r["text"], np.int32)
+                place, ids = (np.concatenate([unpacked(p[k], np.int64) for p in r["known"]]) for k in "ab")
+                order = np.argsort(ids)
                 place, ids = place[order], ids[order]
-                local = np.zeros(max(int(text.max(initial=0)), int(place[-1]) + 1) + 1, np.int32)
+                local = np.zeros(max(int(text.max(initial=0)), int(place.max()) + 1) + 1, np.int32)
                 local[place + 1] = np.arange(1, len(place) + 1)
                 text = local[text]
                 # One 0 is enough wherever none of the words stands.
                 text = np.concatenate([[0], text[(text > 0) | np.append(True, text[:-1] > 0)], [0]]).astype(np.int32)
                 forward, backward = transform(text), transform(text[::-1])
-                yield pa.RecordBatch.from_pylist([packet(shard, -1, len(text), [forward, backward, ids])], schema=PACKETS)
-                size = np.bincount(forward, minlength=len(ids) + 1)
-                start = (np.cumsum(size) - size)[1:]
-                second, first, start, size, other = extended(forward, last_to_first(forward), start, size[1:], start)
-                one, two = ids[first - 1], ids[second]
+                yield one_batch([packet(r["shard"], -1, None, forward, backward, ids)])
+                second, first, _, count, _ = pairs_of(forward, len(ids))
+                one, two = ids[first - 1], ids[second - 1]
                 mix = one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ two.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
                 part = ((mix >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((two, one, part))
-                cuts = np.flatnonzero(np.append(True, np.diff(part[order]) > 0)) if len(order) else np.zeros(0, int)
-                for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-                    some = order[s:e]
-                    yield pa.RecordBatch.from_pylist([packet(shard, int(part[some[0]]), e - s, [
-                        one[some], two[some], size[some], start[some], other[some]])], schema=PACKETS)
+                for k, some in parts_of(part, parts):
+                    yield one_batch([packet(r["shard"], k, None, two[some], one[some], count[some])])
 
     small_batches(texts.sparkSession)
-    return texts.select("shard", "size", "text").join(known, "shard").mapInArrow(run, PACKET)
+    return texts.select("shard", "text").join(by_shard(found, "known"), "shard").mapInArrow(run, PACKET)
 
 
 def frequent_pairs(packets: DataFrame, least: int) -> DataFrame:
-    """Packets with the pairs that occur ``least`` times over all shards, by shard; and in such without a shard their sums."""
-
+    """By shard: its pairs (second and first word) that occur ``least`` times over all shards; without a shard: such pairs and their sums."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         rows.sort(key=lambda r: r["shard"])
-        parts = [[unpack(r[f], r["size"], np.int64) for f in FIELDS] for r in rows]
-        one, two, count, *_ = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((two, one))
+        parts = [[unpacked(r[k], np.int64) for k in "abc"] for r in rows]
+        two, one, count = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((one, two))
         first = np.flatnonzero(np.append(True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)))
         sums = np.add.reduceat(count[order], first)
         often = np.empty(len(order), bool)
@@ -224,12 +291,12 @@ def frequent_pairs(packets: DataFrame, least: int) -> DataFrame:
         some = order[first[sums >= least]]
         out, at = [], 0
         if len(some):
-            out.append(packet(None, -1, len(some), [one[some], two[some], sums[sums >= least]]))
-        for r, arrays in zip(rows, parts):
-            keep = often[at:at + r["size"]]
-            at += r["size"]
+            out.append(packet(None, rows[0]["part"], None, two[some], one[some], sums[sums >= least]))
+        for r, (second, first_word, _) in zip(rows, parts):
+            keep = often[at:at + len(second)]
+            at += len(second)
             if keep.any():
-                out.append(packet(r["shard"], r["part"], int(keep.sum()), [x[keep] for x in arrays]))
+                out.append(packet(r["shard"], r["part"], None, second[keep], first_word[keep]))
         return pa.Table.from_pylist(out, schema=PACKETS)
 
     return packets.groupBy("part").applyInArrow(run, PACKET)
@@ -239,24 +306,28 @@ def sums_of(packets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(r[f], r["size"], np.int64)) for f in "abc"], names=["w1", "w2", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(r[k], np.int64)) for k in "bac"], names=["w1", "w2", "f"])
 
-    return packets.where("shard IS NULL").select("size", "a", "b", "c").mapInArrow(run, "w1 long, w2 long, f long")
+    return packets.where("shard IS NULL").select("a", "b", "c").mapInArrow(run, "w1 long, w2 long, f long")
 
 
 def longer(indexes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(w1, ..., w5, n): n-grams of three to five words, all of whose pairs are frequent, as often as a shard has them (0: no word)."""
-
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                forward, backward = (unpack(r[f], r["size"], np.int32) for f in "ab")
-                ids = np.concatenate([[0], unpack(r["c"], len(r["c"]) and r["words"], np.int64)])
-                one, two, size, start, other = (np.concatenate(x) for x in zip(*(
-                    [unpack(p[f], p["size"], np.int64) for f in FIELDS] for p in r["pairs"])))
+                forward, backward = (unpacked(r[k], np.int32) for k in "ab")
+                numbers = unpacked(r["c"], np.int64)
+                two, one = (np.concatenate([unpacked(p[k], np.int64) for p in r["pairs"]]) for k in "ab")
+                second, first, start, size, other = pairs_of(forward, len(numbers))
+                wide = len(numbers) + 1
+                wanted = (np.searchsorted(numbers, two) + 1) * wide + np.searchsorted(numbers, one) + 1
+                at = np.searchsorted(second * wide + first, np.sort(wanted))
+                second, first, start, size, other = (x[at] for x in (second, first, start, size, other))
+                ids = np.concatenate([[0], numbers])
                 ahead, back = (start, size), (other, size)
                 steps = {True: (backward, last_to_first(backward)), False: (forward, last_to_first(forward))}
-                grams = np.stack([one, two], axis=1)
+                grams = np.stack([ids[first], ids[second]], axis=1)
                 for to_right in (True, False, True):
                     a, b = (other, start) if to_right else (start, other)
                     owner, symbol, a, size, b = extended(*steps[to_right], a, size, b)
@@ -265,14 +336,13 @@ def longer(indexes: DataFrame, pairs: DataFrame) -> DataFrame:
                     other, start = (a, b) if to_right else (b, a)
                     new = ids[symbol][:, None]
                     grams = np.concatenate([grams[owner], new] if to_right else [new, grams[owner]], axis=1)
-                    padded = np.pad(grams, ((0, 0), (0, LONGEST - grams.shape[1])))
-                    for at in range(0, len(padded), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in padded[at:at + (1 << 16)].T),
-                                                          pa.array(size[at:at + (1 << 16)])], names=[*WORDS, "n"])
+                    filled = np.pad(grams, ((0, 0), (0, LONGEST - grams.shape[1])))
+                    for cut in range(0, len(filled), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in filled[cut:cut + (1 << 16)].T),
+                                                          pa.array(size[cut:cut + (1 << 16)])], names=[*WORDS, "n"])
 
-    gathered = pairs.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("size", *FIELDS)).alias("pairs"))
     small_batches(indexes.sparkSession)
-    return indexes.select("shard", "size", "a", "b", "c", "words").join(gathered, "shard").mapInArrow(run, ", ".join(f"{w} long" for w in [*WORDS, "n"]))
+    return indexes.select("shard", "a", "b", "c").join(by_shard(pairs, "pairs"), "shard").mapInArrow(run, ", ".join(f"{w} long" for w in [*WORDS, "n"]))
 
 
 # --- phrases
@@ -280,23 +350,25 @@ def longer(indexes: DataFrame, pairs: DataFrame) -> DataFrame:
 def frequent(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all words and phrases that occur ``least`` times, and (lang, n)."""
     texts = settle(shards(docs))
+    totals = settle(texts.groupBy("lang").agg(F.sum("tokens").alias("n")))
     parts = max(1, texts.count())
-    listed = texts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select(
-        "shard", "lang", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = settle(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn(
-        "id", F.monotonically_increasing_id() + 1))
-    known = listed.drop("n").join(words.drop("f"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("pos", "id")).alias("known"))
-    made = settle(index_and_pairs(texts, known, parts).withColumn("kind", F.expr("IF(part < 0, 0, 1)")), ["kind"])
+    found = settle(frequent_words(word_packets(texts, parts), least))
+    words = settle(words_of(found))
+    made = settle(index_and_pairs(texts, found, parts).withColumn("kind", F.expr("IF(part < 0, 0, 1)")), ["kind"])
+    # What is not read again goes, so that the disk holds two of these tables at a time.
+    discard(texts)
+    discard(found)
     pairs = settle(frequent_pairs(made.where("kind = 1").drop("kind"), least))
-    sizes = known.select("shard", F.size("known").alias("words"))
-    grams = longer(made.where("kind = 0").join(sizes, "shard"), pairs).groupBy(*WORDS).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    discard(made, "kind=1")
+    grams = settle(longer(made.where("kind = 0"), pairs).groupBy(*WORDS).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    discard(made)
     grams = grams.unionByName(sums_of(pairs).withColumns({w: F.lit(0).cast("long") for w in WORDS[2:]}))
     grams = settle(grams.withColumn("gram", F.monotonically_increasing_id()))
     spelt = grams.select("gram", "f", F.posexplode(F.filter(F.array(*WORDS), lambda x: x > 0)).alias("pos", "id")).join(
         words.select("id", "lang", "word"), "id").groupBy("gram", "f", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
     phrases = spelt.select("lang", F.col("w.word").alias("words"), "f").unionByName(words.select("lang", F.array("word").alias("words"), "f"))
     phrases = settle(phrases.select("lang", F.array_join("words", " ").alias("phrase"), "words", "f"))
-    return phrases, texts.groupBy("lang").agg(F.sum("tokens").alias("n"))
+    return phrases, totals
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:
