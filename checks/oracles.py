@@ -421,6 +421,21 @@ DAVIES_BOULDIN = sql(f"""SELECT {r('avg(worst)', 'davies_bouldin')} FROM (SELECT
       JOIN centres b ON a.d = b.d AND a.label <> b.label GROUP BY a.label, b.label"""})
 
 
+KNEES = """WITH steps AS (SELECT o_orderpriority AS curva, CAST(floor(sqrt(o_totalprice / 1000)) AS INTEGER) AS k, count(*) AS n
+    FROM orders GROUP BY ALL),
+  curves AS (SELECT curva, k, coalesce(sum(n) OVER (PARTITION BY curva ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS y
+    FROM steps),
+  ends AS (SELECT curva, min(k) AS k0, max(k) AS k1, min(y) AS y0, max(y) AS y1, count(*) AS n FROM curves GROUP BY curva),
+  apart AS (SELECT curva, k, n, row_number() OVER (PARTITION BY curva ORDER BY k) AS i,
+    1.0::DOUBLE - (y - y0) / nullif(y1 - y0, 0) - (k - k0) / nullif(k1 - k0, 0)::DOUBLE AS d FROM curves JOIN ends USING (curva)),
+  turns AS (SELECT a.*, coalesce(b.d, a.d) <= a.d AND coalesce(c.d, a.d) <= a.d AS top, coalesce(b.d, a.d) >= a.d AND coalesce(c.d, a.d) >= a.d AS low,
+    c.d AS after FROM apart a LEFT JOIN apart b ON b.curva = a.curva AND b.i = a.i - 1 LEFT JOIN apart c ON c.curva = a.curva AND c.i = a.i + 1),
+  falls AS (SELECT t.curva, t.i, (SELECT arg_max(CASE WHEN e.low THEN 0 ELSE e.d - 1.0::DOUBLE / (e.n - 1) END, e.i) FROM turns e
+      WHERE e.curva = t.curva AND e.i <= t.i AND (e.top OR e.low)) AS line,
+    (SELECT max(e.k) FROM turns e WHERE e.curva = t.curva AND e.i <= t.i AND e.top) AS codo, t.after FROM turns t)
+  SELECT curva, arg_min(codo, i) FILTER (WHERE codo IS NOT NULL AND after < line) AS codo FROM falls GROUP BY curva"""
+
+
 def oracles() -> dict[str, str]:
     o: dict[str, str] = {}
 
@@ -583,6 +598,8 @@ def oracles() -> dict[str, str]:
     o["client_options"] = sql("SELECT DISTINCT cliente_id AS valor FROM view", "view")
     o["time_bounds"] = sql(f"SELECT {ts('min(datetime)', 'minimo')}, {ts('max(datetime)', 'maximo')} FROM view", "view")
 
+    o["knees_of_curves"] = KNEES
+
     # sorts, unions, shapes
     o["sorted_readings"] = sql(f"SELECT cliente_id, {ts()}, {rs(BASE)} FROM keyed ORDER BY cliente_id, Fecha", "keyed")
     o["union_of_sources"] = sql(f"SELECT cliente_id, {ts()}, {rs(['Volumen'])} FROM keyed", "keyed")
@@ -591,6 +608,34 @@ def oracles() -> dict[str, str]:
       PARTITION BY cliente_id ORDER BY Volumen DESC NULLS LAST, Fecha DESC) AS rn FROM keyed) z
       WHERE rn = 1 AND Volumen IS NOT NULL""", "keyed")
 
+    # sources and sinks
+    by_source = "SELECT *, 'F' || CAST(seq % 6 AS VARCHAR) AS fuente FROM raw"
+    o["csv_sources"] = o["parquet_sources"] = sql(
+        f"SELECT fuente AS cliente_id, fecha_txt AS Fecha_original_etl, {rs(BASE)} FROM sources", "raw", extra={"sources": by_source})
+    o["rejected_rows"] = sql("""SELECT fuente AS cliente_id, CASE WHEN seq % 10 IN (3, 4) THEN 'not 5 cells' ELSE 'leida' END AS motivo,
+        count(*) AS lineas FROM sources WHERE fuente NOT IN ('F4', 'F5') GROUP BY ALL
+      UNION ALL SELECT DISTINCT fuente, CASE fuente WHEN 'F4' THEN 'the header has a line break within quotes' ELSE 'lacks Volumen' END,
+        CAST(NULL AS BIGINT) FROM sources WHERE fuente IN ('F4', 'F5')""", "raw", extra={"sources": by_source})
+    o["labels_round_trip"] = sql(f"SELECT cliente_id, {ts()}, anomalia_real, criticidad_real FROM truth", "truth")
+    o["cluster_round_trip"] = sql(f"""SELECT cliente_id, {ts()}, cluster_id, {rs(['Volumen'])} FROM keyed JOIN assigned USING (cliente_id)
+      WHERE Volumen IS NOT NULL""", "keyed", "assigned")
+    o["report_round_trip"] = o["anomaly_report"]
+    reported = {"carga": ("raw", BASE), "fechas": ("keyed", BASE), "cantidad_gas": ("gas", ALL), "faltantes": ("filled", ALL),
+                "atipicos": ("capped", ALL), "calendario": ("clean", ALL)}
+    widths = {"carga": ["cliente_id", "seq", "fecha_txt", *BASE], "fechas": ["cliente_id", "Fecha", *BASE],
+              "calendario": ["cliente_id", "Fecha", *ALL, *PARTS, *CYCLES]}
+    parts = []
+    for stage, (source, columns) in reported.items():
+        cells = widths.get(stage, ["cliente_id", "Fecha", *ALL])
+        whole = f"100.0::DOUBLE * ({' + '.join(f'count({c})' for c in cells)}) / (count(*) * {len(cells)})"
+        for c in ["cliente_id", *columns]:
+            number = c != "cliente_id"
+            facts = [f"{f}({c})" if number else "CAST(NULL AS DOUBLE)" for f in ("avg", "stddev_samp", "min", "max")]
+            parts.append(f"""SELECT '{stage}' AS etapa, '{c}' AS columna, count(*) AS filas, count(*) - count({c}) AS nulos,
+              {r(f'100.0::DOUBLE * (count(*) - count({c})) / count(*)', 'porcentaje')}, {r(whole, 'completitud')},
+              {', '.join(r(f, n) for f, n in zip(facts, ('media', 'desviacion', 'minimo', 'maximo')))} FROM {source}""")
+    o["stage_reports"] = sql(" UNION ALL ".join(parts), "raw", "keyed", "gas", "filled", "capped", "clean")
+
     # windows, reconstruction, severity
     three = frame_sql("placed_all", ["Presion", "Volumen", "hora_sin"], "cliente_id", "pos")
     o["sliding_windows"] = sql(f"""SELECT cliente_id, {ts()}, particion,
@@ -614,10 +659,19 @@ def oracles() -> dict[str, str]:
     upto_errors = {k: WHOLE[k] for k in ("marked", "cells", "frames", "means", "errors")}
     o["reconstruction_errors"] = sql(f"""SELECT s.cliente_id, {ts('s.Fecha', 'Fecha')}, s.cluster_id, {r('e.error', 'error')}
       FROM marked s LEFT JOIN errors e ON e.cliente_id = s.cliente_id AND e.fin = s.pos""", "scaled", extra=upto_errors)
+    upto_means = {k: WHOLE[k] for k in ("marked", "cells", "frames", "means")}
+    o["component_variance"] = sql(f"""SELECT cluster_id, particion_ventana, ventanas, {r('v', 'total')}, {r('v', 'suma')} FROM (
+      SELECT cluster_id, particion_ventana, CAST(count(*) / 240 AS BIGINT) AS ventanas, avg((v - m) * (v - m)) AS v
+      FROM frames JOIN means USING (cluster_id, paso, f) WHERE particion_ventana IN ('train', 'val')
+      GROUP BY cluster_id, particion_ventana) z""", "scaled", extra=upto_means)
+    o["grid_ends"] = sql("""SELECT CAST(cluster_id AS INTEGER) AS cluster_id, CAST(orden AS INTEGER) AS orden,
+      CAST(orden AS INTEGER) AS igual_a, CAST(240 + 5 * orden AS INTEGER) AS rango, CAST(0.0 AS DOUBLE) AS perdida, orden = 0 AS elegido
+      FROM (SELECT DISTINCT cluster_id FROM means) c, range(0, 2) t(orden)""", "scaled", extra=upto_means)
     o["cluster_thresholds"] = sql(f"SELECT cluster_id, {rs(['umbral', 'media', 'desviacion'])} FROM thresholds",
                                   "scaled", extra={k: v for k, v in WHOLE.items() if k != "scored"})
     o["scored_readings"] = sql(f"""SELECT cliente_id, {ts()}, cluster_id, anomalia_predicha, {r('score_anomalia_final')},
       modelo_deteccion, criticidad_predicha FROM scored""", "scaled", extra=WHOLE)
+    o["model_round_trip"] = o["scored_readings"]
     o["scored_readings_across_customers"] = sql(f"""SELECT cliente_id, {ts()}, cluster_id, anomalia_predicha,
       {r('score_anomalia_final')}, criticidad_predicha FROM scored""", "scaled", extra=ACROSS)
     two = frame_sql("placed_all", ["hora_sin", "hora_cos"], "cliente_id", "pos")
@@ -708,6 +762,10 @@ def oracles() -> dict[str, str]:
     o["dashboard_statistics"] = on_selection(statistics("Volumen", "selected"))
     o["dashboard_correlation"] = on_selection(correlations(ALL, "selected"))
     o["dashboard_pattern"] = on_selection(pattern("selected", "hora_dia", "Volumen"))
+    wide = {"inside": """SELECT * FROM view WHERE datetime >= TIMESTAMP '2023-12-10' AND datetime <= TIMESTAMP '2024-02-20 23:59:59'
+      AND cluster_id = 1""", "selected": "SELECT * FROM inside WHERE cliente_id = (SELECT min(cliente_id) FROM inside)"}
+    o["cube_pattern"] = sql(pattern("selected", "dia_semana", "Volumen"), "view", extra=wide)
+    o["cube_correlation"] = sql(correlations(ALL, "selected"), "view", extra=wide)
     o["dashboard_overlay"] = on_selection(f"""SELECT {ts('datetime')}, {r('Volumen', 'valor')}, criticidad_predicha,
       {r('score_anomalia_final')}, modelo_deteccion FROM alerts WHERE Volumen IS NOT NULL""")
     o["dashboard_kpis"] = on_selection(totals("alerts"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -13,12 +14,16 @@ from pyspark.sql import types as T
 from meterlens.functions.columns import calendar_parts, cyclic_pairs, stamp, title
 from meterlens.operators import clean, evaluate, explore, outliers, quality, scale, segment
 from meterlens.operators.calendar import with_calendar
+from meterlens.operators.cube import Cube, moment_cube
 from meterlens.operators.impute import fill_gaps, fill_profile
 from meterlens.operators.quantiles import exact_quantiles
 from meterlens.operators.profile import build_profile, standardise_profile, weekend_share
+from meterlens.operators.blocks import score_blocks, training_blocks, unpacked, unpacked_training
+from meterlens.operators.grams import fit_components, gram_of_blocks
 from meterlens.operators.reconstruct import (
-    component_model, fit_thresholds, mean_model, search_grid, with_errors, with_external_errors,
+    ERROR, block_errors, external_block_errors, fit_thresholds, grid_of_grams,
 )
+from meterlens.operators.reports import ObservedReports
 from meterlens.operators.severity import row_label, score_statistics, severity
 from meterlens.operators.split import split_chronologically
 from meterlens.operators.windows import score_windows, training_windows
@@ -31,8 +36,13 @@ from meterlens.plans.detection import detect, place, train
 from meterlens.plans.etl import clean_readings
 from meterlens.plans.full_run import RunParams, run
 from meterlens.plans.segmentation import segment_customers
-from meterlens.session import settle
+from meterlens.session import checkpoint_root, settle
 from meterlens.sources import fixtures as fx
+from meterlens.sources.readings import (
+    RAW_DATE, read_csv_sources, read_labels, read_parquet_sources, read_table, rejected_sources,
+)
+from meterlens.sources.readings import rejected_rows as source_rows_left_out
+from meterlens.sources.sinks import load_model, save_model, write_by_cluster, write_csv, write_report
 
 ALL = (*BASE_COLUMNS, GAS)
 ETL = EtlParams(chunk="week")
@@ -596,21 +606,30 @@ def training_windows_across_customers(spark, sf):
         F.count(F.lit(1)).alias("ventanas"), F.avg(total).alias("suma_media"), F.max(total).alias("suma_maxima")))
 
 
+def scaled_blocks(spark, sf):
+    """Scaled rows, their training blocks and the Gram table of those."""
+    scaled = scale.scale_by_group(placed(spark, sf), ALL)
+    blocks = training_blocks(scaled, WINDOW_FEATURES, 24)
+    return scaled, blocks, settle(gram_of_blocks(blocks, 24, len(WINDOW_FEATURES)))
+
+
+def errors_at_rank(spark, sf, rank) -> DataFrame:
+    scaled, _, grams = scaled_blocks(spark, sf)
+    model = settle(fit_components(grams, rank))
+    blocks = score_blocks(scaled, WINDOW_FEATURES, 24)
+    return unpacked(block_errors(blocks, model, 24, len(WINDOW_FEATURES)), ERROR, ERROR)
+
+
 @query
 def reconstruction_errors(spark, sf):
-    rows = placed(spark, sf)
-    scaled = scale.scale_by_group(rows, ALL)
-    windows = training_windows(scaled, WINDOW_FEATURES, 24)
-    model = settle(mean_model(windows))
-    scores = with_errors(score_windows(scaled, WINDOW_FEATURES, 24), model)
-    return shown(scores.select(KEY, TIME, CLUSTER, "error"))
+    return shown(errors_at_rank(spark, sf, 0).select(KEY, TIME, CLUSTER, "error"))
 
 
 @query
 def cluster_thresholds(spark, sf):
-    rows = placed(spark, sf)
-    windows = training_windows(scale.scale_by_group(rows, ALL), WINDOW_FEATURES, 24)
-    return shown(fit_thresholds(with_errors(windows, settle(mean_model(windows))), 2.0))
+    _, blocks, grams = scaled_blocks(spark, sf)
+    errors = block_errors(blocks, settle(fit_components(grams, 0)), 24, len(WINDOW_FEATURES))
+    return shown(fit_thresholds(unpacked_training(errors, ERROR, ERROR), 2.0))
 
 
 @query
@@ -630,14 +649,14 @@ def scored_readings_across_customers(spark, sf):
 def external_reconstructor(spark, sf):
     """A caller's model that rebuilds every window as its own mean per feature."""
     rows = placed_all(spark, sf)
-    made = score_windows(rows, ["hora_sin", "hora_cos"], 24)
+    blocks = score_blocks(rows, ["hora_sin", "hora_cos"], 24)
 
     def make_predict_fn():
         def predict(batch):
             return batch.mean(axis=1, keepdims=True).repeat(24, axis=1).reshape(len(batch), -1)
         return predict
 
-    out = with_external_errors(made, make_predict_fn, 24, 2)
+    out = unpacked(external_block_errors(blocks, make_predict_fn, 24, 2), ERROR, ERROR)
     return out.select(KEY, stamp(F.col(TIME)).alias(TIME), F.round("error", 4).alias("error"))
 
 
@@ -670,6 +689,121 @@ def row_labels(spark, sf):
         row_label(flagged, F.col("value"), mean, F.lit(10.0), Bands()).alias("criticidad"))
 
 
+# --- sources and sinks ------------------------------------------------------------------
+
+def own_folder(spark) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/meterlens-sources-{uuid.uuid4().hex}"
+
+
+def raw_by_source(spark, sf) -> DataFrame:
+    """Raw readings of six sources, each of which becomes a folder of files."""
+    return fx.readings_raw(spark, sf).withColumn("fuente", F.concat(F.lit("F"), (F.col("seq") % 6).cast("string")))
+
+
+def loaded(rows: DataFrame) -> DataFrame:
+    return shown(rows.select(KEY, RAW_DATE, *BASE_COLUMNS))
+
+
+@query
+def csv_sources(spark, sf):
+    """Sources whose columns come in two orders, written as CSV and read again."""
+    rows, folder = raw_by_source(spark, sf).withColumnRenamed("fecha_txt", TIME), own_folder(spark)
+    layouts = {"a": [TIME, *BASE_COLUMNS], "b": ["Volumen", "seq", TIME, "Temperatura", "Presion"]}
+    for name, columns in layouts.items():
+        part = rows.where((F.col("seq") % 2 == 0) == (name == "a"))
+        part.select("fuente", *columns).write.option("header", True).partitionBy("fuente").csv(f"{folder}/{name}")
+    return loaded(read_csv_sources(spark, folder, named_by="folder"))
+
+
+@query
+def parquet_sources(spark, sf):
+    rows, folder = raw_by_source(spark, sf).withColumnRenamed("fecha_txt", TIME), own_folder(spark)
+    rows.select("fuente", "seq", TIME, *BASE_COLUMNS).write.partitionBy("fuente").parquet(folder)
+    return loaded(read_parquet_sources(spark, folder, named_by="folder"))
+
+
+@query
+def rejected_rows(spark, sf):
+    """Lines of six sources: how many are read, and how many are left out and why. Two sources have a header that is none."""
+    folder = own_folder(spark)
+    rows = raw_by_source(spark, sf)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("fecha_txt", *BASE_COLUMNS)]
+    more = F.when(F.col("seq") % 10 == 3, F.lit(",0,0")).when(F.col("seq") % 10 == 4, F.lit("")).otherwise(F.lit(",x"))
+    lines = rows.select("fuente", F.lit(1).alias("o"), F.concat(F.concat_ws(",", *cells), more).alias("value"))
+    head = F.when(F.col("fuente") == "F4", '"Fecha\nde",Presion,Temperatura,Volumen,nota').when(
+        F.col("fuente") == "F5", "Fecha,Presion,Temperatura,nota").otherwise("Fecha,Presion,Temperatura,Volumen,nota")
+    heads = rows.select("fuente").distinct().select("fuente", F.lit(0).alias("o"), head.alias("value"))
+    lines.unionByName(heads).repartition("fuente").sortWithinPartitions("fuente", "o").select("fuente", "value").write.partitionBy(
+        "fuente").text(folder)
+    for name in sorted(p.getPath().getName() for p in files_below(spark, folder)):
+        rename_parts(spark, f"{folder}/{name}", ".txt", ".csv")
+    kept = read_csv_sources(spark, folder, named_by="folder").groupBy(KEY).agg(F.count(F.lit(1)).alias("lineas"))
+    out = source_rows_left_out(spark, folder, named_by="folder").groupBy(KEY, F.col("reason").alias("motivo")).agg(F.count(F.lit(1)).alias("lineas"))
+    whole = rejected_sources(spark, folder, named_by="folder").select(KEY, F.col("reason").alias("motivo"), F.lit(None).cast("bigint").alias("lineas"))
+    return kept.select(KEY, F.lit("leida").alias("motivo"), "lineas").unionByName(out).unionByName(whole)
+
+
+def files_below(spark, folder: str) -> list:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return [f for f in found if f.isDirectory()]
+
+
+def rename_parts(spark, folder: str, old: str, new: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in files.listStatus(path(folder)):
+        name = f.getPath().getName()
+        if name.endswith(old):
+            files.rename(f.getPath(), path(f"{folder}/{name.removesuffix(old)}{new}"))
+
+
+@query
+def labels_round_trip(spark, sf):
+    """Labels written as CSV, over an older table, and read with their schema."""
+    truth, folder = fx.ground_truth(spark, sf), own_folder(spark)
+    write_csv(truth.limit(0), folder)
+    write_csv(truth, folder)
+    return shown(read_labels(spark, folder))
+
+
+@query
+def cluster_round_trip(spark, sf):
+    """Readings written by cluster; the second write reads the table that it replaces."""
+    rows, folder = evaluate.join_assignments(keyed(spark, sf), fx.assignments(spark, sf)), own_folder(spark)
+    write_by_cluster(rows, folder)
+    write_by_cluster(spark.read.schema(rows.schema).parquet(folder).where(F.col("Volumen").isNotNull()), folder)
+    return shown(spark.read.schema(rows.schema).parquet(folder).where(F.col(CLUSTER) >= 0).select(KEY, TIME, CLUSTER, "Volumen"))
+
+
+@query
+def report_round_trip(spark, sf):
+    found = explore.with_cluster(fx.anomalies(spark, sf), fx.assignments(spark, sf))
+    folder = own_folder(spark)
+    write_report(found, folder)
+    schema = explore.anomaly_report(found).schema
+    return shown(read_table(spark, folder, schema))
+
+
+@query
+def model_round_trip(spark, sf):
+    """Readings scored with a model that was saved, replaced by itself and loaded."""
+    params, rows, folder = ModelParams(), placed(spark, sf), own_folder(spark)
+    fitted, _ = train(rows, ETL, params, rank_zero=True)
+    save_model(fitted, folder)
+    save_model(load_model(spark, folder), folder)
+    return shown(detect(rows, load_model(spark, folder), ETL, params, Bands()).select(
+        KEY, TIME, CLUSTER, "anomalia_predicha", "score_anomalia_final", "modelo_deteccion", "criticidad_predicha"))
+
+
+@query
+def stage_reports(spark, sf):
+    """Quality of the readings after every stage of the cleaning, counted in the jobs that write them."""
+    reports = ObservedReports()
+    settle(clean_readings(fx.readings_raw(spark, sf), ETL, "seq", "fecha_txt", reports))
+    return shown(reports.table(spark).where(F.col("columna").isin(KEY, *ALL)))
+
+
 # --- segmentation -------------------------------------------------------------------------
 
 def embeddings(spark, sf):
@@ -702,6 +836,17 @@ def elbow_of_curve(spark, sf):
         curve.select("k", F.coalesce("rest", F.lit(0)).cast("double").alias("rest")), "k", "rest"))
 
 
+@query
+def knees_of_curves(spark, sf):
+    """Knees of many decreasing curves at once: per order priority, how much is left after each of 12 price steps."""
+    orders = fx.table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("curva"), F.floor(F.sqrt(F.col("o_totalprice") / 1000)).cast("int").alias("k"))
+    steps = orders.groupBy("curva", "k").agg(F.count(F.lit(1)).alias("n"))
+    after = Window.partitionBy("curva").orderBy("k").rowsBetween(1, Window.unboundedFollowing)
+    curves = steps.select("curva", "k", F.coalesce(F.sum("n").over(after), F.lit(0)).cast("double").alias("resto"))
+    return segment.knees(curves, "k", "resto", keys=["curva"])
+
+
 @query
 def one_cluster_fallback(spark, sf):
     return segment.one_cluster(keyed(spark, sf))
@@ -714,7 +859,7 @@ def customer_segments(spark, sf):
 
 @query
 def segments_by_elbow(spark, sf):
-    params = SegmentParams(method="elbow", k_candidates=(2, 3, 4, 6), knee="chord")
+    params = SegmentParams(method="elbow", k_candidates=(2, 3, 4, 6), knee="difference")
     return segment_customers(settle(cleaned(spark, sf)), params).assignments
 
 
@@ -726,6 +871,11 @@ def candidate_scores(spark, sf):
     return spark.createDataFrame([(k, float(s)) for k, s in scores], "k int, wcss double")
 
 
+@query
+def segment_quality(spark, sf):
+    return segment_customers(settle(cleaned(spark, sf)), SegmentParams()).quality()
+
+
 @query
 def segment_plane(spark, sf):
     return segment_customers(settle(cleaned(spark, sf)), SegmentParams()).plane()
@@ -733,22 +883,42 @@ def segment_plane(spark, sf):
 
 @query
 def component_errors(spark, sf):
-    rows = placed(spark, sf)
-    scaled = scale.scale_by_group(rows, ALL)
-    windows = training_windows(scaled, WINDOW_FEATURES, 24)
-    model = settle(component_model(windows, 16))
-    return with_errors(score_windows(scaled, WINDOW_FEATURES, 24), model).select(KEY, TIME, CLUSTER, "error")
+    return errors_at_rank(spark, sf, 16).select(KEY, TIME, CLUSTER, "error")
+
+
+@query
+def component_variance(spark, sf):
+    """Variance of the windows about the training mean: in all, and as what 16 components explain and leave.
+
+    The total and the explained part come from the Gram table, the rest from the windows' own errors.
+    """
+    _, blocks, grams = scaled_blocks(spark, sf)
+    model = settle(fit_components(grams, 16, [0, 16]))
+    part = {r: F.max(F.when(F.col("rango") == r, F.col("perdida"))) for r in (0, 16)}
+    known = model.select(CLUSTER, F.inline("perdidas")).groupBy(CLUSTER, "particion_ventana").agg(
+        part[0].alias("total"), (part[0] - part[16]).alias("explicada"))
+    rest = unpacked_training(block_errors(blocks, model, 24, len(WINDOW_FEATURES), squared=True), ERROR, ERROR).groupBy(
+        CLUSTER, "particion_ventana").agg(F.count(F.lit(1)).alias("ventanas"), F.avg(ERROR).alias("resto"))
+    both = known.join(rest, [CLUSTER, "particion_ventana"])
+    return shown(both.select(CLUSTER, "particion_ventana", "ventanas", "total", (F.col("explicada") + F.col("resto")).alias("suma")))
 
 
 @query
 def grid_of_ranks(spark, sf):
-    rows = placed(spark, sf)
-    windows = training_windows(scale.scale_by_group(rows, ALL), WINDOW_FEATURES, 24)
-    _, grid = search_grid(windows, {"encoding_dim": [4, 16], "learning_rate": [0.001],
-                                    "epochs": [3], "batch_size": [64]})
+    _, _, grams = scaled_blocks(spark, sf)
+    _, grid = grid_of_grams(grams, {"encoding_dim": [4, 16], "learning_rate": [0.001], "epochs": [3], "batch_size": [64]})
     return grid.select(CLUSTER, "orden", "rango", "perdida", "elegido")
 
 
+@query
+def grid_ends(spark, sf):
+    """As many components as a window has values leave nothing; more change nothing; none are no model."""
+    _, _, grams = scaled_blocks(spark, sf)
+    whole = 24 * len(WINDOW_FEATURES)
+    _, grid = grid_of_grams(grams, {"encoding_dim": [whole, whole + 5, 0]})
+    return shown(grid.select(CLUSTER, "orden", "igual_a", "rango", "perdida", "elegido"))
+
+
 # --- evaluation ---------------------------------------------------------------------------
 
 def judged(spark, sf):
@@ -893,6 +1063,24 @@ def dashboard_pattern(spark, sf):
     return panel(spark, sf, "patron")
 
 
+def panel_from_cube(spark, sf, name):
+    readings = readings_view(spark, sf)
+    cube = moment_cube(readings)
+    cube = Cube(settle(cube.rows), cube.centres)
+    wide = Filters(start="2023-12-10", end="2024-02-20", cluster_id=1, variable="Volumen", pattern_by="dia_semana")
+    return shown(dashboard(readings, anomalies_view(spark, sf), wide, cube=cube)[name])
+
+
+@query
+def cube_pattern(spark, sf):
+    return panel_from_cube(spark, sf, "patron")
+
+
+@query
+def cube_correlation(spark, sf):
+    return panel_from_cube(spark, sf, "correlacion")
+
+
 @query
 def dashboard_overlay(spark, sf):
     return panel(spark, sf, "sobrepuestas")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterlens.functions.columns import capped
 from meterlens.operators.chunks import attach_to_chunks, split_into_chunks
-from meterlens.operators.quantiles import DIRECT_ROWS, exact_quantiles
+from meterlens.operators.quantiles import DIRECT_ROWS, exact_quantiles, median_deviations
 from meterlens.params import KEY, TIME, EtlParams
 
 # Method names, and the factor that turns a median deviation into a
@@ -41,21 +41,14 @@ def outlier_limits(df: DataFrame, columns: Sequence[str], params: EtlParams, key
                        (q3 + F.lit(params.iqr_factor) * spread).alias(f"_hi_{c}")]
         return found.select(key, *limits)
     if params.outlier_method == ROBUST:
-        chunked = split_into_chunks(df, params.chunk, key, time, keep_all=True)
-        medians = exact_quantiles(df, [key], {f"_med_{c}": (c, 0.5) for c in columns}, direct_rows,
-                                  sizes=_sizes(spans, key), derived=True)
-        apart = attach_to_chunks(chunked, medians, key, spans).select(
-            key, *[F.abs(F.col(c) - F.col(f"_med_{c}")).alias(f"_dev_{c}") for c in columns])
-        spreads = exact_quantiles(
-            apart, [key], {f"_mad_{c}": (f"_dev_{c}", 0.5) for c in columns}, direct_rows,
-                                  sizes=_sizes(spans, key), derived=True)
+        found = median_deviations(df, [key], columns, direct_rows, sizes=_sizes(spans, key))
         limits = []
         for c in columns:
             middle = F.col(f"_med_{c}")
             mad = F.when(F.col(f"_mad_{c}") != 0, F.col(f"_mad_{c}"))
             reach = F.lit(params.zscore_factor) * mad / F.lit(MAD_TO_SIGMA)
             limits += [(middle - reach).alias(f"_lo_{c}"), (middle + reach).alias(f"_hi_{c}")]
-        return medians.join(spreads, key).select(key, *limits)
+        return found.select(key, *limits)
     return None
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlens.functions.columns import finite
@@ -22,6 +22,8 @@ from meterlens.session import settle
 DIRECT_ROWS = 200_000
 BINS = 4096
 WHOLE_TABLE = 10
+#: Values that the groups of one task may hold at a time.
+BUFFERED = 12_800_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]],
@@ -38,6 +40,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     df = df.withColumns({c: finite(F.col(c).cast("double")) for c in used})
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if keys:
+        direct_rows = min(direct_rows, buffered_rows(df.sparkSession, len(used)))
     largest = sizes.agg(F.max("_rows")).first()[0] or 0
     # Without keys there is a single buffer per column, which may be larger.
     if largest <= (direct_rows if keys else WHOLE_TABLE * direct_rows):
@@ -51,6 +55,55 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     return cold.unionByName(hot.join(found, keys, "left"))
 
 
+def buffered_rows(spark: SparkSession, columns: int) -> int:
+    """Rows a group may have so that the groups a task keeps at a time hold ``BUFFERED`` values.
+
+    The session says how many groups an aggregate of objects keeps before it sorts instead.
+    """
+    groups = int(spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "128"))
+    return max(1, BUFFERED // (max(1, groups) * max(1, columns)))
+
+
+def median_deviations(df: DataFrame, keys: Sequence[str], columns: Sequence[str], direct_rows: int = DIRECT_ROWS,
+                      bins: int = BINS, sizes: DataFrame | None = None) -> DataFrame:
+    """(keys, ``_med_<c>``, ``_mad_<c>``): exact median, and median distance from it, of each column and group.
+
+    Values are shuffled once. A group's sorted values give the median and, folded about it, the
+    distances; groups too large for that are written once, and both are narrowed from there by counts
+    alone, distances being made where they are counted.
+    """
+    keys, columns = list(keys), list(columns)
+    df = df.select(*keys, *[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    direct_rows = min(direct_rows, buffered_rows(df.sparkSession, len(columns)))
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    if largest <= direct_rows:
+        return _folded(df, keys, columns)
+    hot = settle(sizes.where(F.col("_rows") > direct_rows).select(*keys))
+    cold = _folded(df.join(hot, keys, "left_anti"), keys, columns)
+    values = settle(df.join(hot, keys, "left_semi"))
+    medians = settle(hot.join(_narrowed(values, keys, {f"_med_{c}": (c, 0.5) for c in columns}, direct_rows, bins), keys, "left"))
+    apart = values.join(medians, keys).select(*keys, *[F.abs(F.col(c) - F.col(f"_med_{c}")).alias(c) for c in columns])
+    spreads = _narrowed(apart, keys, {f"_mad_{c}": (c, 0.5) for c in columns}, direct_rows, bins)
+    return cold.unionByName(medians.join(spreads, keys, "left"))
+
+
+def _folded(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    def middle(values: Column) -> Column:
+        place = (F.size(values) - 1) / 2
+        left, right = (F.get(values, end(place).cast("int")) for end in (F.floor, F.ceil))
+        return F.when(left == right, left).otherwise((F.ceil(place) - place) * left + (place - F.floor(place)) * right)
+
+    rows = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(c)).alias(f"_all_{c}") for c in columns])
+    rows = rows.select(*keys, *[f"_all_{c}" for c in columns], *[middle(F.col(f"_all_{c}")).alias(f"_med_{c}") for c in columns])
+
+    def distances(c: str) -> Column:
+        return F.sort_array(F.transform(f"_all_{c}", lambda v: F.abs(v - F.col(f"_med_{c}"))))
+
+    return rows.select(*keys, *[f"_med_{c}" for c in columns], *[middle(distances(c)).alias(f"_mad_{c}") for c in columns])
+
+
 def _by_column(wanted: dict[str, tuple[str, float]]) -> dict[str, list[float]]:
     columns: dict[str, list[float]] = {}
     for column, probability in wanted.values():

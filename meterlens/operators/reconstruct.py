@@ -1,39 +1,38 @@
 """Linear autoencoder per cluster: fit, reconstruction error, thresholds and flags.
 
 A window of ``seq_len`` rows is one vector. The best linear autoencoder under squared error
-is the projection on the leading principal components, so training is a distributed
-covariance per cluster and a decomposition whose size is fixed by the window (240 x 240).
-Rank 0 reconstructs every window by the mean window.
+is the projection on the leading principal components, so training is one pass that adds up
+a Gram table (see ``grams``) and, per cluster, a decomposition whose size is fixed by the window
+(240 x 240). Rank 0 reconstructs every window by the mean window. Errors come from windows as a
+column (``with_errors``) or, as the plans do it, from blocks of positions (``block_errors``).
 
 A model is a table with one row per cluster: (cluster_id, rango, media, componentes).
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlens.operators.blocks import HEAD, SPLITS, VALUES, block_windows, per_row
+from meterlens.operators.grams import MODEL_FIELDS, TOGETHER, fit_components, gram_of_windows, losses_under
 from meterlens.operators.severity import floored_std, row_label
 from meterlens.operators.windows import WINDOW, WINDOW_SPLIT
 from meterlens.params import CLUSTER, Bands
 from meterlens.session import settle
 
 ERROR = "error"
-MODEL_SCHEMA = T.StructType([
-    T.StructField(CLUSTER, T.IntegerType()),
-    T.StructField("rango", T.IntegerType()),
-    T.StructField("media", T.ArrayType(T.DoubleType())),
-    T.StructField("componentes", T.ArrayType(T.ArrayType(T.DoubleType()))),
-])
+MODEL_SCHEMA = T.StructType(MODEL_FIELDS)
 
 
 def mean_model(windows: DataFrame) -> DataFrame:
@@ -46,26 +45,11 @@ def mean_model(windows: DataFrame) -> DataFrame:
 
 
 def component_model(windows: DataFrame, rank: int) -> DataFrame:
-    """Leading components of the training windows of each cluster.
+    """Leading components of the training windows of each cluster, from their Gram table.
 
-    One covariance job per cluster; clusters are few (they are the chosen k), and what comes
-    to the driver is a fixed-size matrix. A cluster with a single window keeps rank 0; one
-    without any gets no row.
+    A cluster with a single window keeps rank 0; one without any gets no row.
     """
-    train = windows.where(F.col(WINDOW_SPLIT) == "train")
-    vector = array_to_vector(F.col(WINDOW))
-    means = train.groupBy(CLUSTER).agg(
-        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(vector)).alias("media"))
-    rows = []
-    for cluster, count, mean in sorted(means.collect()):
-        k = min(rank, len(mean)) if count > 1 else 0
-        components: list[list[float]] = []
-        if k > 0:
-            own = train.where(F.col(CLUSTER) == cluster).select(vector.alias("_v"))
-            fitted = PCA(k=k, inputCol="_v", outputCol="_p").fit(own)
-            components = fitted.pc.toArray().T.tolist()
-        rows.append((int(cluster), len(components), list(mean), components))
-    return windows.sparkSession.createDataFrame(rows, MODEL_SCHEMA)
+    return fit_components(gram_of_windows(windows), rank).select(*MODEL_SCHEMA.names)
 
 
 def _model_arrays(model: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -130,74 +114,61 @@ def with_external_errors(windows: DataFrame, make_predict_fn: Callable, seq_len:
 
 
 def rank_losses(windows: DataFrame, model: DataFrame, ranks: Sequence[int]) -> DataFrame:
-    """Mean squared error per cluster, split and rank, in one pass over the windows.
+    """Mean squared error per cluster, split and rank, in closed form from one pass over the windows.
 
     Smaller models are prefixes of the largest, so the squared length outside the first r
     components is the total minus the first r squared projections.
     """
-    shared = windows.sparkSession.sparkContext.broadcast(_model_arrays(model))
-    ranks = list(ranks)
-
-    @F.pandas_udf("array<double>")
-    def losses(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        arrays = shared.value
-        for cluster, window in batches:
-            out = np.full((len(cluster), len(ranks)), np.nan)
-            for c in cluster.unique():
-                if c in arrays:
-                    mean, components = arrays[c]
-                    at = (cluster == c).to_numpy()
-                    centred = np.stack(window[at].to_numpy()) - mean
-                    whole = (centred ** 2).sum(axis=1)
-                    gained = np.cumsum((centred @ components.T) ** 2, axis=1)
-                    for i, r in enumerate(ranks):
-                        used = min(r, components.shape[0])
-                        explained = gained[:, used - 1] if used else 0.0
-                        out[at, i] = np.maximum(whole - explained, 0.0) / mean.size
-            yield pd.Series(list(out))
-
-    scored = windows.withColumn("_losses", losses(F.col(CLUSTER), F.col(WINDOW)))
-    pairs = F.arrays_zip(F.array(*[F.lit(r) for r in ranks]).alias("rango"),
-                         F.col("_losses").alias("perdida"))
-    return (scored.select(CLUSTER, WINDOW_SPLIT, F.inline(pairs))
-            .toDF(CLUSTER, WINDOW_SPLIT, "rango", "perdida")
-            .where(~F.isnan("perdida"))
-            .groupBy(CLUSTER, WINDOW_SPLIT, "rango").agg(F.avg("perdida").alias("perdida")))
+    return losses_under(gram_of_windows(windows), model, ranks)
 
 
 def search_grid(windows: DataFrame, grid: dict[str, Sequence]) -> tuple[DataFrame, DataFrame]:
+    """``grid_of_grams`` for windows that are a column."""
+    return grid_of_grams(settle(gram_of_windows(windows)), grid)
+
+
+def grid_of_grams(grams: DataFrame, grid: dict[str, Sequence]) -> tuple[DataFrame, DataFrame]:
     """Try every parameter combination; return (model, grid table).
 
-    The bottleneck size is the rank; other parameters belong to iterative training and do not
-    change a closed-form fit. A combination that cannot be converted is skipped. The loss is
-    taken on validation windows, else on training windows; the first of equal losses wins.
+    The bottleneck size is the rank. Other parameters belong to iterative training and do not
+    change a closed-form fit: they are named in a warning, and ``igual_a`` is the first combination
+    with the same fit. One that cannot be converted, or has no positive rank, is skipped with a warning. The
+    loss is taken on validation windows, else on training windows; the first of equal losses wins.
     """
     names = list(grid)
-    combos = []
+    without = [n for n in names if n != "encoding_dim" and len(grid[n]) > 1]
+    if without:
+        warnings.warn(f"these parameters do not change a closed-form fit: {', '.join(without)}", stacklevel=2)
+    combos: list[tuple[int, dict[str, str]]] = []
     for values in product(*grid.values()):
+        combo = dict(zip(names, values))
         try:
-            combo = dict(zip(names, values))
-            combos.append((int(combo["encoding_dim"]), {n: str(v) for n, v in combo.items()}))
+            rank = int(combo["encoding_dim"])
         except (KeyError, TypeError, ValueError):
-            continue
-    combos = [(r, p) for r, p in combos if r > 0]
-    spark = windows.sparkSession
+            rank = 0
+        if rank > 0:
+            combos.append((rank, {n: str(v) for n, v in combo.items()}))
+        else:
+            warnings.warn(f"no rank in {combo}; skipped", stacklevel=2)
+    spark = grams.sparkSession
     if not combos:
-        empty = "cluster_id int, orden int, rango int, parametros map<string,string>, perdida double, elegido boolean"
+        empty = f"{CLUSTER} int, orden int, rango int, parametros map<string,string>, perdida double, igual_a int, elegido boolean"
         return spark.createDataFrame([], MODEL_SCHEMA), spark.createDataFrame([], empty)
-    largest = settle(component_model(windows, max(r for r, _ in combos)))
-    losses = settle(rank_losses(windows, largest, sorted({r for r, _ in combos})))
+    ranks = [r for r, _ in combos]
+    largest = settle(fit_components(grams, max(ranks), sorted(set(ranks))))
+    losses = largest.select(CLUSTER, F.inline("perdidas"))
     by_split = losses.groupBy(CLUSTER, "rango").agg(
         F.coalesce(F.max(F.when(F.col(WINDOW_SPLIT) == "val", F.col("perdida"))),
                    F.max(F.when(F.col(WINDOW_SPLIT) == "train", F.col("perdida")))).alias("perdida"))
     table = spark.createDataFrame(
-        [(i, r, p) for i, (r, p) in enumerate(combos)], "orden int, rango int, parametros map<string,string>")
+        [(i, r, p, ranks.index(r)) for i, (r, p) in enumerate(combos)],
+        "orden int, rango int, parametros map<string,string>, igual_a int")
     tried = by_split.join(table, "rango")
     best = tried.groupBy(CLUSTER).agg(
         F.min_by("orden", F.struct("perdida", "orden")).alias("_best"),
         F.min_by("rango", F.struct("perdida", "orden")).alias("_rank"))
     tried = tried.join(best.drop("_rank"), CLUSTER).select(
-        CLUSTER, "orden", "rango", "parametros", "perdida",
+        CLUSTER, "orden", "rango", "parametros", "perdida", "igual_a",
         (F.col("orden") == F.col("_best")).alias("elegido"))
     chosen = largest.join(best, CLUSTER)
     kept = F.slice("componentes", F.lit(1), F.least(F.col("_rank"), F.size("componentes")))
@@ -205,6 +176,57 @@ def search_grid(windows: DataFrame, grid: dict[str, Sequence]) -> tuple[DataFram
     return settle(model), settle(tried)
 
 
+def block_errors(blocks: DataFrame, model: DataFrame, seq_len: int, width: int, squared: bool = False) -> DataFrame:
+    """Blocks with ``error``: for each own row the mean absolute (or squared) error of its window.
+
+    NULL without window or model. Only values cross to Python, each once; the model is one small row a cluster.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(_model_arrays(model))
+
+    @F.arrow_udf("array<double>")
+    def errors(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        arrays = shared.value
+        for clusters, values, heads, sizes in batches:
+            found = []
+            of = clusters.to_pylist()
+            for k, n, windows, ends in block_windows(values, heads, sizes, seq_len, width):
+                if of[k] not in arrays:
+                    windows, ends = windows[:0], ends[:0]
+                out = np.zeros(len(windows))
+                for at in range(0, len(windows), TOGETHER):
+                    mean, axes = arrays[of[k]]
+                    centred = windows[at:at + TOGETHER].reshape(-1, seq_len * width) - mean
+                    rest = centred - centred @ axes.T @ axes
+                    out[at:at + TOGETHER] = (rest * rest if squared else np.abs(rest)).mean(axis=1)
+                found.append((n, ends, out))
+            yield per_row(found)
+
+    return blocks.withColumn(ERROR, errors(F.col(CLUSTER), F.col(VALUES), F.col(HEAD), F.size(SPLITS)))
+
+
+def external_block_errors(blocks: DataFrame, make_predict_fn: Callable, seq_len: int, width: int,
+                          batch_size: int = 1024) -> DataFrame:
+    """The same with a caller's model: a function of a (batch, step, feature) array of floats.
+
+    ``make_predict_fn`` is called once per task and returns the reconstruction function.
+    """
+    @F.arrow_udf("array<double>")
+    def errors(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        predict = make_predict_fn()
+        for values, heads, sizes in batches:
+            found = []
+            for _, n, windows, ends in block_windows(values, heads, sizes, seq_len, width):
+                out = np.zeros(len(windows))
+                for at in range(0, len(windows), batch_size):
+                    some = windows[at:at + batch_size]
+                    rebuilt = np.asarray(predict(np.ascontiguousarray(some, dtype=np.float32)), dtype=np.float64)
+                    out[at:at + batch_size] = np.abs(some.reshape(len(some), -1) - rebuilt.reshape(len(some), -1)).mean(axis=1)
+                found.append((n, ends, out))
+            yield per_row(found)
+
+    return blocks.withColumn(ERROR, errors(F.col(VALUES), F.col(HEAD), F.size(SPLITS)))
+
+
 def fit_thresholds(errors: DataFrame, sigma: float) -> DataFrame:
     """(cluster_id, umbral, media, desviacion) from validation errors, else training errors.
 

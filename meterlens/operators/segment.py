@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
-import pandas as pd
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterlens.operators.kmeans import fit_centres, nearest, squared_distance
 from meterlens.params import CLUSTER, KEY
 from meterlens.session import settle
 
-POINT_BLOCK = 5000
+#: Points of a block, and rows of a tile whose distances are held at a time.
+POINT_BLOCK, TILE_ROWS = 4096, 256
 
 
 # --- assignment ---------------------------------------------------------------------------
@@ -32,22 +33,24 @@ def fit_clusters(scaled: DataFrame, columns: Sequence[str], k: int, seed: int =
     """K-Means on the scaled profile as (customer, cluster_id).
 
     k of 0 or less, or data that K-Means refuses, puts everyone in cluster 0; any other failure
-    is raised. Ids are numbered by the
-    sorted centres, so they do not depend on the order in which centres were found.
+    is raised. Ids are numbered by the sorted centres.
     """
+    found = try_clusters(scaled, columns, k, seed)
+    return one_cluster(scaled) if found is None else found
+
+
+def try_clusters(scaled: DataFrame, columns: Sequence[str], k: int, seed: int = 42) -> DataFrame | None:
+    """The same, or None where K-Means refuses."""
     if k <= 0:
-        return one_cluster(scaled)
-    points = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(
-        scaled.na.fill(0.0, list(columns)))
+        return None
+    values = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)) for c in columns])
+    points = scaled.select(KEY, values.alias("_v"))
     try:
-        model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(points)
-    except IllegalArgumentException as error:
-        print(f"K-Means with k={k} failed, all customers go to cluster 0: {error}")
-        return one_cluster(scaled)
-    centres = [tuple(c) for c in model.clusterCenters()]
-    rank = {centres.index(c): i for i, c in enumerate(sorted(centres))}
-    number = F.element_at(F.create_map(*[F.lit(x) for pair in rank.items() for x in pair]), F.col("_c"))
-    return model.transform(points).select(KEY, number.cast("int").alias(CLUSTER))
+        centres = fit_centres(points, KEY, "_v", k, seed)
+    except ValueError as error:
+        print(f"K-Means with k={k} refused the data: {error}")
+        return None
+    return points.select(KEY, nearest("_v", centres).alias(CLUSTER))
 
 
 def clamp_k(k: int, customers: int) -> int:
@@ -78,17 +81,22 @@ def resolve_k(scaled: DataFrame, columns: Sequence[str], candidates: Sequence[in
     if not usable:
         return clamp_k(min(2, customers) or 1, customers)
     scores = score_candidates(scaled, columns, usable, method, seed, metric, fits)
+    if not scores:
+        return clamp_k(min(2, customers) or 1, customers)
     return clamp_k(choose_k(scores, method, knee), customers)
 
 
 def score_candidates(scaled: DataFrame, columns: Sequence[str], candidates: Sequence[int],
                      method: str, seed: int = 42, metric: str = "euclidean",
                      fits: dict[int, DataFrame] | None = None) -> list[tuple[int, float]]:
-    """(k, score): mean silhouette (-1 when only one label came out) or sum of squares."""
+    """(k, score): mean silhouette (-1 when only one label came out) or sum of squares; a k that fails is left out."""
     scores = []
     vectors = scaled.select(KEY, F.array(*[F.col(c) for c in columns]).alias("_v"))
     for k in candidates:
-        labelled = settle(vectors.join(fit_clusters(scaled, columns, k, seed), KEY))
+        found = try_clusters(scaled, columns, k, seed)
+        if found is None:
+            continue
+        labelled = settle(vectors.join(found, KEY))
         if fits is not None:
             fits[k] = labelled.select(KEY, CLUSTER)
         if method != "silhouette":
@@ -105,8 +113,9 @@ def score_candidates(scaled: DataFrame, columns: Sequence[str], candidates: Sequ
 def choose_k(scores: Sequence[tuple[int, float]], method: str, knee: str = "middle") -> int:
     """First best silhouette, or the elbow of the sum of squares.
 
-    ``knee='middle'`` takes the middle candidate; ``'chord'`` the point farthest below the line
-    between the ends of the curve, or the middle one when no point lies below it.
+    ``knee="middle"`` takes the middle candidate, ``"difference"`` the knee of the difference curve (see
+    ``knees``), ``"chord"`` the point farthest below the line between the ends of the curve (see
+    ``curve_drop``); the middle one where there is none.
     """
     if method == "silhouette":
         best = max(score for _, score in scores)
@@ -115,12 +124,43 @@ def choose_k(scores: Sequence[tuple[int, float]], method: str, knee: str = "midd
     middle = ks[len(ks) // 2]
     if knee == "middle" or len(ks) < 3:
         return middle
-    x = np.array(ks, dtype=float)
-    y = np.array([w for _, w in scores], dtype=float)
-    if y[0] == y[-1]:
-        return middle
-    below = (1 - (x - x[0]) / (x[-1] - x[0])) - (y - y[-1]) / (y[0] - y[-1])
-    return ks[int(below.argmax())] if below.max() > 0 else middle
+    curve = SparkSession.builder.getOrCreate().createDataFrame([(int(k), float(w)) for k, w in scores], "k int, wcss double")
+    if knee == "difference":
+        row = knees(curve, "k", "wcss").first()
+    else:
+        row = curve_drop(curve, "k", "wcss").where("es_codo").select(F.col("k").alias("codo")).first()
+    return middle if row is None or row["codo"] is None else row["codo"]
+
+
+def knees(curves: DataFrame, x: str, y: str, sensitivity: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, codo): the knee of each convex decreasing curve, NULL where it has none.
+
+    Both axes are scaled to [0, 1]; the difference curve is how far the turned curve lies above the
+    diagonal. Every local maximum of it sets a threshold, ``sensitivity`` mean steps below itself, and a local
+    minimum sets it to 0; the first point below the threshold in force makes the last maximum the knee. Ends
+    count as maxima or minima if their one neighbour allows. A curve has a row per candidate.
+    """
+    keys = list(keys)
+    by = keys or [F.lit(0)]
+    order = Window.partitionBy(*by).orderBy(x)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def scaled(c: str) -> Column:
+        low, high = F.min(c).over(whole), F.max(c).over(whole)
+        return F.try_divide(F.col(c) - low, (high - low).cast("double"))
+
+    curve = curves.select(*keys, x, y).withColumn("_d", F.lit(1.0) - scaled(y) - scaled(x)).withColumn(
+        "_step", F.try_divide(F.lit(float(sensitivity)), F.count(F.lit(1)).over(whole) - 1))
+    before, after = F.coalesce(F.lag("_d").over(order), F.col("_d")), F.coalesce(F.lead("_d").over(order), F.col("_d"))
+    curve = curve.withColumns({"_top": (F.col("_d") >= before) & (F.col("_d") >= after),
+                               "_low": (F.col("_d") <= before) & (F.col("_d") <= after), "_next": F.lead("_d").over(order)})
+    event = F.when(F.col("_low"), F.lit(0.0)).when(F.col("_top"), F.col("_d") - F.col("_step"))
+    curve = curve.withColumns({"_limit": F.last(event, ignorenulls=True).over(so_far),
+                               "_knee": F.last(F.when(F.col("_top"), F.col(x)), ignorenulls=True).over(so_far)})
+    falls = F.col("_knee").isNotNull() & (F.col("_next") < F.col("_limit"))
+    first = F.min(F.when(falls, F.struct(F.col(x).alias("x"), F.col("_knee").alias("k"))))["k"].alias("codo")
+    return curve.groupBy(*keys).agg(first) if keys else curve.agg(first)
 
 
 def curve_drop(curve: DataFrame, x: str, y: str) -> DataFrame:
@@ -141,12 +181,6 @@ def curve_drop(curve: DataFrame, x: str, y: str) -> DataFrame:
 
 # --- quality of a labelling ---------------------------------------------------------------
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a.cast("array<double>"), b, lambda x, y: (x - y) * (x - y)),
-        F.lit(0.0), lambda total, d: total + d)
-
-
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """Mean vector per label: one row per cluster."""
     mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
@@ -183,32 +217,29 @@ def davies_bouldin(df: DataFrame, vector: str, label: str) -> DataFrame:
 def silhouette(df: DataFrame, vector: str, label: str, block: int = POINT_BLOCK) -> DataFrame:
     """Exact mean silhouette with Euclidean distance; a cluster of one scores 0.
 
-    Every point needs its distance to every other, but no pair is ever a row: the points are
-    visited in blocks of about ``block``, each broadcast to tasks that add up, per point and
-    label, the distances to the block. Cost is quadratic in the points (customers, not
-    readings); ``squared_silhouette`` is the linear-time alternative.
+    Every point needs its distance to every other, but no pair is ever a row: points lie in blocks of
+    about ``block``, and every two blocks are a tile, a task of one job that multiplies their
+    matrices and gives each point its distances to the other block summed by label. Those sums are
+    added per point before they are shuffled. Cost is quadratic in the points (customers,
+    not readings); ``squared_silhouette`` is the linear-time alternative.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    points = settle(df.select(F.col(vector).cast("array<double>").alias("_v"), F.col(label).alias("_l"))
+                    .withColumn("_id", F.monotonically_increasing_id()))
+    # One row a cluster.
+    sizes = {r[0]: r[1] for r in points.groupBy("_l").count().collect()}
     labels = sorted(sizes)
-    total = sum(sizes.values())
-    blocks = max(1, -(-total // block))
-    points = df.select(F.col(vector).cast("array<double>").alias("_v"), F.col(label).alias("_l"))
-    points = points.withColumns({
-        "_sums": F.array(*[F.lit(0.0)] * len(labels)),
-        "_block": F.floor(F.rand(7) * blocks).cast("int")})
-    if blocks > 1:
-        points = settle(points)
-    for b in range(blocks):
-        part = (points if blocks == 1 else points.where(F.col("_block") == b)).select("_v", "_l").toPandas()
-        if len(part):
-            points = points.withColumn("_sums", F.zip_with(
-                "_sums", _distance_sums(df.sparkSession, part, labels)("_v"), lambda x, y: x + y))
-            points = settle(points) if blocks > 1 else points
-    own = F.element_at(F.create_map(*[F.lit(x) for i, l in enumerate(labels) for x in (l, i)]), F.col("_l"))
+    blocks = max(1, -(-sum(sizes.values()) // block))
+    number = F.element_at(F.create_map(*[F.lit(x) for i, l in enumerate(labels) for x in (l, i)]), F.col("_l"))
+    numbered = points.select("_id", "_v", number.alias("_own"), F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"))
+    left = numbered.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence("_b", F.lit(blocks - 1))))
+    right = numbered.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), "_b")))
+    tiles = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(
+        partial(_tile, n_labels=len(labels)), "_id long, _sums array<double>")
+    sums = tiles.groupBy("_id").agg(vector_to_array(Summarizer.sum(array_to_vector("_sums"))).alias("_sums"))
     counts = F.array(*[F.lit(float(sizes[l])) for l in labels])
     means = F.transform(F.zip_with("_sums", counts, lambda s, n: s / n),
                         lambda x, i: F.when(i != F.col("_own"), x))
-    scored = points.withColumn("_own", own).select(
+    scored = numbered.select("_id", "_own").join(sums, "_id").select(
         F.get(counts, F.col("_own")).alias("_n"),
         F.try_divide(F.get("_sums", F.col("_own")), F.get(counts, F.col("_own")) - 1).alias("_a"),
         F.array_min(means).alias("_b"))
@@ -217,21 +248,37 @@ def silhouette(df: DataFrame, vector: str, label: str, block: int = POINT_BLOCK)
     return scored.agg(F.avg(score).alias("silueta"))
 
 
-def _distance_sums(spark, part: pd.DataFrame, labels: list):
-    """UDF: vector -> per label the summed distance to the points of one block."""
-    shared = spark.sparkContext.broadcast(
-        [np.stack(part.loc[part["_l"] == l, "_v"]) if (part["_l"] == l).any() else None for l in labels])
-
-    @F.pandas_udf("array<double>")
-    def sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        groups = shared.value
-        for batch in batches:
-            rows = [
-                [0.0 if g is None else float(np.sqrt(((g - v) ** 2).sum(axis=1)).sum()) for g in groups]
-                for v in batch]
-            yield pd.Series(rows)
-
-    return sums
+def _tile(left: pa.Table, right: pa.Table, n_labels: int) -> pa.Table:
+    """Per point of two blocks, its distances to the points of the other one (or of its own) by label."""
+    out = [np.zeros(0, np.int64)], [np.zeros((0, n_labels))]
+    if left.num_rows and right.num_rows:
+        a, b = (np.stack(t.column("_v").to_numpy()) for t in (left, right))
+        centre = a.mean(axis=0)
+        a, b = a - centre, b - centre
+        own_a, own_b = (np.eye(n_labels)[np.asarray(t.column("_own"))] for t in (left, right))
+        back = np.zeros((len(b), n_labels))
+        for at in range(0, len(a), TILE_ROWS):
+            rows = a[at:at + TILE_ROWS]
+            distances = _distances(rows, b)
+            out[0].append(np.asarray(left.column("_id"))[at:at + TILE_ROWS])
+            out[1].append(distances @ own_b)
+            back += distances.T @ own_a[at:at + TILE_ROWS]
+        if left.column("_i")[0] != left.column("_j")[0]:
+            out[0].append(np.asarray(right.column("_id")))
+            out[1].append(back)
+    ids, sums = np.concatenate(out[0]), np.concatenate(out[1])
+    return pa.table({"_id": pa.array(ids, pa.int64()), "_sums": pa.array(list(sums), pa.list_(pa.float64()))})
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances by a matrix product; those so small that it loses digits come from differences."""
+    lengths = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    squares = lengths - 2 * (a @ b.T)
+    i, j = np.nonzero(squares < 1e-6 * lengths)
+    for at in range(0, len(i), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        squares[i[some], j[some]] = ((a[i[some]] - b[j[some]]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(squares, 0.0))
 
 
 def squared_silhouette(df: DataFrame, vector: str, label: str) -> float:

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from meterlens.functions.columns import title
 from meterlens.operators import explore as x
+from meterlens.operators.cube import PARTS, Cube, cube_band, cube_correlation, cube_customers, cube_pattern, picked_cube
 from meterlens.params import CLUSTER, KEY, Filters
 
 
 def explore(readings: DataFrame, anomalies: DataFrame, filters: Filters,
-            band_factor: float = 1.5) -> dict[str, DataFrame]:
+            band_factor: float = 1.5, cube: Cube | None = None) -> dict[str, DataFrame]:
     """Series, overlay, band, statistics, correlation, pattern, KPIs, detail, customers, heading.
 
     ``readings`` and ``anomalies`` have ``datetime`` and ``cluster_id``. Dates, cluster and
-    client are resolved to literals first (one row each), so every panel filters at the scan.
+    client are resolved to literals first (one row each), so every panel filters at the scan. With a
+    ``cube`` of the readings, band, correlation, pattern and customers come from its sums and the readings of
+    the days at both ends.
     """
     # As text of the session's time zone, in which the filters read it again.
     bounds = x.time_bounds(readings).select(F.col("minimo").cast("string"), F.col("maximo").cast("string")).first()
@@ -50,4 +53,12 @@ def explore(readings: DataFrame, anomalies: DataFrame, filters: Filters,
             panels["sobrepuestas"] = x.overlay(found, filters.variable)
         if filters.pattern_by in selected.columns:
             panels["patron"] = x.temporal_pattern(selected, filters.pattern_by, filters.variable)
+    if cube is not None:
+        picked = picked_cube(cube, readings, start, end, filters.cluster_id, client)
+        panels["correlacion"] = cube_correlation(picked)
+        panels["clientes"] = cube_customers(picked_cube(cube, readings, start, end, filters.cluster_id))
+        if filters.variable in cube.centres:
+            panels["banda"] = cube_band(picked, filters.variable, band_factor)
+            if filters.pattern_by in (*PARTS, "mes"):
+                panels["patron"] = cube_pattern(picked, filters.pattern_by, filters.variable)
     return panels

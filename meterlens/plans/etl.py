@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -13,10 +14,12 @@ from meterlens.operators.impute import fill_gaps
 from meterlens.operators.outliers import cap_outliers
 from meterlens.operators.quality import completeness, describe, missing_by_column
 from meterlens.operators.quantiles import DIRECT_ROWS
+from meterlens.operators.reports import observed
 from meterlens.params import KEY, TIME, EtlParams
 from meterlens.session import settle
 
-Observer = Callable[[str, DataFrame], None]
+#: Sees a stage's rows; what it returns, if anything, is what goes on.
+Observer = Callable[[str, DataFrame], "DataFrame | None"]
 
 
 def clean_readings(raw: DataFrame, params: EtlParams, order: str | Sequence[str], date: str,
@@ -25,36 +28,35 @@ def clean_readings(raw: DataFrame, params: EtlParams, order: str | Sequence[str]
 
     The gas quantity is derived before gaps are filled, then filled and capped like any other
     column. ``order`` is the load order that decides which duplicate stays. ``observe`` sees
-    every stage, for instance to write the quality reports; each report costs a pass.
+    every stage: ``ObservedReports`` counts rows where they pass by, ``QualityReports`` keeps tables
+    whose evaluation costs passes of their own.
 
     Readings cross the network by (customer, time) to drop duplicates, after a map-side reduction,
     and by (customer, chunk) to fill gaps. The filled rows are written once; the limits (a shuffle
     of values by customer) and the capped result both read them, so no window runs twice.
     """
-    tell = observe or (lambda stage, df: None)
-    tell("carga", raw)
-    dated = infinities_to_null(parse_dates(raw, date, TIME), params.base_columns)
+    tell = partial(observed, observe)
+
+    def dates(rows: DataFrame) -> DataFrame:
+        return infinities_to_null(parse_dates(rows, date, TIME), params.base_columns)
+
     # Which chunks each customer has and an upper bound of their rows (duplicates included).
-    unit, spans = measured_spans(dated.select(KEY, TIME), params.chunk)
+    unit, spans = measured_spans(dates(raw).select(KEY, TIME), params.chunk)
+    dated = dates(tell("carga", raw))
     needed = [KEY, TIME, *[c for c in params.base_columns if c in dated.columns]]
     order_columns = [order] if isinstance(order, str) else list(order)
     unique = keep_first(dated.select(*needed, *order_columns), order).select(*needed)
-    tell("fechas", unique)
+    unique = tell("fechas", unique)
 
-    with_gas = with_gas_quantity(unique, params.gas)
-    tell("cantidad_gas", with_gas)
+    with_gas = tell("cantidad_gas", with_gas_quantity(unique, params.gas))
 
     columns = params.numeric_columns(with_gas.columns)
     chunked = split_into_chunks(with_gas, unit)
-    filled = settle(fill_gaps(chunked, columns, params.fill_method, unit))
-    tell("faltantes", filled.drop(CHUNK))
+    filled = settle(tell("faltantes", fill_gaps(chunked, columns, params.fill_method, unit)))
 
     limited = cap_outliers(filled, columns, params, direct_rows=direct_rows, spans=spans)
-    tell("atipicos", limited.drop(CHUNK))
-
-    featured = with_calendar(limited.drop(CHUNK), params)
-    tell("calendario", featured)
-    return featured
+    limited = tell("atipicos", limited.drop(CHUNK))
+    return tell("calendario", with_calendar(limited, params))
 
 
 class QualityReports:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterlens.operators.evaluate import acceptance, compliance, evaluate, join_assignments
 from meterlens.operators.explore import anomaly_report
+from meterlens.operators.reports import ObservedReports
 from meterlens.params import CLUSTER, Acceptance, Bands, EtlParams, ModelParams, SegmentParams
 from meterlens.plans.detection import detect, place, train
 from meterlens.plans.etl import clean_readings
@@ -41,6 +42,7 @@ class RunResult:
     acceptance: DataFrame | None
     compliance: DataFrame | None
     stage_seconds: dict[str, float]
+    reports: DataFrame
 
     def times(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.stage_seconds.items()), "etapa string, segundos double")
@@ -51,6 +53,9 @@ def run(raw: DataFrame, order, date: str, params: RunParams | None = None,
         detected_at: datetime | None = None) -> RunResult:
     """Run every stage. Readings and scored rows are written once; all else is small.
 
+    ``reports`` has the quality of the readings after every step of the cleaning, counted in the jobs that
+    write them.
+
     Given ``assignments`` replace the segmentation. ``detected_at`` stamps the report, so that
     a repeated run gives the same rows.
     """
@@ -64,8 +69,9 @@ def run(raw: DataFrame, order, date: str, params: RunParams | None = None,
         clock[name] = round(time.monotonic() - start, 2)
         return result
 
+    stages = ObservedReports()
     readings = timed("etl_pipeline_seconds",
-                     lambda: settle(clean_readings(raw, params.etl, order, date)))
+                     lambda: settle(clean_readings(raw, params.etl, order, date, stages)))
 
     def segment():
         found = Segments(settle(assignments), 0) if assignments is not None else \
@@ -88,4 +94,4 @@ def run(raw: DataFrame, order, date: str, params: RunParams | None = None,
         checks = acceptance(metrics, params.acceptance)
         report = compliance(metrics, params.acceptance, clock["anomaly_detection_seconds"])
     return RunResult(readings, segments, fitted, grid, scored, anomaly_report(flagged), metrics,
-                     checks, report, clock)
+                     checks, report, clock, stages.table(spark))

@@ -26,17 +26,23 @@ def raw_schema(columns: Sequence[str] = BASE_COLUMNS) -> T.StructType:
     return T.StructType(fields)
 
 
-def _customer() -> F.Column:
-    """Customer id: the source's name without folder and extension, trimmed."""
-    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B"))
-    return F.trim(F.regexp_replace(name, r"(\.[^.]*)$", ""))
+def _customer(named_by: str = "file") -> F.Column:
+    """Customer id: the file's name without extension, trimmed; or with ``"folder"`` that of its folder, behind an = sign if there is one."""
+    if named_by == "folder":
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1)
+        return F.trim(F.regexp_replace(_decoded(folder), r"^[^=]*=", ""))
+    return F.trim(F.regexp_replace(_decoded(F.col("_metadata.file_name")), r"(\.[^.]*)$", ""))
 
 
-def source_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+def _decoded(name: F.Column) -> F.Column:
+    return F.url_decode(F.regexp_replace(name, r"\+", "%2B"))
+
+
+def source_files(spark: SparkSession, path: str, pattern: str, named_by: str = "file") -> DataFrame:
     """(path, source) of the files below ``path``; their content is not read. ``source`` is the path as scans name it."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
             .option("pathGlobFilter", pattern).load(path).select("path", F.col("_metadata.file_path").alias("source"),
-                                                                 _customer().alias(KEY)))
+                                                                 _customer(named_by).alias(KEY)))
 
 
 def source_columns(files: DataFrame, kind: str, separator: str = ",", encoding: str = "utf-8") -> DataFrame:
@@ -70,6 +76,8 @@ def source_columns(files: DataFrame, kind: str, separator: str = ",", encoding:
                 while b"\n" not in head and (piece := stream.read(65536)):
                     head += piece
             line = head.removeprefix(b"\xef\xbb\xbf").split(b"\n", 1)[0]
+            if line.count(b'"') % 2:
+                return None, "the header has a line break within quotes"
             try:
                 names = next(csv.reader([line.decode(encoding).rstrip("\r")], delimiter=separator), None)
             except UnicodeDecodeError:
@@ -84,10 +92,10 @@ def source_columns(files: DataFrame, kind: str, separator: str = ",", encoding:
 
 
 def judged_sources(spark: SparkSession, path: str, kind: str, needed: Sequence[str], separator: str = ",",
-                   encoding: str = "utf-8") -> DataFrame | None:
+                   encoding: str = "utf-8", named_by: str = "file") -> DataFrame | None:
     """``source_columns`` with a reason for files that lack a needed column, too; None without a file."""
     try:
-        files = source_files(spark, path, f"*.{kind}")
+        files = source_files(spark, path, f"*.{kind}", named_by)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
@@ -99,53 +107,87 @@ def judged_sources(spark: SparkSession, path: str, kind: str, needed: Sequence[s
 
 
 def rejected_sources(spark: SparkSession, path: str, kind: str = "csv", date_column: str = TIME,
-                     columns: Sequence[str] = BASE_COLUMNS, separator: str = ",", encoding: str = "utf-8") -> DataFrame:
+                     columns: Sequence[str] = BASE_COLUMNS, separator: str = ",", encoding: str = "utf-8",
+                     named_by: str = "file") -> DataFrame:
     """(customer, source, reason) of the sources that the readers leave out."""
-    found = judged_sources(spark, path, kind, [date_column, *columns], separator, encoding)
+    found = judged_sources(spark, path, kind, [date_column, *columns], separator, encoding, named_by)
     if found is None:
         return spark.createDataFrame([], f"{KEY} string, source string, reason string")
     return found.where("reason IS NOT NULL").select(KEY, "source", "reason")
 
 
+def _csv_lines(spark: SparkSession, path: str, date_column: str, columns: Sequence[str], separator: str,
+               encoding: str, named_by: str) -> DataFrame | None:
+    """Lines of the usable sources: customer, cells, the place of each needed cell, load order, and ``_line_text`` of a line that has
+    more or fewer cells than its header. Sources of one width are one scan; the driver is told their files.
+    """
+    needed = [date_column, *columns]
+    heads = judged_sources(spark, path, "csv", needed, separator, encoding, named_by)
+    if heads is None:
+        return None
+    heads = heads.where("reason IS NULL").withColumn("width", F.size("columns"))
+    places = heads.select("source", "width", *[(F.array_position("columns", c) - 1).cast("int").alias(f"_at_{i}") for i, c in enumerate(needed)])
+    files: dict[int, list[str]] = {}
+    for row in heads.select("width", "path").toLocalIterator():
+        files.setdefault(row["width"], []).append(row["path"])
+    out = None
+    for width, paths in sorted(files.items()):
+        cells = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
+        scan = (spark.read.schema(T.StructType([*cells.fields, T.StructField("_line_text", T.StringType())]))
+                .option("header", True).option("sep", separator).option("encoding", encoding)
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line_text").csv(sorted(paths)))
+        rows = scan.select(F.array(*cells.names).alias("_cells"), "_line_text", _customer(named_by).alias(KEY), *_load_order())
+        out = rows if out is None else out.unionByName(rows)
+    return None if out is None else out.join(places, out["_source"] == places["source"])
+
+
 def read_csv_sources(spark: SparkSession, path: str, date_column: str = TIME, columns: Sequence[str] = BASE_COLUMNS,
-                     separator: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """All CSV sources below ``path`` as one table; ``rejected_sources`` tells which are left out, and why.
+                     separator: str = ",", encoding: str = "utf-8", named_by: str = "file") -> DataFrame:
+    """All CSV sources below ``path`` as one table.
 
-    Sources may order their columns differently: one scan reads cells by position, and each row
-    picks its cells by where its source's header has them. Values that are no finite numbers
-    become NULL. The load order of a row is (source, split offset, line), see ``LOAD_ORDER``.
+    ``rejected_sources`` tells which are left out, and why; ``rejected_rows`` does so for lines. Sources may
+    order their columns differently: cells are read by position, and each row picks its cells by where its
+    source's header has them. Values that are no finite numbers become NULL. The load order of a row is
+    (source, split offset, line), see ``LOAD_ORDER``.
     """
-    needed = [date_column, *columns]
-    heads = judged_sources(spark, path, "csv", needed, separator, encoding)
-    usable = None if heads is None else heads.where("reason IS NULL")
-    width = usable and usable.agg(F.max(F.size("columns"))).first()[0]
-    if not width:
+    lines = _csv_lines(spark, path, date_column, columns, separator, encoding, named_by)
+    if lines is None:
         return spark.createDataFrame([], raw_schema(columns))
-    places = usable.select("source", *[(F.array_position("columns", c) - 1).cast("int").alias(f"_at_{i}") for i, c in enumerate(needed)])
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
-    cells = (spark.read.schema(schema).option("header", True).option("sep", separator).option("encoding", encoding)
-             .option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path))
-    rows = cells.select(F.array(*schema.names).alias("_cells"), _customer().alias(KEY), *_load_order())
-    joined = rows.join(places, rows["_source"] == places["source"])
-    date, *values = [F.get("_cells", F.col(f"_at_{i}")) for i in range(len(needed))]
-    return joined.select(KEY, date.alias(RAW_DATE), *[finite(v.try_cast("double")).alias(c) for v, c in zip(values, columns)], *LOAD_ORDER)
+    date, *values = [F.get("_cells", F.col(f"_at_{i}")) for i in range(1 + len(columns))]
+    return lines.where("_line_text IS NULL").select(
+        KEY, date.alias(RAW_DATE), *[finite(v.try_cast("double")).alias(c) for v, c in zip(values, columns)], *LOAD_ORDER)
+
+
+def rejected_rows(spark: SparkSession, path: str, date_column: str = TIME, columns: Sequence[str] = BASE_COLUMNS,
+                  separator: str = ",", encoding: str = "utf-8", named_by: str = "file") -> DataFrame:
+    """(customer, source, line, cells, reason) of the lines of usable CSV sources that ``read_csv_sources`` leaves out.
+
+    Every line that is not empty is in one of the two. Lines end at line breaks, also within quotes. The
+    rejected lines are written once, as a scan for them has to parse whole lines.
+    """
+    lines = _csv_lines(spark, path, date_column, columns, separator, encoding, named_by)
+    if lines is None:
+        return spark.createDataFrame([], f"{KEY} string, source string, line string, cells array<string>, reason string")
+    return settle(lines.where("_line_text IS NOT NULL").select(
+        KEY, "source", F.col("_line_text").alias("line"), F.col("_cells").alias("cells"),
+        F.format_string("not %d cells", "width").alias("reason")))
 
 
 def read_parquet_sources(spark: SparkSession, path: str, date_column: str = TIME,
-                         columns: Sequence[str] = BASE_COLUMNS) -> DataFrame:
+                         columns: Sequence[str] = BASE_COLUMNS, named_by: str = "file") -> DataFrame:
     """Parquet sources, one file per customer; only the needed columns are scanned.
 
     The driver is told the files of each layout, as it lists them for any scan.
     """
     out = spark.createDataFrame([], raw_schema(columns))
-    heads = judged_sources(spark, path, "parquet", [date_column, *columns])
+    heads = judged_sources(spark, path, "parquet", [date_column, *columns], named_by=named_by)
     layouts: dict[tuple[str, ...], list[str]] = {}
     if heads is not None:
         for row in heads.where("reason IS NULL").select("columns", "path").toLocalIterator():
             layouts.setdefault(tuple(row["columns"]), []).append(row["path"])
     for _, files in sorted(layouts.items()):
         out = out.unionByName(spark.read.parquet(*sorted(files)).select(
-            _customer().alias(KEY), F.col(date_column).cast("string").alias(RAW_DATE),
+            _customer(named_by).alias(KEY), F.col(date_column).cast("string").alias(RAW_DATE),
             *[finite(F.col(c).cast("double")).alias(c) for c in columns], *_load_order()))
     return out
 
