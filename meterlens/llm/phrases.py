@@ -311,38 +311,64 @@ def sums_of(packets: DataFrame) -> DataFrame:
     return packets.where("shard IS NULL").select("a", "b", "c").mapInArrow(run, "w1 long, w2 long, f long")
 
 
-def longer(indexes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(w1, ..., w5, n): n-grams of three to five words, all of whose pairs are frequent, as often as a shard has them (0: no word)."""
+def longer(indexes: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """By part: n-grams of three to five words (0: no word), all of whose pairs are frequent, and how often the shard has them."""
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                forward, backward = (unpacked(r[k], np.int32) for k in "ab")
-                numbers = unpacked(r["c"], np.int64)
-                two, one = (np.concatenate([unpacked(p[k], np.int64) for p in r["pairs"]]) for k in "ab")
-                second, first, start, size, other = pairs_of(forward, len(numbers))
-                wide = len(numbers) + 1
-                wanted = (np.searchsorted(numbers, two) + 1) * wide + np.searchsorted(numbers, one) + 1
-                at = np.searchsorted(second * wide + first, np.sort(wanted))
-                second, first, start, size, other = (x[at] for x in (second, first, start, size, other))
-                ids = np.concatenate([[0], numbers])
-                ahead, back = (start, size), (other, size)
-                steps = {True: (backward, last_to_first(backward)), False: (forward, last_to_first(forward))}
-                grams = np.stack([ids[first], ids[second]], axis=1)
-                for to_right in (True, False, True):
-                    a, b = (other, start) if to_right else (start, other)
-                    owner, symbol, a, size, b = extended(*steps[to_right], a, size, b)
-                    keep = within(a, *(back if to_right else ahead))
-                    owner, symbol, a, size, b = (x[keep] for x in (owner, symbol, a, size, b))
-                    other, start = (a, b) if to_right else (b, a)
-                    new = ids[symbol][:, None]
-                    grams = np.concatenate([grams[owner], new] if to_right else [new, grams[owner]], axis=1)
-                    filled = np.pad(grams, ((0, 0), (0, LONGEST - grams.shape[1])))
-                    for cut in range(0, len(filled), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in filled[cut:cut + (1 << 16)].T),
-                                                          pa.array(size[cut:cut + (1 << 16)])], names=[*WORDS, "n"])
+                grams, counts = zip(*longer_of(r))
+                grams, counts = np.concatenate(grams), np.concatenate(counts)
+                mix = np.zeros(len(grams), np.uint64)
+                for column in grams.T:
+                    mix = (mix ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    mix ^= mix >> np.uint64(29)
+                for k, some in parts_of(((mix >> np.uint64(24)) % np.uint64(parts)).astype(np.int64), parts):
+                    some = some[np.lexsort(grams[some].T[::-1])]
+                    yield one_batch([packet(r["shard"], k, None, np.ascontiguousarray(grams[some].T), counts[some])])
 
     small_batches(indexes.sparkSession)
-    return indexes.select("shard", "a", "b", "c").join(by_shard(pairs, "pairs"), "shard").mapInArrow(run, ", ".join(f"{w} long" for w in [*WORDS, "n"]))
+    return indexes.select("shard", "a", "b", "c").join(by_shard(pairs, "pairs"), "shard").mapInArrow(run, PACKET)
+
+
+def longer_of(r: dict):
+    """(n-grams, counts) of one shard, by length."""
+    forward, backward = (unpacked(r[k], np.int32) for k in "ab")
+    numbers = unpacked(r["c"], np.int64)
+    two, one = (np.concatenate([unpacked(p[k], np.int64) for p in r["pairs"]]) for k in "ab")
+    second, first, start, size, other = pairs_of(forward, len(numbers))
+    wide = len(numbers) + 1
+    wanted = (np.searchsorted(numbers, two) + 1) * wide + np.searchsorted(numbers, one) + 1
+    at = np.searchsorted(second * wide + first, np.sort(wanted))
+    second, first, start, size, other = (x[at] for x in (second, first, start, size, other))
+    ids = np.concatenate([[0], numbers])
+    ahead, back = (start, size), (other, size)
+    steps = {True: (backward, last_to_first(backward)), False: (forward, last_to_first(forward))}
+    grams = np.stack([ids[first], ids[second]], axis=1)
+    for to_right in (True, False, True):
+        a, b = (other, start) if to_right else (start, other)
+        owner, symbol, a, size, b = extended(*steps[to_right], a, size, b)
+        keep = within(a, *(back if to_right else ahead))
+        owner, symbol, a, size, b = (x[keep] for x in (owner, symbol, a, size, b))
+        other, start = (a, b) if to_right else (b, a)
+        new = ids[symbol][:, None]
+        grams = np.concatenate([grams[owner], new] if to_right else [new, grams[owner]], axis=1)
+        yield np.pad(grams, ((0, 0), (0, LONGEST - grams.shape[1]))), size
+
+
+def frequent_grams(packets: DataFrame, least: int) -> DataFrame:
+    """(w1, ..., w5, f) of the n-grams that occur ``least`` times over all shards."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        grams = np.concatenate([unpacked(r["a"], np.int64).reshape(LONGEST, -1) for r in rows], axis=1)
+        counts = np.concatenate([unpacked(r["b"], np.int64) for r in rows])
+        order = np.lexsort(grams[::-1])
+        grams, counts = grams[:, order], counts[order]
+        first = np.flatnonzero(np.append(True, (grams[:, 1:] != grams[:, :-1]).any(axis=0)))
+        sums = np.add.reduceat(counts, first)
+        often = sums >= least
+        return pa.table({**{w: column for w, column in zip(WORDS, grams[:, first[often]])}, "f": sums[often]})
+
+    return packets.groupBy("part").applyInArrow(run, ", ".join(f"{w} long" for w in [*WORDS, "f"]))
 
 
 # --- phrases
@@ -360,7 +386,7 @@ def frequent(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     discard(found)
     pairs = settle(frequent_pairs(made.where("kind = 1").drop("kind"), least))
     discard(made, "kind=1")
-    grams = settle(longer(made.where("kind = 0"), pairs).groupBy(*WORDS).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    grams = settle(frequent_grams(longer(made.where("kind = 0"), pairs, parts), least))
     discard(made)
     grams = grams.unionByName(sums_of(pairs).withColumns({w: F.lit(0).cast("long") for w in WORDS[2:]}))
     grams = settle(grams.withColumn("gram", F.monotonically_increasing_id()))
