@@ -249,8 +249,8 @@ def pairs_of(forward: np.ndarray, words: int):
     return second + 1, first.astype(np.int64), start, count, other
 
 
-def index_and_pairs(texts: DataFrame, found: DataFrame, parts: int) -> DataFrame:
-    """A shard's index (part -1: both transforms and the words' numbers), and by part its pairs: both words, and how often they occur."""
+def index_of(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """A shard's index over its frequent words: both transforms and the words' numbers."""
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
@@ -263,8 +263,18 @@ def index_and_pairs(texts: DataFrame, found: DataFrame, parts: int) -> DataFrame
                 text = local[text]
                 # One 0 is enough wherever none of the words stands.
                 text = np.concatenate([[0], text[(text > 0) | np.append(True, text[:-1] > 0)], [0]]).astype(np.int32)
-                forward, backward = transform(text), transform(text[::-1])
-                yield one_batch([packet(r["shard"], -1, None, forward, backward, ids)])
+                yield one_batch([packet(r["shard"], None, None, transform(text), transform(text[::-1]), ids)])
+
+    small_batches(texts.sparkSession)
+    return texts.select("shard", "text").join(by_shard(found, "known"), "shard").mapInArrow(run, PACKET)
+
+
+def pair_packets(indexes: DataFrame, parts: int) -> DataFrame:
+    """By part: a shard's pairs, second and first word, and how often they occur."""
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                forward, ids = unpacked(r["a"], np.int32), unpacked(r["c"], np.int64)
                 second, first, _, count, _ = pairs_of(forward, len(ids))
                 one, two = ids[first - 1], ids[second - 1]
                 mix = one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ two.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -272,8 +282,8 @@ def index_and_pairs(texts: DataFrame, found: DataFrame, parts: int) -> DataFrame
                 for k, some in parts_of(part, parts):
                     yield one_batch([packet(r["shard"], k, None, two[some], one[some], count[some])])
 
-    small_batches(texts.sparkSession)
-    return texts.select("shard", "text").join(by_shard(found, "known"), "shard").mapInArrow(run, PACKET)
+    small_batches(indexes.sparkSession)
+    return indexes.select("shard", "a", "c").mapInArrow(run, PACKET)
 
 
 def frequent_pairs(packets: DataFrame, least: int) -> DataFrame:
@@ -380,14 +390,13 @@ def frequent(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     parts = max(1, texts.count())
     found = settle(frequent_words(word_packets(texts, parts), least))
     words = settle(words_of(found))
-    made = settle(index_and_pairs(texts, found, parts).withColumn("kind", F.expr("IF(part < 0, 0, 1)")), ["kind"])
-    # What is not read again goes, so that the disk holds two of these tables at a time.
+    indexes = settle(index_of(texts, found))
+    # What is not read again goes, so that the disk holds few of these tables at a time.
     discard(texts)
     discard(found)
-    pairs = settle(frequent_pairs(made.where("kind = 1").drop("kind"), least))
-    discard(made, "kind=1")
-    grams = settle(frequent_grams(longer(made.where("kind = 0"), pairs, parts), least))
-    discard(made)
+    pairs = settle(frequent_pairs(pair_packets(indexes, parts), least))
+    grams = settle(frequent_grams(longer(indexes, pairs, parts), least))
+    discard(indexes)
     grams = grams.unionByName(sums_of(pairs).withColumns({w: F.lit(0).cast("long") for w in WORDS[2:]}))
     grams = settle(grams.withColumn("gram", F.monotonically_increasing_id()))
     spelt = grams.select("gram", "f", F.posexplode(F.filter(F.array(*WORDS), lambda x: x > 0)).alias("pos", "id")).join(
