@@ -3,12 +3,15 @@
 Features are words and word beginnings: all that occur in a bounded sample of labelled documents,
 whichever label they go with. Inverse document frequencies come from all documents; a term that
 goes with a label, either one, counts more by the logarithm of its likelihood ratio. The examples'
-vectors lie in an inverted index cut in blocks of examples: terms that many examples carry stand
-in one table, the others in postings. Scores of low precision give each block's largest; only
-examples that reach the ``neighbours``-th of those are scored in full, so the neighbours found are
-the exact ones. Votes weigh by similarity; a logistic curve, fitted on examples that are judged
+vectors lie in an inverted index cut in blocks of similar examples: terms that many examples carry stand
+in one table, the others have, for each block, their largest weight and their postings. A text's table
+terms are multiplied out; its other terms bound every block by those maxima. Blocks are scored by
+falling bound until the bound is below the ``neighbours``-th score so far; the rest is skipped. What
+reaches that score is scored again in full precision, so the neighbours found are the exact ones. Votes weigh by similarity; a logistic curve, fitted on examples that are judged
 without themselves, turns the vote into a probability. The neighbours are the evidence.
 
+Very long texts are read whole; an id of several texts teaches by one of them.
+
 Defined cases: a text without any term of the examples (null and empty ones too) gets the rate among
 such examples, drawn to the score of a text without a toxic neighbour; without a row of each label
 every score is 0. Rows are kept as often as they occur; repeated labels of a document count once,
@@ -25,15 +28,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import crc_remainder, map_batches, unit_hash
+from meterlens.llm.common import ROWS_PER_BATCH, crc_remainder, map_batches, small_batches, unit_hash
 
 WORDS = re.compile(r"[^\W\d_]+")
+BEGINNINGS, NOTHING, HYPHEN = (4, 5, 6), pa.scalar("", pa.large_string()), pa.scalar("-", pa.large_string())
 #: Terms in the table, texts searched at a time, and more than low precision can be wrong by.
-TABLED, TOGETHER, MARGIN = 768, 128, 1e-4
+TABLED, TOGETHER, MARGIN = 4096, 128, 1e-4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
 
 
@@ -43,50 +48,43 @@ class ToxicityParams:
     toxic_examples: int = 2000
     clean_examples: int = 4000
     neighbours: int = 15
-    block: int = 64
+    block: int = 16
     doubt: float = 0.25
     threshold: float = 0.7
     fold: int = 3
     held_out: int = 1
 
 
-def features(word: str) -> list[str]:
-    return [word, *[f"{word[:k]}-" for k in (4, 5, 6) if len(word) > k]]
-
-
-class Vocabulary(dict):
-    """Numbers of the terms that a word carries."""
+def features(words: pa.Array) -> list[pa.Array]:
+    """For each word itself and its beginnings; null where a word is no longer than the beginning."""
+    size = pc.utf8_length(words)
+    return [words, *[pc.if_else(pc.greater(size, k), pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, k), NOTHING, HYPHEN), None)
+                     for k in BEGINNINGS]]
 
-    def __init__(self, terms: list[str]):
-        super().__init__()
-        self.terms = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.terms[f] for f in features(word) if f in self.terms)
-        if len(self) > 500_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = found
-        return found
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a text in order, and how often each occurs."""
-        found = map(self.__getitem__, WORDS.findall(text.lower())) if text else ()
-        return np.unique(np.fromiter(chain.from_iterable(found), np.int64), return_counts=True)
+class Terms:
+    """Numbers of terms, looked up for all words of a batch at a time."""
 
-
-class Shared:
-    """Terms for all tasks; a Python worker makes their vocabulary once."""
-
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: pa.Array):
         self.terms = terms
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "words"}
-
-    @cached_property
-    def words(self) -> Vocabulary:
-        return Vocabulary(self.terms)
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms of each text in order, and how often each occurs."""
+        found = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        sizes = np.array([len(f) for f in found])
+        coded = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
+        if not len(coded.dictionary):
+            return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
+        # One call: it makes a table of all terms.
+        numbers = np.asarray(pc.index_in(pa.concat_arrays(features(coded.dictionary)), value_set=self.terms).fill_null(-1))
+        terms = np.ascontiguousarray(numbers.reshape(-1, len(coded.dictionary)).T)[np.asarray(coded.indices)].astype(np.int64)
+        keys = (np.repeat(np.arange(len(texts)), sizes)[:, None] * len(self.terms) + terms)[terms >= 0]
+        keys, counts = np.unique(keys, return_counts=True)
+        ends = np.searchsorted(keys, np.arange(1, len(texts) + 1) * len(self.terms))
+        return [(k % len(self.terms), c) for k, c in zip(np.split(keys, ends[:-1]), np.split(counts, ends[:-1]))]
 
 
 def vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,42 +94,58 @@ def vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.n
 
 
 class BlockMaxIndex:
-    """The examples' vectors by example, by term, and the most frequent terms as a table."""
+    """The examples' vectors: by example, by term and block with the block's largest weight, and the most frequent terms as a table."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], n_terms: int, block: int):
-        self.ids, self.n_terms, self.block = np.array(ids, np.int64), n_terms, block
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)]).astype(np.int64)
-        self.terms = np.concatenate([np.zeros(0, np.int32), *[t.astype(np.int32) for t, _ in vectors]])
-        self.weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+        starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)]).astype(np.int64)
+        terms = np.concatenate([np.zeros(0, np.int32), *[t.astype(np.int32) for t, _ in vectors]])
+        weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+        #: Place of each example, alike ones side by side, so that the maxima of a block are near its weights.
+        order = alike(starts, terms, weights, n_terms, block)
+        self.numbers, self.ids = order, np.array(ids, np.int64)[order]
+        sizes = np.diff(starts)[order]
+        ends = np.cumsum(sizes)
+        spread = np.repeat(starts[order] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        self.starts, self.terms, self.weights = np.concatenate([[0], ends]), terms[spread], weights[spread]
+        self.n_terms, self.block = n_terms, block
+        self.blocks_seen = self.blocks_scored = 0
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "tables"}
 
     @cached_property
     def tables(self):
-        """Place of each term in the table (-1: none), the table, and where each other term's postings start."""
+        """Place of each term in the table (-1: none) and the table; where each other term's blocks start, with
+        their numbers, largest weights and where their postings start; and the postings.
+        """
         frequency = np.bincount(self.terms, minlength=self.n_terms)
         often = np.argsort(-frequency, kind="stable")[:TABLED]
-        place = np.full(self.n_terms, -1, np.int64)
+        place = np.full(self.n_terms, -1, np.int32)
         place[often] = np.arange(len(often))
+        blocks = -(-len(self.ids) // self.block)
         owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
-        table = np.zeros((len(often), -(-len(self.ids) // self.block) * self.block), np.float32)
+        table = np.zeros((len(often), blocks * self.block), np.float32)
         tabled = place[self.terms] >= 0
         table[place[self.terms[tabled]], owner[tabled]] = self.weights[tabled]
         rest = np.flatnonzero(~tabled)
-        rest = rest[np.argsort(self.terms[rest], kind="stable")]
-        offsets = np.concatenate([[0], np.cumsum(np.where(place >= 0, 0, frequency))])
-        return place, table, offsets, owner[rest], self.weights[rest], np.zeros(self.n_terms)
+        key = self.terms[rest].astype(np.int64) * blocks + owner[rest] // self.block
+        order = np.argsort(key, kind="stable")
+        rest, key = rest[order], key[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        largest = np.maximum.reduceat(self.weights[rest], first) if len(first) else np.zeros(0)
+        offsets = np.searchsorted(key[first] // blocks, np.arange(self.n_terms + 1)).astype(np.int32)
+        return (place, table, offsets, (key[first] % blocks).astype(np.int16 if blocks < 1 << 15 else np.int32), largest.astype(np.float32),
+                np.append(first, len(rest)).astype(np.int32), owner[rest], self.weights[rest].astype(np.float32))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int, int]]:
         """The k examples of the largest cosine: (cosine, id, number of the example); all positive."""
-        return self.nearest_many([(terms, weights)], k, [without])[0]
+        return self.nearest_many([(terms, weights)], k, None if without is None else [without])[0]
 
     def nearest_many(self, vectors, k: int, without: list[int | None] | None = None) -> list[list[tuple[float, int, int]]]:
         if not len(self.ids):
             return [[] for _ in vectors]
-        place, table, offsets, owner, posted, query = self.tables
-        found, more = [], k + (without is not None)
+        place, table, offsets, block_of, largest, postings, owner, posted = self.tables
+        found, query = [], np.zeros(self.n_terms)
         for at in range(0, len(vectors), TOGETHER):
             some = vectors[at:at + TOGETHER]
             dense = np.zeros((len(some), len(table)), np.float32)
@@ -140,34 +154,87 @@ class BlockMaxIndex:
                 row[place[terms[tabled]]] = weights[tabled]
             low = dense @ table
             for i, (terms, weights) in enumerate(some):
-                counts = offsets[terms + 1] - offsets[terms]
-                ends = np.cumsum(counts)
-                if len(ends) and ends[-1]:
-                    spread = np.repeat(offsets[terms] - ends + counts, counts) + np.arange(ends[-1])
-                    low[i] += np.bincount(owner[spread], posted[spread] * np.repeat(weights, counts), low.shape[1])
-                largest = low[i].reshape(-1, self.block).max(axis=1)
-                least = np.partition(largest, len(largest) - more)[len(largest) - more] if len(largest) >= more else 0
-                hit = np.flatnonzero(low[i] > max(0.0, least - 2 * MARGIN))
-                if len(hit) > more:
-                    least = np.partition(low[i][hit], len(hit) - more)[len(hit) - more]
-                    hit = hit[low[i][hit] >= least - 2 * MARGIN]
-                if without is not None:
-                    hit = hit[hit != (-1 if without[at + i] is None else without[at + i])]
+                left_out = -1 if without is None or without[at + i] is None else int(np.flatnonzero(self.numbers == without[at + i])[0])
+                rare = place[terms] < 0
+                hit = self._candidates(low[i], terms[rare], weights[rare].astype(np.float32), k, left_out)
                 query[terms] = weights
                 counts = self.starts[hit + 1] - self.starts[hit]
                 ends = np.cumsum(counts)
                 spread = np.repeat(self.starts[hit] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
                 exact = np.round(np.add.reduceat(self.weights[spread] * query[self.terms[spread]], ends - counts), 12) if len(hit) else np.zeros(0)
                 query[terms] = 0.0
-                order = np.lexsort((hit, self.ids[hit], -exact))[:k]
-                found.append([(s, d, n) for s, d, n in zip(exact[order].tolist(), self.ids[hit[order]].tolist(), hit[order].tolist()) if s > 0])
+                number = self.numbers[hit]
+                order = np.lexsort((number, self.ids[hit], -exact))[:k]
+                found.append([(s, d, n) for s, d, n in zip(exact[order].tolist(), self.ids[hit[order]].tolist(), number[order].tolist()) if s > 0])
         return found
 
-
-class ToxicityModel(Shared):
-    def __init__(self, terms, idf, vectors, ids, labels, weights, params: ToxicityParams):
-        super().__init__(terms)
-        self.params, self.idf = params, idf
+    def _candidates(self, low: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, left_out: int) -> np.ndarray:
+        """Places of all examples that can be among the first k.
+
+        ``low`` has the scores by the table's terms. The other terms bound a block by its largest weights; blocks
+        are scored by falling bound, until the bound is below the k-th score so far.
+        """
+        _, _, offsets, block_of, largest, postings, owner, posted = self.tables
+        blocks = len(low) // self.block
+        counts = offsets[terms + 1] - offsets[terms]
+        ends = np.cumsum(counts)
+        entry = np.repeat(offsets[terms] - ends + counts, counts)
+        entry += np.arange(len(entry), dtype=entry.dtype)
+        weight = np.repeat(weights, counts)
+        of = block_of[entry]
+        by_block = low.reshape(blocks, self.block)
+        bound = np.bincount(of, largest[entry] * weight, blocks) + by_block.max(axis=1) + MARGIN
+        scores, places, least, scored = np.zeros(0), np.zeros(0, np.int64), 0.0, np.zeros(blocks, bool)
+        take = min(blocks, max(1, -(-8 * k // self.block)))
+        while True:
+            # The blocks of the largest bounds, then all that a better k-th score leaves.
+            now = np.argpartition(-bound, take - 1)[:take] if not scored.any() else np.flatnonzero((bound > least) & ~scored)
+            now = now[bound[now] > least]
+            if not len(now):
+                break
+            chosen = np.zeros(blocks, bool)
+            chosen[now] = True
+            scored |= chosen
+            mine = np.flatnonzero(chosen[of])
+            first = postings[entry[mine]]
+            size = postings[entry[mine] + 1] - first
+            stop = np.cumsum(size)
+            spread = np.repeat(first - stop + size, size)
+            spread += np.arange(len(spread), dtype=spread.dtype)
+            rest = np.bincount(owner[spread], posted[spread] * np.repeat(weight[mine], size), len(low))
+            seen = (now[:, None] * self.block + np.arange(self.block)).ravel()
+            scores, places = np.append(scores, low[seen] + rest[seen]), np.append(places, seen)
+            if left_out >= 0:
+                scores[places == left_out] = 0.0
+            if len(scores) >= k:
+                least = max(0.0, np.partition(scores, len(scores) - k)[len(scores) - k] - 2 * MARGIN)
+        self.blocks_seen += blocks
+        self.blocks_scored += int(scored.sum())
+        return np.sort(places[scores > least])
+
+
+def alike(starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int) -> np.ndarray:
+    """Examples in an order that puts similar ones next to each other: by the nearest of a few centres of seeded projections."""
+    n = len(starts) - 1
+    if n <= block:
+        return np.arange(n)
+    rng = np.random.default_rng(31)
+    axes = rng.normal(size=(n_terms, 32)).astype(np.float32)
+    points = np.zeros((n, 32), np.float32)
+    for at in range(n):
+        own = slice(starts[at], starts[at + 1])
+        points[at] = weights[own].astype(np.float32) @ axes[terms[own]]
+    centres = points[rng.choice(n, -(-n // block) // 4 + 1, replace=False)]
+    for _ in range(5):
+        own = (points @ centres.T).argmax(axis=1)
+        centres = np.stack([points[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True) + 1e-9
+    return np.argsort((points @ centres.T).argmax(axis=1), kind="stable")
+
+
+class ToxicityModel:
+    def __init__(self, terms: Terms, idf, vectors, ids, labels, weights, params: ToxicityParams):
+        self.terms, self.params, self.idf = terms, params, idf
         self.labels, self.weights = np.array(labels, float), np.array(weights, float)
         used = [i for i, v in enumerate(vectors) if len(v[0])]
         self.number = np.array(used, np.int64)
@@ -188,7 +255,7 @@ class ToxicityModel(Shared):
         return float(1 / (1 + np.exp(-(self.slope * (vote - 0.5) + self.shift))))
 
     def score_many(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int, int]]]]:
-        vectors = [vector(*self.words.counts(t), self.idf) for t in texts]
+        vectors = [vector(*c, self.idf) for c in self.terms.counts(texts)]
         found = self.index.nearest_many(vectors, self.params.neighbours)
         return [(self.curve(self.vote(f)) if len(v[0]) else self.without_terms, f) for v, f in zip(vectors, found)]
 
@@ -223,31 +290,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams)
     chosen = (known.where(unit_hash("doc_id", F.lit("toxicity")) < share)
               .orderBy(F.xxhash64("doc_id", F.lit("order"))).limit(2 * sum(wanted.values())))
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    # An id teaches once, by the text of the smallest hash, however many rows it has.
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return rows, {k: max(1.0, counts[k] / wanted[k]) for k in counts}
 
 
-def terms_of(rows: DataFrame) -> list[str]:
-    """All features of the sample."""
+def terms_of(rows: DataFrame) -> pa.Array:
+    """All features of the sample, in order."""
 
     def list_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = {w for t in batch.column("text").to_pylist() if t for w in WORDS.findall(t.lower())}
-        return pa.RecordBatch.from_arrays([pa.array(sorted({f for w in words if len(w) <= 64 for f in features(w)}), pa.string())], names=["term"])
+        words = pa.array(sorted({w for t in batch.column("text").to_pylist() if t for w in WORDS.findall(t.lower()) if len(w) <= 64}), pa.large_string())
+        terms = pa.concat_arrays([f.drop_null() for f in features(words)]).unique()
+        return pa.RecordBatch.from_arrays([terms.cast(pa.string())], names=["term"])
 
     # As many as the bounded sample has.
-    return sorted(map_batches(rows.select("text"), list_terms, "term string").distinct().toArrow().column("term").to_pylist())
-
-
-def inverse_frequencies(docs: DataFrame, terms: Broadcast, n_terms: int) -> np.ndarray:
-    """Over all documents."""
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = terms.value.words
-        found = [words.counts(t)[0] for t in batch.column("text").to_pylist()]
-        names, seen = np.unique(np.concatenate([*found, np.full(batch.num_rows, -1)]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(seen, pa.int64())], names=["term", "n"])
-
+    found = map_batches(rows.select("text"), list_terms, "term string").distinct().toArrow().column("term").to_pylist()
+    return pa.array(sorted(found), pa.large_string())
+
+
+def inverse_frequencies(docs: DataFrame, terms: Broadcast) -> np.ndarray:
+    """Over all documents; a task adds up its counts, of which there are as many as terms."""
+    n_terms = len(terms.value)
+
+    def count(batches):
+        seen = np.zeros(n_terms + 1, np.int64)
+        for batch in batches:
+            for texts in (batch.column("text").slice(at, ROWS_PER_BATCH).to_pylist() for at in range(0, batch.num_rows, ROWS_PER_BATCH)):
+                for found, _ in terms.value.counts(texts):
+                    seen[found] += 1
+                seen[-1] += len(texts)
+        names = np.flatnonzero(seen)
+        for at in range(0, len(names), 1 << 16):
+            some = names[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["term", "n"])
+
+    small_batches(docs.sparkSession)
     # At most one row a term.
-    rows = map_batches(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(n_terms + 1)
     seen[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
     return np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
@@ -278,22 +357,23 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     labels_seen = {r["toxic"] for r in rows.select("toxic").distinct().collect()}
     if not terms or labels_seen != {0, 1}:
         return None
-    shared = docs.sparkSession.sparkContext.broadcast(Shared(terms))  # bounded by the sample
-    idf = inverse_frequencies(docs, shared, len(terms))
+    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))  # bounded by the sample
+    idf = inverse_frequencies(docs, shared)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shared.value.words.counts(t) for t in batch.column("text").to_pylist()]
+        found = shared.value.counts(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("toxic"), pa.array([t.astype(np.int32).tobytes() for t, _ in found], pa.binary()),
              pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], names=["doc_id", "toxic", "terms", "n"])
 
     # The sample's rows, eight bytes for each of their terms.
     examples = map_batches(rows.select("doc_id", "toxic", "text"), count, "doc_id long, toxic long, terms binary, n binary").toArrow().to_pylist()
+    shared.unpersist()
     examples.sort(key=lambda r: (r["doc_id"], r["terms"], r["n"]))
     found = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in examples]
     idf *= emphasis(found, [r["toxic"] for r in examples], len(terms))
     vectors = [vector(t, np.frombuffer(r["n"], np.int32), idf) for t, r in zip(found, examples)]
-    return ToxicityModel(terms, idf, vectors, [r["doc_id"] for r in examples], [r["toxic"] for r in examples],
+    return ToxicityModel(Terms(terms), idf, vectors, [r["doc_id"] for r in examples], [r["toxic"] for r in examples],
                          [weight[r["toxic"]] for r in examples], params)
 
 
