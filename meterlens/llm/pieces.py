@@ -5,16 +5,18 @@ left one first). A candidate that comes up is skipped if a hash of (seed, docume
 unit, place in the unit) falls below ``dropout``; it comes up again only as part of another
 candidate. ``dropout=0`` gives the model's own segmentation. No piece of a merge-type model holds a
 blank after another character nor a line break, so a text is cut into units there without changing
-any merge. Every occurrence of a unit decides for itself. Only the model's own segmentation of a
-unit is kept, with its merges: an occurrence that skips none of them takes it, the others are
-merged one by one.
+any merge. Every occurrence of a unit decides for itself. What is kept in a worker are outcomes: for a unit
+and a set of its own merges that are skipped, the result and the merges that come up besides. An
+occurrence hashes the unit's own merges and looks the outcome up, then hashes the merges that came up
+besides; where none of those is skipped that is its result, the others are merged one by one.
 
 Decoding gives the text back byte by byte. U+2581, which the model uses for a blank, is written
 as byte pieces where a text holds it, as are characters without a piece.
 
 Defined cases: a null text has null ids, 0 tokens and counts as restored; an empty text has no
 tokens. Rows are kept as often as they occur and other columns pass through; a column named like
-a result is replaced.
+a result is replaced. A null id draws like an id of its own; very long texts are encoded whole, those units
+of theirs that are long one by one.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ MASK = (1 << 64) - 1
 NEVER = np.int32(2**31 - 1)
 #: Units of at most so many characters are merged many at a time.
 SHORT = 40
+#: Occurrences in a batch from which an outcome is worth keeping; rarer ones are merged anew.
+OFTEN = 4
 
 
 @dataclass(frozen=True)
@@ -64,6 +68,23 @@ def mixed_array(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Places:
+    """Lists of places of merges, one after the other."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.counts = np.array([len(m) for m in lists], np.int64)
+        self.flat, self.starts = np.concatenate([np.zeros(0, np.uint64), *lists]), np.cumsum(self.counts) - self.counts
+
+    def drawn(self, which: np.ndarray, draws: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each place of the list ``which`` of an occurrence: the occurrence, the number in the list, the place, and whether its hash skips it."""
+        many = self.counts[which]
+        ends = np.cumsum(many)
+        owner = np.repeat(np.arange(len(which)), many)
+        number = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
+        places = self.flat[np.repeat(self.starts[which], many) + number]
+        return owner, number, places, mixed_array(draws[owner] ^ places) < np.uint64(min(limit, MASK))
+
+
 class PieceModel:
     """The vocabulary of a merge-type model: merges, byte pieces, and what each id decodes to."""
 
@@ -90,6 +111,8 @@ class PieceModel:
         #: Ids of units without dropout (a draw of 0), and the places of the merges that make them.
         self.tables: list[dict[str, bytes]] = [{}]
         self.places: dict[str, np.ndarray] = {}
+        #: By unit and skipped merges of its own (bits): ids, and the places of merges that come up besides.
+        self.outcomes: dict[tuple[str, int], tuple[bytes, np.ndarray]] = {}
         self._index_pairs(model)
 
     def _index_pairs(self, model) -> None:
@@ -124,7 +147,7 @@ class PieceModel:
     def _slot(key: np.ndarray, turn: int, bits: int) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(turn & MASK)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def _candidates(self, a, b, key, left, middle, stop) -> tuple[np.ndarray, np.ndarray]:
+    def _candidates(self, a, b, key, skip, left, middle, stop) -> tuple[np.ndarray, np.ndarray]:
         """Place in the order (NEVER: no piece, or skipped) and id made of pairs of neighbours."""
         want = a.astype(np.int64) << 20 | b
         found = self.near[self._slot(want, 0x9E3779B97F4A7C15, 21)]
@@ -136,34 +159,42 @@ class PieceModel:
         if key is not None:
             place = (left.astype(np.uint64) << np.uint64(32)) | ((middle.astype(np.uint64) << np.uint64(16)) ^ stop.astype(np.uint64))
             order[mixed_array(key ^ place) < np.uint64(min(self.limit, MASK))] = NEVER
+        if skip is not None:
+            place = (left.astype(np.uint64) << np.uint64(32)) | ((middle.astype(np.uint64) << np.uint64(16)) ^ stop.astype(np.uint64))
+            order[(place[..., None] == skip).any(axis=-1)] = NEVER
         return order, self.pair_made[found]
 
-    def segment_many(self, units: list[str], draws: np.ndarray | None) -> tuple[list[bytes], list[np.ndarray]]:
-        """The same as ``segment`` for many short units at once, one merge of each unit a step; without draws also the places of merges."""
+    def segment_many(self, units: list[str], draws: np.ndarray | None, skips: np.ndarray | None = None) -> tuple[list[bytes], list[np.ndarray]]:
+        """The same as ``segment`` for many short units at once, one merge of each unit a step; without draws also the places of merges.
+
+        ``skips`` may give the places of merges that a unit skips, a row each, filled up with MASK.
+        """
         out, merged, by_length = [b""] * len(units), [np.zeros(0, np.uint64)] * len(units), {}
         for i, u in enumerate(units):
             if len(u) > SHORT or u == BLANK:
                 places: list[int] = []
-                out[i] = self.segment(u, int(draws[i]) if draws is not None else 0, places)
+                out[i] = self.segment(u, int(draws[i]) if draws is not None else 0, places, None if skips is None else set(skips[i].tolist()))
                 merged[i] = np.array(places, np.uint64)
             else:
                 by_length.setdefault(len(u), []).append(i)
         for n, same in by_length.items():
             for at in range(0, len(same), 8192):
-                self._merge(units, np.array(same[at:at + 8192]), n, draws, out, merged)
+                self._merge(units, np.array(same[at:at + 8192]), n, draws, skips, out, merged)
         return out, merged
 
-    def _merge(self, units: list[str], which: np.ndarray, n: int, draws: np.ndarray | None, out: list[bytes], merged: list[np.ndarray]) -> None:
+    def _merge(self, units: list[str], which: np.ndarray, n: int, draws: np.ndarray | None, skips: np.ndarray | None,
+               out: list[bytes], merged: list[np.ndarray]) -> None:
         text = "".join([units[i] for i in which]).replace(" ", BLANK)
         symbols = self.code_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)].reshape(-1, n)
         known = (symbols >= 0).all(axis=1)
         if not known.all():
             for i in which[~known].tolist():
                 places: list[int] = []
-                out[i] = self.segment(units[i], int(draws[i]) if draws is not None else 0, places)
+                out[i] = self.segment(units[i], int(draws[i]) if draws is not None else 0, places, None if skips is None else set(skips[i].tolist()))
                 merged[i] = np.array(places, np.uint64)
             which, symbols = which[known], symbols[known]
         key = draws[which][:, None] if draws is not None else None
+        skip = skips[which] if skips is not None else None
         bounds, steps = np.tile(np.arange(n + 1, dtype=np.int64), (len(which), 1)), np.zeros((len(which), n), np.uint64)
 
         def done(rows):
@@ -172,7 +203,8 @@ class PieceModel:
                 if draws is None:
                     merged[i] = made[:n - len(row)].copy()
 
-        order, made = self._candidates(symbols[:, :-1], symbols[:, 1:], key, bounds[:, :-2], bounds[:, 1:-1], bounds[:, 2:])
+        order, made = self._candidates(symbols[:, :-1], symbols[:, 1:], key, None if skip is None else skip[:, None, :],
+                                       bounds[:, :-2], bounds[:, 1:-1], bounds[:, 2:])
         for width in range(n, 0, -1):
             if width == 1 or not len(symbols):
                 done(slice(None))
@@ -183,6 +215,7 @@ class PieceModel:
                 done(~live)
                 symbols, bounds, order, made, which, steps, best = (x[live] for x in (symbols, bounds, order, made, which, steps, best))
                 key = key[live] if key is not None else None
+                skip = skip[live] if skip is not None else None
                 if not len(symbols):
                     return
             line = np.arange(len(symbols))
@@ -203,14 +236,14 @@ class PieceModel:
                 rows = np.flatnonzero((at >= 0) & (at < width - 2))
                 at = at[rows]
                 order[rows, at], made[rows, at] = self._candidates(
-                    symbols[rows, at], symbols[rows, at + 1], key[rows, 0] if key is not None else None,
+                    symbols[rows, at], symbols[rows, at + 1], key[rows, 0] if key is not None else None, skip[rows] if skip is not None else None,
                     bounds[rows, at], bounds[rows, at + 1], bounds[rows, at + 2])
 
     def by_bytes(self, text: str) -> bytes:
         return b"".join([self.bytes_of[b] for b in text.encode()])
 
-    def segment(self, unit: str, draw: int, places: list[int] | None = None) -> bytes:
-        """Ids of one unit, four bytes each; merges are skipped by ``draw``, 0 skips none. Their places go to ``places``."""
+    def segment(self, unit: str, draw: int, places: list[int] | None = None, skip: set[int] | None = None) -> bytes:
+        """Ids of one unit, four bytes each; merges are skipped by ``draw`` (0 skips none) or if in ``skip``. The places of others go to ``places``."""
         if unit == BLANK:
             return self.by_bytes(unit)
         text, merges, limit = unit.replace(" ", BLANK), self.merges, self.limit
@@ -228,7 +261,7 @@ class PieceModel:
             if end[left] != middle or end[middle] != stop:
                 continue
             place = left << 32 | middle << 16 ^ stop
-            if draw and limit and mixed(draw ^ place) < limit:
+            if draw and limit and mixed(draw ^ place) < limit or skip and place & MASK in skip:
                 continue
             if places is not None:
                 places.append(place & MASK)
@@ -259,39 +292,72 @@ class PieceModel:
             self.places.clear()
         cut = [UNITS.findall(" " + text) if text else [] for text in texts]
         units = [u for one in cut for u in one]
-        names = sorted(set(units))
+        names = list(dict.fromkeys(units))
         missing = [u for u in names if u not in kept]
         for u, ids, places in zip(missing, *self.segment_many(missing, None)):
             kept[u], self.places[u] = ids, places
-        found = [kept[u] for u in units]
+        found = list(map(kept.__getitem__, units))
         if self.limit and units:
-            # One hash a merge of the unit's own segmentation; where none is skipped that is the result.
             number = {u: i for i, u in enumerate(names)}
             which = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
-            merges = [self.places[u] for u in names]
-            counts = np.array([len(m) for m in merges], np.int64)
-            flat, starts = np.concatenate(merges), np.cumsum(counts) - counts
-            draws = np.concatenate([mixed_array(np.arange(len(one), dtype=np.uint64) ^ np.uint64(mixed(d ^ params.seed)))
+            draws = np.concatenate([mixed_array(np.arange(len(one), dtype=np.uint64) ^ np.uint64(mixed(d ^ self.params.seed)))
                                     for one, d in zip(cut, documents)])
             draws[draws == 0] = 1
-            again = []
+            own = Places([self.places[u] for u in names])
             for at in range(0, len(units), 1 << 18):
-                some = which[at:at + (1 << 18)]
-                many = counts[some]
-                ends = np.cumsum(many)
-                owner = np.repeat(np.arange(len(some)), many)
-                places = flat[np.repeat(starts[some] - ends + many, many) + np.arange(ends[-1])]
-                skipped = mixed_array(draws[at:at + (1 << 18)][owner] ^ places) < np.uint64(min(self.limit, MASK))
-                again.append(np.unique(owner[skipped]) + at)
-            rest = np.concatenate(again)
-            for i, ids in zip(rest.tolist(), self.segment_many([units[i] for i in rest.tolist()], draws[rest])[0]):
-                found[i] = ids
+                self._drop(names, units, which[at:at + (1 << 18)], draws[at:at + (1 << 18)], own, found, at)
         out, at = [], 0
         for one in cut:
             out.append(np.frombuffer(b"".join(found[at:at + len(one)]), "<i4"))
             at += len(one)
         return out
 
+    def _drop(self, names: list[str], units: list[str], which: np.ndarray, draws: np.ndarray, own: Places, found: list[bytes], at: int) -> None:
+        """Put the outcome of every occurrence that skips a merge into ``found`` (from ``at`` on)."""
+        owner, bit, _, skipped = own.drawn(which, draws, self.limit)
+        owner, bit = owner[skipped], bit[skipped]
+        # Merges of its own that an occurrence skips, as bits; a unit of more merges than bits is merged anew.
+        bits = np.zeros(len(which), np.uint64)
+        np.bitwise_or.at(bits, owner, np.uint64(1) << np.minimum(bit, 63).astype(np.uint64))
+        rows = np.flatnonzero(bits)
+        short = own.counts[which[rows]] <= 63
+        anew, rows = [rows[~short]], rows[short]
+        order = np.lexsort((bits[rows], which[rows]))
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, (np.diff(which[rows]) != 0) | (np.diff(bits[rows]) != 0))) if len(rows) else np.zeros(0, np.int64)
+        states = [(names[w], b) for w, b in zip(which[rows[first]].tolist(), bits[rows[first]].tolist())]
+        often = np.diff(np.append(first, len(rows)))
+        self._learn([s for s, n in zip(states, often.tolist()) if n >= OFTEN])
+        outcomes = [self.outcomes.get(s) for s in states]
+        known = np.array([o is not None for o in outcomes], bool)
+        state = np.repeat(np.cumsum(known) - 1, often)
+        kept = np.repeat(known, often)
+        anew.append(rows[~kept])
+        rows, state, outcomes = rows[kept], state[kept], [o for o in outcomes if o is not None]
+        besides = Places([places for _, places in outcomes])
+        again, _, _, skipped = besides.drawn(state, draws[rows], self.limit)
+        other = np.zeros(len(rows), bool)
+        other[again[skipped]] = True
+        for i, k in zip((rows[~other] + at).tolist(), state[~other].tolist()):
+            found[i] = outcomes[k][0]
+        rest = np.concatenate([*anew, rows[other]])
+        for i, ids in zip((rest + at).tolist(), self.segment_many([units[i + at] for i in rest.tolist()], draws[rest])[0]):
+            found[i] = ids
+
+    def _learn(self, states: list[tuple[str, int]]) -> None:
+        """Outcomes of units with skipped merges that are not known yet."""
+        if len(self.outcomes) > self.params.kept:
+            self.outcomes.clear()
+        new = [s for s in states if s not in self.outcomes]
+        if not new:
+            return
+        skips = [self.places[u][[k for k in range(b.bit_length()) if b >> k & 1]] for u, b in new]
+        table = np.full((len(new), max(map(len, skips))), MASK, np.uint64)
+        for row, places in zip(table, skips):
+            row[:len(places)] = places
+        for (u, b), ids, merged in zip(new, *self.segment_many([u for u, _ in new], None, table)):
+            self.outcomes[u, b] = ids, merged[~np.isin(merged, self.places[u])]
+
     def encode(self, text: str, document: int) -> np.ndarray:
         return self.encode_many([text], [document])[0]
 

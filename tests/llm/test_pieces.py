@@ -41,6 +41,21 @@ def test_merging_many_equals_merging_one(spark):
             assert kept[unit] == DROPPED.segment(unit, variant)
 
 
+@pytest.mark.parametrize("dropout", [0.1, 0.3])
+def test_every_occurrence_equals_its_own_agenda(spark, dropout):
+    """Whole texts, with outcomes kept and used again, against the agenda of every unit with its draw."""
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").collect() if r["text"]]
+    texts += ["the same line again and again " * 300, "a" * 200 + " " + "éé中 " * 50]
+    model = pieces.PieceModel(SERIALIZED, pieces.PieceParams(dropout=dropout))
+    found = model.encode_many(texts, list(range(len(texts))))
+    assert len(model.outcomes) > 100
+    again = model.encode_many(texts, list(range(len(texts))))
+    for d, (text, ids, same) in enumerate(zip(texts, found, again)):
+        draws = [pieces.mixed(k ^ pieces.mixed(d ^ model.params.seed)) for k in range(len(text))]
+        want = b"".join(model.segment(u, draws[k]) for k, u in enumerate(pieces.UNITS.findall(" " + text)))
+        assert ids.astype("<i4").tobytes() == want and np.array_equal(ids, same) and model.decode(ids) == text
+
+
 def test_dropout_varies_by_place_and_seed():
     text = "the other thing " * 50
     plain, dropped = PLAIN.encode(text, 1), DROPPED.encode(text, 1)
