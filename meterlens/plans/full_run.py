@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from meterlens.operators.evaluate import acceptance, compliance, evaluate, join_assignments
 from meterlens.operators.explore import anomaly_report
 from meterlens.operators.reports import ObservedReports
-from meterlens.params import CLUSTER, Acceptance, Bands, EtlParams, ModelParams, SegmentParams
+from meterlens.params import CLUSTER, METRIC_COLUMNS, Acceptance, Bands, EtlParams, ModelParams, SegmentParams
 from meterlens.plans.detection import detect, place, train
 from meterlens.plans.etl import clean_readings
 from meterlens.plans.segmentation import Segments, segment_customers
-from meterlens.session import settle
+from meterlens.session import discard, run_folder, settle
 from meterlens.sources.sinks import FittedModel
 
 
@@ -43,6 +43,12 @@ class RunResult:
     compliance: DataFrame | None
     stage_seconds: dict[str, float]
     reports: DataFrame
+    #: The folder of all tables that the run wrote for itself.
+    folder: str
+
+    def release(self) -> None:
+        """Delete the run's tables, after the results that are to be kept were written elsewhere."""
+        discard(self.scored.sparkSession, self.folder)
 
     def times(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.stage_seconds.items()), "etapa string, segundos double")
@@ -53,13 +59,20 @@ def run(raw: DataFrame, order, date: str, params: RunParams | None = None,
         detected_at: datetime | None = None) -> RunResult:
     """Run every stage. Readings and scored rows are written once; all else is small.
 
-    ``reports`` has the quality of the readings after every step of the cleaning, counted in the jobs that
+    All tables of the run lie in one folder, until ``release``. ``compliance`` is given without labels, too; only the
+    latency is known then. ``reports`` has the quality of the readings after every step of the cleaning, counted in the jobs that
     write them.
 
     Given ``assignments`` replace the segmentation. ``detected_at`` stamps the report, so that
     a repeated run gives the same rows.
     """
     params = params or RunParams()
+    with run_folder(raw.sparkSession) as folder:
+        return _run(raw, order, date, params, labels, assignments, detected_at, folder)
+
+
+def _run(raw: DataFrame, order, date: str, params: RunParams, labels: DataFrame | None, assignments: DataFrame | None,
+         detected_at: datetime | None, folder: str) -> RunResult:
     spark = raw.sparkSession
     clock: dict[str, float] = {}
 
@@ -88,10 +101,13 @@ def run(raw: DataFrame, order, date: str, params: RunParams | None = None,
     moment = detected_at or datetime.now()
     flagged = scored.where("anomalia_predicha").withColumn("timestamp_deteccion", F.lit(moment))
 
-    metrics = checks = report = None
+    # Without labels the time of detection is all there is to judge.
+    metrics = checks = None
+    unknown = spark.range(1).select(*[F.lit(None).cast("double").alias(c) for c in METRIC_COLUMNS])
+    report = compliance(unknown, params.acceptance, clock["anomaly_detection_seconds"])
     if labels is not None and not labels.isEmpty():
         metrics = timed("system_evaluation_seconds", lambda: settle(evaluate(scored, labels)))
         checks = acceptance(metrics, params.acceptance)
         report = compliance(metrics, params.acceptance, clock["anomaly_detection_seconds"])
     return RunResult(readings, segments, fitted, grid, scored, anomaly_report(flagged), metrics,
-                     checks, report, clock, stages.table(spark))
+                     checks, report, clock, stages.table(spark), folder)

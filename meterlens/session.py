@@ -6,13 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_folders: dict[str, str] = {}
-_scratch_folders: list[str] = []
+#: Where this thread's tables go, if not straight to the shared folder.
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def build_session(app: str = "meterlens", master: str | None = None, **conf) -> SparkSession:
@@ -52,19 +54,32 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[str]:
-    """Tables settled inside go to a folder of their own, which is deleted at the end.
-
-    What is to be kept has to be written elsewhere before: results read the settled tables.
-    """
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables settled inside, by this thread, go to a folder of their own; ``discard`` deletes it when it is done with."""
     folder = f"{checkpoint_root(spark).rstrip('/')}/meterlens-run-{uuid.uuid4().hex}"
-    _scratch_folders.append(folder)
+    token = _folder.set(folder)
     try:
         yield folder
     finally:
-        _scratch_folders.remove(folder)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _folder.reset(token)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A run folder that is deleted at the end.
+
+    What is to be kept has to be written elsewhere before: results read the settled tables.
+    """
+    with run_folder(spark) as folder:
+        try:
+            yield folder
+        finally:
+            discard(spark, folder)
 
 
 def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -75,7 +90,7 @@ def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     it is under ``spark.sql.autoBroadcastJoinThreshold`` and sorts and merges otherwise.
     """
     spark = df.sparkSession
-    root = _scratch_folders[-1] if _scratch_folders else checkpoint_root(spark).rstrip("/")
+    root = _folder.get() or checkpoint_root(spark).rstrip("/")
     path = f"{root}/meterlens-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
