@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 from meterlens.llm.common import ROWS_PER_BATCH, crc_remainder, map_batches, small_batches, unit_hash
 
 WORDS = re.compile(r"[^\W\d_]+")
+BLANKS = {i: " " for i in range(128) if not chr(i).isalpha()}
 BEGINNINGS, NOTHING, HYPHEN = (4, 5, 6), pa.scalar("", pa.large_string()), pa.scalar("-", pa.large_string())
 #: Terms in the table, texts searched at a time, and more than low precision can be wrong by.
-TABLED, TOGETHER, MARGIN = 4096, 128, 1e-4
+TABLED, TOGETHER, MARGIN = 4096, 512, 1e-4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
 
 
@@ -62,6 +63,14 @@ def features(words: pa.Array) -> list[pa.Array]:
                      for k in BEGINNINGS]]
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case; of plain ASCII without the detour over an expression."""
+    if not text:
+        return []
+    low = text.lower()
+    return low.translate(BLANKS).split() if low.isascii() else WORDS.findall(low)
+
+
 class Terms:
     """Numbers of terms, looked up for all words of a batch at a time."""
 
@@ -73,7 +82,7 @@ class Terms:
 
     def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Terms of each text in order, and how often each occurs."""
-        found = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        found = [words_of(t) for t in texts]
         sizes = np.array([len(f) for f in found])
         coded = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
         if not len(coded.dictionary):
