@@ -5,7 +5,7 @@ prefix combines keyed hashes of (place, role, text) of its turns, 128 bits in al
 be carried on from block to block of a long conversation. A conversation whose hash is that of a
 shorter prefix of another is a snapshot and goes; of equal conversations the smallest id stays.
 
-A conversation is cut into blocks of ``BLOCK`` turn numbers. Only one small row a block is ever
+A conversation is cut into blocks of ``BLOCK`` turns. Only one small row a block is ever
 looked at per conversation, so a conversation may hold a third of all rows; prefixes that many
 conversations share are merged before the shuffle, and no pair of conversations is formed.
 
@@ -20,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlens.operators.chunks import running_total
 from meterlens.session import settle
 
 BLOCK = 1024
-NO_TURN = -(1 << 60)
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -36,11 +36,17 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def placed_turns(turns: DataFrame) -> DataFrame:
-    """Distinct rows with their block and place in the block, written once."""
-    rows = turns.select("conv_id", "turn", "role", "text").distinct().withColumn(
-        "block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(NO_TURN)))
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return settle(rows.withColumn("inside", F.row_number().over(inside)))
+    """Distinct rows with their block and place in the block, written once.
+
+    A turn's place in its conversation is a running total over range partitions, so turns of one number, or
+    without one, are spread over blocks like any others.
+    """
+    rows = turns.select("conv_id", "turn", "role", "text").distinct().withColumns(
+        {"known": F.col("conv_id").isNotNull(), "conversation": F.coalesce(F.col("conv_id"), F.lit(0))})
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    ranked = running_total(rows, ["known", "conversation"], order, F.lit(1).cast("long"), "rank")
+    return settle(ranked.select("conv_id", "turn", "role", "text", F.floor(F.col("rank") / BLOCK).alias("block"),
+                                (F.col("rank") % BLOCK + 1).cast("int").alias("inside")))
 
 
 def prefix_hashes(placed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -82,13 +82,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents without those of ``ids`` (doc_id; null is an id). The list is broadcast only if Spark measures it as small."""
-    gone = free_name(docs, "_gone")
-    ids = ids.select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
-
-
 def drop_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Documents without those whose id and ``xxhash64`` of the text are in ``rows`` (doc_id, key; null is an id)."""
     gone, hashed = free_name(docs, "_gone"), free_name(docs, "_hashed")

@@ -171,8 +171,10 @@ def training_windows(docs: DataFrame, params: LanguageParams) -> tuple[np.ndarra
     excerpts = F.array(*[
         F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(i)), length) + 1).cast("int"), F.lit(params.window))
         for i in range(params.excerpts)])
-    rows = (known.where(unit_hash("doc_id", F.lit("language")) < share[F.col("lang")])
-            .select("doc_id", "lang", F.explode(excerpts).alias("part")).collect())
+    # An id teaches once a language, by the text of the smallest hash, however many rows it has.
+    chosen = known.where(unit_hash("doc_id", F.lit("language")) < share[F.col("lang")]).groupBy("doc_id", "lang").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = chosen.select("doc_id", "lang", F.explode(excerpts).alias("part")).collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["part"]))
     windows, labels = np.zeros((len(rows), params.window), np.uint8), np.zeros(len(rows), np.int64)
     for i, row in enumerate(rows):

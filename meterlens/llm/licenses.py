@@ -5,12 +5,13 @@ label, a priority, a weight and a keyword. A rule is tried on texts that hold it
 places where it matches are word intervals. Of all intervals of a text, one that lies in another
 is suppressed, of equal ones that of lower priority; base phrases stay always.
 
-Rules are made from the license names, their versions and the sentences that name them
-(``rules``): about 700. Everything about a document happens in its own row, in time linear in its
+About 400 rules are written (``license_rules`` and the sentences here); the others, about 700, are license names and
+versions in the frames that name them (``rules``). Of intervals that are equal in place and priority the first by
+label suppresses the others. Everything about a document happens in its own row, in time linear in its
 length, so no document waits for another and no key can be hot.
 
 Defined cases: a null text is an empty one; a text without words has n_words 0, null places, empty
-labels and score 0. Rows are kept as often as they occur, with null ids; extra columns are
+labels and score 0; very long texts are scanned whole. Rows are kept as often as they occur, with null ids; extra columns are
 ignored.
 """
 
@@ -22,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlens.llm.license_rules import WRITTEN
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE = ("array<struct<keyword: string, expression: string, mark: string, words: int, label: string, "
         "priority: int, weight: double, base: boolean>>")
@@ -33,8 +36,8 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 # License names as written in texts, their labels, and their versions.
 NAMES = {
     "mit": ("mit", ""), "expat": ("mit", ""), "x11": ("x11", ""),
-    "bsd": ("bsd", ""), "bsd 2 clause": ("bsd", ""), "bsd 3 clause": ("bsd", ""), "bsd 4 clause": ("bsd", ""),
-    "modified bsd": ("bsd", ""), "simplified bsd": ("bsd", ""),
+    "bsd": ("bsd", ""), "bsd 2 clause": ("bsd-2-clause", ""), "bsd 3 clause": ("bsd-3-clause", ""), "bsd 4 clause": ("bsd-4-clause", ""),
+    "modified bsd": ("bsd-3-clause", ""), "simplified bsd": ("bsd-2-clause", ""),
     "apache": ("apache", "1.0 1.1 2.0"), "apache software": ("apache", "1.1 2.0"),
     "gnu general public": ("gpl", "1 2 3 2.0 3.0"), "gpl": ("gpl", "1 2 3 2.0 3.0"), "gnu gpl": ("gpl", "2 3 2.0 3.0"),
     "gnu lesser general public": ("lgpl", "2.1 3 3.0"), "gnu library general public": ("lgpl", "2 2.0"),
@@ -121,6 +124,10 @@ def rules() -> list[Rule]:
     """All rules, in order of priority and label."""
     found = [Rule(p, max(p.split(" "), key=len), label, 100, 0.7, True) for p, label in BASE.items()]
     found += [Rule(*s) for s in SENTENCES]
+    for line in WRITTEN.splitlines():
+        if line and not line.startswith("#"):
+            pattern, keyword, label, priority, weight = line.split(" | ")
+            found.append(Rule(pattern, keyword, label, int(priority), float(weight)))
     for name, (label, versions) in NAMES.items():
         key = max(name.split(" "), key=len)
         found.append(Rule(f"licen[sc]ed under the {name} licen[sc]e", key, label, 60, 0.97))

@@ -235,6 +235,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, vectors, weights, params:
     chosen = (known.where(unit_hash("doc_id", F.lit("quality")) < share)
               .orderBy(F.xxhash64("doc_id", F.lit("order"))).limit(4 * params.examples))
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    # An id teaches once, by the text of the smallest hash, however many rows it has.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def pool(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = pooled(batch.column("text").to_pylist(), Buckets(params.buckets), vectors, weights)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import drop_ids, small_batches
+from meterlens.llm.common import free_name, small_batches
 from meterlens.session import settle
 
 TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?]")
@@ -277,5 +277,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: TemplateParams = T
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
-    """The documents, all columns, that hold no item of the benchmark."""
-    return drop_ids(docs, settle(find_leaks(docs, benchmark, params).select("doc_id").distinct()))
+    """The documents, all columns, that hold no item of the benchmark.
+
+    Rows are judged by id and text: other texts of an id, or without one, stay.
+    """
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    leaks = settle(find_leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, params).select(F.col("doc_id").alias(key)).distinct())
+    return keyed.join(leaks, key, "left_anti").select(*docs.columns)
