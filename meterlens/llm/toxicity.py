@@ -228,7 +228,7 @@ def alike(starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: i
     if n <= block:
         return np.arange(n)
     rng = np.random.default_rng(31)
-    axes = rng.normal(size=(n_terms, 32)).astype(np.float32)
+    axes = rng.standard_normal((n_terms, 32), np.float32)
     points = np.zeros((n, 32), np.float32)
     for at in range(n):
         own = slice(starts[at], starts[at + 1])
@@ -250,6 +250,8 @@ class ToxicityModel:
         self.prior = float((self.labels * self.weights).sum() / self.weights.sum())
         self.index = BlockMaxIndex([vectors[i] for i in used], [ids[i] for i in used], len(terms), params.block)
         votes = np.array([self.vote(f) for f in self.index.nearest_many([vectors[i] for i in used], params.neighbours, list(range(len(used))))])
+        # Tasks make their own tables; the driver needs none any more.
+        self.index.__dict__.pop("tables", None)
         self.slope, self.shift = fit_curve(votes, self.labels[used], self.weights[used])
         rest = [i for i, v in enumerate(vectors) if not len(v[0])]
         self.without_terms = float(((self.labels * self.weights)[rest].sum() + 0.5 * self.curve(0.0)) / (self.weights[rest].sum() + 0.5))

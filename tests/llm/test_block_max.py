@@ -53,5 +53,5 @@ def test_counts_of_a_batch_are_those_of_each_text(spark):
     terms = toxicity.Terms(pa.array(sorted(["walk-", "walked", "walki-", "émil-", "straß-", "北京"]), pa.large_string()))
     got = [{terms.terms[int(t)].as_py(): int(n) for t, n in zip(*c)} for c in terms.counts(texts)]
     assert got[0] == got[1] == got[3] == {} and got[4] == {"walk-": 5, "walked": 5}
-    assert got[2] == {"walk-": 2, "walked": 1, "walki-": 1, "émil-": 1} and got[5] == {"straß-": 1, "北京": 1}
+    assert got[2] == {"walk-": 3, "walked": 1, "walki-": 1, "émil-": 1} and got[5] == {"straß-": 1, "北京": 1}
     assert [dict(zip(*map(tuple, c))) for c in terms.counts(texts)] == [dict(zip(*map(tuple, terms.counts([t])[0]))) for t in texts]
