@@ -42,7 +42,7 @@ NEVER = np.int32(2**31 - 1)
 #: Units of at most so many characters are merged many at a time.
 SHORT = 40
 #: Occurrences in a batch from which an outcome is worth keeping; rarer ones are merged anew.
-OFTEN = 4
+OFTEN = 8
 
 
 @dataclass(frozen=True)
