@@ -615,7 +615,7 @@ def oracles() -> dict[str, str]:
     o["rejected_rows"] = sql("""SELECT fuente AS cliente_id, CASE WHEN seq % 10 IN (3, 4) THEN 'not 5 cells' ELSE 'leida' END AS motivo,
         count(*) AS lineas FROM sources WHERE fuente NOT IN ('F4', 'F5') GROUP BY ALL
       UNION ALL SELECT DISTINCT fuente, CASE fuente WHEN 'F4' THEN 'the header has a line break within quotes' ELSE 'lacks Volumen' END,
-        CAST(NULL AS BIGINT) FROM sources WHERE fuente IN ('F4', 'F5')""", "raw", extra={"sources": by_source})
+        CAST(0 AS BIGINT) FROM sources WHERE fuente IN ('F4', 'F5')""", "raw", extra={"sources": by_source})
     o["labels_round_trip"] = sql(f"SELECT cliente_id, {ts()}, anomalia_real, criticidad_real FROM truth", "truth")
     o["cluster_round_trip"] = sql(f"""SELECT cliente_id, {ts()}, cluster_id, {rs(['Volumen'])} FROM keyed JOIN assigned USING (cliente_id)
       WHERE Volumen IS NOT NULL""", "keyed", "assigned")

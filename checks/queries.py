@@ -739,7 +739,7 @@ def rejected_rows(spark, sf):
         rename_parts(spark, f"{folder}/{name}", ".txt", ".csv")
     kept = read_csv_sources(spark, folder, named_by="folder").groupBy(KEY).agg(F.count(F.lit(1)).alias("lineas"))
     out = source_rows_left_out(spark, folder, named_by="folder").groupBy(KEY, F.col("reason").alias("motivo")).agg(F.count(F.lit(1)).alias("lineas"))
-    whole = rejected_sources(spark, folder, named_by="folder").select(KEY, F.col("reason").alias("motivo"), F.lit(None).cast("bigint").alias("lineas"))
+    whole = rejected_sources(spark, folder, named_by="folder").select(KEY, F.col("reason").alias("motivo"), F.lit(0).cast("bigint").alias("lineas"))
     return kept.select(KEY, F.lit("leida").alias("motivo"), "lineas").unionByName(out).unionByName(whole)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlens.operators.chunks import POSITION, TOTAL, running_total
+from meterlens.operators.chunks import POSITION, running_total
 from meterlens.operators.split import SPLIT
 from meterlens.params import CLUSTER, KEY
 

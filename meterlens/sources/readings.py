@@ -136,7 +136,8 @@ def _csv_lines(spark: SparkSession, path: str, date_column: str, columns: Sequen
         scan = (spark.read.schema(T.StructType([*cells.fields, T.StructField("_line_text", T.StringType())]))
                 .option("header", True).option("sep", separator).option("encoding", encoding)
                 .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line_text").csv(sorted(paths)))
-        rows = scan.select(F.array(*cells.names).alias("_cells"), "_line_text", _customer(named_by).alias(KEY), *_load_order())
+        # A condition on all cells that always holds: a scan that reads some of them would not count the others.
+        rows = scan.where(F.length(F.concat_ws("", *cells.names)) >= 0).select(F.array(*cells.names).alias("_cells"), "_line_text", _customer(named_by).alias(KEY), *_load_order())
         out = rows if out is None else out.unionByName(rows)
     return None if out is None else out.join(places, out["_source"] == places["source"])
 
@@ -162,15 +163,14 @@ def rejected_rows(spark: SparkSession, path: str, date_column: str = TIME, colum
                   separator: str = ",", encoding: str = "utf-8", named_by: str = "file") -> DataFrame:
     """(customer, source, line, cells, reason) of the lines of usable CSV sources that ``read_csv_sources`` leaves out.
 
-    Every line that is not empty is in one of the two. Lines end at line breaks, also within quotes. The
-    rejected lines are written once, as a scan for them has to parse whole lines.
+    Every line that is not empty is in one of the two. Lines end at line breaks, also within quotes.
     """
     lines = _csv_lines(spark, path, date_column, columns, separator, encoding, named_by)
     if lines is None:
         return spark.createDataFrame([], f"{KEY} string, source string, line string, cells array<string>, reason string")
-    return settle(lines.where("_line_text IS NOT NULL").select(
+    return lines.where("_line_text IS NOT NULL").select(
         KEY, "source", F.col("_line_text").alias("line"), F.col("_cells").alias("cells"),
-        F.format_string("not %d cells", "width").alias("reason")))
+        F.format_string("not %d cells", "width").alias("reason"))
 
 
 def read_parquet_sources(spark: SparkSession, path: str, date_column: str = TIME,

@@ -154,6 +154,8 @@ def test_rejected_lines_and_headers(spark, tmp_path):
     assert rows(kept.select("cliente_id", "Fecha_original_etl")) == [("A", "2024-01-01"), ("A", "2024-01-04"), ("B", "2024-01-01")]
     assert rows(rejected_rows(spark, str(tmp_path)).select("cliente_id", "line", "reason")) == [
         ("A", "2024-01-02,1,2", "not 4 cells"), ("A", "2024-01-03,1,2,3,4", "not 4 cells"), ("B", "1,2024-01-02,1,1", "not 5 cells")]
+    assert rows(kept.groupBy("cliente_id").count()) == [("A", 2), ("B", 1)]
+    assert rows(rejected_rows(spark, str(tmp_path)).groupBy("cliente_id").count()) == [("A", 2), ("B", 1)]
     assert rows(rejected_sources(spark, str(tmp_path)), "cliente_id", "reason") == [("C", "the header has a line break within quotes")]
     assert rejected_rows(spark, str(tmp_path / "none")).isEmpty()
 
