@@ -40,8 +40,8 @@ def _draw(key: str, seed: int, step: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.lit(step)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def start_centres(points: DataFrame, key: str, vector: str, k: int, seed: int) -> Centres:
-    """k centres to start from (fewer if there are fewer different points)."""
+def start_centres(points: DataFrame, key: str, vector: str, ks: Sequence[int], seed: int) -> dict[int, Centres]:
+    """For each k as many centres to start from (fewer if there are fewer different points), out of the same candidates."""
     first = points.agg(F.min_by(vector, F.struct(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key))).first()[0]
     if first is None:
         raise ValueError("there are no points")
@@ -51,13 +51,13 @@ def start_centres(points: DataFrame, key: str, vector: str, k: int, seed: int) -
         total = points.agg(F.sum(cost)).first()[0]
         if not total:
             break
-        # About 2 k rows.
-        drawn = points.where(_draw(key, seed, step) < F.lit(2.0 * k) * cost / F.lit(total)).select(vector).distinct().collect()
+        # About 2 k rows, k being the largest.
+        drawn = points.where(_draw(key, seed, step) < F.lit(2.0 * max(ks)) * cost / F.lit(total)).select(vector).distinct().collect()
         candidates = sorted({*candidates, *(tuple(r[0]) for r in drawn)})
     weights = np.zeros(len(candidates))
     for row in points.groupBy(nearest(vector, candidates).alias("c")).count().collect():
         weights[row["c"]] = row["count"]
-    return _reduced(np.array(candidates), weights, k, seed)
+    return {k: _reduced(np.array(candidates), weights, k, seed) for k in ks}
 
 
 def _reduced(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> Centres:
@@ -79,21 +79,27 @@ def _reduced(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) ->
     return [tuple(c) for c in centres.tolist()]
 
 
-def fit_centres(points: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> Centres:
-    """Sorted centres after Lloyd's steps until none moves by more than ``CLOSE``, ``ROUNDS`` at most.
+def fit_centres(points: DataFrame, key: str, vector: str, ks: Sequence[int], seed: int = 42) -> dict[int, Centres]:
+    """For each k the sorted centres after Lloyd's steps until none moves by more than ``CLOSE``, ``ROUNDS`` at most.
 
-    Means are rounded at the ninth place, so that the order in which a sum was added up is lost.
-    A centre that no point is nearest to stays where it is. ``points`` should be a written table.
+    A step is one job for all k that are not done. Means are rounded at the ninth place, so that the order in
+    which a sum was added up is lost. A centre that no point is nearest to stays where it is. ``points``
+    should be a written table.
     """
-    centres = start_centres(points, key, vector, k, seed)
+    centres = start_centres(points, key, vector, ks, seed)
     mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vector))))
+    moving = list(dict.fromkeys(ks))
     for _ in range(ROUNDS):
+        labels = F.array(*[F.struct(F.lit(k).alias("k"), nearest(vector, centres[k]).alias("c")) for k in moving])
         # One row a centre.
-        found = {r["c"]: tuple(round(x, 9) + 0.0 for x in r["m"])
-                 for r in points.groupBy(nearest(vector, centres).alias("c")).agg(mean.alias("m")).collect()}
-        moved = [found.get(i, c) for i, c in enumerate(centres)]
-        shift = max(sum((x - y) ** 2 for x, y in zip(a, b)) for a, b in zip(centres, moved))
-        centres = moved
-        if shift <= CLOSE ** 2:
+        found = {(r["k"], r["c"]): tuple(round(x, 9) + 0.0 for x in r["m"])
+                 for r in points.select(vector, F.inline(labels)).groupBy("k", "c").agg(mean.alias("m")).collect()}
+        shifts = {}
+        for k in moving:
+            moved = [found.get((k, i), c) for i, c in enumerate(centres[k])]
+            shifts[k] = max(sum((x - y) ** 2 for x, y in zip(a, b)) for a, b in zip(centres[k], moved))
+            centres[k] = moved
+        moving = [k for k in moving if shifts[k] > CLOSE ** 2]
+        if not moving:
             break
-    return sorted(set(centres))
+    return {k: sorted(set(c)) for k, c in centres.items()}

@@ -41,16 +41,22 @@ def fit_clusters(scaled: DataFrame, columns: Sequence[str], k: int, seed: int =
 
 def try_clusters(scaled: DataFrame, columns: Sequence[str], k: int, seed: int = 42) -> DataFrame | None:
     """The same, or None where K-Means refuses."""
-    if k <= 0:
-        return None
+    return try_many(scaled, columns, [k], seed).get(k)
+
+
+def try_many(scaled: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 42) -> dict[int, DataFrame]:
+    """Assignments for each k, stepped together; a k that K-Means refuses is left out."""
+    ks = [k for k in ks if k > 0]
     values = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)) for c in columns])
     points = scaled.select(KEY, values.alias("_v"))
+    if not ks:
+        return {}
     try:
-        centres = fit_centres(points, KEY, "_v", k, seed)
+        centres = fit_centres(points, KEY, "_v", ks, seed)
     except ValueError as error:
-        print(f"K-Means with k={k} refused the data: {error}")
-        return None
-    return points.select(KEY, nearest("_v", centres).alias(CLUSTER))
+        print(f"K-Means with k of {ks} refused the data: {error}")
+        return {}
+    return {k: points.select(KEY, nearest("_v", c).alias(CLUSTER)) for k, c in centres.items()}
 
 
 def clamp_k(k: int, customers: int) -> int:
@@ -92,11 +98,9 @@ def score_candidates(scaled: DataFrame, columns: Sequence[str], candidates: Sequ
     """(k, score): mean silhouette (-1 when only one label came out) or sum of squares; a k that fails is left out."""
     scores = []
     vectors = scaled.select(KEY, F.array(*[F.col(c) for c in columns]).alias("_v"))
-    for k in candidates:
-        found = try_clusters(scaled, columns, k, seed)
-        if found is None:
-            continue
-        labelled = settle(vectors.join(found, KEY))
+    found = try_many(scaled, columns, candidates, seed)
+    for k in (k for k in candidates if k in found):
+        labelled = settle(vectors.join(found[k], KEY))
         if fits is not None:
             fits[k] = labelled.select(KEY, CLUSTER)
         if method != "silhouette":

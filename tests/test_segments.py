@@ -25,7 +25,7 @@ def test_labels_do_not_depend_on_partitions(spark):
 
 def test_start_spreads_and_steps_reach_a_fixed_point(spark):
     points = cloud(spark).select("cliente_id", F.array("a", "b", "c").alias("v")).cache()
-    centres = np.array(kmeans.fit_centres(points, "cliente_id", "v", 5))
+    centres = np.array(kmeans.fit_centres(points, "cliente_id", "v", [3, 5])[5])
     x = np.array([r["v"] for r in points.collect()])
     own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
     means = np.array([x[own == i].mean(axis=0) for i in range(5)])
