@@ -3,9 +3,9 @@
 Features are words and word beginnings: all that occur in a bounded sample of labelled documents,
 whichever label they go with. Inverse document frequencies come from all documents; a term that
 goes with a label, either one, counts more by the logarithm of its likelihood ratio. The examples'
-vectors lie in an inverted index cut in blocks of similar examples: terms that many examples carry stand
-in one table, the others have, for each block, their largest weight and their postings. A text's table
-terms are multiplied out; its other terms bound every block by those maxima. Blocks are scored by
+vectors lie in an inverted index cut in blocks of similar examples: terms that most examples carry stand
+in one table, those of many in plain postings, the others have, for each block, their largest weight and their
+postings. The first two give partial scores of all examples; the rarer terms bound every block by those maxima. Blocks are scored by
 falling bound until the bound is below the ``neighbours``-th score so far; the rest is skipped. What
 reaches that score is scored again in full precision, so the neighbours found are the exact ones. Votes weigh by similarity; a logistic curve, fitted on examples that are judged
 without themselves, turns the vote into a probability. The neighbours are the evidence.
@@ -38,8 +38,8 @@ from meterlens.llm.common import ROWS_PER_BATCH, crc_remainder, map_batches, sma
 WORDS = re.compile(r"[^\W\d_]+")
 BLANKS = {i: " " for i in range(128) if not chr(i).isalpha()}
 BEGINNINGS, NOTHING, HYPHEN = (4, 5, 6), pa.scalar("", pa.large_string()), pa.scalar("-", pa.large_string())
-#: Terms in the table, texts searched at a time, and more than low precision can be wrong by.
-TABLED, TOGETHER, MARGIN = 4096, 512, 1e-4
+#: Terms in the table, terms in it or scanned, texts searched at a time, and more than low precision can be wrong by.
+TABLED, SCANNED, TOGETHER, MARGIN = 1024, 8192, 256, 1e-4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
 
 
@@ -124,26 +124,32 @@ class BlockMaxIndex:
 
     @cached_property
     def tables(self):
-        """Place of each term in the table (-1: none) and the table; where each other term's blocks start, with
-        their numbers, largest weights and where their postings start; and the postings.
+        """Place of each term in the table (-1: scanned, -2: rarer) and the table; the scanned terms' postings; where each
+        rarer term's blocks start, with their numbers, largest weights and where their postings start; and those postings.
         """
         frequency = np.bincount(self.terms, minlength=self.n_terms)
-        often = np.argsort(-frequency, kind="stable")[:TABLED]
-        place = np.full(self.n_terms, -1, np.int32)
+        by_frequency = np.argsort(-frequency, kind="stable")
+        often = by_frequency[:TABLED]
+        place = np.full(self.n_terms, -2, np.int32)
+        place[by_frequency[TABLED:SCANNED]] = -1
         place[often] = np.arange(len(often))
         blocks = -(-len(self.ids) // self.block)
         owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
         table = np.zeros((len(often), blocks * self.block), np.float32)
         tabled = place[self.terms] >= 0
         table[place[self.terms[tabled]], owner[tabled]] = self.weights[tabled]
-        rest = np.flatnonzero(~tabled)
+        scanned = np.flatnonzero(place[self.terms] == -1)
+        scanned = scanned[np.argsort(self.terms[scanned], kind="stable")]
+        scan = (np.concatenate([[0], np.cumsum(np.where(place == -1, frequency, 0))]).astype(np.int32), owner[scanned],
+                self.weights[scanned].astype(np.float32))
+        rest = np.flatnonzero(place[self.terms] == -2)
         key = self.terms[rest].astype(np.int64) * blocks + owner[rest] // self.block
         order = np.argsort(key, kind="stable")
         rest, key = rest[order], key[order]
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
         largest = np.maximum.reduceat(self.weights[rest], first) if len(first) else np.zeros(0)
         offsets = np.searchsorted(key[first] // blocks, np.arange(self.n_terms + 1)).astype(np.int32)
-        return (place, table, offsets, (key[first] % blocks).astype(np.int16 if blocks < 1 << 15 else np.int32), largest.astype(np.float32),
+        return (place, table, scan, offsets, (key[first] % blocks).astype(np.int16 if blocks < 1 << 15 else np.int32), largest.astype(np.float32),
                 np.append(first, len(rest)).astype(np.int32), owner[rest], self.weights[rest].astype(np.float32))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int, int]]:
@@ -153,7 +159,7 @@ class BlockMaxIndex:
     def nearest_many(self, vectors, k: int, without: list[int | None] | None = None) -> list[list[tuple[float, int, int]]]:
         if not len(self.ids):
             return [[] for _ in vectors]
-        place, table, offsets, block_of, largest, postings, owner, posted = self.tables
+        place, table, scan = self.tables[:3]
         found, query = [], np.zeros(self.n_terms)
         for at in range(0, len(vectors), TOGETHER):
             some = vectors[at:at + TOGETHER]
@@ -164,7 +170,8 @@ class BlockMaxIndex:
             low = dense @ table
             for i, (terms, weights) in enumerate(some):
                 left_out = -1 if without is None or without[at + i] is None else int(np.flatnonzero(self.numbers == without[at + i])[0])
-                rare = place[terms] < 0
+                rare = place[terms] == -2
+                self._scan(low[i], scan, terms[place[terms] == -1], weights[place[terms] == -1])
                 hit = self._candidates(low[i], terms[rare], weights[rare].astype(np.float32), k, left_out)
                 query[terms] = weights
                 counts = self.starts[hit + 1] - self.starts[hit]
@@ -177,13 +184,24 @@ class BlockMaxIndex:
                 found.append([(s, d, n) for s, d, n in zip(exact[order].tolist(), self.ids[hit[order]].tolist(), number[order].tolist()) if s > 0])
         return found
 
+    @staticmethod
+    def _scan(low: np.ndarray, scan: tuple, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Add what the scanned terms give to the scores."""
+        offsets, owner, posted = scan
+        counts = offsets[terms + 1] - offsets[terms]
+        ends = np.cumsum(counts)
+        if len(ends) and ends[-1]:
+            spread = np.repeat(offsets[terms] - ends + counts, counts)
+            spread += np.arange(len(spread), dtype=spread.dtype)
+            low += np.bincount(owner[spread], posted[spread] * np.repeat(weights.astype(np.float32), counts), len(low))
+
     def _candidates(self, low: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, left_out: int) -> np.ndarray:
         """Places of all examples that can be among the first k.
 
-        ``low`` has the scores by the table's terms. The other terms bound a block by its largest weights; blocks
+        ``low`` has the scores by the table's and the scanned terms. The rarer terms bound a block by its largest weights; blocks
         are scored by falling bound, until the bound is below the k-th score so far.
         """
-        _, _, offsets, block_of, largest, postings, owner, posted = self.tables
+        offsets, block_of, largest, postings, owner, posted = self.tables[3:]
         blocks = len(low) // self.block
         counts = offsets[terms + 1] - offsets[terms]
         ends = np.cumsum(counts)
