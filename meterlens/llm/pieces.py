@@ -51,7 +51,7 @@ class PieceParams:
     dropout: float = 0.1
     seed: int = 17
     #: Units whose own segmentation is kept in a Python worker; beyond that they are forgotten and made again.
-    kept: int = 500_000
+    kept: int = 200_000
 
 
 def mixed(x: int) -> int:
@@ -115,6 +115,12 @@ class PieceModel:
         self.outcomes: dict[tuple[str, int], tuple[bytes, np.ndarray]] = {}
         self._index_pairs(model)
 
+    def forget(self) -> None:
+        """Let go of all that was learnt about units."""
+        self.tables[0].clear()
+        self.places.clear()
+        self.outcomes.clear()
+
     def _index_pairs(self, model) -> None:
         """Every pair of pieces that makes a piece: its key, its place in the order, and the id made.
 
@@ -288,8 +294,7 @@ class PieceModel:
         """Ids of whole texts."""
         params, kept = self.params, self.tables[0]
         if len(kept) > params.kept:
-            kept.clear()
-            self.places.clear()
+            self.forget()
         cut = [UNITS.findall(" " + text) if text else [] for text in texts]
         units = [u for one in cut for u in one]
         names = list(dict.fromkeys(units))
@@ -390,6 +395,13 @@ def encode_texts(docs: DataFrame, params: PieceParams = PieceParams()) -> DataFr
 
     def run(batches):
         model = loaded(shared.value, params)
+        try:
+            yield from encoded(model, batches)
+        finally:
+            # The worker may go on with tasks of other stages, which need the room.
+            model.forget()
+
+    def encoded(model, batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
