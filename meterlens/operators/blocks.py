@@ -30,7 +30,7 @@ def position_blocks(df: DataFrame, features: Sequence[str], seq_len: int, keys:
 
     Positions count 1, 2, 3, … within ``keys``. A window's split is that of its rows if they all have
     the same (the first and last do: splits follow each other in time), else NULL. Without one of the
-    features there are no values, and so no windows. A block has ``block + seq_len - 1`` rows at most.
+    features there are no values, and so no windows; a row without a position is in no block. A block has ``block + seq_len - 1`` rows at most.
     """
     block = max(block, seq_len)
     known = all(f in df.columns for f in features)
@@ -38,7 +38,7 @@ def position_blocks(df: DataFrame, features: Sequence[str], seq_len: int, keys:
     home = F.floor((F.col(position) - 1) / block)
     tail = (F.col(position) - 1) % block >= block - (seq_len - 1)
     spread = df.withColumn("_home", home).withColumn(
-        "_block", F.explode(F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))))
+        "_block", F.explode(F.when(tail, F.array(home, home + 1)).otherwise(F.array(home)))).where("_block IS NOT NULL")
     own = F.col("_home") == F.col("_block")
     split = F.col(SPLIT) if SPLIT in df.columns else F.lit(None).cast("string")
     # A nested row can only be carried, not compared, so positions, which differ, come first.

@@ -116,3 +116,11 @@ def test_parameters_without_effect_are_named(placed):
         _, tried = reconstruct.grid_of_grams(table, {"encoding_dim": [2, 3], "learning_rate": [0.1, 0.2]})
     same = {r["orden"]: r["igual_a"] for r in tried.where("cluster_id = 0").collect()}
     assert same == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_rows_without_a_position_are_in_no_block(spark):
+    rows_ = [(0, "A", k + 1, float(k), 1.0) for k in range(6)] + [(0, "A", None, 9.0, 9.0)]
+    df = spark.createDataFrame(rows_, "cluster_id int, cliente_id string, _pos long, x double, y double")
+    made = blocks.position_blocks(df, FEATURES, 3, ["cluster_id", "cliente_id"], "_pos", 4)
+    scored = blocks.unpacked(made.withColumn("v", F.transform(blocks.ROWS, lambda r: r["x"])), "v", "error")
+    assert rows(scored, "_pos", "error") == [(k + 1, float(k)) for k in range(6)]
