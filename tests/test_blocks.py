@@ -1,5 +1,6 @@
 """Position blocks, Gram tables and components against windows as a column and plain computations."""
 
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -124,3 +125,17 @@ def test_rows_without_a_position_are_in_no_block(spark):
     made = blocks.position_blocks(df, FEATURES, 3, ["cluster_id", "cliente_id"], "_pos", 4)
     scored = blocks.unpacked(made.withColumn("v", F.transform(blocks.ROWS, lambda r: r["x"])), "v", "error")
     assert rows(scored, "_pos", "error") == [(k + 1, float(k)) for k in range(6)]
+
+
+@pytest.mark.parametrize("boundary", ["entity", "cluster"])
+def test_no_array_of_a_block_is_made_once_an_element(placed, boundary):
+    """A function of each element that names an array of the whole block costs the square of the block's rows."""
+    plan = blocks.score_blocks(placed, FEATURES, 5, boundary)._jdf.queryExecution().optimizedPlan().toString()
+    bodies = []
+    for start in (m.end() for m in re.finditer(r"lambdafunction\(", plan)):
+        depth, end = 1, start
+        while depth:
+            depth += {"(": 1, ")": -1}.get(plan[end], 0)
+            end += 1
+        bodies.append(plan[start:end])
+    assert bodies and not [b for b in bodies if "_e#" in b]
