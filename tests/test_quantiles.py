@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from meterlens.operators import quantiles
 from meterlens.operators.quantiles import exact_quantiles
 
 WANTED = {f"q{int(p * 100)}": ("v", p) for p in (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)}
@@ -43,3 +44,16 @@ def test_narrowed_whole_table_equals_percentile(spark):
     df = table(spark).where("k IN ('two_heavy_ties', 'plain', 'nan', 'infinite')")
     direct = exact_quantiles(df, [], WANTED, direct_rows=10_000).first()
     assert exact_quantiles(df, [], WANTED, direct_rows=1).first() == direct
+
+
+def test_bins_are_not_repeated_by_rank_and_fewer_than_values(spark):
+    long = spark.range(1000).select(F.lit("a").alias("k"), F.lit("v").alias("_column"), F.col("id").cast("double").alias("_value"),
+                                    F.lit(1000).cast("long").alias("_n"), F.lit(0).cast("long").alias("_below"),
+                                    F.lit(0.0).alias("_lo"), F.lit(999.0).alias("_hi"))
+    assert long.select(quantiles._bin(4096).alias("b")).distinct().count() == 250
+    ranks = F.array(*[F.lit(r).cast("long") for r in (0, 500, 999)])
+    made = quantiles._tighten(long, ["k", "_column"], ["k", "_column", "_rank"], ranks, 4096)
+    assert sorted(tuple(r) for r in made.select("_rank", "_below", "_lo", "_hi", "_held").collect()) == [
+        (0, 0, 0.0, 3.0, 4), (500, 500, 500.0, 503.0, 4), (999, 996, 996.0, 999.0, 4)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window")  # the ranks come after the running counts
