@@ -263,3 +263,10 @@ def test_capping_keeps_every_row(spark, method):
     got = cap_outliers(df, ["v"], params).collect()
     assert len(got) == len(rows) and {900.0, -9.0} <= {r["v"] for r in got}
     assert (500.0 in {r["v"] for r in got}) == (method == "otro")
+
+
+def test_gaps_are_carried_as_plain_numbers(spark):
+    """A pair of value and row number is a new object for every row and column of the windows."""
+    df = spark.createDataFrame([("A", 1.0)], "cliente_id string, v double").withColumn("Fecha", F.lit("2024-01-01").cast("timestamp"))
+    plan = fill_gaps(df, ["v"], unit="week")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_before_v" in plan and "_after_v" in plan and "named_struct(value, v#" not in plan

@@ -200,7 +200,7 @@ def test_flags_follow_scores_and_low_grades_cannot_occur(result):
 
 
 def test_customers_without_cluster_are_not_scored(spark, small):
-    readings = settle(clean_readings(fx.readings_raw(spark, small), ETL, "seq", "fecha_txt"))
+    readings = settle(clean_readings(q.fx.readings_raw(spark, small), ETL, "seq", "fecha_txt"))
     placed = settle(place(join_assignments(readings, fx.assignments(spark, small)), ModelParams(), "week"))
     assert placed.where("cluster_id = -1").isEmpty()
     for boundary in ("entity", "cluster"):
@@ -213,7 +213,7 @@ def test_customers_without_cluster_are_not_scored(spark, small):
 
 def test_quality_reports_see_every_stage(spark, small):
     reports = QualityReports()
-    clean_readings(fx.readings_raw(spark, small), ETL, "seq", "fecha_txt", reports)
+    clean_readings(q.fx.readings_raw(spark, small), ETL, "seq", "fecha_txt", reports)
     assert list(reports.stages) == ["carga", "fechas", "cantidad_gas", "faltantes", "atipicos", "calendario"]
     assert reports.stages["fechas"]["completitud"].first()["filas"] == 942
     assert reports.stages["atipicos"]["faltantes"].isEmpty()
@@ -294,3 +294,12 @@ def test_dashboard_filters_reach_the_scan(spark, small):
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(datetime", text)
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(cliente_id", text)
     assert "Temperatura" not in re.search(r"ReadSchema: (\S+)", text).group(1)
+
+
+def test_chunks_of_a_given_unit_are_not_counted_in_the_raw_rows(spark, small, monkeypatch):
+    """They are counted in the written rows, so dates are parsed once."""
+    def refuse(*_, **__):
+        raise AssertionError("raw rows counted")
+
+    monkeypatch.setattr("meterlens.plans.etl.measured_spans", refuse)
+    assert clean_readings(q.fx.readings_raw(spark, small), EtlParams(chunk="week"), "seq", "fecha_txt").count() > 0
