@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ def coded(texts: list[str | None], buckets: Buckets) -> tuple[np.ndarray, np.nda
     """Buckets of all tokens, and the number of tokens of each text."""
     found = [TOKENS.findall(t) if t else [] for t in texts]
     counts = np.array([len(x) for x in found], np.int64)
-    return np.fromiter((c for x in found for c in map(buckets.__getitem__, x)), np.int64, int(counts.sum())), counts
+    return np.fromiter(map(buckets.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum())), counts
 
 
 def index_vectors(params: QualityParams) -> tuple[np.ndarray, np.ndarray]:
@@ -142,32 +143,34 @@ def pooled(texts: list[str | None], buckets: Buckets, vectors: np.ndarray, weigh
     out = np.zeros((len(texts), 2 * size + 3))
     held = np.flatnonzero(counts)
     if len(held):
-        starts = (np.cumsum(counts) - counts)[held]
-        owner = np.repeat(np.arange(len(held)), counts[held])
-        w = weights[codes]
-        mass = np.add.reduceat(w.astype(np.float64), starts)[:, None]
-        taken = vectors[codes]
-        weighed = taken * w[:, None]
-        mean = np.add.reduceat(weighed, starts, axis=0, dtype=np.float64) / mass
+        n = counts[held]
+        owner = np.repeat(np.arange(len(held)), n)
+        # A bucket of a text is taken once and counts as often as it occurs; a row a dimension, so that sums run along memory.
+        of, code, times = distinct(owner, codes)
+        sizes = np.bincount(of, minlength=len(held))
+        starts = np.cumsum(sizes) - sizes
+        w = weights[code]
+        mass = np.add.reduceat(w.astype(np.float64) * times, starts)[:, None]
+        taken = np.take(np.ascontiguousarray(vectors.T), code, axis=1)
+        weighed = taken * w
+        mean = np.add.reduceat(weighed.astype(np.float64) * times, starts, axis=1).T / mass
         weighed *= taken
-        square = np.add.reduceat(weighed, starts, axis=0, dtype=np.float64) / mass
+        square = np.add.reduceat(weighed.astype(np.float64) * times, starts, axis=1).T / mass
         pair = np.zeros(len(codes), np.int64)
         pair[:-1] = codes[:-1] * len(vectors) + codes[1:]
-        n = counts[held]
         out[held, :size] = mean
         out[held, size:2 * size] = np.sqrt(np.maximum(square - mean * mean, 0))
         out[held, -3] = np.log1p(n)
-        out[held, -2] = distinct(owner, codes, len(held)) / n
-        out[held, -1] = distinct(owner, pair, len(held)) / n
+        out[held, -2] = sizes / n
+        out[held, -1] = np.bincount(distinct(owner, pair)[0], minlength=len(held)) / n
     return out
 
 
-def distinct(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    order = np.lexsort((values, owner))
-    a, b = owner[order], values[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return np.bincount(a[new], minlength=n)
+def distinct(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, value, occurrences) of each owner's different values, in order; values under 2**31 sort as one number with their owner."""
+    key = np.sort((owner << 31) | values)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first] >> 31, key[first] & ((1 << 31) - 1), np.diff(first, append=len(key))
 
 
 class QualityNetwork:
