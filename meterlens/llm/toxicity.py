@@ -122,6 +122,12 @@ class BlockMaxIndex:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "tables"}
 
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The examples' terms and weights by number, as views."""
+        place = np.empty(len(self.numbers), np.int64)
+        place[self.numbers] = np.arange(len(place))
+        return [(self.terms[self.starts[p]:self.starts[p + 1]], self.weights[self.starts[p]:self.starts[p + 1]]) for p in place]
+
     @cached_property
     def tables(self):
         """Place of each term in the table (-1: scanned, -2: rarer) and the table; the scanned terms' postings; where each
@@ -263,15 +269,17 @@ class ToxicityModel:
     def __init__(self, terms: Terms, idf, vectors, ids, labels, weights, params: ToxicityParams):
         self.terms, self.params, self.idf = terms, params, idf
         self.labels, self.weights = np.array(labels, float), np.array(weights, float)
-        used = [i for i, v in enumerate(vectors) if len(v[0])]
+        vectors = list(vectors)
+        used, rest = [i for i, v in enumerate(vectors) if len(v[0])], [i for i, v in enumerate(vectors) if not len(v[0])]
         self.number = np.array(used, np.int64)
         self.prior = float((self.labels * self.weights).sum() / self.weights.sum())
         self.index = BlockMaxIndex([vectors[i] for i in used], [ids[i] for i in used], len(terms), params.block)
-        votes = np.array([self.vote(f) for f in self.index.nearest_many([vectors[i] for i in used], params.neighbours, list(range(len(used))))])
+        # From here on the index has the only copy of the vectors, unless the caller keeps them.
+        del vectors
+        votes = np.array([self.vote(f) for f in self.index.nearest_many(self.index.vectors(), params.neighbours, list(range(len(used))))])
         # Tasks make their own tables; the driver needs none any more.
         self.index.__dict__.pop("tables", None)
         self.slope, self.shift = fit_curve(votes, self.labels[used], self.weights[used])
-        rest = [i for i, v in enumerate(vectors) if not len(v[0])]
         self.without_terms = float(((self.labels * self.weights)[rest].sum() + 0.5 * self.curve(0.0)) / (self.weights[rest].sum() + 0.5))
 
     def vote(self, found: list[tuple[float, int, int]]) -> float:
@@ -399,11 +407,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     examples = map_batches(rows.select("doc_id", "toxic", "text"), count, "doc_id long, toxic long, terms binary, n binary").toArrow().to_pylist()
     shared.unpersist()
     examples.sort(key=lambda r: (r["doc_id"], r["terms"], r["n"]))
-    found = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in examples]
-    idf *= emphasis(found, [r["toxic"] for r in examples], len(terms))
-    vectors = [vector(t, np.frombuffer(r["n"], np.int32), idf) for t, r in zip(found, examples)]
-    return ToxicityModel(Terms(terms), idf, vectors, [r["doc_id"] for r in examples], [r["toxic"] for r in examples],
-                         [weight[r["toxic"]] for r in examples], params)
+    ids, toxic = [r["doc_id"] for r in examples], [r["toxic"] for r in examples]
+    found = [np.frombuffer(r["terms"], np.int32) for r in examples]
+    idf *= emphasis(found, toxic, len(terms))
+    # Made as the model takes them, so that the rows they come from can go.
+    vectors = (vector(t, np.frombuffer(r["n"], np.int32), idf) for t, r in zip(found, examples))
+    del found, examples
+    return ToxicityModel(Terms(terms), idf, vectors, ids, toxic, [weight[label] for label in toxic], params)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel | None, params: ToxicityParams) -> DataFrame:

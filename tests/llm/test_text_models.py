@@ -1,5 +1,6 @@
 """Language, toxicity and quality: accuracy on rows that were held out, and defined cases."""
 
+import weakref
 import zlib
 
 import numpy as np
@@ -159,3 +160,45 @@ def test_toxicity_searches_by_all_terms(spark):
     assert all(found[i]["neighbours"] for i in found)
     near = found[5000]["neighbours"][:5]
     assert near and all(i % 10 == 1 and i < 200 for i in near) and found[5000]["predicted"] == 0
+
+
+def test_a_bucket_of_a_text_is_taken_once():
+    owner, values, times = quality.distinct(np.array([0, 0, 0, 2]), np.array([7, 3, 7, 7]))
+    assert (owner.tolist(), values.tolist(), times.tolist()) == ([0, 0, 2], [3, 7, 7], [1, 2, 1])
+    draw = np.random.default_rng(2)
+    vectors, weights = draw.normal(size=(64, 5)).astype(np.float32), draw.random(64).astype(np.float32)
+    texts = ["a b a, A a b", None, "one", "", "x y z x y z! x"]
+    got = quality.pooled(texts, quality.Buckets(64), vectors, weights)
+    for text, row in zip(texts, got):
+        codes = [quality.Buckets(64)[t] for t in quality.TOKENS.findall(text or "")]
+        if not codes:
+            assert not row.any()
+            continue
+        v, w = vectors[codes].astype(float), weights[codes].astype(float)[:, None]
+        mean = (v * w).sum(axis=0) / w.sum()
+        spread = np.sqrt(np.maximum((v * v * w).sum(axis=0) / w.sum() - mean ** 2, 0))
+        pairs = {*zip(codes, codes[1:]), 0}  # the last token of a batch's text pairs with what follows
+        assert np.allclose(row[:10], [*mean, *spread], atol=1e-3)
+        assert np.isclose(row[-3], np.log1p(len(codes))) and np.isclose(row[-2], len(set(codes)) / len(codes))
+        assert abs(row[-1] * len(codes) - len(pairs)) <= 1
+
+
+def test_toxicity_model_keeps_one_copy_of_the_vectors(monkeypatch):
+    draw, seen = np.random.default_rng(4), []
+
+    def made():
+        for _ in range(40):
+            weights = draw.random(6)
+            yield np.sort(draw.choice(30, 6, replace=False)), weights / np.sqrt((weights * weights).sum())
+
+    search = toxicity.BlockMaxIndex.nearest_many
+
+    def checked(self, *args, **kwargs):
+        alive.append(sum(r() is not None for r in seen))
+        return search(self, *args, **kwargs)
+
+    alive = []
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "nearest_many", checked)
+    toxicity.ToxicityModel([""] * 30, np.ones(30), ((t, seen.append(weakref.ref(w)) or w) for t, w in made()), list(range(40)),
+                           [i % 2 for i in range(40)], [1.0] * 40, toxicity.ToxicityParams())
+    assert alive == [0]
