@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlens.llm.common import free_name, small_batches
+from meterlens.llm.common import free_name, give_back, mixed_array, small_batches
 
 BLANK = "▁"
 UNITS = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}")
@@ -61,13 +61,6 @@ def mixed(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def mixed_array(x: np.ndarray) -> np.ndarray:
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Places:
     """Lists of places of merges, one after the other."""
 
@@ -400,6 +393,7 @@ def encode_texts(docs: DataFrame, params: PieceParams = PieceParams()) -> DataFr
         finally:
             # The worker may go on with tasks of other stages, which need the room.
             model.forget()
+            give_back()
 
     def encoded(model, batches):
         for batch in batches:

@@ -5,8 +5,8 @@ whichever label they go with. Inverse document frequencies come from all documen
 goes with a label, either one, counts more by the logarithm of its likelihood ratio. The examples'
 vectors lie in an inverted index cut in blocks of similar examples: terms that most examples carry stand
 in one table, those of many in plain postings, the others have, for each block, their largest weight and their
-postings. The first two give partial scores of all examples; the rarer terms bound every block by those maxima. Blocks are scored by
-falling bound until the bound is below the ``neighbours``-th score so far; the rest is skipped. What
+postings. The first two give partial scores of all examples; the rarer terms bound every block by those maxima. Blocks whose
+bound is below the ``neighbours``-th partial score are skipped, the others scored. What then
 reaches that score is scored again in full precision, so the neighbours found are the exact ones. Votes weigh by similarity; a logistic curve, fitted on examples that are judged
 without themselves, turns the vote into a probability. The neighbours are the evidence.
 
@@ -23,8 +23,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cached_property
-from itertools import chain
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +32,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import ROWS_PER_BATCH, crc_remainder, map_batches, small_batches, unit_hash
+from meterlens.llm.common import ROWS_PER_BATCH, crc_remainder, give_back, map_batches, mixed_array, small_batches, unit_hash
 
 WORDS = re.compile(r"[^\W\d_]+")
-BLANKS = {i: " " for i in range(128) if not chr(i).isalpha()}
 BEGINNINGS, NOTHING, HYPHEN = (4, 5, 6), pa.scalar("", pa.large_string()), pa.scalar("-", pa.large_string())
 #: Terms in the table, terms in it or scanned, texts searched at a time, and more than low precision can be wrong by.
-TABLED, SCANNED, TOGETHER, MARGIN = 1024, 8192, 256, 1e-4
+TABLED, SCANNED, TOGETHER, MARGIN = 2048, 16384, 512, 1e-4
+#: Places in a word that are told apart, bits of the slots of the terms' hashes, and characters whose words are looked up at a time.
+LONGEST, SLOTS, CHARACTERS = 256, 20, 1 << 19
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
 
 
@@ -63,16 +63,45 @@ def features(words: pa.Array) -> list[pa.Array]:
                      for k in BEGINNINGS]]
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case; of plain ASCII without the detour over an expression."""
-    if not text:
-        return []
-    low = text.lower()
-    return low.translate(BLANKS).split() if low.isascii() else WORDS.findall(low)
+@cache
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """A number drawn for each character, 0 for what no word holds, and an odd one for each place in a word (the last: all later)."""
+    numbers = np.zeros(0x110000, np.uint64)
+    for at in range(0, len(numbers), 1 << 14):
+        some = mixed_array(np.arange(at, at + (1 << 14), dtype=np.uint64)) | np.uint64(1)
+        for run in WORDS.finditer("".join(map(chr, range(at, at + (1 << 14))))):
+            own = slice(at + run.start(), at + run.end())
+            numbers[own] = some[run.start():run.end()]
+    return numbers, mixed_array(np.arange(1 << 32, (1 << 32) + LONGEST, dtype=np.uint64)) | np.uint64(1)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Words in lower case: the number of the text of each, and for words and each of their beginnings (numbers of words, 64-bit hashes)."""
+    drawn, places = letters()
+    low = [t.lower() for t in texts]
+    numbers = drawn[np.frombuffer("\n".join(low).encode("utf-32-le"), np.uint32)]
+    inside = numbers != 0
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), starts, "right")
+    numbers, first = numbers[inside], np.cumsum(sizes) - sizes
+    place = np.arange(len(numbers)) - np.repeat(first, sizes)
+    numbers *= places[np.minimum(place, LONGEST - 1, out=place)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers, dtype=np.uint64)])
+    found = [(np.arange(len(sizes)), sums[first + sizes] - sums[first])]
+    for k in BEGINNINGS:
+        longer = np.flatnonzero(sizes > k)
+        found.append((longer, sums[first[longer] + k] - sums[first[longer]] + beginning_mark(k)))
+    return text, found
+
+
+def beginning_mark(k: int) -> np.uint64:
+    """What a beginning of k letters has more than the word of these letters."""
+    return mixed_array(np.full(1, (1 << 33) + k, np.uint64))[0]
 
 
 class Terms:
-    """Numbers of terms, looked up for all words of a batch at a time."""
+    """Numbers of terms, looked up for all words of some texts at a time, by 64-bit hashes of their letters."""
 
     def __init__(self, terms: pa.Array):
         self.terms = terms
@@ -80,20 +109,57 @@ class Terms:
     def __len__(self) -> int:
         return len(self.terms)
 
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms}
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the terms in order, the terms' numbers, and where each slot of the hashes' first bits starts."""
+        hashes = np.zeros(len(self.terms), np.uint64)
+        for at in range(0, len(self.terms), 1 << 16):
+            some = self.terms.slice(at, 1 << 16).to_pylist()
+            number, parts = word_hashes(some)
+            hashes[at + number] = parts[0][1]
+            for k in BEGINNINGS:
+                marked = [at + i for i, t in enumerate(some) if len(t) == k + 1 and t[-1] == "-"]
+                hashes[marked] += beginning_mark(k)
+        order = np.argsort(hashes, kind="stable")
+        slots = (hashes[order] >> np.uint64(64 - SLOTS)).astype(np.int64)
+        return hashes[order], order.astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=1 << SLOTS))]).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the term of each hash, or -1."""
+        known, number, first = self.table
+        slot = (hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
+        at, end = first[slot], first[slot + 1]
+        found, left = np.full(len(hashes), -1, np.int64), np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            same = known[here] == hashes[left]
+            found[left[same]] = number[here[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return found
+
     def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Terms of each text in order, and how often each occurs."""
-        found = [words_of(t) for t in texts]
-        sizes = np.array([len(f) for f in found])
-        coded = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
-        if not len(coded.dictionary):
-            return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
-        # One call: it makes a table of all terms.
-        numbers = np.asarray(pc.index_in(pa.concat_arrays(features(coded.dictionary)), value_set=self.terms).fill_null(-1))
-        terms = np.ascontiguousarray(numbers.reshape(-1, len(coded.dictionary)).T)[np.asarray(coded.indices)].astype(np.int64)
-        keys = (np.repeat(np.arange(len(texts)), sizes)[:, None] * len(self.terms) + terms)[terms >= 0]
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if size >= CHARACTERS:
+                out += self._counts(some)
+                some, size = [], 0
+        return out + self._counts(some) if some else out
+
+    def _counts(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        text, parts = word_hashes(texts)
+        terms = self.find(np.concatenate([hashes for _, hashes in parts]))
+        keys = (text[np.concatenate([word for word, _ in parts])] * len(self.terms) + terms)[terms >= 0]
         keys, counts = np.unique(keys, return_counts=True)
         ends = np.searchsorted(keys, np.arange(1, len(texts) + 1) * len(self.terms))
-        return [(k % len(self.terms), c) for k, c in zip(np.split(keys, ends[:-1]), np.split(counts, ends[:-1]))]
+        return [(k - i * len(self.terms), c) for i, (k, c) in enumerate(zip(np.split(keys, ends[:-1]), np.split(counts, ends[:-1])))]
 
 
 def vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +196,11 @@ class BlockMaxIndex:
 
     @cached_property
     def tables(self):
+        made = self._tables()
+        give_back()
+        return made
+
+    def _tables(self):
         """Place of each term in the table (-1: scanned, -2: rarer) and the table; the scanned terms' postings; where each
         rarer term's blocks start, with their numbers, largest weights and where their postings start; and those postings.
         """
@@ -140,23 +211,33 @@ class BlockMaxIndex:
         place[by_frequency[TABLED:SCANNED]] = -1
         place[often] = np.arange(len(often))
         blocks = -(-len(self.ids) // self.block)
-        owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
         table = np.zeros((len(often), blocks * self.block), np.float32)
-        tabled = place[self.terms] >= 0
-        table[place[self.terms[tabled]], owner[tabled]] = self.weights[tabled]
-        scanned = np.flatnonzero(place[self.terms] == -1)
-        scanned = scanned[np.argsort(self.terms[scanned], kind="stable")]
-        scan = (np.concatenate([[0], np.cumsum(np.where(place == -1, frequency, 0))]).astype(np.int32), owner[scanned],
-                self.weights[scanned].astype(np.float32))
-        rest = np.flatnonzero(place[self.terms] == -2)
-        key = self.terms[rest].astype(np.int64) * blocks + owner[rest] // self.block
-        order = np.argsort(key, kind="stable")
-        rest, key = rest[order], key[order]
+        scanned, rest = [], []
+        # Some examples at a time, as what is made on the way would be larger than the tables.
+        for at in range(0, len(self.ids), 256):
+            starts = self.starts[at:at + 257]
+            terms, weights = self.terms[starts[0]:starts[-1]], self.weights[starts[0]:starts[-1]].astype(np.float32)
+            owner, own = np.repeat(np.arange(at, at + len(starts) - 1, dtype=np.int32), np.diff(starts)), place[terms]
+            tabled = own >= 0
+            table[own[tabled], owner[tabled]] = weights[tabled]
+            for parts, mark in ((scanned, -1), (rest, -2)):
+                parts.append(tuple(x[own == mark] for x in (terms, owner, weights)))
+        (terms, owner, weights), (rare, rare_owner, rare_weights) = ([np.concatenate(x) for x in zip(*parts)] for parts in (scanned, rest))
+        del scanned, rest, parts
+        order = np.argsort(terms, kind="stable").astype(np.int32)
+        # A posting is one number, the bits of its weight above its owner.
+        posted = np.stack([owner[order], weights[order].view(np.int32)], axis=1).astype("<i4", copy=False)
+        scan = np.concatenate([[0], np.cumsum(np.where(place == -1, frequency, 0))]).astype(np.int32), posted.view("<i8").ravel()
+        del terms, owner, weights, order, posted
+        key = rare.astype(np.int64) * blocks + rare_owner // self.block
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key, rare_owner, rare_weights = key[order], rare_owner[order], rare_weights[order]
+        del rare, order
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-        largest = np.maximum.reduceat(self.weights[rest], first) if len(first) else np.zeros(0)
+        largest = np.maximum.reduceat(rare_weights, first) if len(first) else np.zeros(0, np.float32)
         offsets = np.searchsorted(key[first] // blocks, np.arange(self.n_terms + 1)).astype(np.int32)
-        return (place, table, scan, offsets, (key[first] % blocks).astype(np.int16 if blocks < 1 << 15 else np.int32), largest.astype(np.float32),
-                np.append(first, len(rest)).astype(np.int32), owner[rest], self.weights[rest].astype(np.float32))
+        return (place, table, scan, offsets, (key[first] % blocks).astype(np.int16 if blocks < 1 << 15 else np.int32), largest,
+                np.append(first, len(key)).astype(np.int32), rare_owner, rare_weights)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int, int]]:
         """The k examples of the largest cosine: (cosine, id, number of the example); all positive."""
@@ -170,42 +251,49 @@ class BlockMaxIndex:
         for at in range(0, len(vectors), TOGETHER):
             some = vectors[at:at + TOGETHER]
             dense = np.zeros((len(some), len(table)), np.float32)
-            for row, (terms, weights) in zip(dense, some):
-                tabled = place[terms] >= 0
-                row[place[terms[tabled]]] = weights[tabled]
+            places = [place[terms] for terms, _ in some]
+            for row, own, (_, weights) in zip(dense, places, some):
+                tabled = own >= 0
+                row[own[tabled]] = weights[tabled]
             low = dense @ table
             for i, (terms, weights) in enumerate(some):
                 left_out = -1 if without is None or without[at + i] is None else int(np.flatnonzero(self.numbers == without[at + i])[0])
-                rare = place[terms] == -2
-                self._scan(low[i], scan, terms[place[terms] == -1], weights[place[terms] == -1])
+                rare, scanned = places[i] == -2, places[i] == -1
+                self._scan(low[i], scan, terms[scanned], weights[scanned])
                 hit = self._candidates(low[i], terms[rare], weights[rare].astype(np.float32), k, left_out)
                 query[terms] = weights
-                counts = self.starts[hit + 1] - self.starts[hit]
-                ends = np.cumsum(counts)
-                spread = np.repeat(self.starts[hit] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
-                exact = np.round(np.add.reduceat(self.weights[spread] * query[self.terms[spread]], ends - counts), 12) if len(hit) else np.zeros(0)
+                exact = self._exact(query, hit)
                 query[terms] = 0.0
                 number = self.numbers[hit]
                 order = np.lexsort((number, self.ids[hit], -exact))[:k]
                 found.append([(s, d, n) for s, d, n in zip(exact[order].tolist(), self.ids[hit[order]].tolist(), number[order].tolist()) if s > 0])
         return found
 
+    def _exact(self, query: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """The scores of some examples in full precision."""
+        out = np.zeros(len(hit))
+        for i, (a, b) in enumerate(zip(self.starts[hit].tolist(), self.starts[hit + 1].tolist())):
+            # "clip" spares a check: all terms are places of the query.
+            products = self.weights[a:b] * query.take(self.terms[a:b], mode="clip")
+            out[i] = products[0] + products[1:].sum()
+        return np.round(out, 12)
+
     @staticmethod
     def _scan(low: np.ndarray, scan: tuple, terms: np.ndarray, weights: np.ndarray) -> None:
         """Add what the scanned terms give to the scores."""
-        offsets, owner, posted = scan
-        counts = offsets[terms + 1] - offsets[terms]
-        ends = np.cumsum(counts)
-        if len(ends) and ends[-1]:
-            spread = np.repeat(offsets[terms] - ends + counts, counts)
-            spread += np.arange(len(spread), dtype=spread.dtype)
-            low += np.bincount(owner[spread], posted[spread] * np.repeat(weights.astype(np.float32), counts), len(low))
+        offsets, posted = scan
+        first, stop = offsets[terms], offsets[terms + 1]
+        if len(terms):
+            # Slices are copied as they lie, which costs less than to pick each posting.
+            found = np.concatenate([posted[a:b] for a, b in zip(first.tolist(), stop.tolist())])
+            given = found.view(np.float32)[1::2] * np.repeat(weights.astype(np.float32), stop - first)
+            low += np.bincount(found & 0xFFFFFFFF, given, len(low))
 
     def _candidates(self, low: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, left_out: int) -> np.ndarray:
         """Places of all examples that can be among the first k.
 
         ``low`` has the scores by the table's and the scanned terms. The rarer terms bound a block by its largest weights; blocks
-        are scored by falling bound, until the bound is below the k-th score so far.
+        whose bound is below the k-th of those scores are skipped.
         """
         offsets, block_of, largest, postings, owner, posted = self.tables[3:]
         blocks = len(low) // self.block
@@ -217,30 +305,25 @@ class BlockMaxIndex:
         of = block_of[entry]
         by_block = low.reshape(blocks, self.block)
         bound = np.bincount(of, largest[entry] * weight, blocks) + by_block.max(axis=1) + MARGIN
-        scores, places, least, scored = np.zeros(0), np.zeros(0, np.int64), 0.0, np.zeros(blocks, bool)
-        take = min(blocks, max(1, -(-8 * k // self.block)))
-        while True:
-            # The blocks of the largest bounds, then all that a better k-th score leaves.
-            now = np.argpartition(-bound, take - 1)[:take] if not scored.any() else np.flatnonzero((bound > least) & ~scored)
-            now = now[bound[now] > least]
-            if not len(now):
-                break
-            chosen = np.zeros(blocks, bool)
-            chosen[now] = True
-            scored |= chosen
-            mine = np.flatnonzero(chosen[of])
-            first = postings[entry[mine]]
-            size = postings[entry[mine] + 1] - first
-            stop = np.cumsum(size)
-            spread = np.repeat(first - stop + size, size)
-            spread += np.arange(len(spread), dtype=spread.dtype)
-            rest = np.bincount(owner[spread], posted[spread] * np.repeat(weight[mine], size), len(low))
-            seen = (now[:, None] * self.block + np.arange(self.block)).ravel()
-            scores, places = np.append(scores, low[seen] + rest[seen]), np.append(places, seen)
-            if left_out >= 0:
-                scores[places == left_out] = 0.0
-            if len(scores) >= k:
-                least = max(0.0, np.partition(scores, len(scores) - k)[len(scores) - k] - 2 * MARGIN)
+        # No weight is negative, so the k-th score by the frequent terms alone is one that the k-th score cannot fall below.
+        if left_out >= 0:
+            low[left_out] = 0.0
+        least = max(0.0, np.partition(low, len(low) - k)[len(low) - k] - 2 * MARGIN) if len(low) >= k else 0.0
+        scored = bound > least
+        now = np.flatnonzero(scored)
+        mine = np.flatnonzero(scored[of])
+        first = postings[entry[mine]]
+        size = postings[entry[mine] + 1] - first
+        stop = np.cumsum(size)
+        spread = np.repeat(first - stop + size, size)
+        spread += np.arange(len(spread), dtype=spread.dtype)
+        rest = np.bincount(owner[spread], posted[spread] * np.repeat(weight[mine], size), len(low))
+        places = (now[:, None] * self.block + np.arange(self.block)).ravel()
+        scores = low[places] + rest[places]
+        if left_out >= 0:
+            scores[places == left_out] = 0.0
+        if len(scores) >= k:
+            least = max(0.0, np.partition(scores, len(scores) - k)[len(scores) - k] - 2 * MARGIN)
         self.blocks_seen += blocks
         self.blocks_scored += int(scored.sum())
         return np.sort(places[scores > least])

@@ -55,3 +55,43 @@ def test_counts_of_a_batch_are_those_of_each_text(spark):
     assert got[0] == got[1] == got[3] == {} and got[4] == {"walk-": 5, "walked": 5}
     assert got[2] == {"walk-": 3, "walked": 1, "walki-": 1, "émil-": 1} and got[5] == {"straß-": 1, "北京": 1}
     assert [dict(zip(*map(tuple, c))) for c in terms.counts(texts)] == [dict(zip(*map(tuple, terms.counts([t])[0]))) for t in texts]
+
+
+def test_words_are_told_by_their_letters():
+    """Hashed words give the counts that words and beginnings as strings give, at every cut of the texts."""
+    import pyarrow as pa
+    texts = ["walk walks walking", "Ünïcode ünïcodes 北京市 北京", "a_b 1x2 x", "", None, "w" * 300 + " " + "w" * 299, "ΣΑΣ σας"] * 3
+    words = [toxicity.WORDS.findall((t or "").lower()) for t in texts]
+    every = sorted({w for one in words for w in one} | {w[:k] + "-" for one in words for w in one for k in toxicity.BEGINNINGS if len(w) > k})
+    every = [t for t in every if len(t) <= 64]
+    terms = toxicity.Terms(pa.array(every, pa.large_string()))
+    whole = terms.counts(texts)
+    for one, (numbers, counts) in zip(words, whole):
+        want = {}
+        for w in one:
+            for term in [w, *[w[:k] + "-" for k in toxicity.BEGINNINGS if len(w) > k]]:
+                want[term] = want.get(term, 0) + (term in set(every))
+        assert {every[n]: c for n, c in zip(numbers.tolist(), counts.tolist())} == {t: c for t, c in want.items() if c}
+    assert [tuple(map(tuple, terms.counts([t])[0])) for t in texts] == [tuple(map(tuple, c)) for c in whole]
+
+
+def test_blocks_are_bounded_by_the_partial_scores():
+    """One round over the blocks is enough: no block is scored that falls below the k-th score by frequent terms."""
+    rng = np.random.default_rng(5)
+    n_terms = toxicity.SCANNED + 4000
+    vectors = []
+    for _ in range(400):
+        own = np.unique(np.concatenate([rng.integers(0, 300, 60), rng.integers(0, n_terms, 60)]))
+        weights = rng.random(len(own)) + 0.1
+        vectors.append((own, weights / np.sqrt((weights * weights).sum())))
+    index = toxicity.BlockMaxIndex(vectors, list(range(400)), n_terms, 16)
+    dense = np.zeros((400, n_terms))
+    for row, (own, weights) in zip(dense, vectors):
+        row[own] = weights
+    for left_out in (None, 7):
+        found = index.nearest_many(vectors[:50], 15, None if left_out is None else [left_out] * 50)
+        for i, near in enumerate(found):
+            scores = dense @ dense[i]
+            if left_out is not None:
+                scores[left_out] = 0.0
+            assert [n for *_, n in near] == sorted(range(400), key=lambda j: (-round(scores[j], 12), j))[:15]
