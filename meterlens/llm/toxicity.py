@@ -37,7 +37,7 @@ from meterlens.llm.common import ROWS_PER_BATCH, crc_remainder, give_back, map_b
 WORDS = re.compile(r"[^\W\d_]+")
 BEGINNINGS, NOTHING, HYPHEN = (4, 5, 6), pa.scalar("", pa.large_string()), pa.scalar("-", pa.large_string())
 #: Terms in the table, terms in it or scanned, texts searched at a time, and more than low precision can be wrong by.
-TABLED, SCANNED, TOGETHER, MARGIN = 2048, 16384, 512, 1e-4
+TABLED, SCANNED, TOGETHER, MARGIN = 2048, 32768, 512, 1e-4
 #: Places in a word that are told apart, bits of the slots of the terms' hashes, and characters whose words are looked up at a time.
 LONGEST, SLOTS, CHARACTERS = 256, 20, 1 << 19
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
@@ -109,9 +109,6 @@ class Terms:
     def __len__(self) -> int:
         return len(self.terms)
 
-    def __getstate__(self) -> dict:
-        return {"terms": self.terms}
-
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the terms in order, the terms' numbers, and where each slot of the hashes' first bits starts."""
@@ -271,10 +268,12 @@ class BlockMaxIndex:
 
     def _exact(self, query: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """The scores of some examples in full precision."""
-        out = np.zeros(len(hit))
-        for i, (a, b) in enumerate(zip(self.starts[hit].tolist(), self.starts[hit + 1].tolist())):
+        out, first, stop = np.zeros(len(hit)), self.starts[hit], self.starts[hit + 1]
+        room = np.empty((stop - first).max(initial=0))
+        for i, (a, b) in enumerate(zip(first.tolist(), stop.tolist())):
             # "clip" spares a check: all terms are places of the query.
-            products = self.weights[a:b] * query.take(self.terms[a:b], mode="clip")
+            products = query.take(self.terms[a:b], out=room[:b - a], mode="clip")
+            products *= self.weights[a:b]
             out[i] = products[0] + products[1:].sum()
         return np.round(out, 12)
 
@@ -477,7 +476,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     labels_seen = {r["toxic"] for r in rows.select("toxic").distinct().collect()}
     if not terms or labels_seen != {0, 1}:
         return None
-    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))  # bounded by the sample
+    known = Terms(terms)
+    # Made here, so that workers get it as it is.
+    known.table  # noqa: B018
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # bounded by the sample
     idf = inverse_frequencies(docs, shared)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -496,7 +498,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     # Made as the model takes them, so that the rows they come from can go.
     vectors = (vector(t, np.frombuffer(r["n"], np.int32), idf) for t, r in zip(found, examples))
     del found, examples
-    return ToxicityModel(Terms(terms), idf, vectors, ids, toxic, [weight[label] for label in toxic], params)
+    return ToxicityModel(known, idf, vectors, ids, toxic, [weight[label] for label in toxic], params)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel | None, params: ToxicityParams) -> DataFrame:
