@@ -95,3 +95,15 @@ def test_blocks_are_bounded_by_the_partial_scores():
             if left_out is not None:
                 scores[left_out] = 0.0
             assert [n for *_, n in near] == sorted(range(400), key=lambda j: (-round(scores[j], 12), j))[:15]
+
+
+def test_the_table_of_the_terms_is_made_once():
+    """Every batch finds the table that the first one made, and a broadcast model brings it along."""
+    import pickle
+
+    import pyarrow as pa
+    terms = toxicity.Terms(pa.array(["walk", "walk-"], pa.large_string()))
+    terms.counts(["walk walks"])
+    table = terms.table
+    assert [n.tolist() for n, _ in terms.counts(["walks", "walk"])] == [[1], [0]] and terms.table is table
+    assert "table" in pickle.loads(pickle.dumps(terms)).__dict__
