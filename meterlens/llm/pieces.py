@@ -5,7 +5,8 @@ left one first). A candidate that comes up is skipped if a hash of (seed, docume
 unit, place in the unit) falls below ``dropout``; it comes up again only as part of another
 candidate. ``dropout=0`` gives the model's own segmentation. No piece of a merge-type model holds a
 blank after another character nor a line break, so a text is cut into units there without changing
-any merge. Every occurrence of a unit decides for itself. What is kept in a worker are outcomes: for a unit
+any merge. Units are learnt from the model's own library; the merges that make a unit are those that make its
+pieces. Every occurrence of a unit decides for itself. What is kept in a worker are outcomes: for a unit
 and a set of its own merges that are skipped, the result and the merges that come up besides. An
 occurrence hashes the unit's own merges and looks the outcome up, then hashes the merges that came up
 besides; where none of those is skipped that is its result, the others are merged one by one.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,6 +43,8 @@ MASK = (1 << 64) - 1
 NEVER = np.int32(2**31 - 1)
 #: Units of at most so many characters are merged many at a time.
 SHORT = 40
+#: Units that are merged together, and what fills up the shorter ones.
+TOGETHER, FILL = 8192, np.int32(-2)
 #: Occurrences in a batch from which an outcome is worth keeping; rarer ones are merged anew.
 OFTEN = 8
 
@@ -61,21 +65,60 @@ def mixed(x: int) -> int:
     return x ^ (x >> 31)
 
 
-class Places:
-    """Lists of places of merges, one after the other."""
+class Lists:
+    """Lists of numbers, one after the other."""
 
-    def __init__(self, lists: list[np.ndarray]):
-        self.counts = np.array([len(m) for m in lists], np.int64)
-        self.flat, self.starts = np.concatenate([np.zeros(0, np.uint64), *lists]), np.cumsum(self.counts) - self.counts
+    def __init__(self, dtype, flat: np.ndarray | None = None, counts: np.ndarray | None = None):
+        self.flat = np.zeros(0, dtype) if flat is None else flat
+        self.counts = np.zeros(0, np.int64) if counts is None else counts
+        self.starts = np.cumsum(self.counts) - self.counts
 
-    def drawn(self, which: np.ndarray, draws: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each place of the list ``which`` of an occurrence: the occurrence, the number in the list, the place, and whether its hash skips it."""
-        many = self.counts[which]
-        ends = np.cumsum(many)
-        owner = np.repeat(np.arange(len(which)), many)
-        number = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
-        places = self.flat[np.repeat(self.starts[which], many) + number]
-        return owner, number, places, mixed_array(draws[owner] ^ places) < np.uint64(min(limit, MASK))
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i]:self.starts[i] + self.counts[i]]
+
+    def add(self, other: Lists) -> None:
+        self.starts = np.concatenate([self.starts, other.starts + len(self.flat)])
+        self.counts = np.concatenate([self.counts, other.counts])
+        self.flat = np.concatenate([self.flat, other.flat])
+
+    def take(self, which: np.ndarray) -> Lists:
+        """The lists ``which``, in that order."""
+        counts = self.counts[which]
+        return Lists(self.flat.dtype, self.flat[spread(self.starts[which], counts)], counts)
+
+    def drawn(self, which: np.ndarray, draws: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places in the lists ``which`` of occurrences those whose hash skips them: the occurrence, and the number in the list."""
+        counts = self.counts[which]
+        owner = np.repeat(np.arange(len(which)), counts)
+        skipped = np.flatnonzero(mixed_array(draws[owner] ^ self.flat[spread(self.starts[which], counts)]) < np.uint64(min(limit, MASK)))
+        return owner[skipped], skipped - (np.cumsum(counts) - counts)[owner[skipped]]
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers from each of ``starts`` on, ``counts`` each."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Collected:
+    """Lists that come in any order."""
+
+    def __init__(self, n: int, dtype):
+        self.dtype, self.rows, self.parts, self.counts = dtype, [], [], np.zeros(n, np.int64)
+
+    def put(self, rows: np.ndarray, flat: np.ndarray, counts: np.ndarray | int) -> None:
+        self.rows.append(rows)
+        self.parts.append(flat)
+        self.counts[rows] = counts
+
+    def lists(self) -> Lists:
+        rows = np.concatenate([np.zeros(0, np.int64), *self.rows])
+        place = np.empty(len(rows), np.int64)
+        place[rows] = np.arange(len(rows))
+        return Lists(self.dtype, np.concatenate([np.zeros(0, self.dtype), *self.parts]), self.counts[rows]).take(place)
 
 
 class PieceModel:
@@ -84,7 +127,7 @@ class PieceModel:
     def __init__(self, serialized: bytes, params: PieceParams):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_proto=serialized)
+        self.library = model = sentencepiece.SentencePieceProcessor(model_proto=serialized)
         self.params, self.merges, self.texts = params, {}, []
         self.bytes_of = [b""] * 256
         for i in range(model.vocab_size()):
@@ -101,18 +144,36 @@ class PieceModel:
         if not all(self.bytes_of):
             raise ValueError("the model has no byte pieces, so decoding would lose characters")
         self.limit = int(params.dropout * 2.0**64)
-        #: Ids of units without dropout (a draw of 0), and the places of the merges that make them.
-        self.tables: list[dict[str, bytes]] = [{}]
-        self.places: dict[str, np.ndarray] = {}
-        #: By unit and skipped merges of its own (bits): ids, and the places of merges that come up besides.
-        self.outcomes: dict[tuple[str, int], tuple[bytes, np.ndarray]] = {}
+        #: What each id decodes to, and how many characters it starts; the places of the merges that make it, from its own start (-1: not known yet).
+        self.decoded = Lists(np.uint8, np.frombuffer(b"".join(self.texts), np.uint8), np.array([len(t) for t in self.texts], np.int64))
+        self.characters = np.add.reduceat(np.append((self.decoded.flat & 0xC0) != 0x80, False).astype(np.int64),
+                                          np.append(self.decoded.starts, len(self.decoded.flat)))[:-1] * (self.decoded.counts > 0)
+        self.tree_of, self.trees = np.full(len(self.texts), -1, np.int64), Lists(np.int64)
+        self.forget()
         self._index_pairs(model)
 
     def forget(self) -> None:
         """Let go of all that was learnt about units."""
-        self.tables[0].clear()
-        self.places.clear()
-        self.outcomes.clear()
+        #: Units by number: characters as pieces, ids without dropout (a draw of 0), and the places of the merges that make them.
+        self.names: list[str] = []
+        self.number: dict[str, int] = {}
+        self.codes, self.ids, self.merged = Lists(np.int32), Lists(np.int32), Lists(np.uint64)
+        self._forget_outcomes()
+
+    def _forget_outcomes(self) -> None:
+        #: By unit and skipped merges of its own (bits): the number of the ids, and of the places of merges that come up besides.
+        self.outcomes: dict[tuple[int, int], int] = {}
+        self.outcome_ids, self.besides = Lists(np.int32), Lists(np.uint64)
+
+    @property
+    def tables(self) -> list[dict[str, bytes]]:
+        """Ids of the units learnt."""
+        return [{u: self.ids[i].tobytes() for u, i in self.number.items()}]
+
+    @property
+    def places(self) -> dict[str, np.ndarray]:
+        """Places of the merges of the units learnt."""
+        return {u: self.merged[i] for u, i in self.number.items()}
 
     def _index_pairs(self, model) -> None:
         """Every pair of pieces that makes a piece: its key, its place in the order, and the id made.
@@ -168,50 +229,59 @@ class PieceModel:
 
         ``skips`` may give the places of merges that a unit skips, a row each, filled up with MASK.
         """
-        out, merged, by_length = [b""] * len(units), [np.zeros(0, np.uint64)] * len(units), {}
-        for i, u in enumerate(units):
-            if len(u) > SHORT or u == BLANK:
-                places: list[int] = []
-                out[i] = self.segment(u, int(draws[i]) if draws is not None else 0, places, None if skips is None else set(skips[i].tolist()))
-                merged[i] = np.array(places, np.uint64)
-            else:
-                by_length.setdefault(len(u), []).append(i)
-        for n, same in by_length.items():
-            for at in range(0, len(same), 8192):
-                self._merge(units, np.array(same[at:at + 8192]), n, draws, skips, out, merged)
-        return out, merged
-
-    def _merge(self, units: list[str], which: np.ndarray, n: int, draws: np.ndarray | None, skips: np.ndarray | None,
-               out: list[bytes], merged: list[np.ndarray]) -> None:
-        text = "".join([units[i] for i in which]).replace(" ", BLANK)
-        symbols = self.code_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)].reshape(-1, n)
-        known = (symbols >= 0).all(axis=1)
-        if not known.all():
-            for i in which[~known].tolist():
-                places: list[int] = []
-                out[i] = self.segment(units[i], int(draws[i]) if draws is not None else 0, places, None if skips is None else set(skips[i].tolist()))
-                merged[i] = np.array(places, np.uint64)
-            which, symbols = which[known], symbols[known]
+        ids, merged = self._segments(units, self._characters(units), draws, skips)
+        return [ids[i].tobytes() for i in range(len(units))], [merged[i] for i in range(len(units))]
+
+    def _characters(self, units: list[str]) -> Lists:
+        text = "".join(units).replace(" ", BLANK)
+        return Lists(np.int32, self.code_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)], np.fromiter(map(len, units), np.int64, len(units)))
+
+    def _segments(self, units: list[str], codes: Lists, draws: np.ndarray | None, skips: np.ndarray | None = None) -> tuple[Lists, Lists]:
+        """Ids of units and, without draws, places of merges; ``codes`` are their characters as pieces (-1: none)."""
+        ids, merged = Collected(len(units), np.int32), Collected(len(units), np.uint64)
+        known = np.ones(len(units), bool)
+        known[np.repeat(np.arange(len(units)), codes.counts)[codes.flat < 0]] = False
+        known &= (codes.counts > 0) & (codes.counts <= SHORT)
+        for i in np.flatnonzero(~known | ((codes.counts == 1) & np.fromiter(map(BLANK.__eq__, units), bool, len(units)))).tolist():
+            known[i] = False
+            places: list[int] = []
+            found = np.frombuffer(self.segment(units[i], int(draws[i]) if draws is not None else 0, places,
+                                               None if skips is None else set(skips[i].tolist())), np.int32)
+            ids.put(np.array([i]), found, len(found))
+            merged.put(np.array([i]), np.array(places, np.uint64), len(places))
+        # Units of nearly the same length go together.
+        order = np.flatnonzero(known)
+        order = order[np.argsort(codes.counts[order], kind="stable")]
+        for at in range(0, len(order), TOGETHER):
+            self._merge(order[at:at + TOGETHER], codes, draws, skips, ids, merged)
+        return ids.lists(), merged.lists()
+
+    def _merge(self, which: np.ndarray, codes: Lists, draws: np.ndarray | None, skips: np.ndarray | None, ids: Collected, merged: Collected) -> None:
+        sizes = codes.counts[which]
+        n, own = int(sizes.max()), codes.take(which)
+        # Shorter units are filled up with what no pair of pieces has.
+        symbols = np.full((len(which), n), FILL, np.int32)
+        symbols[np.arange(n) < sizes[:, None]] = own.flat
         key = draws[which][:, None] if draws is not None else None
         skip = skips[which] if skips is not None else None
         bounds, steps = np.tile(np.arange(n + 1, dtype=np.int64), (len(which), 1)), np.zeros((len(which), n), np.uint64)
 
-        def done(rows):
-            for i, row, made in zip(which[rows].tolist(), symbols[rows], steps[rows]):
-                out[i] = row.tobytes()
-                if draws is None:
-                    merged[i] = made[:n - len(row)].copy()
+        def done(rows, width):
+            left = symbols[rows]
+            real = left != FILL
+            ids.put(which[rows], left[real], real.sum(axis=1))
+            merged.put(which[rows], steps[rows, :n - width].ravel(), n - width)
 
         order, made = self._candidates(symbols[:, :-1], symbols[:, 1:], key, None if skip is None else skip[:, None, :],
                                        bounds[:, :-2], bounds[:, 1:-1], bounds[:, 2:])
         for width in range(n, 0, -1):
             if width == 1 or not len(symbols):
-                done(slice(None))
+                done(slice(None), width)
                 return
             best = order.argmin(axis=1)
             live = order[np.arange(len(order)), best] < NEVER
             if not live.all():
-                done(~live)
+                done(~live, width)
                 symbols, bounds, order, made, which, steps, best = (x[live] for x in (symbols, bounds, order, made, which, steps, best))
                 key = key[live] if key is not None else None
                 skip = skip[live] if skip is not None else None
@@ -285,80 +355,163 @@ class PieceModel:
 
     def encode_many(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
         """Ids of whole texts."""
-        params, kept = self.params, self.tables[0]
-        if len(kept) > params.kept:
+        if len(self.number) > self.params.kept:
             self.forget()
         cut = [UNITS.findall(" " + text) if text else [] for text in texts]
-        units = [u for one in cut for u in one]
-        names = list(dict.fromkeys(units))
-        missing = [u for u in names if u not in kept]
-        for u, ids, places in zip(missing, *self.segment_many(missing, None)):
-            kept[u], self.places[u] = ids, places
-        found = list(map(kept.__getitem__, units))
-        if self.limit and units:
-            number = {u: i for i, u in enumerate(names)}
-            which = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
-            draws = np.concatenate([mixed_array(np.arange(len(one), dtype=np.uint64) ^ np.uint64(mixed(d ^ self.params.seed)))
-                                    for one, d in zip(cut, documents)])
+        units, sizes = list(chain.from_iterable(cut)), np.array([len(one) for one in cut], np.int64)
+        del cut
+        self._learn_units([u for u in dict.fromkeys(units) if u not in self.number])
+        which = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        del units
+        # The ids of an occurrence are a stretch of the units' ids, or of those that follow for occurrences with a skipped merge.
+        starts, counts, pool = self.ids.starts[which], self.ids.counts[which], [self.ids.flat]
+        if self.limit and len(which):
+            keys = np.array([mixed(d ^ self.params.seed) for d in documents], np.uint64)
+            draws = mixed_array(spread(np.zeros(len(sizes), np.int64), sizes).astype(np.uint64) ^ np.repeat(keys, sizes))
             draws[draws == 0] = 1
-            own = Places([self.places[u] for u in names])
-            for at in range(0, len(units), 1 << 18):
-                self._drop(names, units, which[at:at + (1 << 18)], draws[at:at + (1 << 18)], own, found, at)
-        out, at = [], 0
-        for one in cut:
-            out.append(np.frombuffer(b"".join(found[at:at + len(one)]), "<i4"))
-            at += len(one)
-        return out
-
-    def _drop(self, names: list[str], units: list[str], which: np.ndarray, draws: np.ndarray, own: Places, found: list[bytes], at: int) -> None:
-        """Put the outcome of every occurrence that skips a merge into ``found`` (from ``at`` on)."""
-        owner, bit, _, skipped = own.drawn(which, draws, self.limit)
-        owner, bit = owner[skipped], bit[skipped]
+            at = len(self.ids.flat)
+            for first in range(0, len(which), 1 << 18):
+                for rows, found in self._drop(which[first:first + (1 << 18)], draws[first:first + (1 << 18)]):
+                    starts[first + rows], counts[first + rows] = found.starts + at, found.counts
+                    pool.append(found.flat)
+                    at += len(found.flat)
+        pool = np.concatenate(pool)
+        found = np.concatenate([pool[:0], *[pool[spread(starts[at:at + (1 << 18)], counts[at:at + (1 << 18)])] for at in range(0, len(which), 1 << 18)]])
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return [found[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _learn_units(self, new: list[str]) -> None:
+        """Ids and merges of units that are not known yet, by the model's own library."""
+        for at in range(0, len(new), 1 << 16):
+            some = new[at:at + (1 << 16)]
+            codes = self._characters(some)
+            ids, merged = self._by_library(some) or self._segments(some, codes, None)
+            self.number.update(zip(some, range(len(self.names), len(self.names) + len(some))))
+            self.names += some
+            for kept, more in ((self.codes, codes), (self.ids, ids), (self.merged, merged)):
+                kept.add(more)
+
+    def _by_library(self, units: list[str]) -> tuple[Lists, Lists] | None:
+        """The same as ``_segments`` without draws; None if the library changes a text.
+
+        Units go to the library in lines, as nothing merges with a line break. No merge crosses the end of a piece, so the merges
+        that make a unit are those that make its pieces.
+        """
+        if BLANK in units or "\n" in units:
+            plain = [i for i, u in enumerate(units) if u not in (BLANK, "\n")]
+            odd = [i for i, u in enumerate(units) if u in (BLANK, "\n")]
+            found = self._by_library([units[i] for i in plain])
+            if found is None:
+                return None
+            place = np.empty(len(units), np.int64)
+            place[plain + odd] = np.arange(len(units))
+            own = [units[i] for i in odd]
+            for kept, more in zip(found, self._segments(own, self._characters(own), None)):
+                kept.add(more)
+            return found[0].take(place), found[1].take(place)
+        text = "\n" + "\n".join(units)
+        found = np.array(self.library.encode(text), np.int32)
+        breaks = np.flatnonzero(found == np.frombuffer(self.segment("\n", 0), np.int32)[0])
+        if not len(units) or len(breaks) != len(units) or self.decoded.take(found[breaks[0]:]).flat.tobytes() != text.encode():
+            return None if units else (Lists(np.int32), Lists(np.uint64))
+        found, breaks = found[breaks[0]:], breaks - breaks[0]
+        used = np.unique(found)
+        self._learn_trees(used[self.tree_of[used] < 0])
+        tree = self.tree_of[found]
+        if (tree < 0).any():
+            return None
+        size = self.characters[found]
+        before = np.cumsum(size) - size
+        line = np.cumsum(found == found[0]) - 1
+        # A line's first character is the break.
+        trees = self.trees.take(tree)
+        shift = np.repeat(before - before[breaks][line] - 1, trees.counts // 3)
+        left, middle, stop = ((trees.flat[k::3] + shift).astype(np.uint64) for k in range(3))
+        merges = np.bincount(line, trees.counts // 3, len(units)).astype(np.int64)
+        inside = np.ones(len(found), bool)
+        inside[breaks] = False
+        return (Lists(np.int32, found[inside], np.diff(np.append(breaks, len(found))) - 1),
+                Lists(np.uint64, (left << np.uint64(32)) | ((middle << np.uint64(16)) ^ stop), merges))
+
+    def _learn_trees(self, ids: np.ndarray) -> None:
+        """The merges that make pieces: left, middle and stop of each; what merges do not make stays unknown."""
+        pieces = [self.texts[i].decode("utf-8", "replace") for i in ids.tolist()]
+        short = self.characters[ids] < 2
+        single = ids[short]
+        self.tree_of[single] = np.arange(len(single)) + len(self.trees)
+        self.trees.add(Lists(np.int64, None, np.zeros(len(single), np.int64)))
+        for i, piece in ((i, p) for i, p, s in zip(ids.tolist(), pieces, short.tolist()) if not s):
+            places: list[int] = []
+            if len(piece) < 1 << 15 and self.segment(piece, 0, places) == i.to_bytes(4, "little"):
+                # Below 65,536 characters the three numbers of a place stay apart.
+                self.tree_of[i] = len(self.trees)
+                self.trees.add(Lists(np.int64, np.array([[p >> 32, p >> 16 & 0xFFFF, p & 0xFFFF] for p in places], np.int64).ravel(),
+                                     np.array([3 * len(places)])))
+
+    def _drop(self, which: np.ndarray, draws: np.ndarray):
+        """Occurrences that skip a merge, and the ids of each."""
+        owner, bit = self.merged.drawn(which, draws, self.limit)
         # Merges of its own that an occurrence skips, as bits; a unit of more merges than bits is merged anew.
         bits = np.zeros(len(which), np.uint64)
         np.bitwise_or.at(bits, owner, np.uint64(1) << np.minimum(bit, 63).astype(np.uint64))
         rows = np.flatnonzero(bits)
-        short = own.counts[which[rows]] <= 63
+        short = self.merged.counts[which[rows]] <= 63
         anew, rows = [rows[~short]], rows[short]
         order = np.lexsort((bits[rows], which[rows]))
         rows = rows[order]
         first = np.flatnonzero(np.append(True, (np.diff(which[rows]) != 0) | (np.diff(bits[rows]) != 0))) if len(rows) else np.zeros(0, np.int64)
-        states = [(names[w], b) for w, b in zip(which[rows[first]].tolist(), bits[rows[first]].tolist())]
+        states = list(zip(which[rows[first]].tolist(), bits[rows[first]].tolist()))
         often = np.diff(np.append(first, len(rows)))
         self._learn([s for s, n in zip(states, often.tolist()) if n >= OFTEN])
-        outcomes = [self.outcomes.get(s) for s in states]
-        known = np.array([o is not None for o in outcomes], bool)
-        state = np.repeat(np.cumsum(known) - 1, often)
-        kept = np.repeat(known, often)
-        anew.append(rows[~kept])
-        rows, state, outcomes = rows[kept], state[kept], [o for o in outcomes if o is not None]
-        besides = Places([places for _, places in outcomes])
-        again, _, _, skipped = besides.drawn(state, draws[rows], self.limit)
+        outcome = np.repeat(np.fromiter((self.outcomes.get(s, -1) for s in states), np.int64, len(states)), often)
+        anew.append(rows[outcome < 0])
+        rows, outcome = rows[outcome >= 0], outcome[outcome >= 0]
+        again, _ = self.besides.drawn(outcome, draws[rows], self.limit)
         other = np.zeros(len(rows), bool)
-        other[again[skipped]] = True
-        for i, k in zip((rows[~other] + at).tolist(), state[~other].tolist()):
-            found[i] = outcomes[k][0]
+        other[again] = True
+        yield rows[~other], self.outcome_ids.take(outcome[~other])
         rest = np.concatenate([*anew, rows[other]])
-        for i, ids in zip((rest + at).tolist(), self.segment_many([units[i + at] for i in rest.tolist()], draws[rest])[0]):
-            found[i] = ids
+        units = which[rest]
+        yield rest, self._segments([self.names[u] for u in units.tolist()], self.codes.take(units), draws[rest])[0]
 
-    def _learn(self, states: list[tuple[str, int]]) -> None:
+    def _learn(self, states: list[tuple[int, int]]) -> None:
         """Outcomes of units with skipped merges that are not known yet."""
         if len(self.outcomes) > self.params.kept:
-            self.outcomes.clear()
+            self._forget_outcomes()
         new = [s for s in states if s not in self.outcomes]
         if not new:
             return
-        skips = [self.places[u][[k for k in range(b.bit_length()) if b >> k & 1]] for u, b in new]
-        table = np.full((len(new), max(map(len, skips))), MASK, np.uint64)
-        for row, places in zip(table, skips):
-            row[:len(places)] = places
-        for (u, b), ids, merged in zip(new, *self.segment_many([u for u, _ in new], None, table)):
-            self.outcomes[u, b] = ids, merged[~np.isin(merged, self.places[u])]
+        units, bits = np.array([u for u, _ in new], np.int64), np.array([b for _, b in new], np.uint64)
+        own = self.merged.take(units)
+        owner = np.repeat(np.arange(len(new)), own.counts)
+        number = np.arange(len(own.flat)) - own.starts[owner]
+        skipped = (bits[owner] >> number.astype(np.uint64)) & np.uint64(1) != 0
+        many = np.bincount(owner[skipped], minlength=len(new))
+        skips = np.full((len(new), many.max()), MASK, np.uint64)
+        skips[np.arange(many.max()) < many[:, None]] = own.flat[skipped]
+        ids, merged = self._segments([self.names[u] for u in units.tolist()], self.codes.take(units), None, skips)
+        # Of the merges made, those that are not the unit's own.
+        state = np.repeat(np.arange(len(new)), merged.counts)
+        both = np.stack([np.concatenate([owner, state]).astype(np.uint64), np.concatenate([own.flat, merged.flat])])
+        order = np.lexsort((both[1], both[0]))
+        same = np.zeros(both.shape[1], bool)
+        same[order[1:]] = (both[:, order[1:]] == both[:, order[:-1]]).all(axis=0)
+        besides = ~same[len(owner):]
+        self.outcomes.update(zip(new, range(len(self.outcome_ids), len(self.outcome_ids) + len(new))))
+        self.outcome_ids.add(ids)
+        self.besides.add(Lists(np.uint64, merged.flat[besides], np.bincount(state[besides], minlength=len(new)).astype(np.int64)))
 
     def encode(self, text: str, document: int) -> np.ndarray:
         return self.encode_many([text], [document])[0]
 
+    def restores(self, ids: list[np.ndarray], texts: list[str | None]) -> list[bool]:
+        """Whether the ids of each text decode to it."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        joined = self.decoded.take(flat).flat.tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.decoded.counts[flat])])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [joined[a + 1:b] == (text or "").encode() for a, b, text in zip(ends, ends[1:], texts)]
+
     def decode(self, ids: np.ndarray) -> str:
         joined = b"".join(map(self.texts.__getitem__, ids.tolist()))
         return joined[1:].decode()
@@ -401,7 +554,7 @@ def encode_texts(docs: DataFrame, params: PieceParams = PieceParams()) -> DataFr
                 continue
             texts, keys = batch.column("text").to_pylist(), batch.column(key).to_pylist()
             ids = model.encode_many(texts, [k & MASK for k in keys])
-            restored = [model.decode(found) == (text or "") for found, text in zip(ids, texts)]
+            restored = model.restores(ids, texts)
             offsets = np.cumsum([0] + [len(x) for x in ids], dtype=np.int32)
             lists = pa.ListArray.from_arrays(
                 pa.array(offsets), pa.array(np.concatenate(ids)),

@@ -120,3 +120,20 @@ def test_every_occurrence_decides_for_itself():
     assert abs(skipped.mean() - 0.1) < 0.01 and abs(skipped.any(axis=1).mean() - (1 - 0.9 ** len(merges))) < 0.03
     units = [" information"] * 200 + [" é中information"] * 200
     assert model.segment_many(units, np.array(draws[:400], np.uint64))[0] == [model.segment(u, d) for u, d in zip(units, draws)]
+
+
+def test_units_are_learnt_by_the_library(monkeypatch):
+    # Ids and places of merges as by the agenda, without this module merging a unit itself.
+    model = pieces.PieceModel(SERIALIZED, pieces.PieceParams(dropout=0.0))
+    monkeypatch.setattr(model, "_merge", None)
+    text = f"the information  in\n\nbetween: éé中😀 \x00 {pieces.BLANK}a{pieces.BLANK} internationalisation's   \n end{'a' * 90}"
+    assert model.decode(model.encode(text, 1)) == text
+    for unit in dict.fromkeys(pieces.UNITS.findall(" " + text)):
+        places = []
+        assert model.tables[0][unit] == model.segment(unit, 0, places)
+        assert sorted(model.places[unit].tolist()) == sorted(places)
+
+
+def test_restored_says_whether_ids_decode_to_their_text():
+    ids = [PLAIN.encode(t, 1) for t in ("the é中", "", "a b")]
+    assert PLAIN.restores([*ids, ids[1]], ["the é中", "", "a c", None]) == [True, True, False, True]
