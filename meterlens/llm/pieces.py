@@ -24,8 +24,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count, islice
 from pathlib import Path
 
 import numpy as np
@@ -43,8 +44,10 @@ MASK = (1 << 64) - 1
 NEVER = np.int32(2**31 - 1)
 #: Units of at most so many characters are merged many at a time.
 SHORT = 40
-#: Units that are merged together, and what fills up the shorter ones.
-TOGETHER, FILL = 8192, np.int32(-2)
+#: Units that are merged together, and what stands where no piece starts.
+TOGETHER, GONE = 8192, np.int32(-1)
+#: Units that go to the library at once; its agenda is slower for long texts.
+LINES = 128
 #: Occurrences in a batch from which an outcome is worth keeping; rarer ones are merged anew.
 OFTEN = 8
 
@@ -54,7 +57,7 @@ class PieceParams:
     model: str = "/opt/tokenizers/piece_bpe_32k.model"
     dropout: float = 0.1
     seed: int = 17
-    #: Units whose own segmentation is kept in a Python worker; beyond that they are forgotten and made again.
+    #: Units whose own segmentation is kept in a Python worker; beyond that all but those of several batches are forgotten and made again.
     kept: int = 200_000
 
 
@@ -156,10 +159,21 @@ class PieceModel:
         """Let go of all that was learnt about units."""
         #: Units by number: characters as pieces, ids without dropout (a draw of 0), and the places of the merges that make them.
         self.names: list[str] = []
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
         self.codes, self.ids, self.merged = Lists(np.int32), Lists(np.int32), Lists(np.uint64)
+        #: In how many batches each unit came up.
+        self.met = np.zeros(0, np.int32)
         self._forget_outcomes()
 
+    def _forget_rare(self) -> None:
+        """Let go of units that came up in one batch only, and of as many others as leave half of the room."""
+        stay = np.flatnonzero(self.met > 1)
+        stay = np.sort(stay[np.argsort(-self.met[stay], kind="stable")[:self.params.kept // 2]])
+        names, met, lists = [self.names[i] for i in stay.tolist()], self.met[stay] // 2, [kept.take(stay) for kept in (self.codes, self.ids, self.merged)]
+        self.forget()
+        self.names, self.met, (self.codes, self.ids, self.merged) = names, met, lists
+        self.number = defaultdict(count(len(names)).__next__, zip(names, range(len(names))))
+
     def _forget_outcomes(self) -> None:
         #: By unit and skipped merges of its own (bits): the number of the ids, and of the places of merges that come up besides.
         self.outcomes: dict[tuple[int, int], int] = {}
@@ -221,7 +235,7 @@ class PieceModel:
             order[mixed_array(key ^ place) < np.uint64(min(self.limit, MASK))] = NEVER
         if skip is not None:
             place = (left.astype(np.uint64) << np.uint64(32)) | ((middle.astype(np.uint64) << np.uint64(16)) ^ stop.astype(np.uint64))
-            order[(place[..., None] == skip).any(axis=-1)] = NEVER
+            order[(place[:, None] == skip).any(axis=1)] = NEVER
         return order, self.pair_made[found]
 
     def segment_many(self, units: list[str], draws: np.ndarray | None, skips: np.ndarray | None = None) -> tuple[list[bytes], list[np.ndarray]]:
@@ -258,55 +272,49 @@ class PieceModel:
 
     def _merge(self, which: np.ndarray, codes: Lists, draws: np.ndarray | None, skips: np.ndarray | None, ids: Collected, merged: Collected) -> None:
         sizes = codes.counts[which]
-        n, own = int(sizes.max()), codes.take(which)
-        # Shorter units are filled up with what no pair of pieces has.
-        symbols = np.full((len(which), n), FILL, np.int32)
-        symbols[np.arange(n) < sizes[:, None]] = own.flat
-        key = draws[which][:, None] if draws is not None else None
+        wide, own = int(sizes.max()) + 1, codes.take(which)
+        # A piece stands in the column where it starts, with the columns where its neighbours start and its merge with the piece after it.
+        columns = np.arange(wide, dtype=np.int32)
+        symbols = np.full((len(which), wide), GONE, np.int32)
+        symbols[columns < sizes[:, None]] = own.flat
+        after, before = np.tile(columns + 1, len(which)), np.tile(columns - 1, len(which))
+        order, made = np.full(symbols.shape, NEVER, np.int32), np.zeros(symbols.size, np.int32)
+        flat, best_of = symbols.reshape(-1), order.reshape(-1)
+        keys = draws[which] if draws is not None else None
         skip = skips[which] if skips is not None else None
-        bounds, steps = np.tile(np.arange(n + 1, dtype=np.int64), (len(which), 1)), np.zeros((len(which), n), np.uint64)
-
-        def done(rows, width):
-            left = symbols[rows]
-            real = left != FILL
-            ids.put(which[rows], left[real], real.sum(axis=1))
-            merged.put(which[rows], steps[rows, :n - width].ravel(), n - width)
-
-        order, made = self._candidates(symbols[:, :-1], symbols[:, 1:], key, None if skip is None else skip[:, None, :],
-                                       bounds[:, :-2], bounds[:, 1:-1], bounds[:, 2:])
-        for width in range(n, 0, -1):
-            if width == 1 or not len(symbols):
-                done(slice(None), width)
-                return
-            best = order.argmin(axis=1)
-            live = order[np.arange(len(order)), best] < NEVER
-            if not live.all():
-                done(~live, width)
-                symbols, bounds, order, made, which, steps, best = (x[live] for x in (symbols, bounds, order, made, which, steps, best))
-                key = key[live] if key is not None else None
-                skip = skip[live] if skip is not None else None
-                if not len(symbols):
-                    return
-            line = np.arange(len(symbols))
-            left, middle, stop = (bounds[line, best + k].astype(np.uint64) for k in range(3))
-            steps[:, n - width] = (left << np.uint64(32)) | ((middle << np.uint64(16)) ^ stop)
-            best = best[:, None]
-            new = made[line, best[:, 0]]
-            columns = np.arange(width)
-            symbols = np.take_along_axis(symbols, columns[:-1] + (columns[:-1] > best), axis=1)
-            symbols[line, best[:, 0]] = new
-            bounds = np.take_along_axis(bounds, columns + (columns > best), axis=1)
-            if width == 2:
-                continue
-            keep = columns[:-2] + (columns[:-2] > best)
-            order, made = np.take_along_axis(order, keep, axis=1), np.take_along_axis(made, keep, axis=1)
-            for shift in (-1, 0):
-                at = best[:, 0] + shift
-                rows = np.flatnonzero((at >= 0) & (at < width - 2))
-                at = at[rows]
-                order[rows, at], made[rows, at] = self._candidates(
-                    symbols[rows, at], symbols[rows, at + 1], key[rows, 0] if key is not None else None, skip[rows] if skip is not None else None,
-                    bounds[rows, at], bounds[rows, at + 1], bounds[rows, at + 2])
+
+        def consider(rows, at):
+            start = rows * wide
+            middle = after[at]
+            right = start + middle
+            best_of[at], made[at] = self._candidates(
+                flat[at], flat[right], keys[rows] if keys is not None else None, skip[rows] if skip is not None else None, at - start, middle, after[right])
+
+        pairs = np.flatnonzero(columns < sizes[:, None] - 1)
+        consider(pairs // wide, pairs)
+        rows, steps = np.arange(len(which)), []
+        while True:
+            at = rows * wide + (order if len(rows) == len(order) else order[rows]).argmin(axis=1)
+            live = best_of[at] < NEVER
+            rows, at = rows[live], at[live]
+            if not len(rows):
+                break
+            start = rows * wide
+            left, middle = at - start, after[at]
+            gone = start + middle
+            stop = after[gone]
+            if draws is None:
+                steps.append((rows, (left.astype(np.uint64) << np.uint64(32)) | ((middle.astype(np.uint64) << np.uint64(16)) ^ stop.astype(np.uint64))))
+            flat[at], flat[gone] = made[at], GONE
+            after[at], before[start + stop] = stop, left
+            best_of[at] = best_of[gone] = NEVER
+            onward, back = stop < sizes[rows], left > 0
+            consider(np.concatenate([rows[onward], rows[back]]), np.concatenate([at[onward], start[back] + before[at[back]]]))
+        kept = symbols != GONE
+        ids.put(which, symbols[kept], kept.sum(axis=1))
+        owner = np.concatenate([np.zeros(0, np.int64), *[r for r, _ in steps]])
+        places = np.concatenate([np.zeros(0, np.uint64), *[p for _, p in steps]])
+        merged.put(which, places[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(which)))
 
     def by_bytes(self, text: str) -> bytes:
         return b"".join([self.bytes_of[b] for b in text.encode()])
@@ -356,13 +364,18 @@ class PieceModel:
     def encode_many(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
         """Ids of whole texts."""
         if len(self.number) > self.params.kept:
-            self.forget()
+            self._forget_rare()
         cut = [UNITS.findall(" " + text) if text else [] for text in texts]
-        units, sizes = list(chain.from_iterable(cut)), np.array([len(one) for one in cut], np.int64)
+        sizes = np.array([len(one) for one in cut], np.int64)
+        # A unit that is asked for gets the next number if it has none.
+        known = len(self.number)
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, sizes.sum())
         del cut
-        self._learn_units([u for u in dict.fromkeys(units) if u not in self.number])
-        which = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
-        del units
+        self._learn_units(list(islice(self.number, known, None)))
+        seen = np.zeros(len(self.names), np.int32)
+        seen[which] = 1
+        seen[:known] += self.met
+        self.met = seen
         # The ids of an occurrence are a stretch of the units' ids, or of those that follow for occurrences with a skipped merge.
         starts, counts, pool = self.ids.starts[which], self.ids.counts[which], [self.ids.flat]
         if self.limit and len(which):
@@ -381,12 +394,11 @@ class PieceModel:
         return [found[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def _learn_units(self, new: list[str]) -> None:
-        """Ids and merges of units that are not known yet, by the model's own library."""
+        """Ids and merges of the units numbered last, by the model's own library."""
         for at in range(0, len(new), 1 << 16):
             some = new[at:at + (1 << 16)]
             codes = self._characters(some)
             ids, merged = self._by_library(some) or self._segments(some, codes, None)
-            self.number.update(zip(some, range(len(self.names), len(self.names) + len(some))))
             self.names += some
             for kept, more in ((self.codes, codes), (self.ids, ids), (self.merged, merged)):
                 kept.add(more)
@@ -409,12 +421,17 @@ class PieceModel:
             for kept, more in zip(found, self._segments(own, self._characters(own), None)):
                 kept.add(more)
             return found[0].take(place), found[1].take(place)
-        text = "\n" + "\n".join(units)
-        found = np.array(self.library.encode(text), np.int32)
-        breaks = np.flatnonzero(found == np.frombuffer(self.segment("\n", 0), np.int32)[0])
-        if not len(units) or len(breaks) != len(units) or self.decoded.take(found[breaks[0]:]).flat.tobytes() != text.encode():
-            return None if units else (Lists(np.int32), Lists(np.uint64))
-        found, breaks = found[breaks[0]:], breaks - breaks[0]
+        if not units:
+            return Lists(np.int32), Lists(np.uint64)
+        stop, parts = np.frombuffer(self.segment("\n", 0), np.int32)[0], []
+        for at in range(0, len(units), LINES):
+            part = np.array(self.library.encode("\n" + "\n".join(units[at:at + LINES])), np.int32)
+            # The library puts a blank in front.
+            parts.append(part[(part == stop).argmax():])
+        found = np.concatenate(parts)
+        breaks = np.flatnonzero(found == stop)
+        if len(breaks) != len(units) or self.decoded.take(found).flat.tobytes() != ("\n" + "\n".join(units)).encode():
+            return None
         used = np.unique(found)
         self._learn_trees(used[self.tree_of[used] < 0])
         tree = self.tree_of[found]
@@ -460,10 +477,13 @@ class PieceModel:
         order = np.lexsort((bits[rows], which[rows]))
         rows = rows[order]
         first = np.flatnonzero(np.append(True, (np.diff(which[rows]) != 0) | (np.diff(bits[rows]) != 0))) if len(rows) else np.zeros(0, np.int64)
-        states = list(zip(which[rows[first]].tolist(), bits[rows[first]].tolist()))
-        often = np.diff(np.append(first, len(rows)))
-        self._learn([s for s, n in zip(states, often.tolist()) if n >= OFTEN])
-        outcome = np.repeat(np.fromiter((self.outcomes.get(s, -1) for s in states), np.int64, len(states)), often)
+        unit, state, often = which[rows[first]], bits[rows[first]], np.diff(np.append(first, len(rows)))
+        self._learn(list(zip(unit[often >= OFTEN].tolist(), state[often >= OFTEN].tolist())))
+        # Most states are rare, and of units without outcomes.
+        asked = np.flatnonzero(np.isin(unit, np.array([u for u, _ in self.outcomes], np.int64)))
+        known = np.full(len(first), -1, np.int64)
+        known[asked] = [self.outcomes.get(s, -1) for s in zip(unit[asked].tolist(), state[asked].tolist())]
+        outcome = np.repeat(known, often)
         anew.append(rows[outcome < 0])
         rows, outcome = rows[outcome >= 0], outcome[outcome >= 0]
         again, _ = self.besides.drawn(outcome, draws[rows], self.limit)

@@ -137,3 +137,48 @@ def test_units_are_learnt_by_the_library(monkeypatch):
 def test_restored_says_whether_ids_decode_to_their_text():
     ids = [PLAIN.encode(t, 1) for t in ("the é中", "", "a b")]
     assert PLAIN.restores([*ids, ids[1]], ["the é中", "", "a c", None]) == [True, True, False, True]
+
+
+def test_units_of_several_batches_are_learnt_once_and_in_short_texts(monkeypatch):
+    # The library's agenda is slower for long texts; what is rare makes room, not the words of every batch.
+    model, sent = pieces.PieceModel(SERIALIZED, pieces.PieceParams(dropout=0.3, kept=700)), []
+
+    class Recorded:
+        @staticmethod
+        def encode(text):
+            sent.append(text)
+            return LIBRARY.encode(text)
+
+    monkeypatch.setattr(model, "library", Recorded)
+    often = "".join(f" word{i}" for i in range(300))
+    for d in range(8):
+        text = "".join(f" rare{d}of{i}" for i in range(300)) + often
+        draws = [pieces.mixed(k ^ pieces.mixed(d ^ model.params.seed)) for k in range(601)]
+        want = b"".join(model.segment(u, draws[k]) for k, u in enumerate(pieces.UNITS.findall(" " + text)))
+        assert model.encode(text, d).astype("<i4").tobytes() == want
+        assert len(model.names) == len(model.number) == len(model.ids) <= 1300
+    learnt = [unit for text in sent for unit in text.split("\n")]
+    assert learnt.count(" word7") == 1 and learnt.count(" rare3of7") == 1
+    assert max(text.count("\n") for text in sent) <= pieces.LINES
+    model.encode(often + "".join(f" new{i}" for i in range(900)), 1)
+    model.encode("a", 1)
+    assert len(model.names) <= 351 and " word7" in model.number
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abeinrst é中"), min_size=1, max_size=45), min_size=1, max_size=30), st.integers(1, 2**64 - 1))
+def test_units_of_all_lengths_are_merged_together_as_one_by_one(units, seed):
+    units = [u.lstrip(" ").replace(" ", "") or " " for u in units]
+    draws = [pieces.mixed(seed ^ k) or 1 for k in range(len(units))]
+    assert DROPPED.segment_many(units, np.array(draws, np.uint64))[0] == [DROPPED.segment(u, d) for u, d in zip(units, draws)]
+    places: list[list[int]] = [[] for _ in units]
+    assert DROPPED.segment_many(units, None)[0] == [DROPPED.segment(u, 0, p) for u, p in zip(units, places)]
+    assert [p.tolist() for p in DROPPED.segment_many(units, None)[1]] == places
+    # Every second merge of its own skipped.
+    skips = np.full((len(units), max(map(len, places)) + 1), pieces.MASK, np.uint64)
+    for row, own in zip(skips, places):
+        row[:len(own[::2])] = own[::2]
+    besides: list[list[int]] = [[] for _ in units]
+    ids, merged = DROPPED.segment_many(units, None, skips)
+    assert ids == [DROPPED.segment(u, 0, p, set(own[::2])) for u, p, own in zip(units, besides, places)]
+    assert [p.tolist() for p in merged] == besides
